@@ -109,12 +109,6 @@ def lexical_score(df: DataFrame, text_col: str, profile_skills: Sequence[str], v
     )
 
 
-RESPONSE_SCHEMA = T.StructType([
-    T.StructField("job_id", T.StringType()),
-    T.StructField("response", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
@@ -125,10 +119,12 @@ def score_with(prompts: DataFrame, scorer_factory: Callable[[], Scorer], key: st
     ``scorer_factory()`` runs once per task (one client per partition) and returns a function
     ``pdf[key, prompt] -> Series[str]``. A raising batch is retried row by row so one bad row
     becomes one error row and the rest of the batch still scores. ``parallelism`` bounds the
-    number of concurrent callers (``repartition`` before the call)."""
-    src = prompts.select(F.col(key).alias("job_id"), "prompt")
+    number of concurrent callers (``repartition`` before the call). Output: key, response, error."""
+    src = prompts.select(key, "prompt")
     if parallelism:
-        src = src.repartition(parallelism, "job_id")
+        src = src.repartition(parallelism, key)
+    schema = T.StructType([src.schema[key], T.StructField("response", T.StringType()),
+                           T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer_factory()
@@ -145,9 +141,32 @@ def score_with(prompts: DataFrame, scorer_factory: Callable[[], Scorer], key: st
                     except Exception as exc:  # row-level isolation (Q1)
                         resp.append(None)
                         err.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({"job_id": pdf["job_id"].to_numpy(), "response": resp, "error": err})
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "response": resp, "error": err})
+
+    return src.mapInPandas(run, schema)
+
+
+def keyword_scorer(skills: Sequence[str]) -> Callable[[], Scorer]:
+    """An offline scorer with the model's answer contract, for dry runs and tests: JSON with
+    ``score`` = 100 * skills found in the prompt's description div number of skills,
+    ``skills_match`` = those skills, ``remote_match`` = the description mentions 'remote'."""
+    low = [s.lower() for s in skills]
+    head, tail = "\nDescription:\n", "\n\nScore this job for the candidate."
 
-    return src.mapInPandas(run, RESPONSE_SCHEMA)
+    def factory() -> Scorer:
+        import json
+
+        def score(pdf: pd.DataFrame) -> pd.Series:
+            out = []
+            for p in pdf["prompt"]:
+                desc = p.split(head, 1)[-1]
+                desc = (desc[: -len(tail)] if desc.endswith(tail) else desc).lower()
+                hits = [s for s in low if s in desc]
+                out.append(json.dumps({"score": 100 * len(hits) // max(len(low), 1), "skills_match": hits,
+                                       "remote_match": "remote" in desc}))
+            return pd.Series(out, dtype="object")
+        return score
+    return factory
 
 
 def type_responses(responses: DataFrame, key: str = "job_id", strict_bool: bool = False
@@ -167,3 +186,14 @@ def merge_scores(raw: DataFrame, scores: DataFrame, key: str = "job_id", status:
     return raw.select(*keep).join(scores, key, "inner").select(
         *keep, *score_cols, F.lit(status).alias("status"),
         date_prefix(F.coalesce(F.col("scraped_at").cast("string"), F.lit(""))).alias("date_scraped"))
+
+
+def score_postings(raw: DataFrame, scored: DataFrame, profile: DataFrame, scorer_factory, key: str = "job_id",
+                   keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS, parallelism: int | None = None,
+                   strict_bool: bool = False) -> tuple[DataFrame, DataFrame]:
+    """E2 as one job: F3 -> J8/X34 -> U1 -> X13-X17 -> P3. Returns (scored rows, quarantine)."""
+    todo = select_unscored(raw, scored, key, keywords=keywords)
+    prompts = build_prompts(todo, profile, key)
+    answers = score_with(prompts, scorer_factory, key, parallelism)
+    good, bad = type_responses(answers, key, strict_bool)
+    return merge_scores(todo, good, key), bad

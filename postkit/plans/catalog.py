@@ -19,7 +19,8 @@ from postkit.functions.tokens import classify_tokens
 from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
-from postkit.operators.scoring import build_prompts, lexical_score, load_profile, scoring_counters, select_unscored
+from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
+                                      scoring_counters, select_unscored)
 from postkit.operators.warehouse import load_new, normalise_rows, read_table as read_warehouse
 from postkit.plans import fixtures as X
 from postkit.session import read_table, scratch_path
@@ -275,6 +276,30 @@ def q_link_tokens(spark, sf):
         "p_partkey", "r.title", "r.company", "r.location", "r.salary")
 
 
+def _scoring_inputs(spark, sf):
+    # D without copies' labels: scored set = labelled doc ids; key = doc_id
+    return X.raw_d(spark, sf), _labels_as_scored(spark, sf), load_profile(spark)
+
+
+SCORE_COLUMNS = ["doc_id", "score", "skills_match", "gaps", "seniority_match", "remote_match", "status", "date_scraped"]
+
+
+def q_score_pipeline(spark, sf):
+    raw, done, profile = _scoring_inputs(spark, sf)
+    good, _bad = score_postings(raw, done, profile, keyword_scorer(PROFILE_SKILLS), key="doc_id",
+                                keywords=GATE_KEYWORDS)
+    return good.select(*SCORE_COLUMNS)
+
+
+def q_incremental_score(spark, sf):
+    from postkit.streaming.incremental import run_incremental_score
+    raw, done, profile = _scoring_inputs(spark, sf)
+    todo = raw.join(done, "doc_id", "left_anti")
+    out = run_incremental_score(spark, todo, "doc_id", STORE_SPLIT_DOC_ID, profile, keyword_scorer(PROFILE_SKILLS),
+                                "doc_id", GATE_KEYWORDS)
+    return out.select(*SCORE_COLUMNS)
+
+
 def q_latest_override(spark, sf):
     return latest_by_key(X.overrides_l(spark, sf), "job_id", ["updated_at", "seq"], ["status"])
 
@@ -337,6 +362,8 @@ QUERIES = {
     "html_text": q_html_text,
     "page_chain_cut": q_page_chain_cut,
     "link_tokens": q_link_tokens,
+    "score_pipeline": q_score_pipeline,
+    "incremental_score": q_incremental_score,
     "latest_override": q_latest_override,
     "incremental_dedup": q_incremental_dedup,
     "incremental_load": q_incremental_load,

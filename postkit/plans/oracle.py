@@ -223,6 +223,15 @@ SELECT page_id, CAST(pos AS BIGINT) AS pos, href, {text} AS text FROM U WHERE po
 NAV_CAPPED = NAV.format(text="text")
 NAV_PARSED = NAV.format(text=_ENT.replace("x", "text", 1))
 
+_SKILLS = "[" + ", ".join(_q(x) for x in C.PROFILE_SKILLS) + "]"
+SCORED_D = _with(D) + f""", T AS (SELECT doc_id, lower(coalesce(substring(description, 1, 3000), '')) AS d FROM D
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND coalesce({_any_contains('lower(title)', C.GATE_KEYWORDS)}, false)),
+H AS (SELECT doc_id, d, list_filter({_SKILLS}, lambda s: contains(d, s)) AS hits FROM T)
+SELECT doc_id, CAST(100 * len(hits) // {len(C.PROFILE_SKILLS)} AS BIGINT) AS score,
+  '[' || array_to_string(list_transform(hits, lambda s: '"' || s || '"'), ',') || ']' AS skills_match, '[]' AS gaps,
+  false AS seniority_match, contains(d, 'remote') AS remote_match, 'new' AS status, '2024-01-01' AS date_scraped
+FROM H"""
+
 SQL = {
     "current_postings": _with(*_VIEW) + """SELECT job_id, title, company, location, url, source, salary, score,
   match_summary, skills_match, gaps, seniority_match, remote_match, status, date_scraped
@@ -377,6 +386,8 @@ WHERE P.page_no <= 5 AND (S.stop IS NULL OR P.page_no < S.stop)""",
 
     "link_tokens": LINK_TOKENS,
 
+    "score_pipeline": SCORED_D,
+    "incremental_score": SCORED_D,
     "latest_override": _with(L, LATEST) + "SELECT job_id, status FROM LATEST",
 
     "incremental_dedup": _with(D, WINNERS) + "SELECT D.job_id, D.doc_id, D.source FROM D JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id",

@@ -28,10 +28,20 @@ def search_specs(spark: SparkSession, rows=None) -> DataFrame:
 
 
 def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
-    """S15 + J10: keep payloads of enabled (source, query) specs and attach their ranks, cap
-    and search location (broadcast: the spec table has a fixed, small size)."""
-    return landed.join(F.broadcast(specs.where("enabled").drop("enabled").withColumnRenamed("location", "search_location")),
-                       ["source", "query"], "inner")
+    """S15 + J10: keep payloads of enabled specs and attach their ranks, cap and search location
+    (broadcast: the spec table has a fixed, small size). A spec is (source, query, location);
+    landed rows without a ``location`` match the first enabled spec of their (source, query),
+    so the join never multiplies payloads."""
+    sp = specs.where("enabled").drop("enabled")
+    if "location" in landed.columns:
+        keys = ["source", "query", "location"]
+        sp = sp.withColumn("search_location", F.col("location"))
+    else:
+        keys = ["source", "query"]
+        first = F.min(F.struct("query_rank", "location", "cap", "source_rank")).alias("_s")
+        sp = sp.groupBy(*keys).agg(first).select(
+            *keys, "_s.query_rank", F.col("_s.location").alias("search_location"), "_s.cap", "_s.source_rank")
+    return landed.join(F.broadcast(sp), keys, "inner")
 
 
 def html_to_text_native(c: Column) -> Column:
@@ -94,3 +104,29 @@ def json_field(c: Column | str, path: str, dtype: str = "string") -> Column:
     """Scalar from a JSON text column (``get_json_object`` + cast)."""
     col = F.col(c) if isinstance(c, str) else c
     return F.get_json_object(col, path).cast(dtype)
+
+
+def to_raw_posting(extracted: DataFrame, source_order=K.SOURCE_ORDER) -> DataFrame:
+    """P1 + U-1: the 9-column posting schema plus arrival order ``source_rank, query_rank,
+    page_no, pos`` (first-seen-wins dedup sorts on these)."""
+    src = F.col("source_name") if "source_name" in extracted.columns else F.col("source")
+    rank = F.lit(len(source_order))
+    for i, s in reversed(list(enumerate(source_order))):
+        rank = F.when(src == s, F.lit(i)).otherwise(rank)
+    qr = F.col("query_rank") if "query_rank" in extracted.columns else F.lit(0)
+    page = F.col("page_no") if "page_no" in extracted.columns else F.lit(1)
+    return extracted.select(
+        "job_id", "title", "company", "location", "description", "url", src.alias("source"), "salary",
+        F.col("scraped_at").cast("string").alias("scraped_at"),
+        rank.alias("source_rank"), qr.cast("int").alias("query_rank"), page.cast("int").alias("page_no"),
+        F.col("pos").cast("int").alias("pos"),
+    )
+
+
+def keywords_from_table(df: DataFrame, col: str = "keyword", max_keywords: int = 10000) -> list[str]:
+    """J9 with a keyword *table*: its size is checked, then the bounded list becomes a literal
+    array for the native ``contains`` gate (no nested-loop join over the postings)."""
+    n = df.select(col).distinct().count()
+    if n > max_keywords:
+        raise ValueError(f"keyword table has {n} rows, above the bound {max_keywords}")
+    return sorted(r[0].lower() for r in df.select(col).distinct().collect() if r[0] is not None)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postkit.functions.text import ColumnOrName, _c
+from postkit.session import spread
 
 _NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
@@ -122,7 +123,7 @@ def parse_responses(df: DataFrame, text_col: str, keep: list[str], strict_bool:
     fallback, field lookups) is its own projection column, computed once per row. Catalyst
     does not collapse projections that would duplicate a non-trivial expression, so the plan
     keeps the stages. Adds the struct column ``_p`` (see ``parse_response``)."""
-    s1 = df.select(*keep, text_col, strip_fences(text_col).alias("_t"))
+    s1 = spread(df).select(*keep, text_col, strip_fences(text_col).alias("_t"))
     s2 = s1.select("*", F.try_parse_json(F.concat(F.lit("["), F.col("_t"), F.lit("]"))).alias("_w"))
     one = lambda w: F.variant_get(w, "$[0]", "variant").isNotNull() & F.variant_get(w, "$[1]", "variant").isNull()
     s3 = s2.select(*keep, text_col, F.when(one(F.col("_w")), F.col("_w")).otherwise(

@@ -14,11 +14,12 @@ from postkit.functions.bands import accent_band, rating_band, ring_band
 from postkit.functions.salary import salary_bounds, salary_overlap
 from postkit.functions.text import ellipsis, search_match
 from postkit.schemas import STATUS_DIM
+from postkit.session import literal_frame
 
 
 def status_dim(spark: SparkSession) -> DataFrame:
     """The fixed 7-row status dimension (safe to broadcast: its size is fixed)."""
-    return spark.createDataFrame(K.STATUS_DIM_ROWS, STATUS_DIM)
+    return literal_frame(spark, K.STATUS_DIM_ROWS, STATUS_DIM)
 
 
 @dataclass
@@ -58,17 +59,15 @@ def filter_predicate(spec: FilterSpec, lo: Column | None = None, hi: Column | No
 
 
 def _with_bounds(df: DataFrame, spec: FilterSpec) -> tuple[DataFrame, Column | None, Column | None]:
-    """Attach the salary-range bounds. 'auto' computes them over the whole view as a one-row
-    aggregate joined back (a broadcast of exactly one row). With no row in the currency the
-    salary filter is off, as in the dashboard."""
+    """The salary-range bounds. 'auto' = the full range of the whole view: a one-row aggregate
+    used as two scalar subqueries (computed once, before the filter; no join). With no row in
+    the currency the salary filter is off, as in the dashboard."""
     if spec.salary_range is None:
         return df, None, None
     if spec.salary_range == "auto":
         bounds = salary_bounds(df, spec.salary_currency)
-        joined = df.crossJoin(F.broadcast(bounds))
-        lo, hi = F.col("salary_lo"), F.col("salary_hi")
-        # no row in the currency -> both bounds null -> filter off
-        return joined, F.coalesce(lo, F.lit(-(2 ** 62))), F.coalesce(hi, F.lit(2 ** 62))
+        lo, hi = bounds.select("salary_lo").scalar(), bounds.select("salary_hi").scalar()
+        return df, F.coalesce(lo, F.lit(-(2 ** 62))), F.coalesce(hi, F.lit(2 ** 62))
     lo_v, hi_v = spec.salary_range
     return df, F.lit(lo_v), F.lit(hi_v)
 
@@ -108,6 +107,29 @@ def sort_postings(df: DataFrame, sort_by: str, top: int | None = None, key: str
     return out.limit(top) if top else out
 
 
+def top_k_all_sorts(df: DataFrame, k: int, options: Sequence[str] = K.SORT_OPTIONS, key: str = "job_id") -> DataFrame:
+    """O2 for several sort options in one pass over ``df``: every row is fanned out once per
+    option with a uniform (number, text) sort key, and ``row_number() <= k`` per option compiles
+    to a partial WindowGroupLimit, so each map task ships at most k rows per option (instead of
+    one full scan of the view per option). Output: sort_by, rank (1-based), key."""
+    entries = []
+    for name in options:
+        col, asc = _SORTS.get(name, ("score", False))
+        c = F.col(col)
+        if col == "company":
+            num, txt = F.lit(None).cast("double"), c.cast("string")
+        elif col == "date_scraped":
+            days = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+            num, txt = (days if asc else -days), F.lit(None).cast("string")
+        else:
+            num, txt = (c.cast("double") if asc else -c.cast("double")), F.lit(None).cast("string")
+        entries.append(F.struct(F.lit(name).alias("sort_by"), num.alias("n"), txt.alias("t")))
+    fanned = df.select(key, F.explode(F.array(*entries)).alias("o")).select(key, "o.*")
+    w = Window.partitionBy("sort_by").orderBy(F.col("n").asc_nulls_last(), F.col("t").asc_nulls_last(), F.col(key).asc())
+    return fanned.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "sort_by", F.col("rank").cast("bigint").alias("rank"), key)
+
+
 def summary_metrics(view: DataFrame, spec: FilterSpec) -> DataFrame:
     """A1-A5 in one pass over the view: total, shown, percent shown, mean shown score, shown
     rows with a salary, applied and interview counts over all rows."""
@@ -125,9 +147,19 @@ def summary_metrics(view: DataFrame, spec: FilterSpec) -> DataFrame:
         (F.col("shown") * 100.0 / F.greatest(F.col("total"), F.lit(1))).alias("pct_shown"),
         F.round("avg_score", 4).alias("avg_score"),
         "with_salary", "applied", "interviews",
+    ).select(
+        "*",
+        F.concat(whole_number_text("pct_shown"), F.lit("% of total")).alias("pct_shown_text"),
+        F.coalesce(whole_number_text("avg_score"), F.lit("—")).alias("avg_score_text"),
     )
 
 
+def whole_number_text(c) -> Column:
+    """A number shown with 0 decimals, ties to even (62.5 -> '62'), no group separators."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.bround(x, 0).cast("bigint").cast("string")
+
+
 def count_by_status(view: DataFrame, dim: DataFrame) -> DataFrame:
     """A6 + J6 + X32: rows per status over the whole view; null status is not a group; the
     label comes from the dimension, else the title-cased status."""

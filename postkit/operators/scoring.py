@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.responses import split_parsed
 from postkit.functions.text import contains_any, date_prefix, is_relevant, remote_rule, truncate_chars
+from postkit.session import literal_frame, spread
 
 
 def load_profile(spark: SparkSession, path: str | None = None, fallback: str = K.DEFAULT_PROFILE) -> DataFrame:
@@ -24,7 +25,7 @@ def load_profile(spark: SparkSession, path: str | None = None, fallback: str = K
         except Exception as exc:  # a missing file only; other errors surface
             if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
                 raise
-    return spark.createDataFrame([(fallback.strip(),)], "profile string")
+    return literal_frame(spark, [(fallback.strip(),)], "profile string")
 
 
 def select_unscored(raw: DataFrame, scored: DataFrame, key: str = "job_id", title_col: str = "title",
@@ -67,8 +68,8 @@ def prompt_column(profile: Column, title: Column, company: Column, location: Col
 
 def build_prompts(postings: DataFrame, profile: DataFrame, key: str = "job_id",
                   cols: dict | None = None) -> DataFrame:
-    """J8 + X34: pair every posting with the one-row profile (broadcast nested-loop join with a
-    single row, no shuffle of the postings) and render the prompt."""
+    """J8 + X34: render every posting's prompt with the profile. The profile is a one-row
+    frame used as a scalar subquery: evaluated once, no join and no shuffle of the postings."""
     m = {"title": "title", "company": "company", "location": "location", "salary": "salary",
          "source": "source", "description": "description"}
     m.update(cols or {})
@@ -77,10 +78,10 @@ def build_prompts(postings: DataFrame, profile: DataFrame, key: str = "job_id",
         c = m[name]
         return F.col(c) if c is not None and c in postings.columns else None
 
-    paired = postings.crossJoin(F.broadcast(profile.select("profile")))
-    return paired.select(
+    prof = profile.select("profile").limit(1).scalar()
+    return postings.select(
         key,
-        prompt_column(F.col("profile"), col_or_none("title"), col_or_none("company"), col_or_none("location"),
+        prompt_column(prof, col_or_none("title"), col_or_none("company"), col_or_none("location"),
                       col_or_none("salary"), col_or_none("source"), col_or_none("description")).alias("prompt"),
     )
 
@@ -121,8 +122,7 @@ def score_with(prompts: DataFrame, scorer_factory: Callable[[], Scorer], key: st
     becomes one error row and the rest of the batch still scores. ``parallelism`` bounds the
     number of concurrent callers (``repartition`` before the call). Output: key, response, error."""
     src = prompts.select(key, "prompt")
-    if parallelism:
-        src = src.repartition(parallelism, key)
+    src = src.repartition(parallelism, key) if parallelism else spread(src)
     schema = T.StructType([src.schema[key], T.StructField("response", T.StringType()),
                            T.StructField("error", T.StringType())])
 

@@ -6,9 +6,7 @@ library operators. ``oracle.py`` holds the equivalent DuckDB SQL under the same
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkit import constants as K
@@ -74,15 +72,8 @@ def q_filter_stack(spark, sf):
 
 
 def q_sort_options(spark, sf):
-    shown = R.apply_filters(_salaried_view(spark, sf), DEFAULT_SPEC).select(
-        "job_id", "score", "date_scraped", "company")
-    parts = []
-    for name in K.SORT_OPTIONS:
-        top = R.sort_postings(shown, name, top=SORT_TOP)           # TakeOrderedAndProject
-        w = Window.orderBy(*R.sort_columns(name))                  # over <= SORT_TOP rows only
-        parts.append(top.select(F.lit(name).alias("sort_by"), F.row_number().over(w).cast("bigint").alias("rank"),
-                                "job_id"))
-    return reduce(DataFrame.unionByName, parts)
+    shown = R.apply_filters(_salaried_view(spark, sf), DEFAULT_SPEC).select("job_id", "score", "date_scraped", "company")
+    return R.top_k_all_sorts(shown, SORT_TOP)
 
 
 def q_salary_parse(spark, sf):

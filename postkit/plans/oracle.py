@@ -268,8 +268,10 @@ WHERE salary_currency IS DISTINCT FROM 'CZK'
     "summary_metrics": _with(*_SALV, BOUNDS, SHOWN) + """, T AS (SELECT count(*) AS total,
     count(*) FILTER (WHERE status = 'applied') AS applied, count(*) FILTER (WHERE status = 'interview') AS interviews FROM SAL),
 S AS (SELECT count(*) AS shown, avg(score) AS avg_score, count(*) FILTER (WHERE coalesce(salary, '') <> '') AS with_salary FROM SHOWN)
-SELECT total, shown, shown * 100.0 / greatest(total, 1) AS pct_shown, round(avg_score, 4) AS avg_score,
-  with_salary, applied, interviews FROM T, S""",
+SELECT total, shown, CAST(shown * 100.0 / greatest(total, 1) AS DOUBLE) AS pct_shown, round(avg_score, 4) AS avg_score,
+  with_salary, applied, interviews,
+  CAST(CAST(round_even(CAST(shown * 100.0 / greatest(total, 1) AS DOUBLE), 0) AS BIGINT) AS VARCHAR) || '% of total' AS pct_shown_text,
+  coalesce(CAST(CAST(round_even(round(avg_score, 4), 0) AS BIGINT) AS VARCHAR), '—') AS avg_score_text FROM T, S""",
 
     "count_by_status": _with(*_VIEW, DIM) + """SELECT c.status, concat_ws(' ', d.emoji, coalesce(d.label, upper(substring(c.status, 1, 1)) || lower(substring(c.status, 2)))) AS label,
   c.count FROM (SELECT status, count(*) AS count FROM CUR WHERE status IS NOT NULL GROUP BY status) c

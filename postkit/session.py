@@ -57,3 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table. Column pruning and filter pushdown happen in the scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def literal_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small fixed table built from JVM literals (a LocalRelation: no Python-backed scan)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in st.fields])
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Before CPU-heavy per-row work (HTML/JSON parsing, scorer calls): when the input arrives
+    in fewer partitions than the cluster can run (a small file with one row group), deal its
+    rows round-robin over the available slots. Inputs that are already wide are left alone,
+    so at scale this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

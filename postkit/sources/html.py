@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.text import absolutise, is_relevant, posting_id, strip_query
 from postkit.functions.tokens import classify_tokens, tokenize
+from postkit.session import spread
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW_TEXT = {"script", "style"}
@@ -213,7 +214,7 @@ def extract_cards(pages: DataFrame, kind: str, key_cols: Sequence[str], html_col
                     rows.append(kv + tuple(card))
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
 
 
 def page_text(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html") -> DataFrame:
@@ -227,7 +228,7 @@ def page_text(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html")
             out["text"] = [get_text(parse(h)) for h in pdf["_html"]]
             yield out
 
-    return pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
 
 
 def page_flags(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html",
@@ -249,7 +250,7 @@ def page_flags(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html"
             out["empty"], out["has_next"] = empty, nxt
             yield out
 
-    return pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- native parts

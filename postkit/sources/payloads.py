@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postkit import constants as K
 from postkit.functions.text import is_relevant, posting_id, truncate_chars
 from postkit.schemas import MUSE_PAYLOAD, REMOTIVE_PAYLOAD, SEARCH_SPEC
+from postkit.session import literal_frame, spread
 
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
@@ -24,7 +25,7 @@ def search_specs(spark: SparkSession, rows=None) -> DataFrame:
         qr = per_source.setdefault(src, 0)
         per_source[src] = qr + 1
         out.append((src, q, loc, cap, en, K.SOURCE_ORDER.index(src) if src in K.SOURCE_ORDER else len(K.SOURCE_ORDER), qr))
-    return spark.createDataFrame(out, SEARCH_SPEC)
+    return literal_frame(spark, out, SEARCH_SPEC)
 
 
 def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def extract_remotive(landed: DataFrame, keywords=K.RELEVANT_TITLE_KEYWORDS,
     """Explode ``jobs[]``, gate titles (F1), apply defaults, id = md5(url)[:12]."""
     scraped_at = scraped_at if scraped_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     keep = [c for c in landed.columns if c != "body"]
-    jobs = landed.select(*keep, F.posexplode(F.from_json("body", REMOTIVE_PAYLOAD).jobs).alias("pos", "j"))
+    jobs = spread(landed).select(*keep, F.posexplode(F.from_json("body", REMOTIVE_PAYLOAD).jobs).alias("pos", "j"))
     return jobs.where(is_relevant(F.coalesce(F.col("j.title"), F.lit("")), keywords)).select(
         *keep, "pos",
         posting_id("j.url").alias("job_id"),
@@ -80,7 +81,7 @@ def extract_muse(landed: DataFrame, cap: Column | None = None, scraped_at: Colum
     No title gate here (P6). ``cap`` optionally limits rows per response (P7, off by default)."""
     scraped_at = scraped_at if scraped_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     keep = [c for c in landed.columns if c != "body"]
-    res = landed.select(*keep, F.posexplode(F.from_json("body", MUSE_PAYLOAD).results).alias("pos", "j"))
+    res = spread(landed).select(*keep, F.posexplode(F.from_json("body", MUSE_PAYLOAD).results).alias("pos", "j"))
     if cap is not None:
         res = res.where(F.col("pos") < cap)
     url = F.coalesce(F.col("j.refs.landing_page"), F.lit(""))

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from postkit import constants as K
 from postkit.functions.responses import json_list, split_parsed
 from postkit.functions.salary import parse_salary, salary_bounds, with_salary
-from postkit.functions.text import absolutise, is_relevant, page_url, posting_id, search_match, strip_query, truncate_chars
+from postkit.functions.text import (absolutise, is_relevant, page_url, posting_id, remote_rule, search_match, strip_query,
+                                   truncate_chars)
 from postkit.functions.tokens import classify_tokens
 from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
 from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
                                       scoring_counters, select_unscored)
-from postkit.operators.warehouse import load_new, normalise_rows, read_table as read_warehouse
+from postkit.operators.warehouse import (append_overrides, load_new, normalise_rows, read_overrides,
+                                        read_table as read_warehouse)
 from postkit.plans import fixtures as X
 from postkit.session import read_table, scratch_path
 from postkit.sources.html import cut_page_chain, extract_cards, heading, nav_links_capped, page_text
@@ -117,7 +119,8 @@ def q_board_overflow(spark, sf):
 
 
 def q_score_bands(spark, sf):
-    return R.score_bands(_view(spark, sf))
+    v = _view(spark, sf)
+    return R.score_bands(v).join(v.select("job_id", remote_rule("location", "source").alias("remote_rule")), "job_id")
 
 
 def q_distinct_sources(spark, sf):
@@ -291,6 +294,17 @@ def q_incremental_score(spark, sf):
     return out.select(*SCORE_COLUMNS)
 
 
+def q_warehouse_current(spark, sf):
+    """E3 + E4 end to end: load postings into a fresh partitioned table (K4, K3), append the
+    status log (K5), then read the current view from storage (S5, S7, W1, J1)."""
+    table, log = scratch_path(spark, "warehouse"), scratch_path(spark, "overrides")
+    assert read_overrides(spark, log) is None                     # no log yet -> base statuses
+    load_new(spark, X.postings_b(spark, sf).drop("loaded_at"), table, X.LOADED_AT)
+    append_overrides(spark, X.overrides_l(spark, sf), log)
+    return current_postings(read_warehouse(spark, table), read_overrides(spark, log), ordered=False).select(
+        "job_id", "status", "score", "salary", "date_scraped")
+
+
 def q_latest_override(spark, sf):
     return latest_by_key(X.overrides_l(spark, sf), "job_id", ["updated_at", "seq"], ["status"])
 
@@ -355,6 +369,7 @@ QUERIES = {
     "link_tokens": q_link_tokens,
     "score_pipeline": q_score_pipeline,
     "incremental_score": q_incremental_score,
+    "warehouse_current": q_warehouse_current,
     "latest_override": q_latest_override,
     "incremental_dedup": q_incremental_dedup,
     "incremental_load": q_incremental_load,

@@ -300,7 +300,8 @@ FROM DIM d LEFT JOIN (SELECT status, count(*) AS cnt FROM CUR GROUP BY status) c
   CASE WHEN score IS NULL THEN 'medium' WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS ring,
   CASE WHEN coalesce(score, 0) >= 75 THEN 'high' WHEN coalesce(score, 0) >= 50 THEN 'medium' ELSE 'low' END AS accent,
   CASE WHEN score IS NULL THEN NULL WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good'
-       WHEN score >= 50 THEN 'partial' WHEN score >= 30 THEN 'weak' ELSE 'poor' END AS rating
+       WHEN score >= 50 THEN 'partial' WHEN score >= 30 THEN 'weak' ELSE 'poor' END AS rating,
+  coalesce(contains(lower(location), 'remote'), false) OR coalesce(source = 'remotive', false) AS remote_rule
 FROM CUR""",
 
     "distinct_sources": "SELECT DISTINCT source FROM documents WHERE source IS NOT NULL ORDER BY source",
@@ -390,6 +391,8 @@ WHERE P.page_no <= 5 AND (S.stop IS NULL OR P.page_no < S.stop)""",
 
     "score_pipeline": SCORED_D,
     "incremental_score": SCORED_D,
+    "warehouse_current": _with(*_VIEW) + """SELECT job_id, status, score, coalesce(salary, '') AS salary, date_scraped
+FROM CUR""",
     "latest_override": _with(L, LATEST) + "SELECT job_id, status FROM LATEST",
 
     "incremental_dedup": _with(D, WINNERS) + "SELECT D.job_id, D.doc_id, D.source FROM D JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id",

@@ -257,7 +257,7 @@ def q_nav_cards_parsed(spark, sf):
 
 def q_html_text(spark, sf):
     t = page_text(read_table(spark, sf, "pages"), ["page_id"])
-    return t.select("page_id", F.length("text").cast("bigint").alias("text_chars"))
+    return t.select("page_id", F.length("text").cast("bigint").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
 def q_page_chain_cut(spark, sf):

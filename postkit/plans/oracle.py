@@ -232,6 +232,15 @@ SELECT doc_id, CAST(100 * len(hits) // {len(C.PROFILE_SKILLS)} AS BIGINT) AS sco
   false AS seniority_match, contains(d, 'remote') AS remote_match, 'new' AS status, '2024-01-01' AS date_scraped
 FROM H"""
 
+def _html_text_sql() -> str:
+    from postkit.sources.payloads import _ENTITIES
+    x = (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), "
+         r"'(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")
+    for ent, ch in _ENTITIES:
+        x = f"replace({x}, {_q(ent)}, chr({ord(ch)}))"
+    return f"SELECT page_id, CAST(length({x}) AS BIGINT) AS text_chars, md5({x}) AS text_md5 FROM pages"
+
+
 SQL = {
     "current_postings": _with(*_VIEW) + """SELECT job_id, title, company, location, url, source, salary, score,
   match_summary, skills_match, gaps, seniority_match, remote_match, status, date_scraped
@@ -381,6 +390,7 @@ FROM B WHERE job_id IS NOT NULL AND job_id <> ''""",
 
     "nav_cards_capped": NAV_CAPPED,
     "nav_cards_parsed": NAV_PARSED,
+    "html_text": _html_text_sql(),
 
     "page_chain_cut": """WITH P AS (SELECT conv_id AS category, turn + 1 AS page_no, length(text) < 40 AS empty FROM conversations),
 S AS (SELECT category, min(page_no) FILTER (WHERE empty) AS stop FROM P WHERE page_no <= 5 GROUP BY category)

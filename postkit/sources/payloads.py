@@ -14,7 +14,12 @@ from postkit.functions.text import is_relevant, posting_id, truncate_chars
 from postkit.schemas import MUSE_PAYLOAD, REMOTIVE_PAYLOAD, SEARCH_SPEC
 from postkit.session import literal_frame, spread
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# common named entities decoded by the native HTML-to-text form ('&amp;' last, so '&amp;lt;'
+# stays '&lt;'); the parser-based form (sources/html.py) decodes every entity
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
+             ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
+             ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&euro;", "\u20ac"),
+             ("&amp;", "&")]
 
 
 def search_specs(spark: SparkSession, rows=None) -> DataFrame:

@@ -278,7 +278,7 @@ def _scoring_inputs(spark, sf):
 SCORE_COLUMNS = ["doc_id", "score", "skills_match", "gaps", "seniority_match", "remote_match", "status", "date_scraped"]
 
 
-def q_score_pipeline(spark, sf):
+def q_score_postings(spark, sf):
     raw, done, profile = _scoring_inputs(spark, sf)
     good, _bad = score_postings(raw, done, profile, keyword_scorer(PROFILE_SKILLS), key="doc_id",
                                 keywords=GATE_KEYWORDS)
@@ -367,7 +367,7 @@ QUERIES = {
     "html_text": q_html_text,
     "page_chain_cut": q_page_chain_cut,
     "link_tokens": q_link_tokens,
-    "score_pipeline": q_score_pipeline,
+    "score_postings": q_score_postings,
     "incremental_score": q_incremental_score,
     "warehouse_current": q_warehouse_current,
     "latest_override": q_latest_override,

@@ -399,7 +399,7 @@ WHERE P.page_no <= 5 AND (S.stop IS NULL OR P.page_no < S.stop)""",
 
     "link_tokens": LINK_TOKENS,
 
-    "score_pipeline": SCORED_D,
+    "score_postings": SCORED_D,
     "incremental_score": SCORED_D,
     "warehouse_current": _with(*_VIEW) + """SELECT job_id, status, score, coalesce(salary, '') AS salary, date_scraped
 FROM CUR""",

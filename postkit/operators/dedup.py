@@ -12,24 +12,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _same(cols: Sequence[str]) -> Column:
+    """Null-safe equality of ``l.c`` and ``r.c`` for every column (a null order value or key
+    must still find its winner)."""
+    conds = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+def _winners(df: DataFrame, key: Sequence[str], order_cols: Sequence[str], agg) -> DataFrame:
+    if len(order_cols) == 1:
+        c = order_cols[0]
+        return df.groupBy(*key).agg(agg(F.col(c)).alias(c))
+    packed = agg(F.struct(*[F.col(c) for c in order_cols])).alias("_w")
+    return df.groupBy(*key).agg(packed).select(*key, *[F.col(f"_w.{c}").alias(c) for c in order_cols])
+
+
 def _pick(df: DataFrame, key: Sequence[str], order_cols: Sequence[str], agg) -> DataFrame:
     """Winner order value per key, computed by an aggregate (partial per map task, so a key
     holding a third of all rows is reduced before the shuffle), then joined back on
     (key, order). The join key includes the order columns, so a hot key does not land in one
     join partition either."""
-    if len(order_cols) == 1:
-        c = order_cols[0]
-        winners = df.groupBy(*key).agg(agg(F.col(c)).alias(c))
-    else:
-        packed = agg(F.struct(*[F.col(c) for c in order_cols])).alias("_w")
-        winners = df.groupBy(*key).agg(packed).select(*key, *[F.col(f"_w.{c}").alias(c) for c in order_cols])
-    return df.join(winners, list(key) + list(order_cols), "left_semi")
+    winners = _winners(df, key, order_cols, agg)
+    cols = list(key) + list(order_cols)
+    return df.alias("l").join(winners.alias("r"), _same(cols), "left_semi").select(*df.columns)
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """Per key keep the row that arrived first (least ``order_cols``). Not
-    ``dropDuplicates``, whose survivor is arbitrary. Rows with a null key must be quarantined
-    before (a null key never equals itself in the join)."""
+    ``dropDuplicates``, whose survivor is arbitrary. Matching is null-safe: a null key is one
+    key (as in a dict), and a null order value loses to any non-null one."""
     keys = [key] if isinstance(key, str) else list(key)
     return _pick(df, keys, order_cols, F.min)
 
@@ -66,11 +80,11 @@ def ingest_counters(batch: DataFrame, key: str, order_cols: Sequence[str], group
                     store: DataFrame | None = None) -> DataFrame:
     """Per group, rows fetched, rows inserted (first arrival of a key not already stored)
     and rows skipped as duplicates."""
-    winners = dedup_first(batch, key, order_cols)
+    winners = _winners(batch, [key], order_cols, F.min)
     if store is not None:
         winners = winners.join(store.select(key), key, "left_anti")
-    flagged = batch.join(winners.select(key, *order_cols).withColumn("_new", F.lit(True)),
-                         [key, *order_cols], "left")
+    flagged = batch.alias("l").join(winners.withColumn("_new", F.lit(True)).alias("r"), _same([key, *order_cols]),
+                                    "left").select("l.*", "r._new")
     return flagged.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("fetched"),
         F.count_if(F.col("_new").isNotNull()).alias("inserted"),

@@ -101,3 +101,11 @@ def test_latest_by_key_hot_key(spark):
                                       F.col("id").alias("ts"), (F.col("id") * 7).alias("v"))
     got = {r.k: r.v for r in latest_by_key(df, "k", ["ts"], ["v"]).collect()}
     assert got == {"hot": 29997 * 7, "cold": 29999 * 7}
+
+
+def test_null_order_and_null_key_keep_a_survivor(spark):
+    rows = [("a", None, "x1"), ("a", 5, "x2"), (None, 1, "n1"), (None, 2, "n2"), ("b", None, "only")]
+    df = spark.createDataFrame(rows, "job_id string, seq int, v string")
+    got = sorted((r.job_id or "", r.v) for r in dedup_first(df, "job_id", ["seq"]).collect())
+    # min() ignores nulls, so 'a' keeps seq 5; a key whose order is all null keeps that row
+    assert got == [("", "n1"), ("a", "x2"), ("b", "only")]

@@ -24,7 +24,8 @@ from postkit.operators.warehouse import (append_overrides, load_new, normalise_r
                                         read_table as read_warehouse)
 from postkit.plans import fixtures as X
 from postkit.session import read_table, scratch_path
-from postkit.sources.html import cut_page_chain, extract_cards, heading, nav_links_capped, page_text
+from postkit.sources.html import (cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
+                                  heading, nav_links_capped, page_text)
 from postkit.sources.payloads import extract_muse, extract_remotive, json_field
 
 # query parameters (shared with oracle.py)
@@ -305,6 +306,27 @@ def q_warehouse_current(spark, sf):
         "job_id", "status", "score", "salary", "date_scraped")
 
 
+JOBS_CZ_CAP = 3
+
+
+def q_jobs_cz_cards(spark, sf):
+    out = extract_jobs_cz(X.landed_jobs_cz(spark, sf), cap=JOBS_CZ_CAP, scraped_at=F.lit(FIXED_SCRAPED_AT))
+    return out.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location",
+                      "salary", "url")
+
+
+def q_linkedin_cards(spark, sf):
+    out = extract_linkedin(X.landed_linkedin(spark, sf), cap=25, scraped_at=F.lit(FIXED_SCRAPED_AT))
+    return out.select("c_custkey", F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location",
+                      "url")
+
+
+def q_jobstack_links(spark, sf):
+    out = extract_jobstack(X.landed_jobstack(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT))
+    return out.select(F.col("query").alias("category"), F.col("page_no").cast("bigint").alias("page_no"),
+                      F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location", "salary")
+
+
 def q_latest_override(spark, sf):
     return latest_by_key(X.overrides_l(spark, sf), "job_id", ["updated_at", "seq"], ["status"])
 
@@ -370,6 +392,9 @@ QUERIES = {
     "score_postings": q_score_postings,
     "incremental_score": q_incremental_score,
     "warehouse_current": q_warehouse_current,
+    "jobs_cz_cards": q_jobs_cz_cards,
+    "linkedin_cards": q_linkedin_cards,
+    "jobstack_links": q_jobstack_links,
     "latest_override": q_latest_override,
     "incremental_dedup": q_incremental_dedup,
     "incremental_load": q_incremental_load,

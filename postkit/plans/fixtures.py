@@ -185,3 +185,70 @@ def page_chain_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("category"), (F.col("turn") + 1).alias("page_no"),
                     (F.length("text") < 40).alias("empty"), F.lit(False).alias("last"))
+
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+def landed_jobs_cz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P: one jobs.cz-shaped result page per part: a full card, a card without logo text and a
+    single footer item, a card without a title link, and a fourth card beyond a cap of 3."""
+    p = read_table(spark, sf_dir, "part")
+    url = lambda i: F.concat(F.lit("https://jobs.example.cz/"), _s("p_partkey"), F.lit(f"/{i}"))
+    card0 = F.concat(
+        F.lit('<article class="SearchResultCard"><h2 class="SearchResultCard__title"><a href="'), url(0), F.lit('">'),
+        F.col("p_name"), F.lit(' analyst</a></h2><div class="CompanyLogo"><img alt="'), F.col("p_brand"),
+        F.lit('"></div><ul><li class="SearchResultCard__footerItem">'), F.col("p_type"),
+        F.lit('</li><li class="SearchResultCard__footerItem">Brno</li></ul><span class="Tag Tag--success">'),
+        _s("p_size"), F.lit(" 000 Kč</span></article>"))
+    card1 = F.concat(
+        F.lit('<article class="SearchResultCard"><h2 class="SearchResultCard__title"><a href="'), url(1), F.lit('">Chef '),
+        F.col("p_name"), F.lit('</a></h2><div class="CompanyLogo"><img src="x.png"></div><ul>'
+                               '<li class="SearchResultCard__footerItem">'), F.col("p_type"), F.lit("</li></ul></article>"))
+    card2 = F.lit('<article class="SearchResultCard"><p>no title link</p></article>')
+    card3 = F.concat(F.lit('<article class="SearchResultCard"><h2 class="SearchResultCard__title"><a href="'), url(3),
+                     F.lit('">Data lead</a></h2></article>'))
+    body = F.concat(F.lit("<html><body><main>"), card0, card1, card2, card3, F.lit("</main></body></html>"))
+    return p.select(F.lit("jobs_cz").alias("source"), F.lit("data analyst").alias("query"), F.lit(1).alias("page_no"),
+                    F.col("p_partkey"), body.alias("body"))
+
+
+def landed_linkedin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P: one LinkedIn-shaped result list per customer: a full card (URL with a tracking query),
+    a card without company and location, and a card without a link."""
+    c = read_table(spark, sf_dir, "customer")
+    k = _s("c_custkey")
+    card0 = F.concat(
+        F.lit('<li><div class="base-card"><a class="base-card__full-link" href="https://li.example/jobs/view/'), k,
+        F.lit('?trk=public">x</a><h3 class="base-search-card__title">Data Analyst '), F.col("c_name"),
+        F.lit('</h3><h4 class="base-search-card__subtitle">'), F.col("c_mktsegment"),
+        F.lit('</h4><span class="job-search-card__location">Brno</span></div></li>'))
+    card1 = F.concat(F.lit('<li><a class="base-card__full-link" href="https://li.example/jobs/view/'), k,
+                     F.lit('-b">x</a><h3 class="base-search-card__title">BI Developer</h3></li>'))
+    card2 = F.lit('<li><h3 class="base-search-card__title">SQL Admin</h3></li>')
+    body = F.concat(F.lit('<ul class="jobs-search__results-list">'), card0, card1, card2, F.lit("</ul>"))
+    loc = F.when(F.col("c_custkey") % 2 == 0, F.lit("Worldwide")).otherwise(F.lit("Prague"))
+    return c.select(F.lit("linkedin").alias("source"), F.lit("data analyst BI").alias("query"), F.lit(1).alias("page_no"),
+                    F.col("c_custkey"), loc.alias("search_location"), body.alias("body"))
+
+
+def landed_jobstack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P + C: Jobstack-shaped listing pages, one per conversation turn (category = conv_id,
+    page = turn + 1). A turn shorter than 40 characters is a page without job links; turns with
+    ``turn % 4 == 3`` have no next-page link. The first link's id is shared by turns 2j-1 and 2j,
+    so in-run dedup (before the title gate) decides which of the two survives."""
+    c = read_table(spark, sf_dir, "conversations")
+    t, cid = F.col("turn"), _s("conv_id")
+    title0 = F.when(F.col("role") == "user", F.lit("Data Analyst")).otherwise(F.lit("Chef"))
+    link0 = F.concat(F.lit('<li><a href="/it-job/'), cid, F.lit("-"), F.floor((t + 1) / 2).cast("string"), F.lit('">'),
+                     title0, F.lit("<br>HPP<br>Co"), cid, F.lit("<br>Brno<br>"), t.cast("string"),
+                     F.lit("0 000 Kč</a></li>"))
+    link1 = F.concat(F.lit('<li><a href="/it-job/'), cid, F.lit("-x"), t.cast("string"),
+                     F.lit('">Senior BI Developer<br>Remote<br>Acme s.r.o.</a></li>'))
+    links = F.when(F.length("text") < 40, F.lit("")).otherwise(F.concat(link0, link1))
+    nxt = F.when(t % 4 == 3, F.lit("")).otherwise(
+        F.concat(F.lit('<a href="/it-jobs/c'), cid, F.lit("?page="), (t + 2).cast("string"), F.lit('">next</a>')))
+    body = F.concat(F.lit("<html><body><ul>"), links, F.lit("</ul>"), nxt, F.lit("</body></html>"))
+    return c.select(F.lit("jobstack").alias("source"), cid.alias("query"), (t + 1).cast("int").alias("page_no"),
+                    body.alias("body"))

@@ -241,6 +241,45 @@ def _html_text_sql() -> str:
     return f"SELECT page_id, CAST(length({x}) AS BIGINT) AS text_chars, md5({x}) AS text_md5 FROM pages"
 
 
+JOBS_CZ = f"""WITH C AS (
+  SELECT p_partkey, 0 AS pos, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/0' AS url, p_name || ' analyst' AS title,
+    p_brand AS company, 'Brno' AS location, CAST(p_size AS VARCHAR) || ' 000 Kč' AS salary FROM part
+  UNION ALL
+  SELECT p_partkey, 1, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/1', 'Chef ' || p_name, p_type, 'Praha', '' FROM part)
+SELECT p_partkey, CAST(pos AS BIGINT) AS pos, substring(md5(url), 1, 12) AS job_id, title, company, location, salary, url
+FROM C WHERE {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
+
+LINKEDIN = f"""WITH C AS (
+  SELECT c_custkey, 0 AS pos, 'https://li.example/jobs/view/' || CAST(c_custkey AS VARCHAR) AS url, 'Data Analyst ' || c_name AS title,
+    c_mktsegment AS company, 'Brno' AS location FROM customer
+  UNION ALL
+  SELECT c_custkey, 1, 'https://li.example/jobs/view/' || CAST(c_custkey AS VARCHAR) || '-b', 'BI Developer', '',
+    CASE WHEN c_custkey % 2 = 0 THEN 'Worldwide' ELSE 'Prague' END FROM customer)
+SELECT c_custkey, CAST(pos AS BIGINT) AS pos, substring(md5(url), 1, 12) AS job_id, title, company, location, url
+FROM C WHERE {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
+
+JOBSTACK = f"""WITH P AS (
+  SELECT conv_id, turn, turn + 1 AS page_no, role, length(text) < 40 AS empty, turn % 4 = 3 AS last FROM conversations),
+S AS (SELECT conv_id, min(page_no) FILTER (WHERE empty) AS se, min(page_no) FILTER (WHERE last) AS sl
+  FROM P WHERE page_no <= {K.JOBSTACK_MAX_PAGES} GROUP BY conv_id),
+KP AS (SELECT P.* FROM P JOIN S ON P.conv_id = S.conv_id WHERE page_no <= {K.JOBSTACK_MAX_PAGES}
+  AND (se IS NULL OR page_no < se) AND (sl IS NULL OR page_no <= sl)),
+LK AS (
+  SELECT conv_id, page_no, 0 AS pos,
+    {_q(K.JOBSTACK_BASE_URL)} || '/it-job/' || CAST(conv_id AS VARCHAR) || '-' || CAST((turn + 1) // 2 AS VARCHAR) AS url,
+    CASE WHEN role = 'user' THEN 'Data Analyst' ELSE 'Chef' END AS title, 'Co' || CAST(conv_id AS VARCHAR) AS company,
+    'Brno' AS location, CAST(turn AS VARCHAR) || '0 000 Kč' AS salary FROM KP
+  UNION ALL
+  SELECT conv_id, page_no, 1, {_q(K.JOBSTACK_BASE_URL)} || '/it-job/' || CAST(conv_id AS VARCHAR) || '-x' || CAST(turn AS VARCHAR),
+    'Senior BI Developer', 'Acme s.r.o.', 'Remote', '' FROM KP),
+F AS (SELECT *, substring(md5(url), 1, 12) AS job_id FROM LK),
+W AS (SELECT job_id, min(page_no * 1000 + pos) AS o FROM F GROUP BY job_id)
+SELECT CAST(F.conv_id AS VARCHAR) AS category, CAST(F.page_no AS BIGINT) AS page_no, CAST(F.pos AS BIGINT) AS pos,
+  F.job_id, F.title, F.company, F.location, F.salary
+FROM F JOIN W ON F.job_id = W.job_id AND F.page_no * 1000 + F.pos = W.o
+WHERE {_any_contains('lower(F.title)', K.RELEVANT_TITLE_KEYWORDS)}"""
+
+
 SQL = {
     "current_postings": _with(*_VIEW) + """SELECT job_id, title, company, location, url, source, salary, score,
   match_summary, skills_match, gaps, seniority_match, remote_match, status, date_scraped
@@ -403,6 +442,9 @@ WHERE P.page_no <= 5 AND (S.stop IS NULL OR P.page_no < S.stop)""",
     "incremental_score": SCORED_D,
     "warehouse_current": _with(*_VIEW) + """SELECT job_id, status, score, coalesce(salary, '') AS salary, date_scraped
 FROM CUR""",
+    "jobs_cz_cards": JOBS_CZ,
+    "linkedin_cards": LINKEDIN,
+    "jobstack_links": JOBSTACK,
     "latest_override": _with(L, LATEST) + "SELECT job_id, status FROM LATEST",
 
     "incremental_dedup": _with(D, WINNERS) + "SELECT D.job_id, D.doc_id, D.source FROM D JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id",

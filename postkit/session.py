@@ -14,10 +14,14 @@ TABLES = [
 ]
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "postkit") -> SparkSession:
+def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "postkit",
+                  extra_conf: dict | None = None) -> SparkSession:
     """Session used by tests and the bench. On a cluster, use the cluster's session instead."""
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -82,4 +82,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     rows round-robin over the available slots. Inputs that are already wide are left alone,
     so at scale this adds no shuffle."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # A plan with exchanges is adaptive: its partitioning comes from the shuffle, and asking for
+    # its RDD would run the shuffle stages now. Only a plain scan chain is inspected.
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postkit import constants as K
@@ -67,3 +67,39 @@ def classify_tokens(
         F.struct(title.alias("title"), company.alias("company"),
                  location.alias("location"), salary.alias("salary")),
     )
+
+
+def with_token_fields(
+    df: DataFrame,
+    parts_col: str,
+    out: str = "_t",
+    tags: Sequence[str] = K.LINK_TAGS,
+    salary_words: Sequence[str] = K.SALARY_KEYWORDS,
+    place_words: Sequence[str] = K.PLACE_KEYWORDS,
+    default_location: str = K.LINK_DEFAULT_LOCATION,
+) -> DataFrame:
+    """``classify_tokens`` as staged projections over a DataFrame: the tag position, the head
+    and rest arrays and the joined title are each a projection column computed once per row
+    (as one nested Column they would be re-evaluated at every use). Catalyst does not collapse
+    projections that would duplicate a non-trivial expression, so the stages stay. Adds the
+    struct column ``out`` (same value as ``classify_tokens(parts_col)``); drops the stages."""
+    cols, arr = df.columns, F.col(parts_col)
+    s1 = df.select(*cols, F.array_position(F.transform(arr, lambda p: _has_any(p, tags)), True).alias("_k_idx"))
+    idx = F.col("_k_idx")
+    s2 = s1.select(
+        *cols,
+        F.when(idx == 0, arr).otherwise(F.slice(arr, F.lit(1), F.greatest(idx - 1, F.lit(0)))).alias("_k_head"),
+        F.when(idx == 0, F.array().cast("array<string>")).otherwise(F.slice(arr, idx, F.size(arr))).alias("_k_rest"))
+    s3 = s2.select(*cols, "_k_rest",
+                   F.regexp_replace(F.array_join("_k_head", " "), r"(?U)^\s+|\s+$", "").alias("_k_joined"))
+    rest, joined = F.col("_k_rest"), F.col("_k_joined")
+    title = F.when(F.length(joined) < K.LINK_MIN_TITLE_CHARS, F.get(arr, 0)).otherwise(joined)
+    company = _first_or(
+        rest,
+        lambda p: ~_has_any(p, tags) & ~_has_any(p, salary_words) & (F.length(p) >= K.LINK_MIN_COMPANY_CHARS),
+        "",
+    )
+    return s3.select(*cols, F.when(F.size(arr) > 0, F.struct(
+        title.alias("title"), company.alias("company"),
+        _first_or(rest, lambda p: _has_any(p, place_words), default_location).alias("location"),
+        _first_or(rest, lambda p: _has_any(p, salary_words), "").alias("salary"))).alias(out))

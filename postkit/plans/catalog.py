@@ -14,7 +14,7 @@ from postkit.functions.responses import json_list, split_parsed
 from postkit.functions.salary import parse_salary, salary_bounds, with_salary
 from postkit.functions.text import (absolutise, is_relevant, page_url, posting_id, remote_rule, search_match, strip_query,
                                    truncate_chars)
-from postkit.functions.tokens import classify_tokens
+from postkit.functions.tokens import with_token_fields
 from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
@@ -267,7 +267,7 @@ def q_page_chain_cut(spark, sf):
 
 def q_link_tokens(spark, sf):
     t = X.link_tokens_t(spark, sf)
-    return t.select("p_partkey", classify_tokens("parts").alias("r")).select(
+    return with_token_fields(t.select("p_partkey", "parts"), "parts", out="r").select(
         "p_partkey", "r.title", "r.company", "r.location", "r.salary")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from postkit import constants as K
 from postkit.functions.text import absolutise, is_relevant, posting_id, strip_query
-from postkit.functions.tokens import classify_tokens, tokenize
+from postkit.functions.tokens import tokenize, with_token_fields
 from postkit.session import spread
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -330,8 +330,11 @@ def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.
     kept = cut_page_chain(flags, category_col).select(*keys)
     pages = landed.join(kept, keys, "left_semi")
     links = extract_cards(pages, "links", keys, "body")
-    parsed = links.where(F.col("href") != "").withColumn("_t", classify_tokens(tokenize("text"))).where(
-        F.col("_t").isNotNull())
+    # The one-element explode is a plan barrier: the emptiness filter on the token array is not
+    # pushed below it, so the array is computed once and the stages of ``with_token_fields`` stay.
+    tokens = links.where(F.col("href") != "").select(
+        *links.columns, F.explode(F.array(tokenize("text"))).alias("_parts")).where(F.size("_parts") > 0)
+    parsed = with_token_fields(tokens, "_parts")
     url = absolutise("href", K.JOBSTACK_BASE_URL)
     rows = parsed.select(*keys, "pos", posting_id(url).alias("job_id"), F.col("_t.title").alias("title"),
                          F.col("_t.company").alias("company"), F.col("_t.location").alias("location"),

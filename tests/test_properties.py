@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postkit import constants as K
 from postkit.functions.salary import parse_salary
-from postkit.functions.tokens import classify_tokens
+from postkit.functions.tokens import classify_tokens, with_token_fields
 from postkit.operators.report import FilterSpec, board_overflow, board_topk, shown_flag, status_dim
 
 
@@ -78,8 +78,11 @@ def test_tokens_match_rule(spark):
     lists = [[" ".join(rnd.sample(WORDS, rnd.randint(1, 2))) for _ in range(rnd.randint(0, 7))] for _ in range(500)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(lists)], "i int, parts array<string>")
     got = {r.i: (None if r.t is None else tuple(r.t)) for r in df.select("i", classify_tokens("parts").alias("t")).collect()}
+    staged = {r.i: (None if r.t is None else tuple(r.t))
+              for r in with_token_fields(df, "parts", out="t").select("i", "t").collect()}
     for i, p in enumerate(lists):
         assert got[i] == tokens_rule(p), p
+        assert staged[i] == got[i], p
 
 
 @settings(max_examples=5, deadline=None)

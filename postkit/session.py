@@ -58,6 +58,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back: later
+    plans that consume it several times (an aggregate and its join-back) read the written
+    table instead of re-running an expensive upstream (Python parsing), and the lineage is cut
+    so a lost executor does not recompute it. Used only after the costly step, on its output."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table. Column pruning and filter pushdown happen in the scan."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

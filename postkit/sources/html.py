@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.text import absolutise, is_relevant, posting_id, strip_query
 from postkit.functions.tokens import tokenize, with_token_fields
-from postkit.session import spread
+from postkit.session import materialize, spread
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW_TEXT = {"script", "style"}
@@ -253,6 +253,40 @@ def page_flags(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html"
     return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
 
 
+LINK_SCHEMA = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("href", T.StringType()),
+    T.StructField("text", T.StringType()),
+]))
+
+
+def listing_pages(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html",
+                  link_selector: str = "ul li a[href*=/it-job/]") -> DataFrame:
+    """One parse per listing page: the S13 flags of ``page_flags`` (``empty``, ``has_next``)
+    and the page's job links as ``links`` (``pos``, ``href``, link text split into lines), the
+    same values ``extract_cards(kind='links')`` gives. ``page_no`` must be among ``key_cols``."""
+    keys = list(key_cols)
+    schema = T.StructType(list(pages.select(*keys).schema.fields) + [
+        T.StructField("empty", T.BooleanType()), T.StructField("has_next", T.BooleanType()),
+        T.StructField("links", LINK_SCHEMA)])
+    cards = _cards_links(link_selector)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            empty, nxt, links = [], [], []
+            for h, p in zip(pdf["_html"], pdf["page_no"]):
+                root = parse(h)
+                found = [{"pos": c[0], "href": c[5], "text": c[6]} for c in cards(root, None)]
+                empty.append(not found)
+                nxt.append(bool(select(root, f"a[href*=page={int(p) + 1}]")))
+                links.append(found)
+            out = pdf[keys].copy()
+            out["empty"], out["has_next"], out["links"] = empty, nxt, links
+            yield out
+
+    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
+
+
 # ---------------------------------------------------------------- native parts
 def cut_page_chain(pages: DataFrame, group_col: str, page_col: str = "page_no", empty_col: str = "empty",
                    last_col: str | None = "last", max_pages: int = K.JOBSTACK_MAX_PAGES) -> DataFrame:
@@ -326,10 +360,12 @@ def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.
     first-seen dedup by id *before* the title gate, then the gate."""
     from postkit.operators.dedup import dedup_first
     keys = [c for c in landed.columns if c != "body"]
-    flags = page_flags(landed, keys, "body").withColumn("last", ~F.col("has_next"))
+    # Pages are parsed once; the cut (an aggregate and its join-back) and the first-wins dedup
+    # (the same) read the written parse, not the HTML again.
+    parsed = materialize(listing_pages(landed, keys, "body"), "jobstack-pages")
+    flags = parsed.select(*keys, "empty", (~F.col("has_next")).alias("last"))
     kept = cut_page_chain(flags, category_col).select(*keys)
-    pages = landed.join(kept, keys, "left_semi")
-    links = extract_cards(pages, "links", keys, "body")
+    links = parsed.join(kept, keys, "left_semi").select(*keys, F.inline("links"))
     # The one-element explode is a plan barrier: the emptiness filter on the token array is not
     # pushed below it, so the array is computed once and the stages of ``with_token_fields`` stay.
     tokens = links.where(F.col("href") != "").select(

@@ -15,30 +15,26 @@ def _squeezed(s: Column) -> Column:
     return s
 
 
-def parse_salary(salary: ColumnOrName, group_separators: bool = False) -> Column:
-    """``struct(salary_min, salary_max, salary_currency, salary_period)``; all null when
-    the text is null/empty or holds no run of two or more digit-or-whitespace characters.
-
-    Runs are found on the text after removing no-break spaces, zero-width joiners and spaces.
-    min = first run, max = second run or the first. A run that does not read as an integer
-    (e.g. one with an interior thin space) gives a null bound instead of an error.
-    ``group_separators=True`` also removes ',' and '.' first, so ``$80,000`` reads as 80000.
-    """
-    raw = _c(salary)
+def _text(raw: Column, group_separators: bool) -> Column:
     s = _squeezed(raw)
-    if group_separators:
-        s = F.regexp_replace(s, r"[,.]", "")
+    return F.regexp_replace(s, r"[,.]", "") if group_separators else s
+
+
+def _runs(s: Column) -> Column:
+    return F.filter(F.regexp_extract_all(s, F.lit(r"(?U)[\d\s]{2,}"), 0), lambda r: F.regexp_replace(r, r"(?U)\s", "") != "")
+
+
+def _numbers(runs: Column) -> Column:
+    return F.transform(runs, lambda r: F.regexp_replace(r, r"(?U)^\s+|\s+$", "").try_cast("bigint"))
+
+
+def _assemble(raw: Column, s: Column, runs: Column, nums: Column) -> Column:
     currency = (
         F.when(s.contains(K.SALARY_CZK_MARK), F.lit("CZK"))
         .when(s.contains(K.SALARY_EUR_MARK), F.lit("EUR"))
         .otherwise(F.lit("USD"))
     )
     period = F.when(F.lower(s).contains(K.SALARY_HOUR_MARK), F.lit("hour")).otherwise(F.lit("month"))
-    runs = F.filter(
-        F.regexp_extract_all(s, F.lit(r"(?U)[\d\s]{2,}"), 0),
-        lambda r: F.regexp_replace(r, r"(?U)\s", "") != "",
-    )
-    nums = F.transform(runs, lambda r: F.regexp_replace(r, r"(?U)^\s+|\s+$", "").try_cast("bigint"))
     has = F.coalesce(raw != "", F.lit(False)) & (F.size(runs) > 0)
     first = F.get(nums, 0)
     second = F.when(F.size(nums) > 1, F.get(nums, 1)).otherwise(first)
@@ -51,11 +47,34 @@ def parse_salary(salary: ColumnOrName, group_separators: bool = False) -> Column
     )
 
 
-def with_salary(df: DataFrame, col: str = "salary", **kw) -> DataFrame:
-    """Add the four flat salary columns, computing the struct once."""
-    return df.withColumn("_sal", parse_salary(col, **kw)).select(
-        *[c for c in df.columns], "_sal.salary_min", "_sal.salary_max",
-        "_sal.salary_currency", "_sal.salary_period",
+def parse_salary(salary: ColumnOrName, group_separators: bool = False) -> Column:
+    """``struct(salary_min, salary_max, salary_currency, salary_period)``; all null when
+    the text is null/empty or holds no run of two or more digit-or-whitespace characters.
+
+    Runs are found on the text after removing no-break spaces, zero-width joiners and spaces.
+    min = first run, max = second run or the first. A run that does not read as an integer
+    (e.g. one with an interior thin space) gives a null bound instead of an error.
+    ``group_separators=True`` also removes ',' and '.' first, so ``$80,000`` reads as 80000.
+    """
+    raw = _c(salary)
+    s = _text(raw, group_separators)
+    runs = _runs(s)
+    return _assemble(raw, s, runs, _numbers(runs))
+
+
+def with_salary(df: DataFrame, col: str = "salary", group_separators: bool = False) -> DataFrame:
+    """Add the four flat salary columns. The parse runs as staged projections (cleaned
+    text, digit runs, numbers), each computed once per row; the one-element explode at the end
+    is a plan barrier, so later filters on the salary columns (F11, the salary toggle) are not
+    pushed below it and the parse is not re-inlined into them. Filters on other columns still
+    pass below it to the scan."""
+    cols = df.columns
+    s1 = df.select(*cols, _text(F.col(col), group_separators).alias("_sal_s"))
+    s2 = s1.select(*cols, "_sal_s", _runs(F.col("_sal_s")).alias("_sal_r"))
+    s3 = s2.select(*cols, "_sal_s", "_sal_r", _numbers(F.col("_sal_r")).alias("_sal_n"))
+    parsed = _assemble(F.col(col), F.col("_sal_s"), F.col("_sal_r"), F.col("_sal_n"))
+    return s3.select(*cols, F.explode(F.array(parsed)).alias("_sal")).select(
+        *cols, "_sal.salary_min", "_sal.salary_max", "_sal.salary_currency", "_sal.salary_period",
     )
 
 

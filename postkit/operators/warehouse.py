@@ -103,7 +103,11 @@ def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None)
     good, _bad = normalise_rows(scored, loaded_at)
     todo = new_rows(spark, good, path)
     obs = Observation("load")
-    out = todo.withColumn(PARTITION_COLUMN, F.to_date("scraped_at")).observe(obs, F.count(F.lit(1)).alias("n"))
+    # Rows of one date are gathered before the partitioned write, so a task does not write a
+    # small file for every date it happens to hold. REBALANCE (not a plain repartition) lets AQE
+    # split a hot date (a daily load is mostly one date) into advisory-sized files.
+    out = (todo.withColumn(PARTITION_COLUMN, F.to_date("scraped_at")).hint("rebalance", PARTITION_COLUMN)
+           .observe(obs, F.count(F.lit(1)).alias("n")))
     out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
     return int(obs.get["n"])
 

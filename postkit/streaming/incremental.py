@@ -17,7 +17,7 @@ from postkit.operators.current import latest_by_key
 from postkit.operators.dedup import dedup_first
 from postkit.operators.scoring import build_prompts, merge_scores, score_with, select_unscored, type_responses
 from postkit.operators.warehouse import _exists, load_new, read_table as read_warehouse
-from postkit.session import scratch_path
+from postkit.session import materialize, scratch_path
 
 
 def _run_available_now(stream_df: DataFrame, sink, checkpoint: str, output_mode: str = "append") -> None:
@@ -68,13 +68,12 @@ def incremental_score(spark: SparkSession, landing: str, schema, scored_path: st
         done = (spark.read.parquet(scored_path).select(key) if _exists(spark, scored_path)
                 else spark.createDataFrame([], batch.select(key).schema))
         todo = select_unscored(batch, done, key, **kw)
-        answers = score_with(build_prompts(todo, profile, key), scorer_factory, key).persist()
-        try:
-            good, bad = type_responses(answers, key)
-            merge_scores(todo, good, key).write.mode("append").parquet(scored_path)
-            bad.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(quarantine_path)
-        finally:
-            answers.unpersist()
+        # The answers are written once (shared folder) before the good / quarantine split reads
+        # them twice: a lost executor then re-reads them instead of calling the scorer again.
+        answers = materialize(score_with(build_prompts(todo, profile, key), scorer_factory, key), "answers")
+        good, bad = type_responses(answers, key)
+        merge_scores(todo, good, key).write.mode("append").parquet(scored_path)
+        bad.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(quarantine_path)
 
     _run_available_now(src, sink, checkpoint)
 

@@ -62,10 +62,22 @@ def with_arrival_rank(df: DataFrame, source_order: Sequence[str], source_col: st
     return df.withColumn("source_rank", rank)
 
 
+def not_stored(rows: DataFrame, stored: DataFrame, key: str, batch: DataFrame | None = None) -> DataFrame:
+    """Rows whose ``key`` is not among ``stored`` keys (a left anti join), for a store that grows
+    every run while the batch stays small. The stored keys are first narrowed to the batch's
+    keys with a semi join, whose small batch side Spark can broadcast (size-checked threshold,
+    AQE at runtime), so the store's key column is scanned and filtered in place instead of
+    shuffled by every load; the anti join then meets only the keys both sides share.
+    ``batch`` supplies the keys when ``rows`` is costlier to compute twice (same key set)."""
+    keys = (batch if batch is not None else rows).select(key)
+    seen = stored.select(key).join(keys, key, "left_semi")
+    return rows.join(seen, key, "left_anti")
+
+
 def insert_new(store: DataFrame, batch: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` (first-wins within the batch) whose key is not in ``store``.
     The caller appends them (U-2) to the store; the store is never rewritten in place."""
-    return dedup_first(batch, key, order_cols).join(store.select(key), key, "left_anti")
+    return not_stored(dedup_first(batch, key, order_cols), store, key, batch)
 
 
 def merged_store(store: DataFrame, batch: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
@@ -82,7 +94,7 @@ def ingest_counters(batch: DataFrame, key: str, order_cols: Sequence[str], group
     and rows skipped as duplicates."""
     winners = _winners(batch, [key], order_cols, F.min)
     if store is not None:
-        winners = winners.join(store.select(key), key, "left_anti")
+        winners = not_stored(winners, store, key, batch)
     flagged = batch.alias("l").join(winners.withColumn("_new", F.lit(True)).alias("r"), _same([key, *order_cols]),
                                     "left").select("l.*", "r._new")
     return flagged.groupBy(group_col).agg(

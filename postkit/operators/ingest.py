@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkit import constants as K
-from postkit.operators.dedup import dedup_first, ingest_counters
+from postkit.operators.dedup import dedup_first, ingest_counters, not_stored
 from postkit.schemas import RAW_COLUMNS
 from postkit.sources import html as H
 from postkit.sources import payloads as P
@@ -45,6 +45,6 @@ def _cap(specs: DataFrame, source: str, default: int) -> int:
 def merge_into_store(store: DataFrame, extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J4 + U-2 + A9: (store ∪ first arrivals of unseen ids, per-source counters)."""
     counters = ingest_counters(extracted, "job_id", ORDER, "source", store)
-    new = dedup_first(extracted, "job_id", ORDER).join(store.select("job_id"), "job_id", "left_anti")
+    new = not_stored(dedup_first(extracted, "job_id", ORDER), store, "job_id", extracted)
     merged = store.select(*RAW_COLUMNS).unionByName(new.select(*RAW_COLUMNS))
     return merged, counters

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.responses import split_parsed
 from postkit.functions.text import contains_any, date_prefix, is_relevant, remote_rule, truncate_chars
+from postkit.operators.dedup import not_stored
 from postkit.session import literal_frame, spread
 
 
@@ -32,7 +33,7 @@ def select_unscored(raw: DataFrame, scored: DataFrame, key: str = "job_id", titl
                     keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS) -> DataFrame:
     """F3 = J2 + F1: not yet scored and relevant. Filters are applied here, before the
     expensive scorer (Catalyst cannot push filters through ``mapInPandas``)."""
-    return raw.join(scored.select(key), key, "left_anti").where(is_relevant(title_col, keywords))
+    return not_stored(raw.where(is_relevant(title_col, keywords)), scored, key)
 
 
 def scoring_counters(raw: DataFrame, scored: DataFrame, key: str = "job_id", title_col: str = "title",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postkit import constants as K
-from postkit.operators.dedup import dedup_first
+from postkit.operators.dedup import dedup_first, not_stored
 from postkit.schemas import PARTITION_COLUMN, STATUS_OVERRIDE, WAREHOUSE, WAREHOUSE_COLUMNS
 
 
@@ -92,7 +92,7 @@ def new_rows(spark: SparkSession, batch: DataFrame, path: str, order_cols=("scra
     """J3 + P12: in-batch first-wins dedup, then rows whose key is not loaded yet."""
     ordered = batch.withColumn("_ord", F.struct(*[F.col(c) for c in order_cols], F.col("url"), F.col("title")))
     first = dedup_first(ordered, key, ["_ord"]).drop("_ord")
-    return first.join(existing_ids(spark, path, key), key, "left_anti")
+    return not_stored(first, existing_ids(spark, path, key), key, batch)
 
 
 def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None) -> int:

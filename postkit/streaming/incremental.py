@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkit.operators.current import latest_by_key
-from postkit.operators.dedup import dedup_first
+from postkit.operators.dedup import dedup_first, not_stored
 from postkit.operators.scoring import build_prompts, merge_scores, score_with, select_unscored, type_responses
 from postkit.operators.warehouse import _exists, load_new, read_table as read_warehouse
 from postkit.session import materialize, scratch_path
@@ -33,7 +33,7 @@ def first_wins_sink(spark: SparkSession, store: str, key: str, order_cols: Seque
     def sink(batch: DataFrame, epoch_id: int) -> None:
         new = dedup_first(batch, key, order_cols)
         if _exists(spark, store):
-            new = new.join(spark.read.parquet(store).select(key), key, "left_anti")
+            new = not_stored(new, spark.read.parquet(store), key, batch)
         new.write.mode("append").parquet(store)
     return sink
 

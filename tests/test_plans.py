@@ -48,3 +48,22 @@ def test_warehouse_pushdown_and_partition_pruning(spark):
     want = {r.job_id for r in current_postings(X.postings_b(spark, SF), X.overrides_l(spark, SF), ordered=False)
             .where((F.col("date_scraped") >= F.lit("2024-01-20").cast("date")) & (F.col("score") >= 50)).collect()}
     assert {r.job_id for r in q.collect()} == want
+
+
+def test_store_keys_narrowed_before_anti_join(spark):
+    """The growing store is semi-joined with the batch keys before the anti join, so a load
+    never shuffles the whole store's key column."""
+    from postkit.operators.warehouse import new_rows, normalise_rows
+    path = scratch_path(spark, "wh-anti")
+    b = X.postings_b(spark, SF).drop("loaded_at")
+    load_new(spark, b.where(F.col("score") < 40), path, X.LOADED_AT)
+    good, _ = normalise_rows(b, X.LOADED_AT)
+    def anti_right_sides(node):
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftAnti":
+            yield node.right().toString()
+        kids = node.children()
+        for i in range(kids.size()):
+            yield from anti_right_sides(kids.apply(i))
+
+    rights = list(anti_right_sides(new_rows(spark, good, path)._jdf.queryExecution().optimizedPlan()))
+    assert rights and all("LeftSemi" in r for r in rights)   # the store side is narrowed first

@@ -27,6 +27,7 @@ from postkit.session import read_table, scratch_path
 from postkit.sources.html import (cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
                                   heading, nav_links_capped, page_text)
 from postkit.sources.payloads import extract_muse, extract_remotive, json_field
+from postkit.sources.store import read_store, write_store
 
 # query parameters (shared with oracle.py)
 SEARCH_QUERY = "machinery|remote"
@@ -159,6 +160,31 @@ def q_insert_new(spark, sf):
     return merged_store(store.select("job_id", "doc_id"), batch.select("job_id", "doc_id"), "job_id", ["doc_id"])
 
 
+STORE_COLUMNS = ["job_id", "doc_id", "title", "source"]
+
+
+def q_store_versions(spark, sf):
+    """K1 + S1 + J4 + U-2: version 1 of a store = first arrivals of the early documents; the
+    later documents are merged in (stored rows win) and written as version 2 next to it; the
+    reader takes the newest version."""
+    d = X.raw_d(spark, sf).select(*STORE_COLUMNS)
+    root = scratch_path(spark, "store")
+    write_store(dedup_first(d.where(F.col("doc_id") < STORE_SPLIT_DOC_ID), "job_id", ["doc_id"]), root)
+    current = read_store(spark, root, schema=d.schema)
+    merged = merged_store(current, d.where(F.col("doc_id") >= STORE_SPLIT_DOC_ID), "job_id", ["doc_id"])
+    write_store(merged.drop("is_new"), root)
+    return read_store(spark, root, schema=d.schema)
+
+
+def q_store_last_wins(spark, sf):
+    """S1 on a legacy JSON-lines store landed in document order: the last occurrence of an id
+    in the file order wins."""
+    d = X.raw_d(spark, sf).select(*STORE_COLUMNS)
+    path = scratch_path(spark, "legacy") + ".jsonl"
+    d.orderBy("doc_id").write.json(path)
+    return read_store(spark, path, schema=d.schema)
+
+
 def _labels_as_scored(spark, sf):
     return read_table(spark, sf, "labels").select("doc_id")
 
@@ -370,6 +396,8 @@ QUERIES = {
     "dedup_first": q_dedup_first,
     "ingest_counters": q_ingest_counters,
     "insert_new": q_insert_new,
+    "store_versions": q_store_versions,
+    "store_last_wins": q_store_last_wins,
     "select_unscored": q_select_unscored,
     "scoring_counters": q_scoring_counters,
     "truncate_text": q_truncate_text,

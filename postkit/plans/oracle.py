@@ -371,6 +371,14 @@ FROM pages""",
   count(*) - count(W.doc_id) AS skipped
 FROM D LEFT JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id GROUP BY D.source""",
 
+    "store_versions": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id < {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
+N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id >= {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
+K AS (SELECT job_id, doc_id FROM S UNION ALL SELECT job_id, doc_id FROM N WHERE job_id NOT IN (SELECT job_id FROM S))
+SELECT D.job_id, D.doc_id, D.title, D.source FROM D JOIN K ON D.job_id = K.job_id AND D.doc_id = K.doc_id""",
+
+    "store_last_wins": _with(D) + """, L AS (SELECT job_id, max(doc_id) AS doc_id FROM D GROUP BY job_id)
+SELECT D.job_id, D.doc_id, D.title, D.source FROM D JOIN L ON D.job_id = L.job_id AND D.doc_id = L.doc_id""",
+
     "insert_new": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id < {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
 N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id >= {C.STORE_SPLIT_DOC_ID} GROUP BY job_id)
 SELECT job_id, doc_id, false AS is_new FROM S

@@ -67,11 +67,15 @@ def read_store(spark: SparkSession, path: str, schema=RAW_POSTING, on_missing: s
         df = spark.read.schema(schema).parquet(path)
     if not last_wins:
         return df
-    # position within a file: monotonically_increasing_id is (partition, row) and a multiLine
-    # file is a single partition, so it orders rows of one file; computed once (no self-join)
-    pos = df.withColumn("_file", F.input_file_name()).withColumn("_pos", F.monotonically_increasing_id())
+    # Position within a file = (file, start offset of the split, row id). A split is read in
+    # order, so monotonically_increasing_id orders rows inside it; the split's start offset
+    # orders the splits of one splittable file (JSON lines, parquet), whatever partition the
+    # scan packed them into. A multiLine array file is a single split. Computed once, no join.
+    pos = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                    F.col("_metadata.file_block_start").alias("_block"),
+                    F.monotonically_increasing_id().alias("_pos"))
     values = [c for c in df.columns if c != key]
-    return latest_by_key(pos, key, ["_file", "_pos"], values).select(*df.columns)
+    return latest_by_key(pos, key, ["_file", "_block", "_pos"], values).select(*df.columns)
 
 
 def write_store(df: DataFrame, root: str) -> str:

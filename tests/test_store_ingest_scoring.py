@@ -38,6 +38,25 @@ def test_legacy_json_array_last_duplicate_wins(spark, tmp_path):
     assert got == {"a": "last", "b": "b"}
 
 
+def test_split_jsonl_last_duplicate_wins(spark):
+    """A JSON-lines file read in many splits: position is (file, split start, row), so the last
+    occurrence of an id wins however the scan packs the splits into partitions."""
+    n = 4000
+    rows = [{"job_id": f"j{i % 50}", "title": f"t{i}"} for i in range(n)]
+    path = scratch_path(spark, "split") + ".jsonl"
+    spark.createDataFrame(pd.DataFrame(rows)).coalesce(1).write.json(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_store(spark, path, schema="job_id string, title string")
+        got = {r.job_id: r.title for r in df.collect()}
+        splits = spark.read.json(path).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert splits > 1
+    assert got == {f"j{k}": f"t{max(i for i in range(n) if i % 50 == k)}" for k in range(50)}
+
+
 def test_ingest_all_sources_first_wins(spark):
     rem = json.dumps({"jobs": [{"url": "https://same/1", "title": "Data Analyst", "company_name": "R"},
                                {"url": "https://r/2", "title": "Chef"}]})

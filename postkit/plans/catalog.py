@@ -26,7 +26,7 @@ from postkit.plans import fixtures as X
 from postkit.session import read_table, scratch_path
 from postkit.sources.html import (cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
                                   heading, nav_links_capped, page_text)
-from postkit.sources.payloads import extract_muse, extract_remotive, json_field
+from postkit.sources.payloads import extract_muse, extract_remotive, json_field, keywords_from_table
 from postkit.sources.store import read_store, write_store
 
 # query parameters (shared with oracle.py)
@@ -145,6 +145,14 @@ def q_title_gate(spark, sf):
                     is_relevant("title").alias("relevant_default"))
 
 
+def q_keyword_table_gate(spark, sf):
+    """The title gate with keywords from a table (the distinct document languages),
+    size-checked and applied as a native literal list, not a nested-loop join."""
+    keywords = keywords_from_table(read_table(spark, sf, "documents").select(F.col("lang").alias("keyword")))
+    d = X.raw_d(spark, sf)
+    return d.select("doc_id", "title", is_relevant("title", keywords).alias("relevant"))
+
+
 def q_dedup_first(spark, sf):
     return dedup_first(X.raw_d(spark, sf), "job_id", ["doc_id"]).select("job_id", "doc_id", "source")
 
@@ -395,6 +403,7 @@ QUERIES = {
     "title_gate": q_title_gate,
     "dedup_first": q_dedup_first,
     "ingest_counters": q_ingest_counters,
+    "keyword_table_gate": q_keyword_table_gate,
     "insert_new": q_insert_new,
     "store_versions": q_store_versions,
     "store_last_wins": q_store_last_wins,

@@ -365,6 +365,9 @@ FROM pages""",
     "title_gate": _with(D) + f"""SELECT doc_id, title, coalesce({_any_contains('lower(title)', C.GATE_KEYWORDS)}, false) AS relevant,
   coalesce({_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}, false) AS relevant_default FROM D""",
 
+    "keyword_table_gate": _with(D) + """, KW AS (SELECT DISTINCT lower(lang) AS k FROM documents WHERE lang IS NOT NULL)
+SELECT doc_id, title, coalesce(EXISTS (SELECT 1 FROM KW WHERE contains(lower(D.title), KW.k)), false) AS relevant FROM D""",
+
     "dedup_first": _with(D, WINNERS) + "SELECT D.job_id, D.doc_id, D.source FROM D JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id",
 
     "ingest_counters": _with(D, WINNERS) + """SELECT D.source, count(*) AS fetched, count(W.doc_id) AS inserted,

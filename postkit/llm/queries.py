@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postkit.llm import decontam, html_text, warc
-from postkit.session import read_table, scratch_path
+from postkit.llm import decontam, html_text, langid, packing, token_counts, warc
+from postkit.llm.common import fold
+from postkit.llm.tokenizer import token_lengths
+from postkit.session import materialize, read_table, scratch_path
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +15,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; documents of fold 2 of 4 are not learnt from."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs.withColumn("held_out", fold("doc_id", 4) == 2), model, keep=["doc_id", "held_out"])
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, tokens and truncated totals at every encoded length as a context limit."""
+    return token_counts.limit_table(materialize(
+        token_counts.length_histogram(token_lengths(read_table(spark, sf_dir, "documents"))), "token-hist"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive, and what the archive then says of it."""
     path = warc.write_archive(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
@@ -25,10 +40,18 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bucket, batch and slot under the least padding (16 buckets, 65,536 tokens a batch)."""
+    return packing.pack(materialize(token_lengths(read_table(spark, sf_dir, "documents")), "lengths"))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_language_id": op4_language_id,
+    "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
+    "op10_packing": op10_packing,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

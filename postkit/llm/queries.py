@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postkit.llm import decontam, html_text, langid, packing, token_counts, warc
+from postkit.llm import decontam, html_text, langid, line_dedup, packing, token_counts, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
 from postkit.session import materialize, read_table, scratch_path
@@ -15,6 +15,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; documents of fold 2 of 4 are not learnt from."""
     docs = read_table(spark, sf_dir, "documents")
@@ -47,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
@@ -74,6 +81,33 @@ select doc.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
        cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from doc left join pos on pos.doc_id = doc.doc_id left join ids on ids.doc_id = doc.doc_id
+""",
+    "op3_line_dedup": r"""
+with split as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+line as (select doc_id, text, unnest(range(len(l))) as line_no, unnest(l) as line from split),
+plain as (select doc_id, text, line_no, trim(regexp_replace(line, '[ \t\f\r\x0B]+', ' ', 'g'), ' ') as p from line),
+masked as (select *, regexp_replace(p, '[^ ]*[0-9][^ ]*', '<*>', 'g') as m from plain),
+normal as (select doc_id, text, line_no, case when len(string_split(m, '<*>')) * 2 - 2 < len(string_split(m, ' ')) then m else p end as s from masked),
+leafed as (select *, case when s = '' then 0 else len(string_split(s, ' ')) end as n_tokens, array_to_string(string_split(s, ' ')[1:3], ' ') as lead from normal),
+distinct_line as (select distinct n_tokens, lead, s from leafed where n_tokens > 0),
+opened as (select * from distinct_line where (n_tokens, lead) in (select (n_tokens, lead) from distinct_line group by all having count(*) > 1)),
+token as (select n_tokens, lead, s, unnest(range(n_tokens)) as pos, unnest(string_split(s, ' ')) as token from opened),
+vote as (select n_tokens, lead, pos, token, count(*) as n from token group by all),
+common as (select n_tokens, lead, pos, first(token order by n desc, token) as token from vote group by n_tokens, lead, pos),
+agree as (select t.n_tokens, t.lead, t.s from token t join common c on t.n_tokens = c.n_tokens and t.lead = c.lead and t.pos = c.pos
+          group by all having sum(case when t.token = c.token then 1 else 0 end) >= 0.8 * t.n_tokens),
+named as (select l.*, case when l.n_tokens = 0 then null when a.s is not null then 'T' || l.n_tokens || '|' || l.lead else 'L' || l.s end as template
+          from leafed l left join agree a on a.s = l.s),
+recurring as (select template, min(n_tokens) as n, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from named where template is not null group by 1),
+first_line as (select n.template, r.first_doc, min(n.line_no) as first_line
+               from named n join recurring r on r.template = n.template and r.first_doc = n.doc_id
+               where r.n_docs >= case when r.n < 8 then 10 else 2 end group by 1, 2),
+mark as (select n.doc_id, n.text, n.line_no, f.template is not null and not (n.doc_id = f.first_doc and n.line_no = f.first_line) as dropped
+         from named n left join first_line f on f.template = n.template),
+raw as (select m.*, l.line from mark m join line l on l.doc_id = m.doc_id and l.line_no = m.line_no)
+select d.doc_id, case when d.text is null then null else coalesce(string_agg(r.line, chr(10) order by r.line_no) filter (not r.dropped), '') end as text,
+       count(r.line_no) as n_lines, count(r.line_no) filter (r.dropped) as n_dropped
+from documents d left join raw r on r.doc_id = d.doc_id group by d.doc_id, d.text
 """,
     "op8_warc": """
 with p as (select page_id, coalesce(html, '') as h from pages),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postkit.llm import decontam, embed_dedup, html_text, langid, line_dedup, packing, token_counts, warc
+from postkit.llm import decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
 from postkit.session import materialize, read_table, scratch_path
@@ -28,6 +28,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", fold("doc_id", 4) == 2), model, keep=["doc_id", "held_out"])
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under weighted Jaccard similarity >= 0.8 of five-word shingles."""
+    return minhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_class")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links (cosine >= 0.9) and components of all vectors by an epsilon grid order join."""
     return embed_dedup.link_vectors(read_table(spark, sf_dir, "embeddings"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,

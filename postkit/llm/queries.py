@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postkit.llm import decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, warc
+from postkit.llm import decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
 from postkit.session import materialize, read_table, scratch_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its nearest labelled examples; fold 0 of 5 is not learnt from."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = toxicity.fit_and_score(docs, labels, fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 13-word windows of benchmark items (Wu-Manber)."""
     return decontam.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -62,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,

@@ -88,9 +88,9 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("line_no", F.coalesce(dropped, F.lit(False)).alias("dropped")))).alias("lines")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "", **options) -> DataFrame:
     """All columns of ``docs``, the text without its recurring lines, and ``n_lines`` and
-    ``n_dropped`` (which replace columns of those names); one row per row.
+    ``n_dropped`` under ``prefix`` (they replace columns of the same names); one row per row.
 
     Lines of fewer than ``short_tokens`` tokens are dropped only if at least ``short_docs``
     documents have them, others from ``min_docs`` documents on. Blank lines stay. A null text stays
@@ -103,7 +103,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_dropped = F.size(F.filter("__lines", lambda x: x["dropped"])).cast("long")
     none = F.col("__lines").isNull()
     joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    names = [f"{prefix}n_lines", f"{prefix}n_dropped"]
     columns = [F.when(none | (n_dropped == 0), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)
-               for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, F.when(none, F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-                         F.when(none, F.lit(0)).otherwise(n_dropped).cast("long").alias("n_dropped"))
+               for c in docs.columns if c not in names]
+    return joined.select(*columns, F.when(none, F.lit(0)).otherwise(F.size("__lines")).cast("long").alias(names[0]),
+                         F.when(none, F.lit(0)).otherwise(n_dropped).cast("long").alias(names[1]))

@@ -221,8 +221,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_c
     n_labels = known.count()
     rate = min(1.0, fit_rows / max(1, n_labels))
     picked = known.where(F.pmod(F.xxhash64("__label_id", F.lit(11)), F.lit(1_000_000)) < rate * 1_000_000)
-    sample = docs.where(learnable).join(picked, F.col(id_col) == F.col("__label_id")).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    own = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = own.join(picked, F.col("id") == F.col("__label_id")).select("id", "text", "label")
     sample = materialize(sample, "tox-sample")
     terms, n_pos, n_neg = choose_terms(sample, max_terms, least_docs, least_gain, least_odds)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a private folder is created and set.
+    Only a local session without the setting (tests) gets a private folder; on a cluster a
+    driver's folder is not seen by the executors, so a missing setting is an error there.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="postkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -85,15 +89,3 @@ def literal_frame(spark: SparkSession, rows, schema) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs))).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in st.fields])
 
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Before CPU-heavy per-row work (HTML/JSON parsing, scorer calls): when the input arrives
-    in fewer partitions than the cluster can run (a small file with one row group), deal its
-    rows round-robin over the available slots. Inputs that are already wide are left alone,
-    so at scale this adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    # A plan with exchanges is adaptive: its partitioning comes from the shuffle, and asking for
-    # its RDD would run the shuffle stages now. Only a plain scan chain is inspected.
-    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
-        return df
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

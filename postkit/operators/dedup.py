@@ -9,41 +9,44 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _same(cols: Sequence[str]) -> Column:
-    """Null-safe equality of ``l.c`` and ``r.c`` for every column (a null order value or key
-    must still find its winner)."""
-    conds = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
-def _winners(df: DataFrame, key: Sequence[str], order_cols: Sequence[str], agg) -> DataFrame:
-    if len(order_cols) == 1:
-        c = order_cols[0]
-        return df.groupBy(*key).agg(agg(F.col(c)).alias(c))
-    packed = agg(F.struct(*[F.col(c) for c in order_cols])).alias("_w")
-    return df.groupBy(*key).agg(packed).select(*key, *[F.col(f"_w.{c}").alias(c) for c in order_cols])
+def _orderable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _orderable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_orderable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
 def _pick(df: DataFrame, key: Sequence[str], order_cols: Sequence[str], agg) -> DataFrame:
-    """Winner order value per key, computed by an aggregate (partial per map task, so a key
-    holding a third of all rows is reduced before the shuffle), then joined back on
-    (key, order). The join key includes the order columns, so a hot key does not land in one
-    join partition either."""
-    winners = _winners(df, key, order_cols, agg)
-    cols = list(key) + list(order_cols)
-    return df.alias("l").join(winners.alias("r"), _same(cols), "left_semi").select(*df.columns)
+    """One row per key in one pass: the least (or greatest) struct of the order columns and then
+    of all other columns, so rows that tie on the order still leave exactly one survivor. The
+    aggregate combines on the map side: a key that holds a third of all rows leaves each task as
+    one row. A null order value loses to any other."""
+    rest = [c for c in df.columns if c not in key]
+    null_last = (lambda c: F.col(c).isNull()) if agg is F.min else (lambda c: F.col(c).isNotNull())
+    order = [x for c in order_cols for x in (null_last(c), F.col(c))]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    ties = [F.col(c) for c in rest if c not in order_cols and _orderable(types[c])]
+    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order + ties)])
+    if all(_orderable(types[c]) for c in rest):
+        win = agg(F.struct(ranked.alias("r"), F.struct(*rest).alias("v"))).getField("v") if rest else F.lit(None)
+    else:
+        win = (F.min_by if agg is F.min else F.max_by)(F.struct(*rest), ranked)
+    if not rest:
+        return df.distinct()
+    out = df.groupBy(*key).agg(win.alias("_v"))
+    return out.select(*[F.col(c) if c in key else F.col(f"_v.{c}").alias(c) for c in df.columns])
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """Per key keep the row that arrived first (least ``order_cols``). Not
-    ``dropDuplicates``, whose survivor is arbitrary. Matching is null-safe: a null key is one
-    key (as in a dict), and a null order value loses to any non-null one."""
+    """Per key keep the row that arrived first (least ``order_cols``; of rows that tie, the
+    least in the remaining columns). Not ``dropDuplicates``, whose survivor is arbitrary. A null
+    key is one key (as in a dict), and a null order value loses to any non-null one."""
     keys = [key] if isinstance(key, str) else list(key)
     return _pick(df, keys, order_cols, F.min)
 
@@ -69,7 +72,7 @@ def not_stored(rows: DataFrame, stored: DataFrame, key: str, batch: DataFrame |
     AQE at runtime), so the store's key column is scanned and filtered in place instead of
     shuffled by every load; the anti join then meets only the keys both sides share.
     ``batch`` supplies the keys when ``rows`` is costlier to compute twice (same key set)."""
-    keys = (batch if batch is not None else rows).select(key)
+    keys = (batch if batch is not None else rows).select(key).distinct()
     seen = stored.select(key).join(keys, key, "left_semi")
     return rows.join(seen, key, "left_anti")
 
@@ -91,13 +94,14 @@ def merged_store(store: DataFrame, batch: DataFrame, key: str, order_cols: Seque
 def ingest_counters(batch: DataFrame, key: str, order_cols: Sequence[str], group_col: str = "source",
                     store: DataFrame | None = None) -> DataFrame:
     """Per group, rows fetched, rows inserted (first arrival of a key not already stored)
-    and rows skipped as duplicates."""
-    winners = _winners(batch, [key], order_cols, F.min)
+    and rows skipped as duplicates. One scan: rows are first reduced to one per (key, group)
+    on the map side, and the winner of a key is the least of those few."""
+    order = F.struct(*[x.alias(f"o{i}") for i, x in enumerate(y for c in order_cols for y in (F.col(c).isNull(), F.col(c)))])
+    per = batch.groupBy(key, group_col).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
+    place = F.struct("o", group_col)
+    per = per.withColumn("first", place == F.min(place).over(Window.partitionBy(key)))
     if store is not None:
-        winners = not_stored(winners, store, key, batch)
-    flagged = batch.alias("l").join(winners.withColumn("_new", F.lit(True)).alias("r"), _same([key, *order_cols]),
-                                    "left").select("l.*", "r._new")
-    return flagged.groupBy(group_col).agg(
-        F.count(F.lit(1)).alias("fetched"),
-        F.count_if(F.col("_new").isNotNull()).alias("inserted"),
-    ).withColumn("skipped", F.col("fetched") - F.col("inserted"))
+        seen = store.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct().withColumn("_seen", F.lit(True))
+        per = per.join(seen, key, "left").withColumn("first", F.col("first") & F.col("_seen").isNull())
+    return per.groupBy(group_col).agg(F.sum("n").alias("fetched"), F.count_if("first").alias("inserted")).withColumn(
+        "skipped", F.col("fetched") - F.col("inserted"))

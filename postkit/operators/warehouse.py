@@ -7,6 +7,7 @@ repeated write is repaired by the anti-join of the next load (insert-only, idemp
 from __future__ import annotations
 
 import datetime as dt
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -87,41 +88,67 @@ def normalise_rows(df: DataFrame, loaded_at, now=None) -> tuple[DataFrame, DataF
     return good, bad
 
 
+class LoadCounts(NamedTuple):
+    """What a load did with its rows: appended, skipped (already loaded, or a repeat in the
+    batch) and written to the quarantine."""
+    inserted: int
+    skipped: int
+    quarantined: int
+
+
+def quarantine_path(path: str) -> str:
+    """Where rows that a load rejects are kept, next to the table."""
+    return f"{path.rstrip('/')}_quarantine"
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Q2: every row that loads into ``path`` rejected, with its ``error``."""
+    schema = T.StructType(WAREHOUSE.fields + [T.StructField("error", T.StringType())])
+    if not _exists(spark, quarantine_path(path)):
+        return spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+    return spark.read.schema(schema).parquet(quarantine_path(path))
+
+
 def new_rows(spark: SparkSession, batch: DataFrame, path: str, order_cols=("scraped_at",),
              key: str = "job_id") -> DataFrame:
     """J3 + P12: in-batch first-wins dedup, then rows whose key is not loaded yet."""
-    ordered = batch.withColumn("_ord", F.struct(*[F.col(c) for c in order_cols], F.col("url"), F.col("title")))
-    first = dedup_first(ordered, key, ["_ord"]).drop("_ord")
+    first = dedup_first(batch, key, [*order_cols, "url", "title"])
     return not_stored(first, existing_ids(spark, path, key), key, batch)
 
 
-def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None) -> int:
-    """K3: normalise, keep only unseen ids, append into ``scraped_date`` partitions.
-    Returns the inserted row count, observed during the write (no second pass)."""
+def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None) -> LoadCounts:
+    """K3: normalise, keep one row per unseen id, append into ``scraped_date`` partitions. Rows
+    without a key are appended to the quarantine (Q2) before the load, so none is lost. The
+    counts are observed during the writes (no second pass)."""
     loaded_at = loaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     ensure_table(spark, path)
-    good, _bad = normalise_rows(scored, loaded_at)
-    todo = new_rows(spark, good, path)
-    obs = Observation("load")
+    good, bad = normalise_rows(scored, loaded_at)
+    rejected, read, written = Observation("rejected"), Observation("read"), Observation("written")
+    bad.observe(rejected, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(quarantine_path(path))
+    todo = new_rows(spark, good.observe(read, F.count(F.lit(1)).alias("n")), path)
     # Rows of one date are gathered before the partitioned write, so a task does not write a
     # small file for every date it happens to hold. REBALANCE (not a plain repartition) lets AQE
     # split a hot date (a daily load is mostly one date) into advisory-sized files.
     out = (todo.withColumn(PARTITION_COLUMN, F.to_date("scraped_at")).hint("rebalance", PARTITION_COLUMN)
-           .observe(obs, F.count(F.lit(1)).alias("n")))
+           .observe(written, F.count(F.lit(1)).alias("n")))
     out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
-    return int(obs.get["n"])
+    n = int(written.get["n"])
+    return LoadCounts(n, int(read.get["n"]) - n, int(rejected.get["n"]))
 
 
 def append_overrides(spark: SparkSession, overrides: DataFrame, path: str, at=None) -> None:
-    """K5: append status overrides (``updated_at`` = ``at`` or now when absent)."""
+    """K5: append status overrides (``updated_at`` = ``at`` or now when absent). Rows without an
+    id or a status go to the quarantine next to the log."""
     at_c = F.lit(at).cast("timestamp") if at is not None else F.current_timestamp()
     cols = set(overrides.columns)
     rows = overrides.select(
         F.col("job_id").cast("string"), F.col("status").cast("string"),
         (F.coalesce(F.col("updated_at").cast("timestamp"), at_c) if "updated_at" in cols else at_c).alias("updated_at"),
         (F.col("seq").cast("bigint") if "seq" in cols else F.lit(None).cast("bigint")).alias("seq"),
-    ).where(F.col("job_id").isNotNull() & F.col("status").isNotNull())
-    rows.write.mode("append").parquet(path)
+    )
+    usable = F.col("job_id").isNotNull() & F.col("status").isNotNull()
+    rows.where(~usable).withColumn("error", F.lit("missing job_id or status")).write.mode("append").parquet(quarantine_path(path))
+    rows.where(usable).write.mode("append").parquet(path)
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame | None:

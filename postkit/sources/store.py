@@ -46,7 +46,7 @@ def read_store(spark: SparkSession, path: str, schema=RAW_POSTING, on_missing: s
     """Read a store.
 
     ``on_missing``: 'empty' (S1, S3: an empty frame), 'error' (S2: raise), 'skip' (S4: None).
-    A versioned root reads its newest version (written by ``write_store``: no duplicates).
+    A versioned root reads its newest finished version (written by ``write_store``: no duplicates).
     A legacy JSON array file is unsplittable (one task per file); duplicates inside it resolve
     to the *last* occurrence, by position within the file.
     """
@@ -57,8 +57,9 @@ def read_store(spark: SparkSession, path: str, schema=RAW_POSTING, on_missing: s
             return None
         return spark.createDataFrame([], schema)
     versions = _versions(spark, path)
-    if versions:
-        return spark.read.schema(schema).parquet(versions[-1][1])
+    done = [v for _, v in versions if exists(spark, f"{v}/_SUCCESS")]
+    if versions:                                            # a version still being written is not one yet
+        return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
     if path.endswith(".json"):
         df = spark.read.schema(schema).option("multiLine", True).json(path)
     elif path.endswith(".jsonl"):

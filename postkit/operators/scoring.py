@@ -13,16 +13,17 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.responses import split_parsed
 from postkit.functions.text import contains_any, date_prefix, is_relevant, remote_rule, truncate_chars
-from postkit.operators.dedup import not_stored
-from postkit.session import literal_frame, spread
+from postkit.operators.dedup import dedup_first, not_stored
+from postkit.session import literal_frame, materialize
 
 
 def load_profile(spark: SparkSession, path: str | None = None, fallback: str = K.DEFAULT_PROFILE) -> DataFrame:
-    """One-row ``profile`` frame: the whole file trimmed, or the fallback text."""
+    """One-row ``profile`` frame: the whole file trimmed, or the fallback text. A folder of
+    several files gives several rows, which ``build_prompts`` rejects: no file is preferred."""
     if path:
         try:
             df = spark.read.text(path, wholetext=True)
-            return df.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("profile")).limit(1)
+            return df.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("profile"))
         except Exception as exc:  # a missing file only; other errors surface
             if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
                 raise
@@ -79,7 +80,7 @@ def build_prompts(postings: DataFrame, profile: DataFrame, key: str = "job_id",
         c = m[name]
         return F.col(c) if c is not None and c in postings.columns else None
 
-    prof = profile.select("profile").limit(1).scalar()
+    prof = profile.select("profile").scalar()
     return postings.select(
         key,
         prompt_column(prof, col_or_none("title"), col_or_none("company"), col_or_none("location"),
@@ -121,9 +122,9 @@ def score_with(prompts: DataFrame, scorer_factory: Callable[[], Scorer], key: st
     ``scorer_factory()`` runs once per task (one client per partition) and returns a function
     ``pdf[key, prompt] -> Series[str]``. A raising batch is retried row by row so one bad row
     becomes one error row and the rest of the batch still scores. ``parallelism`` bounds the
-    number of concurrent callers (``repartition`` before the call). Output: key, response, error."""
-    src = prompts.select(key, "prompt")
-    src = src.repartition(parallelism, key) if parallelism else spread(src)
+    number of concurrent callers and is always applied (default: the slots of the cluster), so a
+    small batch behind a slow model is not one serial task. Output: key, response, error."""
+    src = prompts.select(key, "prompt").repartition(parallelism or prompts.sparkSession.sparkContext.defaultParallelism)
     schema = T.StructType([src.schema[key], T.StructField("response", T.StringType()),
                            T.StructField("error", T.StringType())])
 
@@ -192,9 +193,13 @@ def merge_scores(raw: DataFrame, scores: DataFrame, key: str = "job_id", status:
 def score_postings(raw: DataFrame, scored: DataFrame, profile: DataFrame, scorer_factory, key: str = "job_id",
                    keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS, parallelism: int | None = None,
                    strict_bool: bool = False) -> tuple[DataFrame, DataFrame]:
-    """E2 as one job: F3 -> J8/X34 -> U1 -> X13-X17 -> P3. Returns (scored rows, quarantine)."""
-    todo = select_unscored(raw, scored, key, keywords=keywords)
-    prompts = build_prompts(todo, profile, key)
-    answers = score_with(prompts, scorer_factory, key, parallelism)
+    """E2 as one job: F3 -> J8/X34 -> U1 -> X13-X17 -> P3. Returns (scored rows, quarantine).
+
+    Repeated ids are one posting (the least row survives). The postings and the scorer's answers
+    are written once before anything reads them twice: each posting is one prompt, and neither
+    a second reader nor a lost executor calls the scorer again."""
+    one = dedup_first(raw, key, [])
+    todo = materialize(select_unscored(one, scored, key, keywords=keywords), "to-score")
+    answers = materialize(score_with(build_prompts(todo, profile, key), scorer_factory, key, parallelism), "answers")
     good, bad = type_responses(answers, key, strict_bool)
     return merge_scores(todo, good, key), bad

@@ -8,16 +8,16 @@ a micro-batch replayed after a failure inserts nothing twice.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postkit.operators.current import latest_by_key
 from postkit.operators.dedup import dedup_first, not_stored
-from postkit.operators.scoring import build_prompts, merge_scores, score_with, select_unscored, type_responses
+from postkit.operators.scoring import score_postings
 from postkit.operators.warehouse import _exists, load_new, read_table as read_warehouse
-from postkit.session import materialize, scratch_path
+from postkit.session import scratch_path
 
 
 def _run_available_now(stream_df: DataFrame, sink, checkpoint: str, output_mode: str = "append") -> None:
@@ -55,27 +55,36 @@ def incremental_load(spark: SparkSession, landing: str, schema, table: str, chec
     _run_available_now(src, sink, checkpoint)
 
 
-def incremental_score(spark: SparkSession, landing: str, schema, scored_path: str, quarantine_path: str,
-                      checkpoint: str, profile: DataFrame, scorer_factory, key: str = "job_id",
-                      keywords=None) -> None:
-    """ST2 + K2: score what arrived since the last run. Progress is saved per micro-batch (an
-    append plus the stream checkpoint), never by rewriting the whole file per row. Rows whose
-    answer fails are quarantined and not recorded as scored, so the next run retries them."""
-    src = spark.readStream.schema(schema).parquet(landing)
+class ScoreCounts(NamedTuple):
+    """What one scoring run did: postings scored, and postings whose answer failed."""
+    scored: int
+    failed: int
+
+
+def score_pending(spark: SparkSession, raw_path: str, scored_path: str, quarantine_path: str, profile: DataFrame,
+                  scorer_factory, key: str = "job_id", keywords=None) -> ScoreCounts:
+    """Scores every relevant raw posting that has no score yet: new ones and those whose answer
+    failed in an earlier run. Answers are written once by ``score_postings``; scores and failures
+    are appended, so a run that is repeated after a crash scores only what is still missing."""
+    raw = spark.read.parquet(raw_path)
+    done = spark.read.parquet(scored_path).select(key) if _exists(spark, scored_path) else raw.select(key).limit(0)
     kw = {} if keywords is None else {"keywords": keywords}
+    good, bad = score_postings(raw, done, profile, scorer_factory, key, **kw)
+    n_good, n_bad = Observation("scored"), Observation("failed")
+    run = spark.read.parquet(quarantine_path).agg(F.max("run")).first()[0] if _exists(spark, quarantine_path) else None
+    bad.withColumn("run", F.lit(0 if run is None else run + 1)).observe(n_bad, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(quarantine_path)
+    good.observe(n_good, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(scored_path)
+    return ScoreCounts(int(n_good.get["n"]), int(n_bad.get["n"]))
 
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        done = (spark.read.parquet(scored_path).select(key) if _exists(spark, scored_path)
-                else spark.createDataFrame([], batch.select(key).schema))
-        todo = select_unscored(batch, done, key, **kw)
-        # The answers are written once (shared folder) before the good / quarantine split reads
-        # them twice: a lost executor then re-reads them instead of calling the scorer again.
-        answers = materialize(score_with(build_prompts(todo, profile, key), scorer_factory, key), "answers")
-        good, bad = type_responses(answers, key)
-        merge_scores(todo, good, key).write.mode("append").parquet(scored_path)
-        bad.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(quarantine_path)
 
-    _run_available_now(src, sink, checkpoint)
+def incremental_score(spark: SparkSession, landing: str, schema, raw_path: str, scored_path: str, quarantine_path: str,
+                      checkpoint: str, profile: DataFrame, scorer_factory, key: str = "job_id",
+                      keywords=None, order_cols: Sequence[str] = ()) -> ScoreCounts:
+    """ST2 + K2: one run. The stream lands what arrived since the last run in the raw store
+    (first arrival per key); then everything without a score is scored. Rows whose answer fails
+    are quarantined and stay unscored, so each later run retries them, new files or not."""
+    incremental_dedup(spark, landing, schema, raw_path, checkpoint, key, order_cols)
+    return score_pending(spark, raw_path, scored_path, quarantine_path, profile, scorer_factory, key, keywords)
 
 
 def override_changelog(spark: SparkSession, landing: str, schema, changelog: str, checkpoint: str,
@@ -103,14 +112,13 @@ def _land(df: DataFrame, landing: str, part: str) -> None:
     df.write.mode("overwrite").parquet(f"{landing}/{part}")
 
 
-def run_incremental_dedup(spark: SparkSession, rows: DataFrame, split_col: str, split_at,
+def run_incremental_dedup(spark: SparkSession, rows: DataFrame, early,
                           key: str = "job_id", order_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Two daily drops (``split_col < split_at``, then the rest), two runs; returns the store."""
+    """Two daily drops (rows with ``early``, then the rest), two runs; returns the store."""
     landing, store, ckpt = (scratch_path(spark, n) for n in ("landing", "store", "ckpt"))
-    _land(rows.where(F.col(split_col) < split_at), landing, "d1")
-    incremental_dedup(spark, f"{landing}/*", rows.schema, store, ckpt, key, order_cols)
-    _land(rows.where(~(F.col(split_col) < split_at)), landing, "d2")
-    incremental_dedup(spark, f"{landing}/*", rows.schema, store, ckpt, key, order_cols)
+    for part, drop in (("d1", early), ("d2", ~early)):
+        _land(rows.where(drop), landing, part)
+        incremental_dedup(spark, f"{landing}/*", rows.schema, store, ckpt, key, order_cols)
     return spark.read.parquet(store)
 
 
@@ -124,15 +132,17 @@ def run_incremental_load(spark: SparkSession, rows: DataFrame, loaded_at) -> Dat
     return read_warehouse(spark, table)
 
 
-def run_incremental_score(spark: SparkSession, rows: DataFrame, split_col: str, split_at, profile: DataFrame,
-                          scorer_factory, key: str, keywords) -> DataFrame:
-    """Two drops of raw postings scored by two runs; returns the scored store."""
-    landing, scored, quarantine, ckpt = (scratch_path(spark, n) for n in ("landing", "scored", "quarantine", "ckpt"))
-    _land(rows.where(F.col(split_col) < split_at), landing, "d1")
-    incremental_score(spark, f"{landing}/*", rows.schema, scored, quarantine, ckpt, profile, scorer_factory, key, keywords)
-    _land(rows.where(~(F.col(split_col) < split_at)), landing, "d2")
-    incremental_score(spark, f"{landing}/*", rows.schema, scored, quarantine, ckpt, profile, scorer_factory, key, keywords)
-    return spark.read.parquet(scored)
+def run_incremental_score(spark: SparkSession, rows: DataFrame, early, profile: DataFrame, scorers: Sequence, key: str,
+                          keywords) -> tuple[DataFrame, list[ScoreCounts]]:
+    """Raw postings in two drops (those with ``early`` first), one run per scorer (the last ones
+    without a new drop); returns the scored store and each run's counts."""
+    landing, raw, scored, quarantine, ckpt = (scratch_path(spark, n) for n in ("landing", "raw", "scored", "quarantine", "ckpt"))
+    counts = []
+    for i, scorer in enumerate(scorers):
+        if i < 2:
+            _land(rows.where(early if i == 0 else ~early), landing, f"d{i + 1}")
+        counts.append(incremental_score(spark, f"{landing}/*", rows.schema, raw, scored, quarantine, ckpt, profile, scorer, key, keywords))
+    return spark.read.parquet(scored), counts
 
 
 def run_override_stream(spark: SparkSession, log: DataFrame, key: str = "job_id") -> DataFrame:

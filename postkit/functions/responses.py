@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postkit.functions.text import ColumnOrName, _c
-from postkit.session import spread
 
 _NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
@@ -33,23 +32,6 @@ def strip_fences(text: ColumnOrName) -> Column:
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
-def _single_value(text: Column) -> Column:
-    """Variant ``[value]`` when ``text`` is exactly one JSON value, else null."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    n = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(n) == 1, wrapped)
-
-
-def parse_object(text: ColumnOrName) -> Column:
-    """Variant of the answer's object, or null when it cannot be read as one."""
-    t = strip_fences(text)
-    direct = _single_value(t)
-    greedy = _single_value(F.regexp_extract(t, r"(?s)\{.*\}", 0))
-    chosen = F.when(direct.isNotNull(), direct).otherwise(greedy)
-    is_obj = F.schema_of_variant(F.variant_get(chosen, "$[0]", "variant")).startswith("OBJECT")
-    return F.when(is_obj, F.variant_get(chosen, "$[0]", "variant"))
-
-
 def _field(obj: Column, name: str) -> Column:
     return F.variant_get(obj, f"$.{name}", "variant")
 
@@ -96,34 +78,13 @@ def _json_list(v: Column) -> Column:
     return F.when(v.isNull(), F.lit("[]")).otherwise(F.to_json(v))
 
 
-def parse_response(text: ColumnOrName, strict_bool: bool = False) -> Column:
-    """X13-X17 -> struct(score, match_summary, skills_match, gaps, seniority_match,
-    remote_match, score_in_range, error)."""
-    obj = parse_object(text)
-    sv = _field(obj, "score")
-    score = _score(sv)
-    error = (F.when(_c(text).isNull(), F.lit("no response"))
-             .when(obj.isNull(), F.lit("no JSON object"))
-             .when(score.isNull(), F.lit("score is not an integer")))
-    ok = error.isNull()
-    return F.struct(
-        F.when(ok, score).alias("score"),
-        F.when(ok, _text(_field(obj, "match_summary"))).alias("match_summary"),
-        F.when(ok, _json_list(_field(obj, "skills_match"))).alias("skills_match"),
-        F.when(ok, _json_list(_field(obj, "gaps"))).alias("gaps"),
-        F.when(ok, _truthy(_field(obj, "seniority_match"), strict_bool)).alias("seniority_match"),
-        F.when(ok, _truthy(_field(obj, "remote_match"), strict_bool)).alias("remote_match"),
-        F.when(ok, score.between(0, 100)).alias("score_in_range"),
-        error.alias("error"),
-    )
-
-
 def parse_responses(df: DataFrame, text_col: str, keep: list[str], strict_bool: bool = False) -> DataFrame:
     """X13-X17 as staged projections: every expensive step (fence strip, strict parse, greedy
     fallback, field lookups) is its own projection column, computed once per row. Catalyst
     does not collapse projections that would duplicate a non-trivial expression, so the plan
-    keeps the stages. Adds the struct column ``_p`` (see ``parse_response``)."""
-    s1 = spread(df).select(*keep, text_col, strip_fences(text_col).alias("_t"))
+    keeps the stages. Adds the struct column ``_p``: score, match_summary, skills_match,
+    gaps, seniority_match, remote_match, score_in_range, error."""
+    s1 = df.select(*keep, text_col, strip_fences(text_col).alias("_t"))
     s2 = s1.select("*", F.try_parse_json(F.concat(F.lit("["), F.col("_t"), F.lit("]"))).alias("_w"))
     one = lambda w: F.variant_get(w, "$[0]", "variant").isNotNull() & F.variant_get(w, "$[1]", "variant").isNull()
     s3 = s2.select(*keep, text_col, F.when(one(F.col("_w")), F.col("_w")).otherwise(

@@ -31,14 +31,16 @@ def _first_or(arr: Column, pred, default: str) -> Column:
     return F.coalesce(F.get(F.filter(arr, pred), 0), F.lit(default))
 
 
-def classify_tokens(
-    parts: ColumnOrName,
+def with_token_fields(
+    df: DataFrame,
+    parts_col: str,
+    out: str = "_t",
     tags: Sequence[str] = K.LINK_TAGS,
     salary_words: Sequence[str] = K.SALARY_KEYWORDS,
     place_words: Sequence[str] = K.PLACE_KEYWORDS,
     default_location: str = K.LINK_DEFAULT_LOCATION,
-) -> Column:
-    """X23-X26 -> ``struct(title, company, location, salary)``; null when there are no parts.
+) -> DataFrame:
+    """Adds ``out`` = ``struct(title, company, location, salary)``, null without parts.
 
     * title: parts before the first part containing a tag, joined by a space; when that is
       shorter than 3 characters, the first part.
@@ -46,43 +48,10 @@ def classify_tokens(
     * salary: first rest part containing a salary word, else ''.
     * location: first rest part containing a place word, else the default.
     * company: first rest part with no tag, no salary word and more than 2 characters, else ''.
-    """
-    arr = _c(parts)
-    flags = F.transform(arr, lambda p: _has_any(p, tags))
-    idx = F.array_position(flags, True)            # 1-based, 0 when absent
-    n = F.size(arr)
-    head = F.when(idx == 0, arr).otherwise(F.slice(arr, F.lit(1), F.greatest(idx - 1, F.lit(0))))
-    rest = F.when(idx == 0, F.array().cast("array<string>")).otherwise(F.slice(arr, idx, n))
-    joined = F.regexp_replace(F.array_join(head, " "), r"(?U)^\s+|\s+$", "")
-    title = F.when(F.length(joined) < K.LINK_MIN_TITLE_CHARS, F.get(arr, 0)).otherwise(joined)
-    salary = _first_or(rest, lambda p: _has_any(p, salary_words), "")
-    location = _first_or(rest, lambda p: _has_any(p, place_words), default_location)
-    company = _first_or(
-        rest,
-        lambda p: ~_has_any(p, tags) & ~_has_any(p, salary_words) & (F.length(p) >= K.LINK_MIN_COMPANY_CHARS),
-        "",
-    )
-    return F.when(
-        n > 0,
-        F.struct(title.alias("title"), company.alias("company"),
-                 location.alias("location"), salary.alias("salary")),
-    )
-
 
-def with_token_fields(
-    df: DataFrame,
-    parts_col: str,
-    out: str = "_t",
-    tags: Sequence[str] = K.LINK_TAGS,
-    salary_words: Sequence[str] = K.SALARY_KEYWORDS,
-    place_words: Sequence[str] = K.PLACE_KEYWORDS,
-    default_location: str = K.LINK_DEFAULT_LOCATION,
-) -> DataFrame:
-    """``classify_tokens`` as staged projections over a DataFrame: the tag position, the head
-    and rest arrays and the joined title are each a projection column computed once per row
-    (as one nested Column they would be re-evaluated at every use). Catalyst does not collapse
-    projections that would duplicate a non-trivial expression, so the stages stay. Adds the
-    struct column ``out`` (same value as ``classify_tokens(parts_col)``); drops the stages."""
+    Staged projections: the tag position, the head and rest arrays and the joined title are each
+    a column computed once per row (as one nested Column they would be re-evaluated at every
+    use). Catalyst does not collapse projections that would duplicate a non-trivial expression."""
     cols, arr = df.columns, F.col(parts_col)
     s1 = df.select(*cols, F.array_position(F.transform(arr, lambda p: _has_any(p, tags)), True).alias("_k_idx"))
     idx = F.col("_k_idx")

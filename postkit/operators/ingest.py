@@ -1,5 +1,5 @@
-"""E1 as one job: landed payloads of every source -> raw postings -> first-seen-wins merge
-into the store (new version) + per-source counters."""
+"""E1 as one job: landed payloads of every source -> raw postings -> first-seen-wins append to
+the store + per-source counters."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postkit import constants as K
 from postkit.operators.dedup import dedup_first, ingest_counters, not_stored
 from postkit.schemas import RAW_COLUMNS
+from postkit.session import materialize
 from postkit.sources import html as H
 from postkit.sources import payloads as P
 
@@ -18,33 +19,28 @@ ORDER = ["source_rank", "query_rank", "page_no", "pos"]
 
 
 def extract_all(spark: SparkSession, landed: DataFrame, specs: DataFrame | None = None,
-                keywords=K.RELEVANT_TITLE_KEYWORDS, scraped_at=None) -> DataFrame:
+                keywords=K.RELEVANT_TITLE_KEYWORDS, scraped_at=None, max_pages: int | None = None) -> DataFrame:
     """S8-S12 + S15 + P1 + U-1: one raw-posting frame with arrival order over all sources.
-    Disabled (source, query) specs contribute nothing. Caps come from the spec table."""
+    Disabled (source, query) specs contribute nothing. Caps come from the row of the spec table
+    of each search; a null cap is no cap. Every payload is parsed once: what a source gives
+    is written before anything reads it twice."""
     specs = specs if specs is not None else P.search_specs(spark)
     on = P.with_enabled_specs(landed, specs)
-    parts = []
-    for src, fn in [
-        ("remotive", lambda d: P.extract_remotive(d, keywords, scraped_at)),
-        ("the_muse", lambda d: P.extract_muse(d, None, scraped_at)),
-        ("jobs_cz", lambda d: H.extract_jobs_cz(d, cap=_cap(specs, "jobs_cz", 20), keywords=keywords, scraped_at=scraped_at)),
-        ("linkedin", lambda d: H.extract_linkedin(d, cap=_cap(specs, "linkedin", 25), keywords=keywords, scraped_at=scraped_at)),
-        ("jobstack", lambda d: H.extract_jobstack(d, keywords=keywords, scraped_at=scraped_at)),
-    ]:
-        parts.append(P.to_raw_posting(fn(on.where(F.col("source") == src))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _cap(specs: DataFrame, source: str, default: int) -> int:
-    # the spec table is a fixed, tiny frame built on the driver; read its cap for the source
-    caps = [r.cap for r in specs.where((F.col("source") == source) & F.col("enabled")).select("cap").collect()]
-    caps = [c for c in caps if c is not None]
-    return max(caps) if caps else default
+    readers = {
+        "remotive": lambda d: P.extract_remotive(d, keywords, scraped_at),
+        "the_muse": lambda d: P.extract_muse(d, None, scraped_at),
+        "jobs_cz": lambda d: H.extract_jobs_cz(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
+        "linkedin": lambda d: H.extract_linkedin(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
+        "jobstack": lambda d: H.extract_jobstack(d, keywords=keywords, scraped_at=scraped_at, max_pages=max_pages),
+    }
+    parts = [P.to_raw_posting(read(on.where(F.col("source") == src))) for src, read in readers.items()]
+    return materialize(reduce(DataFrame.unionByName, parts), "postings")
 
 
 def merge_into_store(store: DataFrame, extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J4 + U-2 + A9: (store ∪ first arrivals of unseen ids, per-source counters)."""
+    """J4 + U-2 + A9: (first arrivals of unseen ids, to be appended to the store; per-source
+    counters). ``extracted`` should be a written table, as ``extract_all`` gives it. The store
+    is read by its key only and never rewritten."""
     counters = ingest_counters(extracted, "job_id", ORDER, "source", store)
     new = not_stored(dedup_first(extracted, "job_id", ORDER), store, "job_id", extracted)
-    merged = store.select(*RAW_COLUMNS).unionByName(new.select(*RAW_COLUMNS))
-    return merged, counters
+    return new.select(*RAW_COLUMNS), counters

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from typing import Iterator, Sequence
+from typing import Iterator, NamedTuple, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postkit import constants as K
 from postkit.functions.text import absolutise, is_relevant, posting_id, strip_query
 from postkit.functions.tokens import tokenize, with_token_fields
-from postkit.session import materialize, spread
+from postkit.session import materialize
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW_TEXT = {"script", "style"}
@@ -94,10 +95,12 @@ def _matches(node: Node, part) -> bool:
 
 
 def _walk(node: Node):
-    for ch in node.children:
-        if isinstance(ch, Node):
-            yield ch
-            yield from _walk(ch)
+    """Nodes below ``node`` in document order, with a stack: depth is no limit."""
+    stack = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
 def select(root: Node, selector: str) -> list[Node]:
@@ -123,12 +126,13 @@ def select_one(root: Node, selector: str) -> Node | None:
 
 
 def _strings(node: Node):
-    for ch in node.children:
-        if isinstance(ch, Node):
-            if ch.tag not in _RAW_TEXT:
-                yield from _strings(ch)
-        else:
-            yield ch
+    stack = list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, Node):
+            yield x
+        elif x.tag not in _RAW_TEXT:
+            stack.extend(reversed(x.children))
 
 
 def get_text(node: Node | None, sep: str = "", strip: bool = False) -> str:
@@ -152,105 +156,134 @@ CARD_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("has_title", T.BooleanType()),
     T.StructField("has_link", T.BooleanType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
-def _cards_jobs_cz(root: Node, cap):
-    cards = select(root, "article.SearchResultCard")
-    for i, card in enumerate(cards[:cap] if cap is not None else cards):
-        t = select_one(card, ".SearchResultCard__title a")
-        logo = select_one(card, ".CompanyLogo img")
-        footer = select(card, ".SearchResultCard__footerItem")
-        company = logo.attrs.get("alt") if logo is not None and logo.attrs.get("alt") else (
-            get_text(footer[0], strip=True) if footer else "")
-        loc = get_text(footer[1], strip=True) if len(footer) > 1 else K.JOBS_CZ_DEFAULT_LOCATION
-        sal = select_one(card, ".Tag--success")
-        yield (i, get_text(t, strip=True) if t is not None else None, company, loc,
-               get_text(sal, strip=True) if sal is not None else "",
-               t.attrs.get("href", "") if t is not None else None, None, t is not None, t is not None)
-
-
-def _cards_linkedin(root: Node, cap):
-    cards = select(root, ".jobs-search__results-list li")
-    for i, card in enumerate(cards[:cap] if cap is not None else cards):
-        t = select_one(card, ".base-search-card__title")
-        c = select_one(card, ".base-search-card__subtitle")
-        loc = select_one(card, ".job-search-card__location")
-        link = select_one(card, "a.base-card__full-link")
-        yield (i, get_text(t, strip=True) if t is not None else None, get_text(c, strip=True) if c is not None else "",
-               get_text(loc, strip=True) if loc is not None else None, "",
-               link.attrs.get("href", "") if link is not None else None, None, t is not None, link is not None)
-
-
-def _cards_links(selector: str):
-    def run(root: Node, cap):
-        links = select(root, selector)
-        for i, a in enumerate(links[:cap] if cap is not None else links):
-            yield (i, None, None, None, None, a.attrs.get("href", ""), get_text(a, sep="\n", strip=True), True, True)
-    return run
+class Field(NamedTuple):
+    """Where a card's value is: the ``nth`` match of a selector, its text or an attribute. Later
+    fields of the same name fill in where earlier ones found nothing or an empty value."""
+    name: str
+    selector: str
+    attr: str | None = None
+    nth: int = 0
+
+
+class CardKind(NamedTuple):
+    """A source's cards: the selector of a card, its fields and the values of absent ones."""
+    card: str
+    fields: tuple[Field, ...]
+    absent: dict
+
+
+# --- FIXED VALUES: selectors of the sources' result pages and the values of absent fields
+CARD_KINDS = {
+    "jobs_cz": CardKind("article.SearchResultCard", (
+        Field("title", ".SearchResultCard__title a"),
+        Field("href", ".SearchResultCard__title a", "href"),
+        Field("company", ".CompanyLogo img", "alt"),
+        Field("company", ".SearchResultCard__footerItem"),
+        Field("location", ".SearchResultCard__footerItem", nth=1),
+        Field("salary", ".Tag--success"),
+    ), {"company": "", "location": K.JOBS_CZ_DEFAULT_LOCATION, "salary": ""}),
+    "linkedin": CardKind(".jobs-search__results-list li", (
+        Field("title", ".base-search-card__title"),
+        Field("href", "a.base-card__full-link", "href"),
+        Field("company", ".base-search-card__subtitle"),
+        Field("location", ".job-search-card__location"),
+    ), {"company": "", "salary": ""}),
+}
+
+
+def read_cards(root: Node, kind: CardKind) -> Iterator[dict]:
+    """The cards of a page in page order, read by the kind's field table. ``None``: no element."""
+    for pos, card in enumerate(select(root, kind.card)):
+        row = {"pos": pos}
+        for f in kind.fields:
+            if row.get(f.name):
+                continue
+            found = select(card, f.selector)[f.nth:f.nth + 1]
+            if found:
+                row[f.name] = get_text(found[0], strip=True) if f.attr is None else found[0].attrs.get(f.attr, "")
+        row["has_title"], row["has_link"] = row.get("title") is not None, row.get("href") is not None
+        yield {**kind.absent, **row}
+
+
+def read_links(root: Node, selector: str) -> Iterator[dict]:
+    for pos, a in enumerate(select(root, selector)):
+        yield {"pos": pos, "href": a.attrs.get("href", ""), "text": get_text(a, sep="\n", strip=True), "has_title": True, "has_link": True}
 
 
 def extract_cards(pages: DataFrame, kind: str, key_cols: Sequence[str], html_col: str = "html",
                   cap: int | None = None, selector: str | None = None) -> DataFrame:
-    """One row per card (``kind`` = 'jobs_cz' | 'linkedin' | 'links'), in page order
-    (``pos``); ``cap`` keeps the first ``cap`` cards of a page *before* any gate (W4).
-    'links' selects ``selector`` (default: job links of a listing page) and returns
-    the href and the link text split into lines."""
-    fn = {"jobs_cz": _cards_jobs_cz, "linkedin": _cards_linkedin}.get(kind)
+    """One row per card (``kind`` = a name in CARD_KINDS, or 'links': the elements of
+    ``selector``, with href and text split into lines), in page order (``pos``). ``cap`` keeps
+    the first cards of a page *before* any gate; None keeps all. A page that cannot be read
+    gives one row with ``error`` and no card (Q1), and the others go on."""
     if kind == "links":
-        fn = _cards_links(selector or "ul li a[href*=/it-job/]")
-    if fn is None:
+        read = lambda root: read_links(root, selector or "ul li a[href*=/it-job/]")
+    elif kind in CARD_KINDS:
+        read = lambda root: read_cards(root, CARD_KINDS[kind])
+    else:
         raise ValueError(f"unknown card kind {kind}")
     keys = list(key_cols)
-    in_schema = pages.select(*keys).schema
-    schema = T.StructType(list(in_schema.fields) + list(CARD_SCHEMA.fields))
+    schema = T.StructType(list(pages.select(*keys).schema.fields) + list(CARD_SCHEMA.fields))
+    names = CARD_SCHEMA.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             key_values = list(zip(*[pdf[k].tolist() for k in keys]))
             for kv, html in zip(key_values, pdf["_html"].tolist()):
-                for card in fn(parse(html), cap):
-                    rows.append(kv + tuple(card))
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+                try:
+                    cards = list(read(parse(html)))
+                except Exception as exc:
+                    cards = [{"error": f"{type(exc).__name__}: {exc}"}]
+                rows += [kv + tuple(c.get(n) for n in names) for c in cards]
+            yield pd.DataFrame(rows, columns=schema.fieldNames(), dtype="object")
 
-    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
+    cards = pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return cards if cap is None else cards.where(F.col("pos").isNull() | (F.col("pos") < cap))
 
 
-def page_text(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html") -> DataFrame:
-    """Full text of each page (``get_text`` with entities decoded, script/style dropped)."""
-    keys = list(key_cols)
-    schema = T.StructType(list(pages.select(*keys).schema.fields) + [T.StructField("text", T.StringType())])
+def capped_per_search(cards: DataFrame, search_cols: Sequence[str], cap_col: str = "cap") -> DataFrame:
+    """The first ``cap_col`` cards of each search (page by page, in page order); a null
+    cap is no cap. Each page is first cut at the cap, so what is ranked is small."""
+    cap = F.col(cap_col)
+    near = cards.where(F.col("error").isNotNull() | cap.isNull() | (F.col("pos") < cap))
+    at = [F.col(c) for c in ("page_no",) if c in cards.columns] + [F.col("pos")]
+    rank = F.row_number().over(Window.partitionBy(*search_cols).orderBy(F.col("error").isNotNull(), *at))
+    open_end = near.where(cap.isNull())
+    return near.where(cap.isNotNull()).withColumn("_rank", rank).where(F.col("error").isNotNull() | (F.col("_rank") <= cap)).drop("_rank").unionByName(open_end)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keys].copy()
-            out["text"] = [get_text(parse(h)) for h in pdf["_html"]]
-            yield out
 
-    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
+def card_errors(cards: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """Q1: the pages that could not be read."""
+    return cards.where(F.col("error").isNotNull()).select(*key_cols, "error")
 
 
-def page_flags(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html",
-               link_selector: str = "ul li a[href*=/it-job/]") -> DataFrame:
-    """S13 inputs per page: ``empty`` (no job link) and ``has_next`` (a link to page_no + 1).
-    ``page_no`` must be among ``key_cols``."""
-    keys = list(key_cols)
-    schema = T.StructType(list(pages.select(*keys).schema.fields) + [
-        T.StructField("empty", T.BooleanType()), T.StructField("has_next", T.BooleanType())])
+def with_html_text(df: DataFrame, html_col: str, out: str) -> DataFrame:
+    """Adds the text of an HTML column (character references decoded, script and style
+    bodies dropped); null for a page that cannot be read."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            empty, nxt = [], []
-            for h, p in zip(pdf["_html"], pdf["page_no"]):
-                root = parse(h)
-                empty.append(not select(root, link_selector))
-                nxt.append(bool(select(root, f"a[href*=page={int(p) + 1}]")))
-            out = pdf[keys].copy()
-            out["empty"], out["has_next"] = empty, nxt
-            yield out
+    def text(html):
+        try:
+            return get_text(parse(html))
+        except Exception:
+            return None
+
+    def run(batches):
+        for b in batches:
+            texts = pa.array([text(h) for h in b.column(b.schema.get_field_index(html_col)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
 
-    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
+
+def page_text(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html") -> DataFrame:
+    """Full text of each page (``get_text`` with entities decoded, script/style dropped)."""
+    return with_html_text(pages.select(*key_cols, F.col(html_col).alias("_html")), "_html", "text").drop("_html")
 
 
 LINK_SCHEMA = T.ArrayType(T.StructType([
@@ -262,39 +295,44 @@ LINK_SCHEMA = T.ArrayType(T.StructType([
 
 def listing_pages(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html",
                   link_selector: str = "ul li a[href*=/it-job/]") -> DataFrame:
-    """One parse per listing page: the S13 flags of ``page_flags`` (``empty``, ``has_next``)
-    and the page's job links as ``links`` (``pos``, ``href``, link text split into lines), the
-    same values ``extract_cards(kind='links')`` gives. ``page_no`` must be among ``key_cols``."""
+    """One parse per listing page: the S13 flags ``empty`` (no job link) and ``has_next`` (a link
+    to page_no + 1), the page's job links as ``links`` (``pos``, ``href``, link text split into
+    lines) and ``error`` for a page that cannot be read. ``page_no`` must be among ``key_cols``."""
     keys = list(key_cols)
     schema = T.StructType(list(pages.select(*keys).schema.fields) + [
         T.StructField("empty", T.BooleanType()), T.StructField("has_next", T.BooleanType()),
-        T.StructField("links", LINK_SCHEMA)])
-    cards = _cards_links(link_selector)
+        T.StructField("links", LINK_SCHEMA), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            empty, nxt, links = [], [], []
+            empty, nxt, links, errors = [], [], [], []
             for h, p in zip(pdf["_html"], pdf["page_no"]):
-                root = parse(h)
-                found = [{"pos": c[0], "href": c[5], "text": c[6]} for c in cards(root, None)]
+                found, more, error = [], False, None
+                try:
+                    root = parse(h)
+                    found = [{k: c[k] for k in ("pos", "href", "text")} for c in read_links(root, link_selector)]
+                    more = bool(select(root, f"a[href*=page={int(p) + 1}]"))
+                except Exception as exc:
+                    error = f"{type(exc).__name__}: {exc}"
                 empty.append(not found)
-                nxt.append(bool(select(root, f"a[href*=page={int(p) + 1}]")))
+                nxt.append(more)
                 links.append(found)
+                errors.append(error)
             out = pdf[keys].copy()
-            out["empty"], out["has_next"], out["links"] = empty, nxt, links
+            out["empty"], out["has_next"], out["links"], out["error"] = empty, nxt, links, errors
             yield out
 
-    return spread(pages.select(*keys, F.col(html_col).alias("_html"))).mapInPandas(run, schema)
+    return pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- native parts
 def cut_page_chain(pages: DataFrame, group_col: str, page_col: str = "page_no", empty_col: str = "empty",
-                   last_col: str | None = "last", max_pages: int = K.JOBSTACK_MAX_PAGES) -> DataFrame:
+                   last_col: str | None = "last", max_pages: int | None = None) -> DataFrame:
     """Keep pages of each group that a sequential reader would have read: pages up to
-    ``max_pages``, before the first page without links (``empty_col``, exclusive) and up to the
+    ``max_pages`` (None: all), before the first page without links (``empty_col``, exclusive) and up to the
     first page without a next link (``last_col``, inclusive). The stop page per group is an
     aggregate (partial per task) joined back, not a window over the whole group."""
-    within = pages.where(F.col(page_col) <= max_pages)
+    within = pages if max_pages is None else pages.where(F.col(page_col) <= max_pages)
     stop_expr = [F.min(F.when(F.col(empty_col), F.col(page_col))).alias("_stop_empty")]
     if last_col:
         stop_expr.append(F.min(F.when(F.col(last_col), F.col(page_col))).alias("_stop_last"))
@@ -302,7 +340,8 @@ def cut_page_chain(pages: DataFrame, group_col: str, page_col: str = "page_no",
     keep = F.col("_stop_empty").isNull() | (F.col(page_col) < F.col("_stop_empty"))
     if last_col:
         keep = keep & (F.col("_stop_last").isNull() | (F.col(page_col) <= F.col("_stop_last")))
-    return within.join(stops, group_col, "inner").where(keep).drop("_stop_empty", "_stop_last")
+    stops = stops.withColumnRenamed(group_col, "_group")
+    return within.join(stops, F.col(group_col).eqNullSafe(F.col("_group"))).where(keep).drop("_group", "_stop_empty", "_stop_last")
 
 
 def heading(html: Column | str, tag: str = "h1") -> Column:
@@ -328,34 +367,47 @@ def _scraped(scraped_at):
     return scraped_at if scraped_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
-def extract_jobs_cz(landed: DataFrame, specs: DataFrame | None = None, cap: int = 20, keywords=K.RELEVANT_TITLE_KEYWORDS,
-                    scraped_at=None) -> DataFrame:
-    """Cards capped per page, title gate after the cap (P8), company from the logo text
-    else the first footer item, location = second footer item else 'Praha'."""
-    keys = [c for c in landed.columns if c != "body"]
-    cards = extract_cards(landed, "jobs_cz", keys, "body", cap)
-    return cards.where(F.col("has_title") & is_relevant("title", keywords)).select(
+def _page_columns(landed: DataFrame) -> list[str]:
+    """Columns of the landed rows that stay with each card (a card's own columns take precedence)."""
+    return [c for c in landed.columns if c != "body" and c not in CARD_SCHEMA.fieldNames()]
+
+
+def _searched(landed: DataFrame, kind: str, cap: int | None, cap_col: str | None) -> DataFrame:
+    """Cards of landed pages, capped per page by ``cap`` or per search by the column ``cap_col``."""
+    keys = _page_columns(landed)
+    cards = extract_cards(landed, kind, keys, "body", cap)
+    if cap_col:
+        cards = capped_per_search(cards, [c for c in ("source", "query", "search_location") if c in keys], cap_col)
+    return cards.where(F.col("error").isNull())
+
+
+def extract_jobs_cz(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
+                    scraped_at=None, cap_col: str | None = None) -> DataFrame:
+    """Title gate after the cap (P8), company from the logo text else the first footer
+    item, location = second footer item else 'Praha'. No cap unless one is given."""
+    keys = _page_columns(landed)
+    return _searched(landed, "jobs_cz", cap, cap_col).where(F.col("has_title") & is_relevant("title", keywords)).select(
         *keys, "pos", posting_id("href").alias("job_id"), "title", "company", "location",
         F.lit("").alias("description"), F.col("href").alias("url"), F.lit("jobs_cz").alias("source_name"),
         "salary", _scraped(scraped_at).alias("scraped_at"))
 
 
-def extract_linkedin(landed: DataFrame, cap: int = 25, keywords=K.RELEVANT_TITLE_KEYWORDS,
-                     search_location_col: str = "search_location", scraped_at=None) -> DataFrame:
-    """Cards capped per page, title and link required, URL without its query, missing
-    location -> the search's location (a column of the landed rows, from the spec join)."""
-    keys = [c for c in landed.columns if c != "body"]
-    cards = extract_cards(landed, "linkedin", keys, "body", cap)
+def extract_linkedin(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
+                     search_location_col: str = "search_location", scraped_at=None, cap_col: str | None = None) -> DataFrame:
+    """Title and link required, URL without its query, missing location -> the search's
+    location (a column of the landed rows, from the spec join). No cap unless one is given."""
+    keys = _page_columns(landed)
+    landed = landed.withColumn("_search_location", F.col(search_location_col))
     url = strip_query("href")
-    return cards.where(F.col("has_title") & F.col("has_link") & is_relevant("title", keywords)).select(
+    return _searched(landed, "linkedin", cap, cap_col).where(F.col("has_title") & F.col("has_link") & is_relevant("title", keywords)).select(
         *keys, "pos", posting_id(url).alias("job_id"), "title", "company",
-        F.coalesce(F.col("location"), F.col(search_location_col)).alias("location"),
+        F.coalesce(F.col("location"), F.col("_search_location")).alias("location"),
         F.lit("").alias("description"), url.alias("url"), F.lit("linkedin").alias("source_name"),
         F.lit("").alias("salary"), _scraped(scraped_at).alias("scraped_at"))
 
 
 def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.RELEVANT_TITLE_KEYWORDS,
-                     scraped_at=None) -> DataFrame:
+                     scraped_at=None, max_pages: int | None = None) -> DataFrame:
     """S12 + S13 + J5: pages cut per category, links parsed into tokens (X22-X26), in-run
     first-seen dedup by id *before* the title gate, then the gate."""
     from postkit.operators.dedup import dedup_first
@@ -363,9 +415,8 @@ def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.
     # Pages are parsed once; the cut (an aggregate and its join-back) and the first-wins dedup
     # (the same) read the written parse, not the HTML again.
     parsed = materialize(listing_pages(landed, keys, "body"), "jobstack-pages")
-    flags = parsed.select(*keys, "empty", (~F.col("has_next")).alias("last"))
-    kept = cut_page_chain(flags, category_col).select(*keys)
-    links = parsed.join(kept, keys, "left_semi").select(*keys, F.inline("links"))
+    kept = cut_page_chain(parsed.withColumn("last", ~F.col("has_next")), category_col, max_pages=max_pages)
+    links = kept.select(*keys, F.inline("links"))
     # The one-element explode is a plan barrier: the emptiness filter on the token array is not
     # pushed below it, so the array is computed once and the stages of ``with_token_fields`` stay.
     tokens = links.where(F.col("href") != "").select(

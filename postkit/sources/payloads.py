@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkit import constants as K
-from postkit.functions.text import is_relevant, posting_id, truncate_chars
+from postkit.functions.text import is_relevant, posting_id
 from postkit.schemas import MUSE_PAYLOAD, REMOTIVE_PAYLOAD, SEARCH_SPEC
-from postkit.session import literal_frame, spread
-
-# common named entities decoded by the native HTML-to-text form ('&amp;' last, so '&amp;lt;'
-# stays '&lt;'); the parser-based form (sources/html.py) decodes every entity
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-             ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
-             ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&euro;", "\u20ac"),
-             ("&amp;", "&")]
-
+from postkit.session import literal_frame
+from postkit.sources.html import with_html_text
 
 def search_specs(spark: SparkSession, rows=None) -> DataFrame:
-    """The search-spec table (fixed size, safe to broadcast)."""
+    """The search-spec table. A null cap is no cap."""
     rows = rows if rows is not None else K.SEARCH_SPECS
     out, per_source = [], {}
     for src, q, loc, cap, en in rows:
@@ -35,7 +28,7 @@ def search_specs(spark: SparkSession, rows=None) -> DataFrame:
 
 def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
     """S15 + J10: keep payloads of enabled specs and attach their ranks, cap and search location
-    (broadcast: the spec table has a fixed, small size). A spec is (source, query, location);
+    (Spark broadcasts the spec table where its size allows). A spec is (source, query, location);
     landed rows without a ``location`` match the first enabled spec of their (source, query),
     so the join never multiplies payloads."""
     sp = specs.where("enabled").drop("enabled")
@@ -47,17 +40,7 @@ def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
         first = F.min(F.struct("query_rank", "location", "cap", "source_rank")).alias("_s")
         sp = sp.groupBy(*keys).agg(first).select(
             *keys, "_s.query_rank", F.col("_s.location").alias("search_location"), "_s.cap", "_s.source_rank")
-    return landed.join(F.broadcast(sp), keys, "inner")
-
-
-def html_to_text_native(c: Column) -> Column:
-    """X10 (native form): drop tags, comments, script/style bodies; decode common entities."""
-    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for ent, ch in _ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return landed.join(sp, keys, "inner")
 
 
 def extract_remotive(landed: DataFrame, keywords=K.RELEVANT_TITLE_KEYWORDS,
@@ -65,14 +48,14 @@ def extract_remotive(landed: DataFrame, keywords=K.RELEVANT_TITLE_KEYWORDS,
     """Explode ``jobs[]``, gate titles (F1), apply defaults, id = md5(url)[:12]."""
     scraped_at = scraped_at if scraped_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     keep = [c for c in landed.columns if c != "body"]
-    jobs = spread(landed).select(*keep, F.posexplode(F.from_json("body", REMOTIVE_PAYLOAD).jobs).alias("pos", "j"))
+    jobs = landed.select(*keep, F.posexplode(F.from_json("body", REMOTIVE_PAYLOAD).jobs).alias("pos", "j"))
     return jobs.where(is_relevant(F.coalesce(F.col("j.title"), F.lit("")), keywords)).select(
         *keep, "pos",
         posting_id("j.url").alias("job_id"),
         F.coalesce(F.col("j.title"), F.lit("")).alias("title"),
         F.coalesce(F.col("j.company_name"), F.lit("")).alias("company"),
         F.coalesce(F.col("j.candidate_required_location"), F.lit(K.REMOTIVE_DEFAULT_LOCATION)).alias("location"),
-        truncate_chars(F.coalesce(F.col("j.description"), F.lit(""))).alias("description"),
+        F.coalesce(F.col("j.description"), F.lit("")).alias("description"),
         F.coalesce(F.col("j.url"), F.lit("")).alias("url"),
         F.lit("remotive").alias("source_name"),
         F.coalesce(F.col("j.salary"), F.lit("")).alias("salary"),
@@ -82,23 +65,24 @@ def extract_remotive(landed: DataFrame, keywords=K.RELEVANT_TITLE_KEYWORDS,
 
 def extract_muse(landed: DataFrame, cap: Column | None = None, scraped_at: Column | None = None) -> DataFrame:
     """Explode ``results[]``; location = joined location names or 'Remote' when the list is
-    empty; rows without a landing page are dropped; description = text of the HTML contents.
-    No title gate here (P6). ``cap`` optionally limits rows per response (P7, off by default)."""
+    empty; rows without a landing page are dropped; description = the whole text of the parsed
+    HTML contents, every character reference decoded. No title gate here (P6). ``cap`` optionally limits rows per response (P7, off by default)."""
     scraped_at = scraped_at if scraped_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     keep = [c for c in landed.columns if c != "body"]
-    res = spread(landed).select(*keep, F.posexplode(F.from_json("body", MUSE_PAYLOAD).results).alias("pos", "j"))
+    res = landed.select(*keep, F.posexplode(F.from_json("body", MUSE_PAYLOAD).results).alias("pos", "j"))
     if cap is not None:
         res = res.where(F.col("pos") < cap)
     url = F.coalesce(F.col("j.refs.landing_page"), F.lit(""))
     names = F.transform(F.coalesce(F.col("j.locations"), F.array().cast("array<struct<name:string>>")),
                         lambda x: F.coalesce(x["name"], F.lit("")))
-    return res.where(url != "").select(
+    texts = with_html_text(res.where(url != "").withColumn("_html", F.coalesce(F.col("j.contents"), F.lit(""))), "_html", "_text")
+    return texts.select(
         *keep, "pos",
         posting_id(url).alias("job_id"),
         F.coalesce(F.col("j.name"), F.lit("")).alias("title"),
         F.coalesce(F.col("j.company.name"), F.lit("")).alias("company"),
         F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(F.lit(K.MUSE_EMPTY_LOCATION)).alias("location"),
-        truncate_chars(html_to_text_native(F.coalesce(F.col("j.contents"), F.lit("")))).alias("description"),
+        F.col("_text").alias("description"),
         url.alias("url"),
         F.lit("the_muse").alias("source_name"),
         F.lit("").alias("salary"),
@@ -129,10 +113,16 @@ def to_raw_posting(extracted: DataFrame, source_order=K.SOURCE_ORDER) -> DataFra
     )
 
 
-def keywords_from_table(df: DataFrame, col: str = "keyword", max_keywords: int = 10000) -> list[str]:
-    """J9 with a keyword *table*: its size is checked, then the bounded list becomes a literal
-    array for the native ``contains`` gate (no nested-loop join over the postings)."""
-    n = df.select(col).distinct().count()
-    if n > max_keywords:
-        raise ValueError(f"keyword table has {n} rows, above the bound {max_keywords}")
-    return sorted(r[0].lower() for r in df.select(col).distinct().collect() if r[0] is not None)
+def keywords_from_table(df: DataFrame, col: str = "keyword") -> Column:
+    """J9 with a keyword *table*: its lower-cased distinct values as one pattern, a scalar
+    subquery evaluated once with the query (nothing is collected to the driver, and there is no
+    nested-loop join over the postings). Null and empty keywords are ignored."""
+    word = F.regexp_replace(F.lower(F.col(col)), r"([^\p{L}\p{N}\s])", r"\\$1")
+    return df.where(F.length(col) > 0).agg(F.nullif(F.array_join(F.array_sort(F.collect_set(word)), "|"), F.lit("")).alias("pattern")).scalar()
+
+
+def mentions_any(text: Column | str, pattern: Column) -> Column:
+    """F1 with such a pattern: the lower-cased text contains a keyword; false for a null text or
+    no keywords."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    return F.coalesce(F.rlike(low, pattern), F.lit(False))

@@ -14,7 +14,7 @@ from postkit.functions.bands import accent_band, rating_band, ring_band
 from postkit.functions.salary import salary_bounds, salary_overlap
 from postkit.functions.text import ellipsis, search_match
 from postkit.schemas import STATUS_DIM
-from postkit.session import literal_frame
+from postkit.session import literal_frame, materialize
 
 
 def status_dim(spark: SparkSession) -> DataFrame:
@@ -107,6 +107,19 @@ def sort_postings(df: DataFrame, sort_by: str, top: int | None = None, key: str
     return out.limit(top) if top else out
 
 
+def ranked(df: DataFrame, sort_by: str, key: str = "job_id") -> DataFrame:
+    """O2 over the whole view: every row with its place (from 1) in the named sort. The sort is a
+    range shuffle; places are offsets of the sorted parts plus positions inside them, so no task
+    holds more than its range."""
+    order = df.select(key, *{_SORTS.get(sort_by, ("score", False))[0]}).orderBy(*sort_columns(sort_by, key))
+    done = materialize(order.select(key, F.monotonically_increasing_id().alias("at")), "ranked")
+    part = F.shiftright("at", 33)
+    starts = done.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select(
+        "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    return done.join(starts, part == F.col("part")).select(F.lit(sort_by).alias("sort_by"), place.cast("bigint").alias("rank"), key)
+
+
 def top_k_all_sorts(df: DataFrame, k: int, options: Sequence[str] = K.SORT_OPTIONS, key: str = "job_id") -> DataFrame:
     """O2 for several sort options in one pass over ``df``: every row is fanned out once per
     option with a uniform (number, text) sort key, and ``row_number() <= k`` per option compiles
@@ -223,7 +236,7 @@ def board_overflow(view: DataFrame, dim: DataFrame, k: int = K.BOARD_CARDS_PER_S
     )
 
 
-def score_bands(view: DataFrame, key: str = "job_id") -> DataFrame:
-    """X27-X29 side by side."""
-    return view.select(key, "score", ring_band("score").alias("ring"), accent_band("score").alias("accent"),
+def score_bands(view: DataFrame, key: str = "job_id", *extra: Column) -> DataFrame:
+    """X27-X29 side by side, with further columns of the view."""
+    return view.select(key, "score", *extra, ring_band("score").alias("ring"), accent_band("score").alias("accent"),
                        rating_band("score").alias("rating"))

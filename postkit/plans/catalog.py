@@ -6,7 +6,9 @@ library operators. ``oracle.py`` holds the equivalent DuckDB SQL under the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postkit import constants as K
@@ -18,24 +20,26 @@ from postkit.functions.tokens import with_token_fields
 from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
+from postkit.operators.ingest import extract_all, merge_into_store
 from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
                                       scoring_counters, select_unscored)
 from postkit.operators.warehouse import (append_overrides, load_new, normalise_rows, read_overrides,
-                                        read_table as read_warehouse)
+                                        read_quarantine, read_table as read_warehouse)
 from postkit.plans import fixtures as X
-from postkit.session import read_table, scratch_path
+from postkit.session import literal_frame, materialize, read_table, scratch_path
 from postkit.sources.html import (cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
                                   heading, nav_links_capped, page_text)
-from postkit.sources.payloads import extract_muse, extract_remotive, json_field, keywords_from_table
+from postkit.sources.payloads import (extract_muse, extract_remotive, json_field, keywords_from_table, mentions_any,
+                                      search_specs, with_enabled_specs)
 from postkit.sources.store import read_store, write_store
 
 # query parameters (shared with oracle.py)
 SEARCH_QUERY = "machinery|remote"
-SALARY_WINDOW = (40000, 50000)
+SALARY_WINDOW = (20000, 30075)                                  # cuts at every scale
 GATE_KEYWORDS = ["tion", "data"]
 PROFILE_SKILLS = ["the", "and", "tion"]
 VOCABULARY = ["the", "and", "tion", "der", "ment", "ing", "sch", "que"]
-STORE_SPLIT_DOC_ID = 500
+EARLY = "doc_id % 3 < 2"                                        # the rows of the first drop or store
 NAV_CAP = 3
 SORT_TOP = 20
 FIXED_SCRAPED_AT = "2024-01-01T00:00:00+00:00"
@@ -122,7 +126,7 @@ def q_board_overflow(spark, sf):
 
 def q_score_bands(spark, sf):
     v = _view(spark, sf)
-    return R.score_bands(v).join(v.select("job_id", remote_rule("location", "source").alias("remote_rule")), "job_id")
+    return R.score_bands(v, "job_id", remote_rule("location", "source").alias("remote_rule"))
 
 
 def q_distinct_sources(spark, sf):
@@ -146,11 +150,10 @@ def q_title_gate(spark, sf):
 
 
 def q_keyword_table_gate(spark, sf):
-    """The title gate with keywords from a table (the distinct document languages),
-    size-checked and applied as a native literal list, not a nested-loop join."""
+    """The title gate with keywords from a table (the distinct document languages), read as
+    one scalar array inside the plan."""
     keywords = keywords_from_table(read_table(spark, sf, "documents").select(F.col("lang").alias("keyword")))
-    d = X.raw_d(spark, sf)
-    return d.select("doc_id", "title", is_relevant("title", keywords).alias("relevant"))
+    return X.raw_d(spark, sf).select("doc_id", "title", mentions_any("title", keywords).alias("relevant"))
 
 
 def q_dedup_first(spark, sf):
@@ -162,10 +165,9 @@ def q_ingest_counters(spark, sf):
 
 
 def q_insert_new(spark, sf):
-    d = X.raw_d(spark, sf)
-    store = dedup_first(d.where(F.col("doc_id") < STORE_SPLIT_DOC_ID), "job_id", ["doc_id"])
-    batch = d.where(F.col("doc_id") >= STORE_SPLIT_DOC_ID)
-    return merged_store(store.select("job_id", "doc_id"), batch.select("job_id", "doc_id"), "job_id", ["doc_id"])
+    d = X.raw_d(spark, sf).select("job_id", "doc_id")
+    store = materialize(dedup_first(d.where(EARLY), "job_id", ["doc_id"]), "store")
+    return merged_store(store, d.where(f"not ({EARLY})"), "job_id", ["doc_id"])
 
 
 STORE_COLUMNS = ["job_id", "doc_id", "title", "source"]
@@ -177,9 +179,9 @@ def q_store_versions(spark, sf):
     reader takes the newest version."""
     d = X.raw_d(spark, sf).select(*STORE_COLUMNS)
     root = scratch_path(spark, "store")
-    write_store(dedup_first(d.where(F.col("doc_id") < STORE_SPLIT_DOC_ID), "job_id", ["doc_id"]), root)
+    write_store(dedup_first(d.where(EARLY), "job_id", ["doc_id"]), root)
     current = read_store(spark, root, schema=d.schema)
-    merged = merged_store(current, d.where(F.col("doc_id") >= STORE_SPLIT_DOC_ID), "job_id", ["doc_id"])
+    merged = merged_store(current, d.where(f"not ({EARLY})"), "job_id", ["doc_id"])
     write_store(merged.drop("is_new"), root)
     return read_store(spark, root, schema=d.schema)
 
@@ -296,6 +298,10 @@ def q_html_text(spark, sf):
 
 
 def q_page_chain_cut(spark, sf):
+    return cut_page_chain(X.page_chain_c(spark, sf), "category", max_pages=K.JOBSTACK_MAX_PAGES).select("category", "page_no")
+
+
+def q_page_chain_all(spark, sf):
     return cut_page_chain(X.page_chain_c(spark, sf), "category").select("category", "page_no")
 
 
@@ -320,12 +326,40 @@ def q_score_postings(spark, sf):
     return good.select(*SCORE_COLUMNS)
 
 
-def q_incremental_score(spark, sf):
+def _incremental_score(spark, sf, scorers):
     from postkit.streaming.incremental import run_incremental_score
     raw, done, profile = _scoring_inputs(spark, sf)
     todo = raw.join(done, "doc_id", "left_anti")
-    out = run_incremental_score(spark, todo, "doc_id", STORE_SPLIT_DOC_ID, profile, keyword_scorer(PROFILE_SKILLS),
-                                "doc_id", GATE_KEYWORDS)
+    return run_incremental_score(spark, todo, F.expr(EARLY), profile, scorers, "doc_id", GATE_KEYWORDS)
+
+
+def q_incremental_score(spark, sf):
+    out, _ = _incremental_score(spark, sf, [keyword_scorer(PROFILE_SKILLS)] * 2)
+    return out.select(*SCORE_COLUMNS)
+
+
+def failing_scorer():
+    """A scorer that answers no prompt from an even-numbered source."""
+    def factory():
+        score = keyword_scorer(PROFILE_SKILLS)()
+
+        def some(pdf):
+            even = pdf["prompt"].str.extract(r"Source: src(\d+)", expand=False).astype(int) % 2 == 0
+            return score(pdf).where(~even.to_numpy(), "no answer")
+        return some
+    return factory
+
+
+def q_score_retry(spark, sf):
+    """K2: a first run whose scorer fails for some postings, a second one that retries them with
+    the second drop, and a third with nothing left: scored and failed of each run."""
+    _, counts = _incremental_score(spark, sf, [failing_scorer(), keyword_scorer(PROFILE_SKILLS), keyword_scorer(PROFILE_SKILLS)])
+    return literal_frame(spark, [(i + 1, c.scored, c.failed) for i, c in enumerate(counts)], "run bigint, scored bigint, failed bigint")
+
+
+def q_score_retry_store(spark, sf):
+    """The scores after those runs."""
+    out, _ = _incremental_score(spark, sf, [failing_scorer(), keyword_scorer(PROFILE_SKILLS), keyword_scorer(PROFILE_SKILLS)])
     return out.select(*SCORE_COLUMNS)
 
 
@@ -350,25 +384,92 @@ def q_jobs_cz_cards(spark, sf):
 
 
 def q_linkedin_cards(spark, sf):
-    out = extract_linkedin(X.landed_linkedin(spark, sf), cap=25, scraped_at=F.lit(FIXED_SCRAPED_AT))
+    out = extract_linkedin(X.landed_linkedin(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT))
     return out.select("c_custkey", F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location",
                       "url")
 
 
-def q_jobstack_links(spark, sf):
-    out = extract_jobstack(X.landed_jobstack(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT))
+def _jobstack(spark, sf, max_pages):
+    out = extract_jobstack(X.landed_jobstack(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT), max_pages=max_pages)
     return out.select(F.col("query").alias("category"), F.col("page_no").cast("bigint").alias("page_no"),
                       F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location", "salary")
 
 
+def q_jobstack_links(spark, sf):
+    return _jobstack(spark, sf, K.JOBSTACK_MAX_PAGES)
+
+
+def q_jobstack_links_all(spark, sf):
+    return _jobstack(spark, sf, None)
+
+
+def q_jobs_cz_cards_all(spark, sf):
+    out = extract_jobs_cz(X.landed_jobs_cz(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT))
+    return out.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), "job_id", "title", "company", "location", "salary", "url")
+
+
+def q_cards_by_spec_cap(spark, sf):
+    """J10 + W4: pages of three searches with caps 5, 50 and none, each cap over all pages of its search."""
+    landed = with_enabled_specs(X.landed_pages_jobs_cz(spark, sf), search_specs(spark, X.CAP_BY_SEARCH))
+    out = extract_jobs_cz(landed, scraped_at=F.lit(FIXED_SCRAPED_AT), cap_col="cap")
+    return out.select("query", F.col("page_no").cast("bigint").alias("page_no"), F.col("pos").cast("bigint").alias("pos"), "job_id", "title")
+
+
+def q_nav_cards_all(spark, sf):
+    cards = extract_cards(read_table(spark, sf, "pages"), "links", ["page_id"], "html", selector="nav ul li a")
+    return cards.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text")
+
+
+def _ingest(spark, sf):
+    """All five sources into a store that already has the Muse postings of each first turn."""
+    extracted = extract_all(spark, X.landed_all(spark, sf), X.specs_all(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT), max_pages=K.JOBSTACK_MAX_PAGES)
+    c = read_table(spark, sf, "conversations").where("turn = 0")
+    store = c.select(posting_id(F.concat(F.lit("https://muse.example/"), F.col("conv_id").cast("string"), F.lit("/0"))).alias("job_id"))
+    return merge_into_store(store, extracted)
+
+
+def q_ingest_all(spark, sf):
+    return _ingest(spark, sf)[0].select("job_id", "title", "company", "source", F.length("description").cast("bigint").alias("desc_chars"))
+
+
+def q_ingest_all_counters(spark, sf):
+    return _ingest(spark, sf)[1]
+
+
+def q_load_duplicates(spark, sf):
+    """K3 + Q2 on a batch with repeated ids and rows without one: the table, then the quarantine."""
+    path = scratch_path(spark, "warehouse")
+    for _ in range(2):
+        load_new(spark, X.repeated_b(spark, sf), path, X.LOADED_AT)
+    kept = read_warehouse(spark, path).select(F.lit("table").alias("part"), "job_id", "title", "score")
+    return kept.unionByName(read_quarantine(spark, path).select(F.col("error").alias("part"), "job_id", "title", "score"))
+
+
+def q_load_counters(spark, sf):
+    """A9 at the load: inserted, skipped and quarantined rows of two loads of that batch."""
+    path = scratch_path(spark, "warehouse")
+    runs = [load_new(spark, X.repeated_b(spark, sf), path, X.LOADED_AT) for _ in range(2)]
+    return literal_frame(spark, [(i + 1, *r) for i, r in enumerate(runs)], "run bigint, inserted bigint, skipped bigint, quarantined bigint")
+
+
+def q_source_filter(spark, sf):
+    """F7."""
+    return R.apply_filters(_salaried_view(spark, sf), R.FilterSpec(source="BUILDING", min_score=None)).select("job_id", "source", "score")
+
+
+def q_sort_all(spark, sf):
+    """O2 over the whole shown view, all four sorts, every row with its place."""
+    shown = materialize(R.apply_filters(_salaried_view(spark, sf), DEFAULT_SPEC).select("job_id", "score", "date_scraped", "company"), "shown")
+    return reduce(DataFrame.unionByName, [R.ranked(shown, name) for name in K.SORT_OPTIONS])
+
+
 def q_latest_override(spark, sf):
     return latest_by_key(X.overrides_l(spark, sf), "job_id", ["updated_at", "seq"], ["status"])
 
 
 def q_incremental_dedup(spark, sf):
     from postkit.streaming.incremental import run_incremental_dedup
-    return run_incremental_dedup(spark, X.raw_d(spark, sf).select("job_id", "doc_id", "source"),
-                                 split_col="doc_id", split_at=STORE_SPLIT_DOC_ID)
+    return run_incremental_dedup(spark, X.raw_d(spark, sf).select("job_id", "doc_id", "source"), F.expr(EARLY))
 
 
 def q_incremental_load(spark, sf):
@@ -436,4 +537,17 @@ QUERIES = {
     "incremental_dedup": q_incremental_dedup,
     "incremental_load": q_incremental_load,
     "override_stream": q_override_stream,
+    "page_chain_all": q_page_chain_all,
+    "jobstack_links_all": q_jobstack_links_all,
+    "jobs_cz_cards_all": q_jobs_cz_cards_all,
+    "cards_by_spec_cap": q_cards_by_spec_cap,
+    "nav_cards_all": q_nav_cards_all,
+    "ingest_all": q_ingest_all,
+    "ingest_all_counters": q_ingest_all_counters,
+    "load_duplicates": q_load_duplicates,
+    "load_counters": q_load_counters,
+    "source_filter": q_source_filter,
+    "sort_all": q_sort_all,
+    "score_retry": q_score_retry,
+    "score_retry_store": q_score_retry_store,
 }

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postkit.functions.text import first_line, posting_id
 from postkit.session import read_table
+from postkit.sources.payloads import search_specs
 
 LOADED_AT = "2024-02-01 00:00:00"
 STATUS_BY_MOD7 = ["new", "saved", "applied", "replied", "interview", "rejected", "ignored"]
@@ -128,6 +129,7 @@ def landed_remotive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_muse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P: one Muse-shaped JSON response per conversation turn (escaped by ``to_json``).
+    The contents end with named, decimal and doubly escaped character references and a script.
     turn % 3 == 0 -> no locations; turn % 5 == 4 -> empty landing page (skipped)."""
     c = read_table(spark, sf_dir, "conversations")
     t = F.col("turn")
@@ -138,7 +140,7 @@ def landed_muse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://muse.example/"), F.col("conv_id").cast("string"), F.lit("/"), t.cast("string")))
     job = F.struct(
         first_line("text").alias("name"),
-        F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("contents"),
+        F.concat(F.lit("<div><p>"), F.col("text"), F.lit("</p> caf&eacute; &#8211; Plze&#328; &amp;lt; <script>x</script></div>")).alias("contents"),
         F.struct(F.col("role").alias("name")).alias("company"),
         F.struct(url.alias("landing_page")).alias("refs"),
         locs.alias("locations"),
@@ -252,3 +254,51 @@ def landed_jobstack(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<html><body><ul>"), links, F.lit("</ul>"), nxt, F.lit("</body></html>"))
     return c.select(F.lit("jobstack").alias("source"), cid.alias("query"), (t + 1).cast("int").alias("page_no"),
                     body.alias("body"))
+
+
+def landed_pages_jobs_cz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P: the jobs.cz pages as result pages of three searches (part key modulo 3), in page order."""
+    p = landed_jobs_cz(spark, sf_dir)
+    return p.select("source", F.concat(F.lit("search "), F.col("p_partkey") % 3).alias("query"),
+                    F.col("p_partkey").cast("int").alias("page_no"), "body")
+
+
+CAP_BY_SEARCH = [("jobs_cz", "search 0", "", 5, True), ("jobs_cz", "search 1", "", 50, True), ("jobs_cz", "search 2", "", None, True)]
+
+
+def landed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P: pages of all five sources in one landed table. LinkedIn's links point to postings that
+    Remotive has too, so ids overlap across sources."""
+    wide = lambda df, query, page: df.select("source", query.alias("query"), page.cast("int").alias("page_no"), "body")
+    li = landed_linkedin(spark, sf_dir).withColumn("body", F.replace("body", F.lit("https://li.example/jobs/view/"), F.lit("https://remotive.example/e/")))
+    parts = [
+        wide(landed_remotive(spark, sf_dir), F.lit("data analyst"), F.col("event_id")),
+        wide(landed_muse(spark, sf_dir), F.lit("Data Science"), F.col("conv_id") * 100 + F.col("turn")),
+        landed_pages_jobs_cz(spark, sf_dir),
+        wide(li, F.lit("data analyst BI"), F.col("c_custkey")),
+        wide(landed_jobstack(spark, sf_dir), F.col("query"), F.col("page_no")),
+        wide(landed_remotive(spark, sf_dir), F.lit("switched off"), F.col("event_id")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def specs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spec table for ``landed_all``: one row per search, one of them disabled; a Jobstack
+    category per conversation, every fourth disabled."""
+    fixed = search_specs(spark, [("remotive", "data analyst", "", 20, True), ("remotive", "switched off", "", 20, False),
+                                 ("the_muse", "Data Science", "", 15, True), *CAP_BY_SEARCH, ("linkedin", "data analyst BI", "Prague", None, True)])
+    c = read_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return fixed.unionByName(c.select(
+        F.lit("jobstack").alias("source"), _s("conv_id").alias("query"), F.lit("").alias("location"), F.lit(None).cast("int").alias("cap"),
+        (F.col("conv_id") % 4 != 0).alias("enabled"), F.lit(4).alias("source_rank"), F.col("conv_id").cast("int").alias("query_rank")))
+
+
+def repeated_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B as a re-scored batch: every posting twice with different scores, and a row without an id
+    for every tenth."""
+    b = postings_b(spark, sf_dir).drop("loaded_at")
+    again = b.withColumn("score", F.coalesce(F.col("score"), F.lit(0)) + 7)
+    return b.unionByName(again).unionByName(b.where(F.col("job_id").cast("long") % 10 == 0).withColumn("job_id", F.lit(None).cast("string")))

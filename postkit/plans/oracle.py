@@ -84,8 +84,8 @@ SHOWN = f"""SHOWN AS (
                      AND salary_max >= coalesce(salary_lo, -4611686018427387904), false)))"""
 
 DIM = "DIM AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({o}, {_q(s)}, {_q(lab)}, {_q(e)}, {_q(c)})" for o, s, lab, e, c in K.STATUS_DIM_ROWS
-) + ") AS t(ordinal, status, label, emoji, color))"
+    f"({o}, {_q(s)}, {_q(lab)}, {_q(e)})" for o, s, lab, e in K.STATUS_DIM_ROWS
+) + ") AS t(ordinal, status, label, emoji))"
 
 D = """D AS (
   SELECT substring(md5(text), 1, 12) AS job_id, doc_id, split_part(text, chr(10), 1) AS title,
@@ -196,21 +196,30 @@ J AS (
     CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS salary FROM E
   UNION ALL
   SELECT event_id, 1, 'https://remotive.example/e/' || CAST(event_id AS VARCHAR), 'Data Engineer', 'Big', 'Worldwide',
-    3000, '' FROM E)
+    3200, '' FROM E)
 SELECT event_id, CAST(pos AS BIGINT) AS pos, substring(md5(url), 1, 12) AS job_id, title, company, location,
   CAST(desc_chars AS BIGINT) AS desc_chars, salary
 FROM J WHERE {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
 
-_ENT = "replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+# entities that occur in the pages, '&amp;' last
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", chr(160)), ("&copy;", chr(169)),
+             ("&middot;", chr(183)), ("&amp;", "&")]
 
-MUSE = f"""WITH M AS (
-  SELECT conv_id, turn, role, text,
-    CASE WHEN turn % 5 = 4 THEN '' ELSE 'https://muse.example/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) END AS url
-  FROM conversations)
-SELECT conv_id, turn, substring(md5(url), 1, 12) AS job_id, split_part(text, chr(10), 1) AS title, role AS company,
+
+def _decoded(x: str) -> str:
+    for ent, ch in _ENTITIES:
+        x = f"replace({x}, {_q(ent)}, chr({ord(ch)}))"
+    return x
+
+
+MUSE_ROWS = """SELECT conv_id, turn, substring(md5(url), 1, 12) AS job_id, split_part(text, chr(10), 1) AS title, role AS company,
   CASE WHEN turn % 3 = 0 THEN 'Remote' WHEN turn % 3 = 1 THEN role ELSE role || ', Brno' END AS location,
-  md5(substring({_ENT.replace('x', "regexp_replace(regexp_replace('<p>' || text || '</p>', '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')", 1)}, 1, 3000)) AS desc_md5
-FROM M WHERE url <> ''"""
+  text || ' café – Plzeň &lt; ' AS description
+FROM (SELECT conv_id, turn, role, text,
+    CASE WHEN turn % 5 = 4 THEN '' ELSE 'https://muse.example/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) END AS url
+  FROM conversations) WHERE url <> ''"""
+
+MUSE = f"SELECT conv_id, turn, job_id, title, company, location, md5(description) AS desc_md5 FROM ({MUSE_ROWS})"
 
 # ---------------------------------------------------------------- pages
 NAV = """WITH N AS (
@@ -221,7 +230,8 @@ U AS (
 SELECT page_id, CAST(pos AS BIGINT) AS pos, href, {text} AS text FROM U WHERE pos < %d""" % C.NAV_CAP
 
 NAV_CAPPED = NAV.format(text="text")
-NAV_PARSED = NAV.format(text=_ENT.replace("x", "text", 1))
+NAV_PARSED = NAV.format(text=_decoded("text"))
+NAV_ALL = NAV_PARSED.partition("WHERE pos <")[0]
 
 _SKILLS = "[" + ", ".join(_q(x) for x in C.PROFILE_SKILLS) + "]"
 SCORED_D = _with(D) + f""", T AS (SELECT doc_id, lower(coalesce(substring(description, 1, 3000), '')) AS d FROM D
@@ -233,14 +243,25 @@ SELECT doc_id, CAST(100 * len(hits) // {len(C.PROFILE_SKILLS)} AS BIGINT) AS sco
 FROM H"""
 
 def _html_text_sql() -> str:
-    from postkit.sources.payloads import _ENTITIES
     x = (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), "
          r"'(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")
-    for ent, ch in _ENTITIES:
-        x = f"replace({x}, {_q(ent)}, chr({ord(ch)}))"
+    x = _decoded(x)
     return f"SELECT page_id, CAST(length({x}) AS BIGINT) AS text_chars, md5({x}) AS text_md5 FROM pages"
 
 
+JOBS_CZ_CARDS = """SELECT p_partkey, 0 AS pos, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/0' AS url, p_name || ' analyst' AS title,
+    p_brand AS company, 'Brno' AS location, CAST(p_size AS VARCHAR) || ' 000 Kč' AS salary FROM part
+  UNION ALL
+  SELECT p_partkey, 1, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/1', 'Chef ' || p_name, p_type, 'Praha', '' FROM part
+  UNION ALL SELECT p_partkey, 2, NULL, NULL, NULL, NULL, NULL FROM part
+  UNION ALL SELECT p_partkey, 3, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/3', 'Data lead', '', 'Praha', '' FROM part"""
+JOBS_CZ_ALL = f"""SELECT p_partkey, CAST(pos AS BIGINT) AS pos, substring(md5(url), 1, 12) AS job_id, title, company, location, salary, url
+FROM ({JOBS_CZ_CARDS}) WHERE title IS NOT NULL AND {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
+JOBS_CZ_CAPPED = f"""SELECT 'search ' || CAST(p_partkey % 3 AS VARCHAR) AS query, CAST(p_partkey AS BIGINT) AS page_no, CAST(pos AS BIGINT) AS pos,
+  substring(md5(url), 1, 12) AS job_id, title, company
+FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey, pos) AS n FROM ({JOBS_CZ_CARDS}))
+WHERE n <= CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE n END AND title IS NOT NULL AND {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
+
 JOBS_CZ = f"""WITH C AS (
   SELECT p_partkey, 0 AS pos, 'https://jobs.example.cz/' || CAST(p_partkey AS VARCHAR) || '/0' AS url, p_name || ' analyst' AS title,
     p_brand AS company, 'Brno' AS location, CAST(p_size AS VARCHAR) || ' 000 Kč' AS salary FROM part
@@ -258,11 +279,13 @@ LINKEDIN = f"""WITH C AS (
 SELECT c_custkey, CAST(pos AS BIGINT) AS pos, substring(md5(url), 1, 12) AS job_id, title, company, location, url
 FROM C WHERE {_any_contains('lower(title)', K.RELEVANT_TITLE_KEYWORDS)}"""
 
-JOBSTACK = f"""WITH P AS (
+def _jobstack(max_pages: int | None) -> str:
+    within = "true" if max_pages is None else f"page_no <= {max_pages}"
+    return f"""WITH P AS (
   SELECT conv_id, turn, turn + 1 AS page_no, role, length(text) < 40 AS empty, turn % 4 = 3 AS last FROM conversations),
 S AS (SELECT conv_id, min(page_no) FILTER (WHERE empty) AS se, min(page_no) FILTER (WHERE last) AS sl
-  FROM P WHERE page_no <= {K.JOBSTACK_MAX_PAGES} GROUP BY conv_id),
-KP AS (SELECT P.* FROM P JOIN S ON P.conv_id = S.conv_id WHERE page_no <= {K.JOBSTACK_MAX_PAGES}
+  FROM P WHERE {within} GROUP BY conv_id),
+KP AS (SELECT P.* FROM P JOIN S ON P.conv_id = S.conv_id WHERE {within}
   AND (se IS NULL OR page_no < se) AND (sl IS NULL OR page_no <= sl)),
 LK AS (
   SELECT conv_id, page_no, 0 AS pos,
@@ -280,6 +303,24 @@ FROM F JOIN W ON F.job_id = W.job_id AND F.page_no * 1000 + F.pos = W.o
 WHERE {_any_contains('lower(F.title)', K.RELEVANT_TITLE_KEYWORDS)}"""
 
 
+JOBSTACK = _jobstack(K.JOBSTACK_MAX_PAGES)
+
+EXTRACTED = f"""A AS (
+  SELECT job_id, title, company, desc_chars, 'remotive' AS source, 0 AS sr, 0 AS qr, event_id AS page_no, pos FROM ({REMOTIVE})
+  UNION ALL SELECT job_id, title, company, length(description), 'the_muse', 1, 0, conv_id * 100 + turn, 0 FROM ({MUSE_ROWS})
+  UNION ALL SELECT job_id, title, company, 0, 'jobs_cz', 2, CAST(right(query, 1) AS INTEGER), page_no, pos FROM ({JOBS_CZ_CAPPED})
+  UNION ALL SELECT substring(md5(replace(url, 'https://li.example/jobs/view/', 'https://remotive.example/e/')), 1, 12), title, company, 0,
+    'linkedin', 3, 0, c_custkey, pos FROM ({LINKEDIN})
+  UNION ALL SELECT job_id, title, company, 0, 'jobstack', 4, CAST(category AS INTEGER), page_no, pos FROM ({JOBSTACK}) WHERE CAST(category AS INTEGER) % 4 <> 0),
+S AS (SELECT DISTINCT substring(md5('https://muse.example/' || CAST(conv_id AS VARCHAR) || '/0'), 1, 12) AS job_id FROM conversations),
+N AS (SELECT *, job_id NOT IN (SELECT job_id FROM S) AND row_number() OVER (PARTITION BY job_id ORDER BY sr, qr, page_no, pos, company, desc_chars, title) = 1 AS is_new FROM A)"""
+
+# B twice with different scores (the lower one first), every tenth also without an id
+REPEATED = _with(B) + """, R2 AS (SELECT job_id, title, score, scraped_at FROM B UNION ALL SELECT job_id, title, coalesce(score, 0) + 7, scraped_at FROM B),
+KEPT AS (SELECT job_id, any_value(title) AS title, CASE WHEN bool_or(score IS NULL) THEN NULL ELSE min(score) END AS score FROM R2 GROUP BY job_id),
+LOST AS (SELECT title, score FROM B WHERE CAST(job_id AS BIGINT) % 10 = 0)"""
+
+
 SQL = {
     "current_postings": _with(*_VIEW) + """SELECT job_id, title, company, location, url, source, salary, score,
   match_summary, skills_match, gaps, seniority_match, remote_match, status, date_scraped
@@ -374,16 +415,16 @@ SELECT doc_id, title, coalesce(EXISTS (SELECT 1 FROM KW WHERE contains(lower(D.t
   count(*) - count(W.doc_id) AS skipped
 FROM D LEFT JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id GROUP BY D.source""",
 
-    "store_versions": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id < {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
-N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id >= {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
+    "store_versions": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE {C.EARLY} GROUP BY job_id),
+N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE NOT ({C.EARLY}) GROUP BY job_id),
 K AS (SELECT job_id, doc_id FROM S UNION ALL SELECT job_id, doc_id FROM N WHERE job_id NOT IN (SELECT job_id FROM S))
 SELECT D.job_id, D.doc_id, D.title, D.source FROM D JOIN K ON D.job_id = K.job_id AND D.doc_id = K.doc_id""",
 
     "store_last_wins": _with(D) + """, L AS (SELECT job_id, max(doc_id) AS doc_id FROM D GROUP BY job_id)
 SELECT D.job_id, D.doc_id, D.title, D.source FROM D JOIN L ON D.job_id = L.job_id AND D.doc_id = L.doc_id""",
 
-    "insert_new": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id < {C.STORE_SPLIT_DOC_ID} GROUP BY job_id),
-N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE doc_id >= {C.STORE_SPLIT_DOC_ID} GROUP BY job_id)
+    "insert_new": _with(D) + f""", S AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE {C.EARLY} GROUP BY job_id),
+N AS (SELECT job_id, min(doc_id) AS doc_id FROM D WHERE NOT ({C.EARLY}) GROUP BY job_id)
 SELECT job_id, doc_id, false AS is_new FROM S
 UNION ALL SELECT job_id, doc_id, true FROM N WHERE job_id NOT IN (SELECT job_id FROM S)""",
 
@@ -458,10 +499,40 @@ FROM CUR""",
     "jobstack_links": JOBSTACK,
     "latest_override": _with(L, LATEST) + "SELECT job_id, status FROM LATEST",
 
-    "incremental_dedup": _with(D, WINNERS) + "SELECT D.job_id, D.doc_id, D.source FROM D JOIN W ON D.job_id = W.job_id AND D.doc_id = W.doc_id",
+    "incremental_dedup": _with(D) + f""", E AS (SELECT job_id, doc_id, source, row_number() OVER (
+  PARTITION BY job_id ORDER BY CASE WHEN {C.EARLY} THEN 0 ELSE 1 END, doc_id) AS n FROM D)
+SELECT job_id, doc_id, source FROM E WHERE n = 1""",
 
     "incremental_load": _with(B) + """SELECT job_id, coalesce(salary, '') AS salary, coalesce(status, 'new') AS status,
   CAST(scraped_at AS DATE) AS scraped_date FROM B""",
 
     "override_stream": _with(L, LATEST) + "SELECT job_id, status FROM LATEST",
+
+    "page_chain_all": """WITH P AS (SELECT conv_id AS category, turn + 1 AS page_no, length(text) < 40 AS empty FROM conversations),
+S AS (SELECT category, min(page_no) FILTER (WHERE empty) AS stop FROM P GROUP BY category)
+SELECT P.category, P.page_no FROM P JOIN S ON P.category = S.category WHERE S.stop IS NULL OR P.page_no < S.stop""",
+
+    "jobstack_links_all": _jobstack(None),
+    "jobs_cz_cards_all": JOBS_CZ_ALL,
+    "cards_by_spec_cap": f"SELECT query, page_no, pos, job_id, title FROM ({JOBS_CZ_CAPPED})",
+    "nav_cards_all": NAV_ALL,
+    "ingest_all": f"WITH {EXTRACTED} SELECT job_id, title, company, source, CAST(desc_chars AS BIGINT) AS desc_chars FROM N WHERE is_new",
+    "ingest_all_counters": f"""WITH {EXTRACTED} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE is_new) AS inserted,
+  count(*) FILTER (WHERE NOT is_new) AS skipped FROM N GROUP BY source""",
+
+    "load_duplicates": REPEATED + """SELECT 'table' AS part, job_id, title, score FROM KEPT
+UNION ALL SELECT 'missing job_id', NULL, title, score FROM LOST UNION ALL SELECT 'missing job_id', NULL, title, score FROM LOST""",
+    "load_counters": REPEATED + """, C AS (SELECT (SELECT count(*) FROM KEPT) AS k, (SELECT count(*) FROM R2) AS r, (SELECT count(*) FROM LOST) AS l)
+SELECT 1 AS run, k AS inserted, r - k AS skipped, l AS quarantined FROM C UNION ALL SELECT 2, 0, r, l FROM C""",
+
+    "source_filter": _with(*_SALV, BOUNDS) + f"""SELECT job_id, source, score FROM SAL, BOUNDS
+WHERE source = 'BUILDING' AND coalesce(status IN ({STATUSES_IN}), false)
+  AND (salary_currency IS DISTINCT FROM 'CZK' OR coalesce(salary_min <= salary_hi AND salary_max >= salary_lo, false))""",
+
+    "score_retry_store": SCORED_D,
 }
+SQL["sort_all"] = SQL["sort_options"].rpartition("WHERE rank <=")[0]
+SQL["score_retry"] = f"""WITH T AS (SELECT s.doc_id, {C.EARLY.replace('doc_id', 's.doc_id')} AS early, CAST(substring(d.source, 4) AS INTEGER) % 2 = 0 AS fails
+  FROM ({SCORED_D}) s JOIN documents d ON d.doc_id = s.doc_id)
+SELECT 1 AS run, count(*) FILTER (WHERE early AND NOT fails) AS scored, count(*) FILTER (WHERE early AND fails) AS failed FROM T
+UNION ALL SELECT 2, count(*) FILTER (WHERE NOT early OR fails), 0 FROM T UNION ALL SELECT 3, 0, 0"""

@@ -87,7 +87,6 @@ STATUS_DIM = T.StructType([
     T.StructField("status", S),
     T.StructField("label", S),
     T.StructField("emoji", S),
-    T.StructField("color", S),
 ])
 
 # landed payload wrapper: one fetched response per row

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, dedup_last, ingest_counters, insert_new, with_arrival_rank
-from postkit.operators.warehouse import load_new, normalise_rows, read_table
+from postkit.operators.warehouse import append_overrides, load_new, normalise_rows, quarantine_path, read_overrides, read_quarantine, read_table
 from postkit.session import scratch_path
 
 RAW = "job_id string, title string, source string, query_rank int, pos int"
@@ -53,8 +53,9 @@ def test_load_twice_inserts_nothing_and_quarantines_null_keys(spark):
             (None, "no key", "2024-01-03T10:00:00+00:00", 10), ("a", "dup in batch", "2024-01-04T10:00:00+00:00", 1)]
     df = spark.createDataFrame(rows, "job_id string, title string, scraped_at string, score long")
     path = scratch_path(spark, "wh-test")
-    assert load_new(spark, df, path, "2024-02-01 00:00:00") == 2
-    assert load_new(spark, df, path, "2024-02-01 00:00:00") == 0
+    assert load_new(spark, df, path, "2024-02-01 00:00:00") == (2, 1, 1)
+    assert load_new(spark, df, path, "2024-02-01 00:00:00") == (0, 3, 1)
+    assert [(r.title, r.error) for r in read_quarantine(spark, path).collect()] == [("no key", "missing job_id")] * 2
     t = read_table(spark, path)
     assert t.count() == 2
     assert {r.title for r in t.where("job_id = 'a'").collect()} == {"t"}
@@ -109,3 +110,33 @@ def test_null_order_and_null_key_keep_a_survivor(spark):
     got = sorted((r.job_id or "", r.v) for r in dedup_first(df, "job_id", ["seq"]).collect())
     # min() ignores nulls, so 'a' keeps seq 5; a key whose order is all null keeps that row
     assert got == [("", "n1"), ("a", "x2"), ("b", "only")]
+
+
+def test_load_keeps_one_row_of_an_id_that_ties(spark):
+    rows = [(f"k{i % 5}", "t", "2024-01-02T10:00:00+00:00", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "job_id string, title string, scraped_at string, score long")
+    path = scratch_path(spark, "wh-ties")
+    assert load_new(spark, df, path, "2024-02-01 00:00:00") == (5, 5, 0)
+    assert sorted((r.job_id, r.score) for r in read_table(spark, path).collect()) == [(f"k{i}", i) for i in range(5)]
+
+
+def test_rejected_overrides_are_kept(spark):
+    path = scratch_path(spark, "log")
+    append_overrides(spark, spark.createDataFrame([("a", "saved"), (None, "saved"), ("b", None)], "job_id string, status string"), path)
+    assert read_overrides(spark, path).count() == 1
+    assert spark.read.parquet(quarantine_path(path)).count() == 2
+
+
+def test_dedup_of_columns_without_an_order(spark):
+    df = spark.createDataFrame([("a", 2, {"x": 1}), ("a", 1, {"y": 2}), ("b", 5, None)], "k string, o int, m map<string,int>")
+    assert sorted((r.k, r.o, str(r.m)) for r in dedup_first(df, "k", ["o"]).collect()) == [("a", 1, "{'y': 2}"), ("b", 5, "None")]
+
+
+def test_counters_reduce_and_missing_columns_take_defaults(spark):
+    df = spark.createDataFrame([("a", 1, "s"), ("a", 2, "t"), (None, 3, "s"), (None, 4, "s")], "job_id string, seq int, source string")
+    got = {r.source: (r.fetched, r.inserted, r.skipped) for r in ingest_counters(df, "job_id", ["seq"], "source", df.where("job_id = 'zzz'")).collect()}
+    assert got == {"s": (3, 2, 1), "t": (1, 0, 1)}
+    good, _ = normalise_rows(spark.createDataFrame([("a",)], "job_id string"), "2024-02-01 00:00:00")
+    r = good.first()
+    assert (r.title, r.salary, r.status, r.skills_match, r.gaps, r.score, r.remote_match) == ("", "", "new", "[]", "[]", None, None)
+    assert r.scraped_at == r.loaded_at == dt.datetime(2024, 2, 1)

@@ -85,7 +85,7 @@ def test_remotive_and_muse(spark):
     ]}
     landed = spark.createDataFrame([("remotive", "q", 1, "", json.dumps(rem)), ("the_muse", "q", 1, "", json.dumps(muse))], LANDED)
     r = extract_remotive(landed.where("source = 'remotive'")).collect()
-    assert [(x.title, x.location, len(x.description)) for x in r] == [("Data Analyst", "Worldwide", 3000)]
+    assert [(x.title, x.location, len(x.description)) for x in r] == [("Data Analyst", "Worldwide", 3500)]
     m = sorted((x.title, x.location, x.description) for x in extract_muse(landed.where("source = 'the_muse'")).collect())
     assert m == [("Chef", "Remote", "Hello & welcome"), ("Y", "Brno, Wien", "")]
 

@@ -11,7 +11,7 @@ from postkit.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 PYTHON_OK = {"nav_cards_parsed", "html_text", "score_postings", "incremental_score", "jobs_cz_cards",
-             "linkedin_cards", "jobstack_links"}
+             "linkedin_cards", "jobstack_links", "jobstack_links_all", "jobs_cz_cards_all", "cards_by_spec_cap", "nav_cards_all"}
 
 
 def _plan(df) -> str:
@@ -67,3 +67,19 @@ def test_store_keys_narrowed_before_anti_join(spark):
 
     rights = list(anti_right_sides(new_rows(spark, good, path)._jdf.queryExecution().optimizedPlan()))
     assert rights and all("LeftSemi" in r for r in rights)   # the store side is narrowed first
+
+
+@pytest.mark.parametrize("name,most", [("dedup_first", 1), ("ingest_counters", 1), ("insert_new", 4), ("score_bands", 2)])
+def test_scans(spark, name, most):
+    """First-wins and counters read their table once, bands the view once (postings and log); an
+    insert reads batch and store twice each: their rows and their keys."""
+    assert _plan(queries()[name](spark, SF)).count("FileScan parquet") <= most
+
+
+def test_ingest_parses_each_payload_once(spark):
+    from postkit.operators.ingest import extract_all, merge_into_store
+    extracted = extract_all(spark, X.landed_all(spark, SF), X.specs_all(spark, SF), scraped_at=F.lit("2024-01-01"))
+    new, counters = merge_into_store(extracted.select("job_id").limit(0), extracted)
+    for df in (new, counters):
+        plan = _plan(df)
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan

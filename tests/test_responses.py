@@ -1,6 +1,6 @@
 import pytest
 
-from postkit.functions.responses import json_list, parse_response, split_parsed
+from postkit.functions.responses import json_list, parse_responses, split_parsed
 
 OK_CASES = [
     ('{"score": 85, "skills_match": ["SQL"], "remote_match": true}', dict(score=85, match_summary="", skills_match='["SQL"]', gaps="[]", seniority_match=False, remote_match=True)),
@@ -22,7 +22,7 @@ FAIL_CASES = ['{"score": 70} {x}', '{"score": "85.5"}', '{"score": null}', "[1,2
 @pytest.mark.parametrize("text,expected", OK_CASES)
 def test_parse_ok(spark, text, expected):
     df = spark.createDataFrame([(1, text)], "id long, response string")
-    p = df.select(parse_response("response").alias("p")).first()["p"]
+    p = parse_responses(df, "response", ["id"]).first()["_p"]
     assert p.error is None
     for k, v in expected.items():
         assert getattr(p, k) == v, k
@@ -31,12 +31,12 @@ def test_parse_ok(spark, text, expected):
 @pytest.mark.parametrize("text", FAIL_CASES)
 def test_parse_fail(spark, text):
     df = spark.createDataFrame([(1, text)], "id long, response string")
-    assert df.select(parse_response("response").alias("p")).first()["p"].error is not None
+    assert parse_responses(df, "response", ["id"]).first()["_p"].error is not None
 
 
 def test_strict_bool(spark):
     df = spark.createDataFrame([(1, '{"remote_match": "false"}')], "id long, response string")
-    assert df.select(parse_response("response", strict_bool=True).alias("p")).first()["p"].remote_match is False
+    assert parse_responses(df, "response", ["id"], strict_bool=True).first()["_p"].remote_match is False
 
 
 def test_split_counts(spark):

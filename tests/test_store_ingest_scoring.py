@@ -9,9 +9,8 @@ from postkit.operators.scoring import (build_prompts, keyword_scorer, load_profi
                                        type_responses)
 from postkit.schemas import RAW_COLUMNS, RAW_POSTING
 from postkit.session import scratch_path
-from postkit.sources.payloads import keywords_from_table, search_specs
+from postkit.sources.payloads import keywords_from_table, mentions_any, search_specs
 from postkit.sources.store import read_store, write_store
-from postkit.functions.text import is_relevant
 
 
 def _raw(spark, rows):
@@ -69,12 +68,14 @@ def test_ingest_all_sources_first_wins(spark):
     ], "source string, query string, page_no int, body string")
     ext = extract_all(spark, landed, search_specs(spark), scraped_at=F.lit("2024-01-01T00:00:00+00:00"))
     store = spark.createDataFrame([], RAW_POSTING)
-    merged, counters = merge_into_store(store, ext)
-    rows = {r.job_id: (r.source, r.title) for r in merged.collect()}
+    new, counters = merge_into_store(store, ext)
+    rows = {r.job_id: (r.source, r.title) for r in new.collect()}
     assert list(rows.values()) == [("remotive", "Data Analyst")]
     c = {r.source: (r.fetched, r.inserted, r.skipped) for r in counters.collect()}
     assert c == {"remotive": (1, 1, 0), "linkedin": (1, 0, 1)}
-    assert merged.columns == RAW_COLUMNS
+    assert new.columns == RAW_COLUMNS
+    again, counters = merge_into_store(new, ext)
+    assert again.count() == 0 and all(r.inserted == 0 for r in counters.collect())
 
 
 def test_scorer_row_isolation_and_quarantine(spark):
@@ -113,10 +114,98 @@ def test_prompt_layout(spark):
 
 
 def test_keyword_table_gate(spark):
-    kw = spark.createDataFrame([("SQL",), ("bi",), (None,)], "keyword string")
-    words = keywords_from_table(kw)
-    assert words == ["bi", "sql"]
-    df = spark.createDataFrame([("Mobile dev",), ("Chef",)], "title string")
-    assert [r[0] for r in df.select(is_relevant("title", words)).collect()] == [True, False]
-    with pytest.raises(ValueError):
-        keywords_from_table(kw, max_keywords=1)
+    kw = spark.createDataFrame([("SQL",), ("bi",), (None,), ("",), ("c++",)], "keyword string")
+    df = spark.createDataFrame([("Mobile dev",), ("Chef",), ("C++ lead",), ("cc",), (None,)], "title string")
+    assert [r[0] for r in df.select(mentions_any("title", keywords_from_table(kw))).collect()] == [True, False, True, False, False]
+    assert [r[0] for r in df.select(mentions_any("title", keywords_from_table(kw.limit(0)))).collect()] == [False] * 5
+
+
+def test_unfinished_store_version_is_not_read(spark):
+    root = scratch_path(spark, "store")
+    write_store(_raw(spark, [(str(i), "t") for i in range(5)]), root)
+    _raw(spark, []).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/version=000002")
+    assert read_store(spark, root).count() == 5
+    assert write_store(_raw(spark, [("a", "t")]), root).endswith("version=000003")
+    assert read_store(spark, root).count() == 1
+
+
+def test_profile_is_one_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("  one profile \n")
+    assert build_prompts(_raw(spark, [("a", "t")]), load_profile(spark, str(tmp_path))).first().prompt.startswith("CANDIDATE PROFILE:\none profile\n")
+    (tmp_path / "b.txt").write_text("another")
+    with pytest.raises(Exception, match="(?i)more than one row"):
+        build_prompts(_raw(spark, [("a", "t")]), load_profile(spark, str(tmp_path))).collect()
+
+
+def test_each_posting_is_one_prompt_and_tasks_are_many(spark, tmp_path):
+    raw = _raw(spark, [(f"j{i % 20}", "Data Analyst", f"c{i // 20}") for i in range(40)])        # every id twice
+    seen = str(tmp_path)
+
+    def factory():
+        def score(pdf):
+            import uuid
+            open(f"{seen}/{uuid.uuid4().hex}", "w").write("\n".join(["x"] * len(pdf)))           # one file per batch
+            return pd.Series(['{"score": 5}' if i % 4 else "no answer" for i in range(len(pdf))])
+        return score
+    good, bad = score_postings(raw, raw.limit(0).select("job_id"), load_profile(spark), factory, parallelism=4)
+    n_good, n_bad = good.count(), bad.count()
+    assert n_good + n_bad == 20 and good.select("job_id").distinct().count() == n_good
+    files = [f.read_text() for f in tmp_path.iterdir()]
+    assert sum(len(t.splitlines()) for t in files) == 20 and len(files) > 1
+
+
+def test_failed_scores_are_retried_without_new_files(spark):
+    from postkit.streaming.incremental import incremental_score
+    rows = _raw(spark, [(f"j{i}", "Data Analyst", "C", "L", "sql") for i in range(20)])
+    landing, store, scored, bad, ckpt = (scratch_path(spark, n) for n in ("landing", "raw", "scored", "bad", "ckpt"))
+    rows.write.parquet(f"{landing}/d1")
+
+    def failing():
+        def score(pdf):
+            raise RuntimeError("no service")
+        return score
+    run = lambda f: incremental_score(spark, f"{landing}/*", rows.schema, store, scored, bad, ckpt, load_profile(spark), f)
+    assert run(failing) == (0, 20)
+    assert run(keyword_scorer(["sql"])) == (20, 0)
+    assert run(keyword_scorer(["sql"])) == (0, 0)
+    assert spark.read.parquet(scored).count() == 20 and spark.read.parquet(bad).where("run = 0").count() == 20
+
+
+def test_caps_hold_per_search_and_null_is_no_cap(spark):
+    card = '<article class="SearchResultCard"><h2 class="SearchResultCard__title"><a href="u{p}-{i}">data {i}</a></h2></article>'
+    page = lambda p: "".join(card.format(p=p, i=i) for i in range(30))
+    landed = spark.createDataFrame([("jobs_cz", q, p, page(f"{q}{p}")) for q in "abc" for p in (1, 2)], "source string, query string, page_no int, body string")
+    specs = search_specs(spark, [("jobs_cz", "a", "", 5, True), ("jobs_cz", "b", "", 40, True), ("jobs_cz", "c", "", None, True)])
+    got = extract_all(spark, landed, specs, scraped_at=F.lit("2024-01-01"))
+    counts = {r.query_rank: r["count"] for r in got.groupBy("query_rank").count().collect()}
+    assert counts == {0: 5, 1: 40, 2: 60}
+
+
+def test_deep_and_broken_pages(spark):
+    from postkit.sources import html as H
+    deep = "<ul>" + "<li><p>" * 5000 + "<a href='/it-job/1'>x</a>"
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "<a href='/it-job/2'>no list</a>")], "page_id int, html string")
+    got = H.extract_cards(df, "links", ["page_id"]).collect()
+    assert [(r.page_id, r.href, r.error) for r in got] == [(1, "/it-job/1", None)]
+    assert H.page_text(df, ["page_id"]).where("page_id = 1").first().text == "x"
+
+
+def test_a_page_that_cannot_be_read_is_one_error_row(spark):
+    from postkit.sources import html as H
+    df = spark.createDataFrame([(1, b"\xff\xfe"), (2, b"<ul><li><a href='/it-job/2'>ok</a></li></ul>")], "page_id int, html binary")
+    cards = H.extract_cards(df, "links", ["page_id"])
+    assert {(r.page_id, r.href, r.error is None) for r in cards.collect()} == {(1, None, False), (2, None, False)}
+    assert H.card_errors(cards, ["page_id"]).count() == 2
+
+
+def test_checkpoint_folder_is_required_off_local():
+    from postkit.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

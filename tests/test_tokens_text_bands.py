@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from postkit.functions.bands import accent_band, rating_band, ring_band
 from postkit.functions.text import ellipsis, is_relevant, posting_id, strip_ws
-from postkit.functions.tokens import classify_tokens, tokenize
+from postkit.functions.tokens import tokenize, with_token_fields
 
 TOKENS = [
     (["Data Engineer", "Data developer", "HPP", "Hybrid", "Medior", "Acme", "Brno", "80 000 – 110 000 Kč"],
@@ -18,7 +18,7 @@ TOKENS = [
 @pytest.mark.parametrize("parts,expected", TOKENS)
 def test_classify_tokens(spark, parts, expected):
     df = spark.createDataFrame([(parts,)], "parts array<string>")
-    r = df.select(classify_tokens("parts").alias("r")).first()["r"]
+    r = with_token_fields(df, "parts", out="r").first()["r"]
     assert (r.title, r.company, r.location, r.salary) == expected
 
 

@@ -130,6 +130,27 @@ raw as (select m.*, l.line from mark m join line l on l.doc_id = m.doc_id and l.
 select d.doc_id, case when d.text is null then null else coalesce(string_agg(r.line, chr(10) order by r.line_no) filter (not r.dropped), '') end as text,
        count(r.line_no) as n_lines, count(r.line_no) filter (r.dropped) as n_dropped
 from documents d left join raw r on r.doc_id = d.doc_id group by d.doc_id, d.text
+""",
+    "op6_embedding_dedup": """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+pair as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select a, b from pair union select reach.a, pair.b from reach join pair on reach.b = pair.a),
+links as (select a, count(*) as n from pair group by a),
+low as (select a, min(b) as m from reach group by a)
+select e.vec_id, coalesce(n, 0) as n_links, least(e.vec_id, coalesce(m, e.vec_id)) as component_id, e.vec_id <= coalesce(m, e.vec_id) as kept
+from embeddings e left join links on links.a = e.vec_id left join low on low.a = e.vec_id
+""",
+    "op9_html_text": r"""
+with inside as (select page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<br>', ' ') as h from pages),
+block as (select page_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as b
+          from (select page_id, regexp_split_to_array(h, '</?(?:p|h1|h2|ul|li)(?:>|\s[^>]*>)') as l from inside)),
+clean as (select page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'),
+            '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as t from block),
+text as (select page_id, string_agg(t, chr(10) || chr(10) order by i) as t from clean where t <> '' group by page_id)
+select p.page_id, p.url, coalesce(t, '') as text, cast(length(coalesce(t, '')) as bigint) as n_chars
+from pages p left join text on text.page_id = p.page_id
 """,
     "op8_warc": """
 with p as (select page_id, coalesce(html, '') as h from pages),

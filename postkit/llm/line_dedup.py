@@ -23,17 +23,14 @@ from postkit.session import materialize
 FIELD = "<*>"
 
 
-def normal_form(line: Column) -> Column:
-    """The line with white space made single spaces and tokens with digits made variable
-    fields, unless that leaves no more constant tokens than fields."""
-    plain = F.trim(F.regexp_replace(line, "[ \\t\\f\\r\\x0B]+", " "))
-    return F.when(plain.rlike("[0-9]"), _masked(plain)).otherwise(plain)
-
-
-def _masked(plain: Column) -> Column:
-    masked = F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)
-    fields = (F.length(masked) - F.length(F.replace(masked, F.lit(FIELD), F.lit("")))) / len(FIELD)
-    return F.when(fields * 2 < token_count(masked), masked).otherwise(plain)
+def with_normal_form(df: DataFrame, line: str) -> DataFrame:
+    """Replaces the column ``line`` by ``normal``: white space made single spaces and tokens with
+    digits made variable fields, unless that leaves no more constant tokens than fields. Each
+    step is a column of its own, so that no pattern is matched twice."""
+    plain = df.withColumn("plain", F.trim(F.regexp_replace(line, "[ \\t\\f\\r\\x0B]+", " "))).drop(line)
+    masked = plain.withColumn("masked", F.regexp_replace("plain", "[^ ]*[0-9][^ ]*", FIELD))
+    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD), F.lit("")))) / len(FIELD)
+    return masked.withColumn("normal", F.when(fields * 2 < token_count(F.col("masked")), F.col("masked")).otherwise(F.col("plain"))).drop("plain", "masked")
 
 
 def token_count(normal: Column) -> Column:
@@ -43,23 +40,29 @@ def token_count(normal: Column) -> Column:
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
                         F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("normal", normal_form(F.col("line"))).drop("line")
-    return (lines.withColumn("n_tokens", F.when(F.col("normal") == "", F.lit(0)).otherwise(token_count(F.col("normal"))))
-            .withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("normal", " ", depth)))
-            .withColumn("lh", F.struct(F.xxhash64("normal"), F.hash("normal", F.lit(17)).alias("b"))))
+    lines = with_normal_form(lines, "line").withColumn("n_tokens", F.when(F.col("normal") == "", F.lit(0)).otherwise(token_count(F.col("normal"))))
+    return lines.select("id", "th", "line_no", "n_tokens", F.xxhash64("n_tokens", F.substring_index("normal", " ", depth)).alias("leaf"),
+                        F.struct(F.xxhash64("normal").alias("a"), F.hash("normal", F.lit(17)).alias("b")).alias("lh"))
+
+
+def _open_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``leaf``, ``lh``, ``normal`` of every different line of the leaves that have several: one
+    place of each is picked among the hashes, and only there the text is read again."""
+    leaves = occ.groupBy("leaf").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).where("low <> high").select("leaf")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "line_no")
+    picked = (occ.join(leaves, "leaf", "left_semi").groupBy("leaf", "lh").agg(F.min(place).alias("p"))
+              .groupBy(F.col("p.id").alias("__id"), F.col("p.th").alias("__th")).agg(F.collect_list(F.struct("p.line_no", "leaf", "lh")).alias("wanted")))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    found = texts.join(picked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("wanted", F.split("text", "\n").alias("lines"))
+    lines = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["lh"].alias("lh"), F.col("lines")[w["line_no"]].alias("line")))))
+    return with_normal_form(lines, "line").groupBy("leaf", "lh").agg(F.first("normal").alias("normal"))
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8) -> DataFrame:
     """``id``, ``th`` (hash of the text), ``line_no``, ``n_tokens`` and ``template`` of every line.
     Blank lines have 0 tokens and no template."""
-    spark = docs.sparkSession
-    narrow = _occurrences(docs, id_col, text_col, depth).select("id", "th", "line_no", "n_tokens", "leaf", "lh")
-    occ = materialize(narrow, "lines")
-    # leaves with several different lines; only their lines are read as text again
-    leaves = occ.where("n_tokens > 0").groupBy("leaf").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).where("a <> b").select("leaf")
-    distinct = (_occurrences(docs, id_col, text_col, depth).where("n_tokens > 0").join(leaves, "leaf", "left_semi")
-                .groupBy("leaf", "lh").agg(F.first("normal").alias("normal")))
-    open_lines = materialize(distinct, "open-lines").withColumn("tokens", F.split("normal", " "))
+    occ = materialize(_occurrences(docs, id_col, text_col, depth), "lines")
+    open_lines = materialize(_open_lines(docs, occ, id_col, text_col), "open-lines").withColumn("tokens", F.split("normal", " "))
     votes = (open_lines.select("leaf", F.posexplode("tokens").alias("pos", "token"))
              .groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n")))
     leaf_template = (votes.groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("m"))
@@ -69,7 +72,7 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .select("lh", F.col("leaf").alias("of_leaf")))
     named = occ.join(materialize(member, "template-lines"), "lh", "left")
     template = F.when(F.col("n_tokens") > 0, F.when(F.col("of_leaf").isNotNull(), F.struct(F.col("of_leaf").alias("a"), F.lit(None).cast("int").alias("b")))
-                      .otherwise(F.struct(F.col("lh").getField("col1").alias("a"), F.col("lh.b").alias("b"))))
+                      .otherwise(F.col("lh")))
     return named.select("id", "th", "line_no", "n_tokens", template.alias("template"))
 
 
@@ -83,6 +86,7 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recurring = (per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(place).alias("first"), F.min("n_tokens").alias("n"))
                  .where(F.col("n_docs") >= F.when(F.col("n") < short_tokens, F.lit(max(short_docs, min_docs))).otherwise(F.lit(min_docs)))
                  .select("template", "first"))
+    recurring = materialize(recurring, "recurring")         # so that the join's own exchange can be split where it is uneven
     dropped = F.col("first").isNotNull() & (place != F.col("first"))
     return (lines.join(recurring, "template", "left")
             .groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("line_no", F.coalesce(dropped, F.lit(False)).alias("dropped")))).alias("lines")))

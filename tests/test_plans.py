@@ -1,5 +1,7 @@
 """Plan-shape checks: what the physical plans must (not) contain for the job to scale."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+# the training-data queries run jobs while they are built; tests/llm covers them
+LAZY = sorted(n for n in queries() if not re.match(r"op\d+_|pipeline$", n))
+
+
+@pytest.mark.parametrize("name", LAZY)
 def test_no_cartesian_no_row_udf(spark, name):
     plan = _plan(queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -14,6 +14,8 @@ TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+_SCRATCH: list[str] = []
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "postkit",
                   extra_conf: dict | None = None) -> SparkSession:
@@ -59,7 +61,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder (never a machine-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this driver has made so far and return how many. For a caller
+    that is done with every result that reads them (the bench after each query, a job at its
+    end); folders of other drivers are not touched."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_SCRATCH)
+    while _SCRATCH:
+        path = fs_path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

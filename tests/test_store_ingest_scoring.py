@@ -198,6 +198,16 @@ def test_a_page_that_cannot_be_read_is_one_error_row(spark):
     assert H.card_errors(cards, ["page_id"]).count() == 2
 
 
+def test_scratch_is_cleaned_on_request(spark, monkeypatch):
+    from postkit import session as S
+    monkeypatch.setattr(S, "_SCRATCH", [])
+    df = S.materialize(spark.range(5), "mine")
+    path = S._SCRATCH[0]
+    assert df.count() == 5 and S.clean_scratch(spark) == 1 and S.clean_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_checkpoint_folder_is_required_off_local():
     from postkit.session import ensure_checkpoint_dir
 

@@ -19,6 +19,7 @@ from postkit.session import read_table
 from postkit.sources.payloads import search_specs
 
 LOADED_AT = "2024-02-01 00:00:00"
+UNKNOWN_STATUS = "archived"                                     # not in the status dimension (J6)
 STATUS_BY_MOD7 = ["new", "saved", "applied", "replied", "interview", "rejected", "ignored"]
 
 
@@ -57,7 +58,7 @@ def postings_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('["Spark"]').alias("gaps"),
         (score > 60).alias("seniority_match"),
         F.when(k % 13 == 0, F.lit(None).cast("boolean")).otherwise(k % 2 == 0).alias("remote_match"),
-        _case_mod(k, 7, STATUS_BY_MOD7).alias("status"),
+        F.when(k % 50 == 49, F.lit(UNKNOWN_STATUS)).otherwise(_case_mod(k, 7, STATUS_BY_MOD7)).alias("status"),
         F.lit(LOADED_AT).cast("timestamp").alias("loaded_at"),
     )
 

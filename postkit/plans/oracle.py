@@ -33,8 +33,8 @@ B = """B AS (
     '["Spark"]' AS gaps,
     (CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(FLOOR(c_acctbal / 100) AS BIGINT) END) > 60 AS seniority_match,
     CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS remote_match,
-    CASE c_custkey % 7 WHEN 0 THEN 'new' WHEN 1 THEN 'saved' WHEN 2 THEN 'applied' WHEN 3 THEN 'replied'
-         WHEN 4 THEN 'interview' WHEN 5 THEN 'rejected' ELSE 'ignored' END AS status
+    CASE WHEN c_custkey % 50 = 49 THEN 'archived' ELSE CASE c_custkey % 7 WHEN 0 THEN 'new' WHEN 1 THEN 'saved' WHEN 2 THEN 'applied'
+         WHEN 3 THEN 'replied' WHEN 4 THEN 'interview' WHEN 5 THEN 'rejected' ELSE 'ignored' END END AS status
   FROM customer)"""
 
 L = """L AS (

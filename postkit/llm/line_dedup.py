@@ -49,6 +49,7 @@ def _open_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str) ->
     """``leaf``, ``lh``, ``normal`` of every different line of the leaves that have several: one
     place of each is picked among the hashes, and only there the text is read again."""
     leaves = occ.groupBy("leaf").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).where("low <> high").select("leaf")
+    leaves = materialize(leaves, "open-leaves")             # so that the join's own exchange can be split where it is uneven
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "line_no")
     picked = (occ.join(leaves, "leaf", "left_semi").groupBy("leaf", "lh").agg(F.min(place).alias("p"))
               .groupBy(F.col("p.id").alias("__id"), F.col("p.th").alias("__th")).agg(F.collect_list(F.struct("p.line_no", "leaf", "lh")).alias("wanted")))

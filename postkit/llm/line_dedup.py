@@ -37,15 +37,27 @@ def token_count(normal: Column) -> Column:
     return F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"),
-                        F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+def _different(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``th`` (hash of the text), ``text``: every document once, however often its row is
+    repeated. Only texts of repeated rows are grouped, after a reduction on the map side."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    again = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    again = materialize(again, "repeated")
+    if again.isEmpty():
+        return rows
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    return rows.join(again, same, "left_anti").unionByName(
+        rows.join(again, same, "left_semi").groupBy("id", "th").agg(F.first("text").alias("text")))
+
+
+def _occurrences(docs: DataFrame, depth: int) -> DataFrame:
+    lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = with_normal_form(lines, "line").withColumn("n_tokens", F.when(F.col("normal") == "", F.lit(0)).otherwise(token_count(F.col("normal"))))
     return lines.select("id", "th", "line_no", "n_tokens", F.xxhash64("n_tokens", F.substring_index("normal", " ", depth)).alias("leaf"),
                         F.struct(F.xxhash64("normal").alias("a"), F.hash("normal", F.lit(17)).alias("b")).alias("lh"))
 
 
-def _open_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _open_lines(docs: DataFrame, occ: DataFrame) -> DataFrame:
     """``leaf``, ``lh``, ``normal`` of every different line of the leaves that have several: one
     place of each is picked among the hashes, and only there the text is read again."""
     leaves = occ.groupBy("leaf").agg(F.min("lh").alias("low"), F.max("lh").alias("high")).where("low <> high").select("leaf")
@@ -53,17 +65,17 @@ def _open_lines(docs: DataFrame, occ: DataFrame, id_col: str, text_col: str) ->
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "line_no")
     picked = (occ.join(leaves, "leaf", "left_semi").groupBy("leaf", "lh").agg(F.min(place).alias("p"))
               .groupBy(F.col("p.id").alias("__id"), F.col("p.th").alias("__th")).agg(F.collect_list(F.struct("p.line_no", "leaf", "lh")).alias("wanted")))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = texts.join(picked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("wanted", F.split("text", "\n").alias("lines"))
+    found = docs.join(picked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("wanted", F.split("text", "\n").alias("lines"))
     lines = found.select(F.inline(F.transform("wanted", lambda w: F.struct(w["leaf"].alias("leaf"), w["lh"].alias("lh"), F.col("lines")[w["line_no"]].alias("line")))))
     return with_normal_form(lines, "line").groupBy("leaf", "lh").agg(F.first("normal").alias("normal"))
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8) -> DataFrame:
-    """``id``, ``th`` (hash of the text), ``line_no``, ``n_tokens`` and ``template`` of every line.
-    Blank lines have 0 tokens and no template."""
-    occ = materialize(_occurrences(docs, id_col, text_col, depth), "lines")
-    open_lines = materialize(_open_lines(docs, occ, id_col, text_col), "open-lines").withColumn("tokens", F.split("normal", " "))
+    """``id``, ``th`` (hash of the text), ``line_no``, ``n_tokens`` and ``template`` of every line,
+    once for repeated rows. Blank lines have 0 tokens and no template."""
+    docs = _different(docs, id_col, text_col)
+    occ = materialize(_occurrences(docs, depth), "lines")
+    open_lines = materialize(_open_lines(docs, occ), "open-lines").withColumn("tokens", F.split("normal", " "))
     votes = (open_lines.select("leaf", F.posexplode("tokens").alias("pos", "token"))
              .groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n")))
     leaf_template = (votes.groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("m"))

@@ -119,6 +119,15 @@ def test_line_dedup_copies_repeats_numbers_and_empty(spark):
     assert line_dedup.dedup_lines(edges).count() == len(EDGES) + 1
 
 
+def test_line_dedup_of_repeated_rows_with_some_recurring_lines(spark):
+    shared = "this one notice is on every page of the whole site"
+    texts = [f"{shared}\nfirst own text", f"{shared}\nsecond own text", f"third own text\n{shared}", f"fourth own text\n\n{shared}"]
+    d = documents(spark, [texts[0], *texts[1:] * 3, texts[2]], ids=[1, *[5, 7, None] * 3, 8])
+    got = rows(line_dedup.dedup_lines(d), "doc_id", "text", "n_lines", "n_dropped")
+    want = [(1, texts[0], 2, 0), (8, "third own text", 2, 1)] + [(5, "second own text", 2, 1), (7, "third own text", 2, 1), (None, "fourth own text\n", 3, 1)] * 3
+    assert got == sorted(want, key=repr)
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(documents(spark, ["a b c", "d"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

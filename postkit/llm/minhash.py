@@ -315,26 +315,34 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int
     copies; null ids are never the smallest unless a class has no other. Other columns are
     ignored, an empty table gives no rows.
     """
+    return _classed(docs, threshold, size, samples, bands, rows, id_col, text_col).drop("component").withColumnRenamed("id", id_col)
+
+
+def _classed(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int = 60, bands: int = 20, rows: int = 5,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``classes`` with the id as ``id`` and ``component``, which names a class even if
+    its ids are null or other classes have them too (null for texts without words)."""
     idf = broadcast_bytes(docs, idf_table(docs, text_col, size))
     sigs = materialize(signatures(docs, idf, id_col, text_col, size, samples, bands, rows), "signatures")
     linked = link_nodes(sigs, docs, idf, id_col, text_col, size, threshold)
     per_node = sigs.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     comp = materialize(per_node.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "node-classes")
     size_of = comp.groupBy("component").agg(F.min("id").alias("class_id"), F.sum("n").alias("n_class"))
-    by_node = comp.select("node", "component").join(size_of, "component").select("node", "class_id", "n_class")
+    by_node = comp.select("node", "component").join(size_of, "component").select("node", "component", "class_id", "n_class")
     plain = sigs.select("id", "th", "node")
-    with_words = plain.where("node is not null").join(by_node, "node").select("id", "th", "class_id", "n_class")
-    without = plain.where("node is null").select("id", "th", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
-    return with_words.unionByName(without).withColumnRenamed("id", id_col)
+    with_words = plain.where("node is not null").join(by_node, "node").select("id", "th", "component", "class_id", "n_class")
+    without = plain.where("node is null").select("id", "th", F.lit(None).cast("binary").alias("component"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
+    return with_words.unionByName(without)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, with all its columns, one of each class (the one with the smallest id;
-    of rows with that id, one). Texts without words all stay."""
+    """Rows of ``docs``, with all its columns, one of each class (the one with the smallest id, null
+    last; of rows with that id, one). Texts without words all stay."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
-    keep = classes(docs, **options).where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(
-        F.col(id_col).alias("__id"), "class_id").agg(F.min("th").alias("__th"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")
+    keep = _classed(docs, **options).where("component is not null").groupBy("component").agg(first).select(
+        F.col("first.id").alias("__id"), F.col("first.th").alias("__th"))
     with_words = docs.where(has_words).withColumn("__h", F.xxhash64(text_col))
-    first = with_words.join(keep.select("__id", "__th"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    return first.dropDuplicates([id_col, "__h"]).select(*docs.columns).unionByName(docs.where(~has_words))
+    kept = with_words.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([id_col, "__h"]).select(*docs.columns).unionByName(docs.where(~has_words))

@@ -236,6 +236,17 @@ def test_near_duplicate_edges(spark):
     assert minhash.classes(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    own = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcdefg"]
+    near = own[0] + " end"
+    d = documents(spark, [own[0], near, own[1], own[2], own[2], own[3], own[4], own[5], own[5], own[6]], ids=[None, None, None, None, None, 7, 7, 7, None, 8])
+    idf = minhash.idf_table(d, "text", 5)
+    assert minhash.weighted_jaccard(*(minhash.weighted_set(t.encode(), 5, idf) for t in (own[0], near))) >= 0.9
+    got = rows(minhash.drop_near_duplicates(d), "doc_id", "text")
+    assert [x for x in got if x[1] not in (own[0], near)] == sorted([(None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (7, own[5]), (8, own[6])], key=repr)
+    assert sum(x in [(None, own[0]), (None, near)] for x in got) == 1
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     import numpy as np
     rng = np.random.default_rng(4)

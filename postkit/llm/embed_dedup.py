@@ -68,7 +68,8 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _principal(nodes: DataFrame, dim: int) -> np.ndarray:
-    """Leading principal dimensions (dim x GRID_DIMS at most) of a sample by smallest key."""
+    """Leading principal dimensions of a sample by smallest key: dim x GRID_DIMS, fewer columns where
+    the length or the number of vectors is less."""
     rows = nodes.select("key", "unit").orderBy("key").limit(SAMPLE).collect()
     x = np.array([np.frombuffer(r["unit"]) for r in rows])
     return np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:min(GRID_DIMS, dim)].T
@@ -77,7 +78,8 @@ def _principal(nodes: DataFrame, dim: int) -> np.ndarray:
 def _tiles(nodes: DataFrame, dim: int, eps: float) -> DataFrame:
     """The grid-ordered sequence cut into tiles: ``tile`` (from 0), ``lo``, ``hi`` (bounding box),
     ``keys``, ``copies``, ``units``, ``places`` (as blobs, in order)."""
-    axes = broadcast_bytes(nodes, _principal(nodes, dim))
+    principal = _principal(nodes, dim)
+    axes, width = broadcast_bytes(nodes, principal), principal.shape[1]
 
     def project(batches):
         for b in batches:
@@ -98,7 +100,7 @@ def _tiles(nodes: DataFrame, dim: int, eps: float) -> DataFrame:
     return ranked.groupBy("tile").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(
         "tile", F.transform("rows", lambda x: x["key"]).alias("keys"), F.transform("rows", lambda x: x["copies"]).alias("copies"),
         F.transform("rows", lambda x: x["unit"]).alias("units"), F.transform("rows", lambda x: x["place"]).alias("places"),
-        *[F.array(*[f(_axis(k)) for k in range(min(GRID_DIMS, dim))]).alias(name) for f, name in ((F.array_min, "lo"), (F.array_max, "hi"))])
+        *[F.array(*[f(_axis(k)) for k in range(width)]).alias(name) for f, name in ((F.array_min, "lo"), (F.array_max, "hi"))])
 
 
 def _axis(k: int):

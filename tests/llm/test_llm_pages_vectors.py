@@ -154,6 +154,18 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, tile, leaf):
     assert rows(embed_dedup.link_vectors(df.where("embedding is null")), "n_links", "kept") == [(0, True)]
 
 
+@pytest.mark.parametrize("distinct", [1, 2, 7])
+def test_few_vectors_of_a_length(spark, distinct):
+    r = random.Random(distinct)
+    few = [[r.gauss(0, 1) for _ in range(64)] for _ in range(distinct)]
+    few = few[:-1] + [[x + 0.01 for x in few[0]]] if distinct > 1 else few
+    data = few + few[:1] + [[r.gauss(0, 1) for _ in range(9)] for _ in range(40)]       # next to a larger group of another length
+    vectors = list(enumerate(data))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = rows(embed_dedup.link_vectors(df), "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted(brute_links(vectors), key=repr)
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3), (60, 55), (55, 60)]

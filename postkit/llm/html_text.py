@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 The page is read into a tree (implied end tags, raw-text elements, broken markup). Furniture is
-pruned by tag, role and class or id words. Each paragraph passes points for its length and its
-commas to its ancestors (all to the parent, less with each step up); a container's points are
+pruned by tag, role and class or id words; inside an ``article`` or ``main`` headings and paragraphs
+are not pruned by name, other elements by a whole name, or by a part of one if they are mostly links. Each paragraph passes points for its length and its
+commas to its ancestors (all to the parent, less with each step up), as does text set directly
+in a block; a container's points are
 discounted by the share of its text that is inside links. The best container is kept, with
 those of its siblings that score well or read like running text; an ``article`` or ``main``
 around it counts as the container. Blocks are the text between block-level boundaries.
@@ -37,11 +39,19 @@ PRUNED = frozenset(
     "svg canvas object embed audio video dialog menu".split())
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 #: Words of a class or id that mark furniture.
-PRUNED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
+NAMES = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
     r"newsletter|subscri\w*|signup|sidebar\w*|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|"
     r"page-header|comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|widgets?|toolbar|"
-    r"pagination|pager|skip|login|paywall|tags?)(?:$|[\s_-])", re.I)
+    r"pagination|pager|skip|login|paywall|tags?)")
+PRUNED_NAMES = re.compile(rf"(?:^|[\s_-]){NAMES}(?:$|[\s_-])", re.I)
+WHOLE_NAMES = re.compile(rf"(?:^|\s){NAMES}(?:$|\s)", re.I)
+#: Elements of an article that no name marks as furniture, and text that is no paragraph of its own.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of linked text from which a part of a name marks an element of an article as furniture.
+MOSTLY_LINKS = 0.5
+#: Blocks whose own text counts for themselves; that of others counts for their parent.
+SECTIONS = frozenset("article main section body".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -49,15 +59,16 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "keep", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "keep", "doubtful", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: "Node | None", keep: bool = True):
-        self.tag, self.parent, self.keep = tag, parent, keep
+    def __init__(self, tag: str, parent: "Node | None", furniture: bool | None = False):
+        self.tag, self.parent, self.keep, self.doubtful = tag, parent, not furniture, furniture is None
         self.children: list = []                            # nodes and strings
         self.points, self.chars, self.linked = 0.0, 0, 0
 
 
-def _furniture(tag: str, attributes: str, parent: Node) -> bool:
+def _furniture(tag: str, attributes: str, parent: Node) -> bool | None:
+    """Whether an element is pruned; None if that depends on how much of it is links."""
     if tag in PRUNED:
         return True
     inside = parent
@@ -72,8 +83,16 @@ def _furniture(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return tag not in ("html", "body", "article", "main") and bool(PRUNED_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}")) \
-        or tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|related|promo|ads?)(?:$|[\s_-])", f"{a.get('class', '')} {a.get('id', '')}", re.I))
+    names = f"{a.get('class', '')} {a.get('id', '')}"
+    if tag == "article":
+        return bool(re.search(r"(?:^|[\s_-])(?:comments?|related|promo|ads?)(?:$|[\s_-])", names, re.I))
+    if tag in ("html", "body", "main") or not PRUNED_NAMES.search(names):
+        return False
+    if inside is None:
+        return True
+    if tag == "p" or tag in HEADINGS:
+        return False
+    return True if WHOLE_NAMES.search(names) else None
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -101,7 +120,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = _close(at, {"p"}, SCOPE)
         if tag in CLOSES:
             at = _close(at, CLOSES[tag], SCOPE - {"td", "th"} if tag in ("tr", "td", "th", "tbody") else SCOPE)
-        node = Node(tag, at, not _furniture(tag, m[3] or "", at))
+        node = Node(tag, at, _furniture(tag, m[3] or "", at))
         at.children.append(node)
         nodes.append(node)
         if tag in VOID or (m[3] or "").rstrip().endswith("/"):
@@ -154,11 +173,14 @@ def _measure(nodes: list[Node]) -> None:
         node.chars += own
         if node.tag == "a":
             node.linked = node.chars
+        if node.doubtful and node.linked >= MOSTLY_LINKS * node.chars:
+            node.keep = False
         if not node.keep:
             continue
-        if (node.tag in PARAGRAPHS or node.tag == "div" and own) and node.chars:
-            points = 1 + commas + min(node.chars / 100, 3)
-            up, share = node.parent, 1.0
+        paragraph = node.tag in PARAGRAPHS or node.tag == "div" and own
+        if node.chars and (paragraph or own and node.tag in BLOCK and node.tag not in HEADINGS):
+            points = 1 + commas + min((node.chars if paragraph else own) / 100, 3)
+            up, share = node if node.tag in SECTIONS else node.parent, 1.0
             while up is not None and share > 0.1:
                 up.points += points * share
                 up, share = up.parent, share / 2

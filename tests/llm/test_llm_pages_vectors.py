@@ -96,6 +96,22 @@ def test_main_text_without_article_element():
     assert html_text.main_text("plain <i>text</i> only") == "plain text only"
 
 
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_main_text_keeps_sections_with_furniture_words(around):
+    parts = ['<h2 id="related-work">Related work</h2><p class="share-price">The price, per share.</p>', '<section id="side-effects"><p>Side effects, few.</p></section>',
+             '<div id="social-impact">Impact, <a href=1>one</a> link of many words.</div>', '<h3 class="notice">Notice</h3><p id="notice-period">A month, at least.</p>']
+    gone = '<div class="share-buttons"><a href=1>Post</a> <a href=2>Mail</a></div><ul class="related-posts"><li><a href=3>Next</a></li></ul><div class="comments"><p>no</p></div>'
+    got = html_text.main_text(f"<body><{around}><p>Start, of it.</p>{''.join(parts)}{gone}</{around}></body>")
+    assert got.split("\n\n") == ["Start, of it.", "Related work", "The price, per share.", "Side effects, few.", "Impact, one link of many words.", "Notice", "A month, at least."]
+
+
+@pytest.mark.parametrize("around", ["article", "main", "section"])
+def test_main_text_set_directly_in_its_block(around):
+    lines = [f"Line {i} of the text, with commas, and enough words to be read." for i in range(6)]
+    page = f"<body><{around}>{'<br>'.join(lines)}</{around}><div class=c><p>Another paragraph, short.</p></div><div>All rights, reserved.</div></body>"
+    assert html_text.main_text(page) == " ".join(lines)
+
+
 def test_main_text_edges(spark):
     deep = "<div>" * 20_000 + "deep, text" + "<p>" * 5000
     cases = [None, "", "<nav>menu</nav>", "<p>unclosed <b>bold", "a < b & c &amp", "<!-- <p>x</p>", "<script>x", deep, "<p>" + "long, " * 50_000 + "</p>", "<p a='>'>ok</p>"]

@@ -331,6 +331,14 @@ def test_packing_places_every_document_once(spark):
     assert packing.pack(spark.createDataFrame([(1, 0)], "doc_id long, n_tokens long")).first().bucket is None
 
 
+def test_packing_has_the_least_padding(spark):
+    data = [9, 9, 9, 10, 17, 18, 19, 33, 33, 50]
+    got = packing.pack(spark.createDataFrame(list(enumerate(data)), "doc_id long, n_tokens long"), buckets=3).collect()
+    lengths = sorted(set(data))
+    assert sum(x.bucket_len - x.n_tokens for x in got) == brute_padding(lengths, [data.count(n) for n in lengths], 3)
+    assert {x.bucket_len for x in got} <= set(lengths)
+
+
 # ---- op1 ----------------------------------------------------------------------------------
 
 def toxic_corpus(n=400, seed=2):

@@ -303,13 +303,13 @@ def link_nodes(sigs: DataFrame, docs: DataFrame, idf, id_col: str, text_col: str
     return components(links.unionByName(more))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int = 60, bands: int = 20, rows: int = 5,
+def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int = 60, bands: int = 24, rows: int = 5,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``th`` (hash of the text), ``class_id`` (smallest id of the
     documents reachable through links) and ``n_class`` (documents of the class).
 
     Two documents are linked if their words are equal or the weighted Jaccard similarity of
-    their shingles is at least ``threshold`` (found with a probability of 0.998 at 0.8, more
+    their shingles is at least ``threshold`` (found with a probability of 0.999 at 0.8, more
     above; a class hangs together by any of its links). Texts without words (null, empty, signs only) are
     classes of their own; texts of fewer than ``size`` words are one shingle. Repeated rows are
     copies; null ids are never the smallest unless a class has no other. Other columns are
@@ -318,7 +318,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int
     return _classed(docs, threshold, size, samples, bands, rows, id_col, text_col).drop("component").withColumnRenamed("id", id_col)
 
 
-def _classed(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int = 60, bands: int = 20, rows: int = 5,
+def _classed(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: int = 60, bands: int = 24, rows: int = 5,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``classes`` with the id as ``id`` and ``component``, which names a class even if
     its ids are null or other classes have them too (null for texts without words)."""

@@ -256,6 +256,18 @@ def test_consistent_sampling_estimates_weighted_jaccard():
     assert abs(same - minhash.weighted_jaccard(a, b)) < 0.03
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.81])
+def test_bands_miss_no_more_than_independent_ones(similarity):
+    import inspect
+
+    import numpy as np
+    rng, default = np.random.default_rng(3), inspect.signature(minhash.classes).parameters
+    slots = minhash.band_slots(*(default[x].default for x in ("samples", "bands", "rows")))
+    same = rng.random((500_000, default["samples"].default), np.float32) < similarity
+    missed = ~np.any([same[:, band].all(axis=1) for band in slots], axis=0)
+    assert missed.mean() <= (1 - similarity**3) ** 10      # ten bands of three samples of their own
+
+
 # ---- op7, op10 ----------------------------------------------------------------------------
 
 def test_token_lengths_and_long_white_space(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkit.llm import decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
+from postkit.llm import collocations, decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
 from postkit.session import materialize, read_table, scratch_path
@@ -70,6 +70,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(token_lengths(read_table(spark, sf_dir, "documents")), "lengths"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words of every language."""
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -161,5 +167,23 @@ select page_id, cast(strlen(h) as bigint) as payload_bytes,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
        case when page_id = first_id then null else first_id end as refers_to
 from d
+""",
+    "op11_collocations": r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+cut as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece),
+seq as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+        from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from cut, (select unnest([1, 2, 3]) as k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) as n from seq group by all),
+cand as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 10),
+part as (select lang, k, phrase, a, w, unnest(range(1, k)) as c from cand),
+scored as (select p.lang, p.phrase, p.a, p.c, x.n as l, y.n as r, (1000000::hugeint * p.a * p.a) // (x.n::hugeint * y.n) as score
+           from part p join f x on x.lang = p.lang and x.phrase = array_to_string(p.w[1:p.c], ' ')
+                       join f y on y.lang = p.lang and y.phrase = array_to_string(p.w[p.c + 1:p.k], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (select lang, a, array_to_string(w[i:i + 1], ' ') as phrase from (select lang, a, w, unnest([1, 2]) as i from cand where k = 3)),
+kept as (select * from best b where not exists (select 1 from inside x where x.lang = b.lang and x.phrase = b.phrase and 100 * x.a >= 50 * b.a)),
+total as (select lang, sum(n) as n from f where k = 1 group by lang)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(t.n as bigint) as n, cast(score as bigint) as score
+from kept b join total t on t.lang = b.lang qualify rank <= 2000
 """,
 }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkit.llm import collocations, decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
+from postkit.llm import chat_format, collocations, decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
-from postkit.session import materialize, read_table, scratch_path
+from postkit.session import literal_frame, materialize, read_table, scratch_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what its output then says of it; conversation -1 holds the template's own marks."""
+    marks = "</s>[INST] ok [/INST]"
+    own = literal_frame(spark, [(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    convs = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.digests(chat_format.format_conversations(convs))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -87,6 +95,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op12_chat_format": op12_chat_format,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -185,5 +194,17 @@ kept as (select * from best b where not exists (select 1 from inside x where x.l
 total as (select lang, sum(n) as n from f where k = 1 group by lang)
 select b.lang, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(t.n as bigint) as n, cast(score as bigint) as score
 from kept b join total t on t.lang = b.lang qualify rank <= 2000
+""",
+    "op12_chat_format": r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all select -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+escaped as (select *, regexp_replace(text, '(\\*)(</?s>|\[/?INST\]|\[/?TURN\]|\[ROLE\])', '\1\1\\\2', 'g') as e,
+                   regexp_replace(role, '(\\*)(</?s>|\[/?INST\]|\[/?TURN\]|\[ROLE\])', '\1\1\\\2', 'g') as named from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(e) + case role when 'user' then 18 when 'assistant' then 6 else 26 + length(named) end) as bigint) as formatted_chars,
+       0::bigint as rewritten, true as whole
+from escaped group by conv_id
 """,
 }

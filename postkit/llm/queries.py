@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postkit.llm import chat_format, collocations, decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_counts, toxicity, warc
+from postkit.llm import chat_format, collocations, decontam, embed_dedup, html_text, langid, line_dedup, minhash, packing, token_align, token_counts, toxicity, warc
 from postkit.llm.common import fold
 from postkit.llm.tokenizer import token_lengths
 from postkit.session import literal_frame, materialize, read_table, scratch_path
@@ -83,6 +83,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(convs))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap groups of two tokenizers in every document, and how usual its linked token pairs are."""
+    return token_align.summarise(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -96,6 +101,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
     "op12_chat_format": op12_chat_format,
+    "op13_token_align": op13_token_align,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -18,23 +18,44 @@ from postkit.sources import payloads as P
 ORDER = ["source_rank", "query_rank", "page_no", "pos"]
 
 
-def extract_all(spark: SparkSession, landed: DataFrame, specs: DataFrame | None = None,
-                keywords=K.RELEVANT_TITLE_KEYWORDS, scraped_at=None, max_pages: int | None = None) -> DataFrame:
-    """S8-S12 + S15 + P1 + U-1: one raw-posting frame with arrival order over all sources.
-    Disabled (source, query) specs contribute nothing. Caps come from the row of the spec table
-    of each search; a null cap is no cap. Every payload is parsed once: what a source gives
-    is written before anything reads it twice."""
+def ingest_ledger(spark: SparkSession, landed: DataFrame, specs: DataFrame | None = None,
+                  keywords=K.RELEVANT_TITLE_KEYWORDS, scraped_at=None, max_pages: int | None = None) -> DataFrame:
+    """S8-S12 + S15 + P1 + U-1 + Q1: what every landed payload of an enabled search gave, written once: postings with arrival
+    order over all sources (``reason`` null), and what was rejected, with the ``reason`` and ``detail``: broken or unreadable
+    payloads, cards without title or link, titles that are not relevant. Every payload is parsed once. Caps come from the
+    row of the spec table of each search; a null cap is no cap."""
     specs = specs if specs is not None else P.search_specs(spark)
     on = P.with_enabled_specs(landed, specs)
     readers = {
-        "remotive": lambda d: P.extract_remotive(d, keywords, scraped_at),
-        "the_muse": lambda d: P.extract_muse(d, None, scraped_at),
-        "jobs_cz": lambda d: H.extract_jobs_cz(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
-        "linkedin": lambda d: H.extract_linkedin(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
-        "jobstack": lambda d: H.extract_jobstack(d, keywords=keywords, scraped_at=scraped_at, max_pages=max_pages),
+        "remotive": lambda d: P.remotive_rows(d, keywords, scraped_at),
+        "the_muse": lambda d: P.muse_rows(d, None, scraped_at),
+        "jobs_cz": lambda d: H.jobs_cz_rows(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
+        "linkedin": lambda d: H.linkedin_rows(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
+        "jobstack": lambda d: H.jobstack_rows(d, keywords=keywords, scraped_at=scraped_at, max_pages=max_pages),
     }
     parts = [P.to_raw_posting(read(on.where(F.col("source") == src))) for src, read in readers.items()]
-    return materialize(reduce(DataFrame.unionByName, parts), "postings")
+    return materialize(reduce(DataFrame.unionByName, parts), "ledger")
+
+
+def postings(ledger: DataFrame) -> DataFrame:
+    """The raw postings of a written ledger, with their arrival order."""
+    return ledger.where(F.col("reason").isNull()).drop("query", "reason", "detail")
+
+
+def rejected(ledger: DataFrame) -> DataFrame:
+    """Q1: the quarantine of a written ledger: what gave no posting, where it came from and why."""
+    return ledger.where(F.col("reason").isNotNull()).select("source", "query", "page_no", "pos", "reason", "detail", "title", "url", "scraped_at")
+
+
+def rejected_counts(ledger: DataFrame) -> DataFrame:
+    """A9 at ingest: rows per source and reason; postings have the reason null."""
+    return ledger.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def extract_all(spark: SparkSession, landed: DataFrame, specs: DataFrame | None = None,
+                keywords=K.RELEVANT_TITLE_KEYWORDS, scraped_at=None, max_pages: int | None = None) -> DataFrame:
+    """One raw-posting frame with arrival order over all sources: the postings of ``ingest_ledger``."""
+    return postings(ingest_ledger(spark, landed, specs, keywords, scraped_at, max_pages))
 
 
 def merge_into_store(store: DataFrame, extracted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,14 +20,14 @@ from postkit.functions.tokens import with_token_fields
 from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
-from postkit.operators.ingest import extract_all, merge_into_store
+from postkit.operators.ingest import extract_all, ingest_ledger, merge_into_store, rejected, rejected_counts
 from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
                                       scoring_counters, select_unscored)
 from postkit.operators.warehouse import (append_overrides, load_new, normalise_rows, read_overrides,
                                         read_quarantine, read_table as read_warehouse)
 from postkit.plans import fixtures as X
 from postkit.session import literal_frame, materialize, read_table, scratch_path
-from postkit.sources.html import (cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
+from postkit.sources.html import (chain_stops, cut_page_chain, extract_cards, extract_jobs_cz, extract_jobstack, extract_linkedin,
                                   heading, nav_links_capped, page_text)
 from postkit.sources.payloads import (extract_muse, extract_remotive, json_field, keywords_from_table, mentions_any,
                                       search_specs, with_enabled_specs)
@@ -436,6 +436,26 @@ def q_ingest_all_counters(spark, sf):
     return _ingest(spark, sf)[1]
 
 
+def _broken_ledger(spark, sf):
+    return ingest_ledger(spark, X.landed_broken(spark, sf), X.specs_all(spark, sf), scraped_at=F.lit(FIXED_SCRAPED_AT), max_pages=K.JOBSTACK_MAX_PAGES)
+
+
+def q_ingest_quarantine(spark, sf):
+    """Q1 + F2 over all sources, some of their pages damaged: everything that gave no posting, and why."""
+    return rejected(_broken_ledger(spark, sf)).select(
+        "source", "query", F.col("page_no").cast("bigint").alias("page_no"), F.col("pos").cast("bigint").alias("pos"), "reason", "title", "url")
+
+
+def q_ingest_reasons(spark, sf):
+    """A9 at ingest: postings (no reason) and rejected rows per source and reason."""
+    return rejected_counts(_broken_ledger(spark, sf))
+
+
+def q_page_chain_stops(spark, sf):
+    """Where the reader of each category stops, and why."""
+    return chain_stops(X.page_chain_c(spark, sf), "category", max_pages=K.JOBSTACK_MAX_PAGES)
+
+
 def q_load_duplicates(spark, sf):
     """K3 + Q2 on a batch with repeated ids and rows without one: the table, then the quarantine."""
     path = scratch_path(spark, "warehouse")
@@ -544,6 +564,9 @@ QUERIES = {
     "nav_cards_all": q_nav_cards_all,
     "ingest_all": q_ingest_all,
     "ingest_all_counters": q_ingest_all_counters,
+    "ingest_quarantine": q_ingest_quarantine,
+    "ingest_reasons": q_ingest_reasons,
+    "page_chain_stops": q_page_chain_stops,
     "load_duplicates": q_load_duplicates,
     "load_counters": q_load_counters,
     "source_filter": q_source_filter,

@@ -286,6 +286,17 @@ def landed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def landed_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P: ``landed_all`` with damaged bodies on every page whose number ends in 7 (Jobstack: in 3): cut JSON, text that is no
+    JSON or no body at all (Muse), markup that the parser rejects."""
+    page, json_cut = F.col("page_no"), F.substring("body", 1, 60)
+    hit = F.when(F.col("source") == "jobstack", page % 10 == 3).otherwise(page % 10 == 7)
+    no_json = F.when(page % 20 == 7, F.lit("not json"))
+    body = (F.when(~hit, F.col("body")).when(F.col("source") == "remotive", json_cut).when(F.col("source") == "the_muse", no_json)
+            .otherwise(F.concat(F.lit("<p><![foo["), F.col("body"))))
+    return landed_all(spark, sf_dir).withColumn("body", body)
+
+
 def specs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spec table for ``landed_all``: one row per search, one of them disabled; a Jobstack
     category per conversation, every fourth disabled."""

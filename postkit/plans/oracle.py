@@ -536,3 +536,50 @@ SQL["score_retry"] = f"""WITH T AS (SELECT s.doc_id, {C.EARLY.replace('doc_id',
   FROM ({SCORED_D}) s JOIN documents d ON d.doc_id = s.doc_id)
 SELECT 1 AS run, count(*) FILTER (WHERE early AND NOT fails) AS scored, count(*) FILTER (WHERE early AND fails) AS failed FROM T
 UNION ALL SELECT 2, count(*) FILTER (WHERE NOT early OR fails), 0 FROM T UNION ALL SELECT 3, 0, 0"""
+
+# ---------------------------------------------------------------- ingest with damaged pages
+_GATE = lambda c: _any_contains(f"lower({c})", K.RELEVANT_TITLE_KEYWORDS)
+_LI_URL = "'https://remotive.example/e/' || CAST(c_custkey AS VARCHAR)"
+BROKEN = f"""WITH {REMOTIVE.partition("WITH ")[2].rpartition("SELECT event_id, CAST(pos")[0]},
+R AS (
+  SELECT 'remotive' AS source, 'data analyst' AS query, event_id AS page_no, pos, title, url, CASE WHEN NOT {_GATE("title")} THEN 'title not relevant' END AS reason
+  FROM J WHERE event_id % 10 <> 7
+  UNION ALL SELECT 'remotive', 'data analyst', event_id, NULL, '', '', 'broken payload' FROM events WHERE event_id % 10 = 7),
+M AS (
+  SELECT 'the_muse', 'Data Science', conv_id * 100 + turn, CASE WHEN bad THEN NULL ELSE 0 END, CASE WHEN bad THEN '' ELSE split_part(text, chr(10), 1) END,
+    CASE WHEN bad OR turn % 5 = 4 THEN '' ELSE 'https://muse.example/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) END,
+    CASE WHEN bad THEN 'broken payload' WHEN turn % 5 = 4 THEN 'posting without link' END
+  FROM (SELECT *, (conv_id * 100 + turn) % 10 = 7 AS bad FROM conversations)),
+Z AS (
+  SELECT 'jobs_cz', 'search ' || CAST(p_partkey % 3 AS VARCHAR), p_partkey, pos, title, url,
+    CASE WHEN title IS NULL THEN 'card without title' WHEN NOT {_GATE("title")} THEN 'title not relevant' END
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey, pos) AS n FROM ({JOBS_CZ_CARDS}) WHERE p_partkey % 10 <> 7)
+  WHERE n <= CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 50 ELSE n END
+  UNION ALL SELECT 'jobs_cz', 'search ' || CAST(p_partkey % 3 AS VARCHAR), p_partkey, NULL, NULL, NULL, 'unreadable page' FROM part WHERE p_partkey % 10 = 7),
+I AS (
+  SELECT 'linkedin', 'data analyst BI', c_custkey, 0, 'Data Analyst ' || c_name, {_LI_URL}, NULL FROM customer WHERE c_custkey % 10 <> 7
+  UNION ALL SELECT 'linkedin', 'data analyst BI', c_custkey, 1, 'BI Developer', {_LI_URL} || '-b', NULL FROM customer WHERE c_custkey % 10 <> 7
+  UNION ALL SELECT 'linkedin', 'data analyst BI', c_custkey, 2, 'SQL Admin', NULL, 'card without link' FROM customer WHERE c_custkey % 10 <> 7
+  UNION ALL SELECT 'linkedin', 'data analyst BI', c_custkey, NULL, NULL, NULL, 'unreadable page' FROM customer WHERE c_custkey % 10 = 7),
+P AS (SELECT conv_id, turn, turn + 1 AS page_no, role, length(text) < 40 AS empty, turn % 4 = 3 AS last, (turn + 1) % 10 = 3 AS bad FROM conversations WHERE conv_id % 4 <> 0),
+S AS (SELECT conv_id, min(page_no) FILTER (WHERE empty OR bad) AS se, min(page_no) FILTER (WHERE last AND NOT bad) AS sl FROM P WHERE page_no <= {K.JOBSTACK_MAX_PAGES} GROUP BY conv_id),
+KP AS (SELECT P.* FROM P JOIN S USING (conv_id) WHERE page_no <= {K.JOBSTACK_MAX_PAGES} AND (se IS NULL OR page_no < se) AND (sl IS NULL OR page_no <= sl)),
+LK AS (
+  SELECT conv_id, page_no, 0 AS pos, {_q(K.JOBSTACK_BASE_URL)} || '/it-job/' || CAST(conv_id AS VARCHAR) || '-' || CAST((turn + 1) // 2 AS VARCHAR) AS url,
+    CASE WHEN role = 'user' THEN 'Data Analyst' ELSE 'Chef' END AS title FROM KP
+  UNION ALL SELECT conv_id, page_no, 1, {_q(K.JOBSTACK_BASE_URL)} || '/it-job/' || CAST(conv_id AS VARCHAR) || '-x' || CAST(turn AS VARCHAR), 'Senior BI Developer' FROM KP),
+T AS (
+  SELECT 'jobstack', CAST(conv_id AS VARCHAR), page_no, pos, title, url, CASE WHEN NOT {_GATE("title")} THEN 'title not relevant' END
+  FROM LK QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_no, pos) = 1
+  UNION ALL SELECT 'jobstack', CAST(conv_id AS VARCHAR), page_no, NULL, NULL, NULL, 'unreadable page' FROM P WHERE bad),
+A AS (SELECT * FROM R UNION ALL SELECT * FROM M UNION ALL SELECT * FROM Z UNION ALL SELECT * FROM I UNION ALL SELECT * FROM T)
+"""
+SQL["ingest_quarantine"] = BROKEN + """SELECT source, query, CAST(page_no AS BIGINT) AS page_no, CAST(pos AS BIGINT) AS pos, reason, title, url
+FROM A WHERE reason IS NOT NULL"""
+SQL["ingest_reasons"] = BROKEN + "SELECT source, reason, count(*) AS n FROM A GROUP BY source, reason"
+SQL["page_chain_stops"] = f"""WITH P AS (SELECT conv_id AS category, turn + 1 AS page_no, length(text) < 40 AS empty FROM conversations WHERE turn + 1 <= {K.JOBSTACK_MAX_PAGES}),
+R AS (SELECT *, CASE WHEN empty THEN 'no links' WHEN page_no = {K.JOBSTACK_MAX_PAGES} THEN 'page limit' END AS reason FROM P)
+SELECT category, coalesce(min(page_no) FILTER (WHERE reason IS NOT NULL), max(page_no)) AS page_no,
+  coalesce(arg_min(reason, page_no) FILTER (WHERE reason IS NOT NULL), 'no more pages') AS reason,
+  coalesce(arg_min(reason, page_no) FILTER (WHERE reason IS NOT NULL), 'no more pages') <> 'no links' AS inclusive
+FROM R GROUP BY category"""

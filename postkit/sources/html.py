@@ -1,7 +1,6 @@
 """Landed HTML pages -> card rows.
 
-Pages are parsed inside ``mapInPandas`` (Arrow batches, one parse per page, spread over all
-tasks) with the stdlib ``html.parser``, which tolerates the unclosed tags real pages have.
+Pages are dealt over the cluster and parsed inside ``mapInArrow`` (Arrow batches, one parse per page) with the stdlib ``html.parser``, which tolerates the unclosed tags real pages have.
 Selectors are deliberately small: descendant chains of ``tag.class[attr*=value]`` parts.
 Everything after the parse (caps, gates, ids, defaults, dedup) is native DataFrame code.
 """
@@ -12,15 +11,16 @@ import re
 from html.parser import HTMLParser
 from typing import Iterator, NamedTuple, Sequence
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from postkit import constants as K
 from postkit.functions.text import absolutise, is_relevant, posting_id, strip_query
 from postkit.functions.tokens import tokenize, with_token_fields
+from postkit.operators.prefix import grouped_offsets
 from postkit.session import materialize
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,22 +39,26 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.cur = self.root
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
         self.cur.children.append(node)
         if tag not in _VOID:
             self.cur = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.cur.children.append(Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
 
     def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:   # unmatched end tags are ignored
-            self.cur = n.parent
+        if not self.open.get(tag):                   # unmatched end tags are ignored, without a climb
+            return
+        while True:
+            done, self.cur = self.cur.tag, self.cur.parent
+            self.open[done] -= 1
+            if done == tag:
+                return
 
     def handle_data(self, data):
         self.cur.children.append(data)
@@ -94,37 +98,26 @@ def _matches(node: Node, part) -> bool:
     return True
 
 
-def _walk(node: Node):
-    """Nodes below ``node`` in document order, with a stack: depth is no limit."""
-    stack = [c for c in reversed(node.children) if isinstance(c, Node)]
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-
-
 def select(root: Node, selector: str) -> list[Node]:
-    """Descendant-combinator selection in document order (like CSS ``a b c``)."""
+    """Descendant-combinator selection in document order (like CSS ``a b c``). One walk: every node carries how many leading
+    parts its ancestors match, those above ``root`` included."""
     parts = _compile(selector)
-    out = []
-    for n in _walk(root):
-        if not _matches(n, parts[-1]):
-            continue
-        i, anc = len(parts) - 2, n.parent
-        while i >= 0 and anc is not None:
-            if _matches(anc, parts[i]):
-                i -= 1
-            anc = anc.parent
-        if i < 0:
+    last, done, above, n = len(parts) - 1, 0, [], root
+    while n is not None:
+        above.append(n)
+        n = n.parent
+    for n in reversed(above):
+        done += done < last and _matches(n, parts[done])
+    out, stack = [], [(c, done) for c in reversed(root.children) if isinstance(c, Node)]
+    while stack:
+        n, done = stack.pop()
+        if done == last and _matches(n, parts[last]):
             out.append(n)
+        done += done < last and _matches(n, parts[done])
+        stack.extend((c, done) for c in reversed(n.children) if isinstance(c, Node))
     return out
 
 
-def select_one(root: Node, selector: str) -> Node | None:
-    found = select(root, selector)
-    return found[0] if found else None
-
-
 def _strings(node: Node):
     stack = list(reversed(node.children))
     while stack:
@@ -156,8 +149,9 @@ CARD_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("has_title", T.BooleanType()),
     T.StructField("has_link", T.BooleanType()),
-    T.StructField("error", T.StringType()),
 ])
+#: Pages of one Arrow batch whose trees and cards are held at a time.
+_PAGE_ROWS = 256
 
 
 class Field(NamedTuple):
@@ -214,47 +208,78 @@ def read_links(root: Node, selector: str) -> Iterator[dict]:
         yield {"pos": pos, "href": a.attrs.get("href", ""), "text": get_text(a, sep="\n", strip=True), "has_title": True, "has_link": True}
 
 
-def extract_cards(pages: DataFrame, kind: str, key_cols: Sequence[str], html_col: str = "html",
-                  cap: int | None = None, selector: str | None = None) -> DataFrame:
-    """One row per card (``kind`` = a name in CARD_KINDS, or 'links': the elements of
-    ``selector``, with href and text split into lines), in page order (``pos``). ``cap`` keeps
-    the first cards of a page *before* any gate; None keeps all. A page that cannot be read
-    gives one row with ``error`` and no card (Q1), and the others go on."""
+def dealt(pages: DataFrame) -> DataFrame:
+    """Pages dealt over the cluster by rows. A landed file of short, well compressed rows is one split whatever the cluster,
+    and parsing costs far more than moving a page."""
+    spark = pages.sparkSession
+    return pages.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _reader(kind: str, selector: str | None):
     if kind == "links":
-        read = lambda root: read_links(root, selector or "ul li a[href*=/it-job/]")
-    elif kind in CARD_KINDS:
-        read = lambda root: read_cards(root, CARD_KINDS[kind])
-    else:
+        return lambda root: read_links(root, selector or "ul li a[href*=/it-job/]")
+    if kind not in CARD_KINDS:
         raise ValueError(f"unknown card kind {kind}")
-    keys = list(key_cols)
-    schema = T.StructType(list(pages.select(*keys).schema.fields) + list(CARD_SCHEMA.fields))
-    names = CARD_SCHEMA.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            key_values = list(zip(*[pdf[k].tolist() for k in keys]))
-            for kv, html in zip(key_values, pdf["_html"].tolist()):
-                try:
-                    cards = list(read(parse(html)))
-                except Exception as exc:
-                    cards = [{"error": f"{type(exc).__name__}: {exc}"}]
-                rows += [kv + tuple(c.get(n) for n in names) for c in cards]
-            yield pd.DataFrame(rows, columns=schema.fieldNames(), dtype="object")
-
-    cards = pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    return lambda root: read_cards(root, CARD_KINDS[kind])
+
+
+def _parsed(pages: DataFrame, keys: Sequence[str], html_col: str, fields: Sequence[T.StructField], read) -> DataFrame:
+    """One row per page: its keys, what ``read(root, row)`` gives for ``fields`` and ``error``. A page that cannot be read has
+    its ``error`` and nulls, and the others go on (Q1)."""
+    schema = T.StructType([*pages.select(*keys).schema.fields, *fields, T.StructField("error", T.StringType())])
+    kinds, n = [to_arrow_type(f.dataType) for f in fields], len(keys)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _PAGE_ROWS):
+                b, rows = batch.slice(start, _PAGE_ROWS), []
+                for key, html in zip(b.select(range(n)).to_pylist(), b.column(n).to_pylist()):
+                    try:
+                        rows.append((*read(parse(html), key), None))
+                    except Exception as exc:
+                        rows.append((*[None] * len(kinds), f"{type(exc).__name__}: {exc}"))
+                made = [pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.string()])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.fieldNames())
+
+    return dealt(pages.select(*keys, F.col(html_col).alias("_html"))).mapInArrow(run, schema)
+
+
+def parse_pages(pages: DataFrame, kind: str, key_cols: Sequence[str], html_col: str = "html", selector: str | None = None) -> DataFrame:
+    """One row per page: its keys, ``cards`` in page order (``kind`` = a name in CARD_KINDS, or 'links': the elements of
+    ``selector``, with href and text split into lines) and ``error``."""
+    read = _reader(kind, selector)
+    return _parsed(pages, list(key_cols), html_col, [T.StructField("cards", T.ArrayType(CARD_SCHEMA))], lambda root, _: (list(read(root)),))
+
+
+def page_cards(parsed: DataFrame) -> DataFrame:
+    """The cards of parsed pages, a row each; a page with an ``error`` is one row without a card."""
+    keys = [c for c in parsed.columns if c not in ("cards", "error")]
+    nothing = F.array(F.lit(None).cast(CARD_SCHEMA))
+    rows = parsed.select(*keys, F.explode(F.when(F.col("error").isNotNull(), nothing).otherwise(F.col("cards"))).alias("_card"), "error")
+    return rows.select(*keys, "_card.*", "error")
+
+
+def extract_cards(pages: DataFrame, kind: str, key_cols: Sequence[str], html_col: str = "html",
+                  cap: int | None = None, selector: str | None = None) -> DataFrame:
+    """One row per card, in page order (``pos``). ``cap`` keeps the first cards of a page *before* any gate; None keeps
+    all. A page that cannot be read gives one row with ``error`` and no card (Q1)."""
+    cards = page_cards(parse_pages(pages, kind, key_cols, html_col, selector))
     return cards if cap is None else cards.where(F.col("pos").isNull() | (F.col("pos") < cap))
 
 
-def capped_per_search(cards: DataFrame, search_cols: Sequence[str], cap_col: str = "cap") -> DataFrame:
-    """The first ``cap_col`` cards of each search (page by page, in page order); a null
-    cap is no cap. Each page is first cut at the cap, so what is ranked is small."""
+def capped_cards(parsed: DataFrame, search_cols: Sequence[str], cap_col: str = "cap") -> DataFrame:
+    """The cards of parsed pages up to ``cap_col`` cards a search (page by page, in page order); a null cap is no
+    cap. Pages are counted, not cards ranked: a grouped prefix sum over the pages' numbers of cards gives the place of each
+    page's first card in its search, and the cap is a filter on that place plus the position on the page."""
+    rows = materialize(parsed.withColumn("_page", F.monotonically_increasing_id()), "parsed")
+    counts = rows.where(F.col(cap_col).isNotNull()).select(
+        *search_cols, *[c for c in ("page_no",) if c in rows.columns], "_page", F.greatest(F.size("cards"), F.lit(0)).alias("_cards"))
+    order = [c for c in counts.columns if c in ("page_no", "_page")]
+    first = grouped_offsets(counts, search_cols, order, "_cards", "_first").select("_page", "_first")
     cap = F.col(cap_col)
-    near = cards.where(F.col("error").isNotNull() | cap.isNull() | (F.col("pos") < cap))
-    at = [F.col(c) for c in ("page_no",) if c in cards.columns] + [F.col("pos")]
-    rank = F.row_number().over(Window.partitionBy(*search_cols).orderBy(F.col("error").isNotNull(), *at))
-    open_end = near.where(cap.isNull())
-    return near.where(cap.isNotNull()).withColumn("_rank", rank).where(F.col("error").isNotNull() | (F.col("_rank") <= cap)).drop("_rank").unionByName(open_end)
+    near = rows.join(first, "_page", "left").where(cap.isNull() | F.col("error").isNotNull() | (F.col("_first") < cap))
+    within = F.col("error").isNotNull() | cap.isNull() | (F.col("_first") + F.col("pos") < cap)
+    return page_cards(near).where(within).drop("_page", "_first")
 
 
 def card_errors(cards: DataFrame, key_cols: Sequence[str]) -> DataFrame:
@@ -262,23 +287,26 @@ def card_errors(cards: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     return cards.where(F.col("error").isNotNull()).select(*key_cols, "error")
 
 
-def with_html_text(df: DataFrame, html_col: str, out: str) -> DataFrame:
-    """Adds the text of an HTML column (character references decoded, script and style
-    bodies dropped); null for a page that cannot be read."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
+def with_html_text(df: DataFrame, html_col: str, out: str, error: str | None = None) -> DataFrame:
+    """Adds the text of an HTML column (character references decoded, script and style bodies dropped); null for a page
+    that cannot be read, whose error is in the column ``error`` names."""
+    schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType()) for c in (out, error) if c])
 
     def text(html):
         try:
-            return get_text(parse(html))
-        except Exception:
-            return None
+            return get_text(parse(html)), None
+        except Exception as exc:
+            return None, f"{type(exc).__name__}: {exc}"
 
     def run(batches):
-        for b in batches:
-            texts = pa.array([text(h) for h in b.column(b.schema.get_field_index(html_col)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=schema.fieldNames())
+        for batch in batches:
+            for start in range(0, batch.num_rows, _PAGE_ROWS):
+                b = batch.slice(start, _PAGE_ROWS)
+                found = [text(h) for h in b.column(b.schema.get_field_index(html_col)).to_pylist()]
+                made = [pa.array([x[i] for x in found], pa.string()) for i in range(2 if error else 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return dealt(df).mapInArrow(run, schema)
 
 
 def page_text(pages: DataFrame, key_cols: Sequence[str], html_col: str = "html") -> DataFrame:
@@ -297,51 +325,44 @@ def listing_pages(pages: DataFrame, key_cols: Sequence[str], html_col: str = "ht
                   link_selector: str = "ul li a[href*=/it-job/]") -> DataFrame:
     """One parse per listing page: the S13 flags ``empty`` (no job link) and ``has_next`` (a link
     to page_no + 1), the page's job links as ``links`` (``pos``, ``href``, link text split into
-    lines) and ``error`` for a page that cannot be read. ``page_no`` must be among ``key_cols``."""
-    keys = list(key_cols)
-    schema = T.StructType(list(pages.select(*keys).schema.fields) + [
-        T.StructField("empty", T.BooleanType()), T.StructField("has_next", T.BooleanType()),
-        T.StructField("links", LINK_SCHEMA), T.StructField("error", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            empty, nxt, links, errors = [], [], [], []
-            for h, p in zip(pdf["_html"], pdf["page_no"]):
-                found, more, error = [], False, None
-                try:
-                    root = parse(h)
-                    found = [{k: c[k] for k in ("pos", "href", "text")} for c in read_links(root, link_selector)]
-                    more = bool(select(root, f"a[href*=page={int(p) + 1}]"))
-                except Exception as exc:
-                    error = f"{type(exc).__name__}: {exc}"
-                empty.append(not found)
-                nxt.append(more)
-                links.append(found)
-                errors.append(error)
-            out = pdf[keys].copy()
-            out["empty"], out["has_next"], out["links"], out["error"] = empty, nxt, links, errors
-            yield out
-
-    return pages.select(*keys, F.col(html_col).alias("_html")).mapInPandas(run, schema)
+    lines) and ``error`` for a page that cannot be read (its flags are null). ``page_no`` must be among ``key_cols``."""
+    def read(root, key):
+        found = list(read_links(root, link_selector))
+        return not found, bool(select(root, f"a[href*=page={int(key['page_no']) + 1}]")), found
+
+    fields = [T.StructField("empty", T.BooleanType()), T.StructField("has_next", T.BooleanType()), T.StructField("links", LINK_SCHEMA)]
+    return _parsed(pages, list(key_cols), html_col, fields, read)
 
 
 # ---------------------------------------------------------------- native parts
-def cut_page_chain(pages: DataFrame, group_col: str, page_col: str = "page_no", empty_col: str = "empty",
-                   last_col: str | None = "last", max_pages: int | None = None) -> DataFrame:
-    """Keep pages of each group that a sequential reader would have read: pages up to
-    ``max_pages`` (None: all), before the first page without links (``empty_col``, exclusive) and up to the
-    first page without a next link (``last_col``, inclusive). The stop page per group is an
-    aggregate (partial per task) joined back, not a window over the whole group."""
-    within = pages if max_pages is None else pages.where(F.col(page_col) <= max_pages)
-    stop_expr = [F.min(F.when(F.col(empty_col), F.col(page_col))).alias("_stop_empty")]
-    if last_col:
-        stop_expr.append(F.min(F.when(F.col(last_col), F.col(page_col))).alias("_stop_last"))
-    stops = within.groupBy(group_col).agg(*stop_expr)
-    keep = F.col("_stop_empty").isNull() | (F.col(page_col) < F.col("_stop_empty"))
+def chain_stops(pages: DataFrame, group_col: str, page_col: str = "page_no", empty_col: str = "empty", last_col: str | None = "last",
+                max_pages: int | None = None, error_col: str | None = None) -> DataFrame:
+    """Where a sequential reader of each group stops: ``page_col``, ``reason`` and whether that page is still read
+    (``inclusive``). It stops at the first page that cannot be read or has no links, after the first page without a next
+    link, after page ``max_pages`` (None: no limit), or where the landed pages end. One aggregate that combines per task."""
+    reason = F.when(F.col(empty_col), F.lit("no links"))
+    if error_col:
+        reason = F.when(F.col(error_col).isNotNull(), F.lit("unreadable page")).when(F.col(empty_col), F.lit("no links"))
     if last_col:
-        keep = keep & (F.col("_stop_last").isNull() | (F.col(page_col) <= F.col("_stop_last")))
-    stops = stops.withColumnRenamed(group_col, "_group")
-    return within.join(stops, F.col(group_col).eqNullSafe(F.col("_group"))).where(keep).drop("_group", "_stop_empty", "_stop_last")
+        reason = reason.when(F.col(last_col), F.lit("no next page"))
+    within = pages
+    if max_pages is not None:
+        within, reason = pages.where(F.col(page_col) <= max_pages), reason.when(F.col(page_col) == max_pages, F.lit("page limit"))
+    stop = F.min(F.when(reason.isNotNull(), F.struct(F.col(page_col).alias("p"), reason.alias("reason"))))
+    end = F.struct(F.max(page_col).alias("p"), F.lit("no more pages").alias("reason"))
+    found = within.groupBy(group_col).agg(F.coalesce(stop, end).alias("_s"))
+    return found.select(group_col, F.col("_s.p").alias(page_col), F.col("_s.reason").alias("reason"),
+                        (~F.col("_s.reason").isin("unreadable page", "no links")).alias("inclusive"))
+
+
+def cut_page_chain(pages: DataFrame, group_col: str, page_col: str = "page_no", empty_col: str = "empty",
+                   last_col: str | None = "last", max_pages: int | None = None, error_col: str | None = None) -> DataFrame:
+    """The pages of each group that a sequential reader would have read (``chain_stops``, joined back: no window
+    over a whole group)."""
+    stops = chain_stops(pages, group_col, page_col, empty_col, last_col, max_pages, error_col).select(
+        F.col(group_col).alias("_group"), F.col(page_col).alias("_stop"), "inclusive")
+    keep = (F.col(page_col) < F.col("_stop")) | (F.col("inclusive") & (F.col(page_col) == F.col("_stop")))
+    return pages.join(stops, F.col(group_col).eqNullSafe(F.col("_group"))).where(keep).drop("_group", "_stop", "inclusive")
 
 
 def heading(html: Column | str, tag: str = "h1") -> Column:
@@ -369,64 +390,94 @@ def _scraped(scraped_at):
 
 def _page_columns(landed: DataFrame) -> list[str]:
     """Columns of the landed rows that stay with each card (a card's own columns take precedence)."""
-    return [c for c in landed.columns if c != "body" and c not in CARD_SCHEMA.fieldNames()]
+    return [c for c in landed.columns if c not in ("body", "error") and c not in CARD_SCHEMA.fieldNames()]
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """The postings among rows that carry a ``reason`` for their rejection."""
+    return rows.where(F.col("reason").isNull()).drop("reason", "detail")
 
 
 def _searched(landed: DataFrame, kind: str, cap: int | None, cap_col: str | None) -> DataFrame:
     """Cards of landed pages, capped per page by ``cap`` or per search by the column ``cap_col``."""
     keys = _page_columns(landed)
-    cards = extract_cards(landed, kind, keys, "body", cap)
-    if cap_col:
-        cards = capped_per_search(cards, [c for c in ("source", "query", "search_location") if c in keys], cap_col)
-    return cards.where(F.col("error").isNull())
+    if not cap_col:
+        return extract_cards(landed, kind, keys, "body", cap)
+    return capped_cards(parse_pages(landed, kind, keys, "body"), [c for c in ("source", "query", "search_location") if c in keys], cap_col)
+
+
+def jobs_cz_rows(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
+                 scraped_at=None, cap_col: str | None = None) -> DataFrame:
+    """S10 + Q1 + F2: every card within the cap and every page that cannot be read, with the ``reason`` why it is no posting
+    (null for postings) and ``detail``."""
+    reason = (F.when(F.col("error").isNotNull(), F.lit("unreadable page")).when(~F.col("has_title"), F.lit("card without title"))
+              .when(~is_relevant("title", keywords), F.lit("title not relevant")))
+    return _searched(landed, "jobs_cz", cap, cap_col).select(
+        *_page_columns(landed), "pos", posting_id("href").alias("job_id"), "title", "company", "location",
+        F.lit("").alias("description"), F.col("href").alias("url"), F.lit("jobs_cz").alias("source_name"),
+        "salary", _scraped(scraped_at).alias("scraped_at"), reason.alias("reason"), F.col("error").alias("detail"))
 
 
 def extract_jobs_cz(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
                     scraped_at=None, cap_col: str | None = None) -> DataFrame:
     """Title gate after the cap (P8), company from the logo text else the first footer
     item, location = second footer item else 'Praha'. No cap unless one is given."""
-    keys = _page_columns(landed)
-    return _searched(landed, "jobs_cz", cap, cap_col).where(F.col("has_title") & is_relevant("title", keywords)).select(
-        *keys, "pos", posting_id("href").alias("job_id"), "title", "company", "location",
-        F.lit("").alias("description"), F.col("href").alias("url"), F.lit("jobs_cz").alias("source_name"),
-        "salary", _scraped(scraped_at).alias("scraped_at"))
+    return accepted(jobs_cz_rows(landed, cap, keywords, scraped_at, cap_col))
 
 
-def extract_linkedin(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
-                     search_location_col: str = "search_location", scraped_at=None, cap_col: str | None = None) -> DataFrame:
-    """Title and link required, URL without its query, missing location -> the search's
-    location (a column of the landed rows, from the spec join). No cap unless one is given."""
-    keys = _page_columns(landed)
+def linkedin_rows(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
+                  search_location_col: str = "search_location", scraped_at=None, cap_col: str | None = None) -> DataFrame:
+    """S11 + Q1 + F2: as ``jobs_cz_rows``, for LinkedIn's result lists."""
     landed = landed.withColumn("_search_location", F.col(search_location_col))
     url = strip_query("href")
-    return _searched(landed, "linkedin", cap, cap_col).where(F.col("has_title") & F.col("has_link") & is_relevant("title", keywords)).select(
-        *keys, "pos", posting_id(url).alias("job_id"), "title", "company",
+    reason = (F.when(F.col("error").isNotNull(), F.lit("unreadable page")).when(~F.col("has_title"), F.lit("card without title"))
+              .when(~F.col("has_link"), F.lit("card without link")).when(~is_relevant("title", keywords), F.lit("title not relevant")))
+    return _searched(landed, "linkedin", cap, cap_col).select(
+        *[c for c in _page_columns(landed) if c != "_search_location"], "pos", posting_id(url).alias("job_id"), "title", "company",
         F.coalesce(F.col("location"), F.col("_search_location")).alias("location"),
         F.lit("").alias("description"), url.alias("url"), F.lit("linkedin").alias("source_name"),
-        F.lit("").alias("salary"), _scraped(scraped_at).alias("scraped_at"))
+        F.lit("").alias("salary"), _scraped(scraped_at).alias("scraped_at"), reason.alias("reason"), F.col("error").alias("detail"))
 
 
-def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.RELEVANT_TITLE_KEYWORDS,
-                     scraped_at=None, max_pages: int | None = None) -> DataFrame:
-    """S12 + S13 + J5: pages cut per category, links parsed into tokens (X22-X26), in-run
-    first-seen dedup by id *before* the title gate, then the gate."""
+def extract_linkedin(landed: DataFrame, cap: int | None = None, keywords=K.RELEVANT_TITLE_KEYWORDS,
+                     search_location_col: str = "search_location", scraped_at=None, cap_col: str | None = None) -> DataFrame:
+    """Title and link required, URL without its query, missing location -> the search's
+    location (a column of the landed rows, from the spec join). No cap unless one is given."""
+    return accepted(linkedin_rows(landed, cap, keywords, search_location_col, scraped_at, cap_col))
+
+
+def jobstack_rows(landed: DataFrame, category_col: str = "query", keywords=K.RELEVANT_TITLE_KEYWORDS,
+                  scraped_at=None, max_pages: int | None = None) -> DataFrame:
+    """S12 + S13 + J5 + Q1: pages cut per category, links parsed into tokens (X22-X26), in-run first-seen dedup by id *before*
+    the title gate; rejected links and every landed page that cannot be read have a ``reason``."""
     from postkit.operators.dedup import dedup_first
-    keys = [c for c in landed.columns if c != "body"]
-    # Pages are parsed once; the cut (an aggregate and its join-back) and the first-wins dedup
-    # (the same) read the written parse, not the HTML again.
+    keys = [c for c in landed.columns if c not in ("body", "error")]
+    # Pages are parsed once; the cut (an aggregate and its join-back), the first-wins dedup (the same) and the rejected
+    # rows read the written parse, not the HTML again.
     parsed = materialize(listing_pages(landed, keys, "body"), "jobstack-pages")
-    kept = cut_page_chain(parsed.withColumn("last", ~F.col("has_next")), category_col, max_pages=max_pages)
+    kept = cut_page_chain(parsed.withColumn("last", ~F.col("has_next")), category_col, max_pages=max_pages, error_col="error")
     links = kept.select(*keys, F.inline("links"))
     # The one-element explode is a plan barrier: the emptiness filter on the token array is not
     # pushed below it, so the array is computed once and the stages of ``with_token_fields`` stay.
-    tokens = links.where(F.col("href") != "").select(
-        *links.columns, F.explode(F.array(tokenize("text"))).alias("_parts")).where(F.size("_parts") > 0)
-    parsed = with_token_fields(tokens, "_parts")
-    url = absolutise("href", K.JOBSTACK_BASE_URL)
-    rows = parsed.select(*keys, "pos", posting_id(url).alias("job_id"), F.col("_t.title").alias("title"),
-                         F.col("_t.company").alias("company"), F.col("_t.location").alias("location"),
-                         F.lit("").alias("description"), url.alias("url"), F.lit("jobstack").alias("source_name"),
-                         F.col("_t.salary").alias("salary"), _scraped(scraped_at).alias("scraped_at"))
+    tokens = links.select(*links.columns, F.explode(F.array(tokenize("text"))).alias("_parts"))
+    fine = (F.col("href") != "") & (F.size("_parts") > 0)
+    url, at = absolutise("href", K.JOBSTACK_BASE_URL), _scraped(scraped_at).alias("scraped_at")
+    rows = with_token_fields(tokens.where(fine), "_parts").select(
+        *keys, "pos", posting_id(url).alias("job_id"), F.col("_t.title").alias("title"),
+        F.col("_t.company").alias("company"), F.col("_t.location").alias("location"),
+        F.lit("").alias("description"), url.alias("url"), F.lit("jobstack").alias("source_name"),
+        F.col("_t.salary").alias("salary"), at)
     order = [c for c in ("query_rank", category_col, "page_no") if c in keys] + ["pos"]
     first = dedup_first(rows.withColumn("_o", F.struct(*order)), "job_id", ["_o"]).drop("_o")
-    return first.where(is_relevant("title", keywords))
+    first = first.select("*", F.when(~is_relevant("title", keywords), F.lit("title not relevant")).alias("reason"), F.lit(None).cast("string").alias("detail"))
+    bare = tokens.where(~fine).select(*keys, "pos", F.lit("jobstack").alias("source_name"), F.col("href").alias("url"), at,
+                                      F.when(F.col("href") == "", F.lit("link without address")).otherwise(F.lit("link without text")).alias("reason"))
+    broken = parsed.where(F.col("error").isNotNull()).select(
+        *keys, F.lit("jobstack").alias("source_name"), at, F.lit("unreadable page").alias("reason"), F.col("error").alias("detail"))
+    return first.unionByName(bare, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
+
+
+def extract_jobstack(landed: DataFrame, category_col: str = "query", keywords=K.RELEVANT_TITLE_KEYWORDS,
+                     scraped_at=None, max_pages: int | None = None) -> DataFrame:
+    """S12 + S13 + J5: the postings of ``jobstack_rows``."""
+    return accepted(jobstack_rows(landed, category_col, keywords, scraped_at, max_pages))

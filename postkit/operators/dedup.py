@@ -28,19 +28,22 @@ def _pick(df: DataFrame, key: Sequence[str], order_cols: Sequence[str], agg) ->
     aggregate combines on the map side: a key that holds a third of all rows leaves each task as
     one row. A null order value loses to any other."""
     rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
     null_last = (lambda c: F.col(c).isNull()) if agg is F.min else (lambda c: F.col(c).isNotNull())
-    order = [x for c in order_cols for x in (null_last(c), F.col(c))]
     types = {f.name: f.dataType for f in df.schema.fields}
-    ties = [F.col(c) for c in rest if c not in order_cols and _orderable(types[c])]
-    ranked = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order + ties)])
-    if all(_orderable(types[c]) for c in rest):
-        win = agg(F.struct(ranked.alias("r"), F.struct(*rest).alias("v"))).getField("v") if rest else F.lit(None)
+    ranked = [x for i, c in enumerate(order_cols) for x in (null_last(c).alias(f"n{i}"), F.col(c).alias(f"o{i}"))]
+    at = {c: f"o{i}" for i, c in reversed(list(enumerate(order_cols)))}
+    for c in rest:
+        if c not in at and _orderable(types[c]):
+            at[c] = f"r{len(ranked)}"
+            ranked.append(F.col(c).alias(at[c]))
+    if all(c in at for c in rest):               # the ranked struct holds every column: each value crosses the shuffle once
+        win = agg(F.struct(*ranked))
     else:
-        win = (F.min_by if agg is F.min else F.max_by)(F.struct(*rest), ranked)
-    if not rest:
-        return df.distinct()
+        win, at = (F.min_by if agg is F.min else F.max_by)(F.struct(*rest), F.struct(*ranked)), {c: c for c in rest}
     out = df.groupBy(*key).agg(win.alias("_v"))
-    return out.select(*[F.col(c) if c in key else F.col(f"_v.{c}").alias(c) for c in df.columns])
+    return out.select(*[F.col(c) if c in key else F.col(f"_v.{at[c]}").alias(c) for c in df.columns])
 
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:

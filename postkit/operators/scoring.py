@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.responses import split_parsed
 from postkit.functions.text import contains_any, date_prefix, is_relevant, remote_rule, truncate_chars
+from postkit.operators.key_index import KeyIndex
 from postkit.operators.dedup import dedup_first, not_stored
 from postkit.session import literal_frame, materialize
 
@@ -30,11 +31,16 @@ def load_profile(spark: SparkSession, path: str | None = None, fallback: str = K
     return literal_frame(spark, [(fallback.strip(),)], "profile string")
 
 
-def select_unscored(raw: DataFrame, scored: DataFrame, key: str = "job_id", title_col: str = "title",
+def unscored(raw: DataFrame, scored: DataFrame | KeyIndex, key: str = "job_id") -> DataFrame:
+    """Postings without a score, by the scored rows or by a bucketed index of their keys."""
+    return scored.unseen(raw) if isinstance(scored, KeyIndex) else not_stored(raw, scored, key)
+
+
+def select_unscored(raw: DataFrame, scored: DataFrame | KeyIndex, key: str = "job_id", title_col: str = "title",
                     keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS) -> DataFrame:
     """F3 = J2 + F1: not yet scored and relevant. Filters are applied here, before the
     expensive scorer (Catalyst cannot push filters through ``mapInPandas``)."""
-    return not_stored(raw.where(is_relevant(title_col, keywords)), scored, key)
+    return unscored(raw.where(is_relevant(title_col, keywords)), scored, key)
 
 
 def scoring_counters(raw: DataFrame, scored: DataFrame, key: str = "job_id", title_col: str = "title",
@@ -190,16 +196,17 @@ def merge_scores(raw: DataFrame, scores: DataFrame, key: str = "job_id", status:
         date_prefix(F.coalesce(F.col("scraped_at").cast("string"), F.lit(""))).alias("date_scraped"))
 
 
-def score_postings(raw: DataFrame, scored: DataFrame, profile: DataFrame, scorer_factory, key: str = "job_id",
+def score_postings(raw: DataFrame, scored: DataFrame | KeyIndex, profile: DataFrame, scorer_factory, key: str = "job_id",
                    keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS, parallelism: int | None = None,
                    strict_bool: bool = False) -> tuple[DataFrame, DataFrame]:
     """E2 as one job: F3 -> J8/X34 -> U1 -> X13-X17 -> P3. Returns (scored rows, quarantine).
 
-    Repeated ids are one posting (the least row survives). The postings and the scorer's answers
-    are written once before anything reads them twice: each posting is one prompt, and neither
-    a second reader nor a lost executor calls the scorer again."""
-    one = dedup_first(raw, key, [])
-    todo = materialize(select_unscored(one, scored, key, keywords=keywords), "to-score")
+    Repeated ids are one posting (the least row survives, and the title gate sees that one). Only postings without a score are
+    reduced to one per id, so a run costs what is new and not what is stored. The postings and the scorer's answers are
+    written once before anything reads them twice: each posting is one prompt, and neither a second reader nor a lost
+    executor calls the scorer again."""
+    one = dedup_first(unscored(raw, scored, key), key, [])
+    todo = materialize(one.where(is_relevant("title", keywords)), "to-score")
     answers = materialize(score_with(build_prompts(todo, profile, key), scorer_factory, key, parallelism), "answers")
     good, bad = type_responses(answers, key, strict_bool)
     return merge_scores(todo, good, key), bad

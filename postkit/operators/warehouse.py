@@ -15,14 +15,12 @@ from pyspark.sql import types as T
 
 from postkit import constants as K
 from postkit.operators.dedup import dedup_first, not_stored
+from postkit.operators.key_index import KeyIndex
 from postkit.schemas import PARTITION_COLUMN, STATUS_OVERRIDE, WAREHOUSE, WAREHOUSE_COLUMNS
+from postkit.session import path_exists
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+_exists = path_exists
 
 
 def ensure_table(spark: SparkSession, path: str) -> None:
@@ -110,13 +108,17 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_rows(spark: SparkSession, batch: DataFrame, path: str, order_cols=("scraped_at",),
-             key: str = "job_id") -> DataFrame:
-    """J3 + P12: in-batch first-wins dedup, then rows whose key is not loaded yet."""
+             key: str = "job_id", index: KeyIndex | None = None) -> DataFrame:
+    """J3 + P12: in-batch first-wins dedup, then rows whose key is not loaded yet (by the bucketed ``index`` of the table's
+    keys, if there is one)."""
     first = dedup_first(batch, key, [*order_cols, "url", "title"])
+    if index is not None:
+        index.refresh()
+        return index.unseen(first)
     return not_stored(first, existing_ids(spark, path, key), key, batch)
 
 
-def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None) -> LoadCounts:
+def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None, index: KeyIndex | None = None) -> LoadCounts:
     """K3: normalise, keep one row per unseen id, append into ``scraped_date`` partitions. Rows
     without a key are appended to the quarantine (Q2) before the load, so none is lost. The
     counts are observed during the writes (no second pass)."""
@@ -125,7 +127,7 @@ def load_new(spark: SparkSession, scored: DataFrame, path: str, loaded_at=None)
     good, bad = normalise_rows(scored, loaded_at)
     rejected, read, written = Observation("rejected"), Observation("read"), Observation("written")
     bad.observe(rejected, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(quarantine_path(path))
-    todo = new_rows(spark, good.observe(read, F.count(F.lit(1)).alias("n")), path)
+    todo = new_rows(spark, good.observe(read, F.count(F.lit(1)).alias("n")), path, index=index)
     # Rows of one date are gathered before the partitioned write, so a task does not write a
     # small file for every date it happens to hold. REBALANCE (not a plain repartition) lets AQE
     # split a hot date (a daily load is mostly one date) into advisory-sized files.

@@ -21,6 +21,7 @@ from postkit.operators import report as R
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
 from postkit.operators.ingest import extract_all, ingest_ledger, merge_into_store, rejected, rejected_counts
+from postkit.operators.key_index import KeyIndex
 from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
                                       scoring_counters, select_unscored)
 from postkit.operators.warehouse import (append_overrides, load_new, normalise_rows, read_overrides,
@@ -204,6 +205,13 @@ def q_select_unscored(spark, sf):
                            keywords=GATE_KEYWORDS).select("doc_id", "job_id", "title")
 
 
+def q_unscored_indexed(spark, sf):
+    """J2 by the bucketed index of the scored ids: the stored side is not shuffled."""
+    index = KeyIndex(spark, scratch_path(spark, "index"), f"{sf}/labels.parquet", "doc_id", buckets=8, key_type="bigint")
+    index.refresh()
+    return select_unscored(X.raw_d(spark, sf), index, key="doc_id", keywords=GATE_KEYWORDS).select("doc_id", "job_id", "title")
+
+
 def q_scoring_counters(spark, sf):
     return scoring_counters(X.raw_d(spark, sf), _labels_as_scored(spark, sf), key="doc_id", keywords=GATE_KEYWORDS)
 
@@ -260,6 +268,15 @@ def q_load_twice(spark, sf):
     return read_warehouse(spark, path).select("job_id", "salary", "status", "scraped_date")
 
 
+def q_load_indexed(spark, sf):
+    """K3 as in ``load_twice``, each load finding the stored ids in a bucketed index that catches up with the table."""
+    b, path = X.postings_b(spark, sf).drop("loaded_at"), scratch_path(spark, "warehouse")
+    index = KeyIndex(spark, scratch_path(spark, "index"), path, buckets=8)
+    for part in (b.where(F.col("score") < 40), b, b):
+        load_new(spark, part, path, X.LOADED_AT, index)
+    return read_warehouse(spark, path).select("job_id", "salary", "status", "scraped_date")
+
+
 def q_json_props(spark, sf):
     e = read_table(spark, sf, "events")
     return e.select("event_id", json_field("props", "$.k", "bigint").alias("k"))
@@ -538,6 +555,8 @@ QUERIES = {
     "skills_array": q_skills_array,
     "normalise_rows": q_normalise_rows,
     "load_twice": q_load_twice,
+    "load_indexed": q_load_indexed,
+    "unscored_indexed": q_unscored_indexed,
     "json_props": q_json_props,
     "remotive_extract": q_remotive_extract,
     "muse_extract": q_muse_extract,

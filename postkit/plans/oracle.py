@@ -583,3 +583,4 @@ SELECT category, coalesce(min(page_no) FILTER (WHERE reason IS NOT NULL), max(pa
   coalesce(arg_min(reason, page_no) FILTER (WHERE reason IS NOT NULL), 'no more pages') AS reason,
   coalesce(arg_min(reason, page_no) FILTER (WHERE reason IS NOT NULL), 'no more pages') <> 'no links' AS inclusive
 FROM R GROUP BY category"""
+SQL["load_indexed"], SQL["unscored_indexed"] = SQL["load_twice"], SQL["select_unscored"]

@@ -520,6 +520,19 @@ def q_override_stream(spark, sf):
     return run_override_stream(spark, X.overrides_l(spark, sf))
 
 
+def q_override_compacted(spark, sf):
+    """ST4 + W1 from a snapshot and the epochs after it."""
+    from postkit.streaming.changelog import read_latest, run_compacted_log
+    return read_latest(spark, run_compacted_log(spark, X.overrides_l(spark, sf))).select("job_id", "status")
+
+
+def q_stateful_dedup(spark, sf):
+    """ST1 by keyed state: three drops in three runs, the last one holding all rows again."""
+    from postkit.streaming.keyed_state import run_stateful_dedup
+    rows = X.raw_d(spark, sf).select("job_id", "doc_id", "source")
+    return run_stateful_dedup(spark, rows, [F.col("doc_id") % 3 == 1, F.col("doc_id") % 3 == 0, F.lit(True)])
+
+
 QUERIES = {
     "current_postings": q_current_postings,
     "session_overrides": q_session_overrides,
@@ -576,6 +589,8 @@ QUERIES = {
     "incremental_dedup": q_incremental_dedup,
     "incremental_load": q_incremental_load,
     "override_stream": q_override_stream,
+    "override_compacted": q_override_compacted,
+    "stateful_dedup": q_stateful_dedup,
     "page_chain_all": q_page_chain_all,
     "jobstack_links_all": q_jobstack_links_all,
     "jobs_cz_cards_all": q_jobs_cz_cards_all,

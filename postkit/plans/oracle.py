@@ -584,3 +584,5 @@ SELECT category, coalesce(min(page_no) FILTER (WHERE reason IS NOT NULL), max(pa
   coalesce(arg_min(reason, page_no) FILTER (WHERE reason IS NOT NULL), 'no more pages') <> 'no links' AS inclusive
 FROM R GROUP BY category"""
 SQL["load_indexed"], SQL["unscored_indexed"] = SQL["load_twice"], SQL["select_unscored"]
+SQL["override_compacted"] = SQL["latest_override"]
+SQL["stateful_dedup"] = SQL["incremental_dedup"].replace(f"CASE WHEN {C.EARLY} THEN 0 ELSE 1 END", "CASE doc_id % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END")

@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 The page is read into a tree (implied end tags, raw-text elements, broken markup). Furniture is
-pruned by tag, role and class or id words; inside an ``article`` or ``main`` headings and paragraphs
-are not pruned by name, other elements by a whole name, or by a part of one if they are mostly links. Each paragraph passes points for its length and its
+pruned by tag and role, and by class or id names made of furniture words only, with or without a
+word such as list, box or section (``ad-slot``, ``user-comments``). A name with other words in it
+(``related-work``) prunes a block only if it is mostly links or holds form fields; headings are never
+pruned by name and paragraphs by a whole class only. Each paragraph passes points for its length and its
 commas to its ancestors (all to the parent, less with each step up), as does text set directly
 in a block; a container's points are
 discounted by the share of its text that is inside links. The best container is kept, with
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 
 from postkit.llm.common import arrow_batches, field
 
+#: What makes a doubtful block a form: a search, a login, a box for comments.
+FIELDS = frozenset("form input textarea select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes noscript template iframe".split())
 BLOCK = frozenset(
@@ -34,21 +38,27 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("table ul ol dl body article section div main td th blockquote button".split())
+#: Kinds of open elements that a start tag may end: their tags and what hides them.
+_CELLS = SCOPE - {"td", "th"}
+ENDED = {"p": (frozenset({"p"}), SCOPE), **{k: (frozenset(v), _CELLS if k in ("tr", "td", "th", "tbody") else SCOPE) for k, v in CLOSES.items()}}
+CLOSABLE = SCOPE.union(*(tags for tags, _ in ENDED.values()))
 PRUNED = frozenset(
     "nav footer aside form script style textarea title xmp noframes noscript template iframe head button select input "
     "svg canvas object embed audio video dialog menu".split())
 PRUNED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-#: Words of a class or id that mark furniture.
-NAMES = (
-    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|"
-    r"newsletter|subscri\w*|signup|sidebar\w*|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|"
-    r"page-header|comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|widgets?|toolbar|"
-    r"pagination|pager|skip|login|paywall|tags?)")
-PRUNED_NAMES = re.compile(rf"(?:^|[\s_-]){NAMES}(?:$|[\s_-])", re.I)
-WHOLE_NAMES = re.compile(rf"(?:^|\s){NAMES}(?:$|\s)", re.I)
-#: Elements of an article that no name marks as furniture, and text that is no paragraph of its own.
+#: Words that name furniture.
+FURNITURE = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletters?|"
+    r"subscri\w*|signup|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|"
+    r"replies|respond|related|recommend\w*|share|sharing|social|widgets?|toolbar|pagination|pager|skip|login|paywall|tags?")
+#: Words that add nothing to a name beside such a word: a name of both is furniture, too.
+ROLES = frozenset(
+    "list lists box boxes section slot unit form wrapper wrap container area block bar panel button buttons link links icons item items row "
+    "inner outer group user reader site page main global top bottom left right header head title thread count body".split())
+#: Parts of a name: at hyphens, underscores and where lower case meets upper case.
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Share of linked text from which a part of a name marks an element of an article as furniture.
+#: Share of linked text from which a part of a name marks an element as furniture.
 MOSTLY_LINKS = 0.5
 #: Blocks whose own text counts for themselves; that of others counts for their parent.
 SECTIONS = frozenset("article main section body".split())
@@ -59,22 +69,34 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "keep", "doubtful", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "keep", "doubtful", "points", "chars", "linked", "fields", "inside", "depth", "block", "near")
 
     def __init__(self, tag: str, parent: "Node | None", furniture: bool | None = False):
         self.tag, self.parent, self.keep, self.doubtful = tag, parent, not furniture, furniture is None
         self.children: list = []                            # nodes and strings
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.fields = 0.0, 0, 0, 0
+        # What would else be found by climbing: inside an article, depth, depth of the nearest block, open elements to close.
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.block = self.depth if tag in BLOCK else parent.block if parent else 0
+        self.near: dict = {} if parent is None else parent.near
+        if tag in CLOSABLE:
+            self.near = {k: self if tag in tags else None if tag in scope else self.near.get(k) for k, (tags, scope) in ENDED.items()}
+
+
+def _named(name: str) -> bool | None:
+    """Whether a class or id names furniture; None if only a part of it does."""
+    parts = [x.lower() for x in PARTS.split(name) if x]
+    hits = [bool(FURNITURE.fullmatch(x)) for x in parts]
+    if not any(hits):
+        return False
+    return True if all(hit or x in ROLES for hit, x in zip(hits, parts, strict=True)) else None
 
 
-def _furniture(tag: str, attributes: str, parent: Node) -> bool | None:
-    """Whether an element is pruned; None if that depends on how much of it is links."""
-    if tag in PRUNED:
-        return True
-    inside = parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if tag == "header" and inside is None:
+def _furniture(tag: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element is pruned; None if that depends on its links and form fields. A heading is never pruned by its names and a
+    paragraph by a class only: their ids are anchors made of their words."""
+    if tag in PRUNED or tag == "header" and not inside:
         return True
     if not attributes.strip():
         return False
@@ -83,22 +105,31 @@ def _furniture(tag: str, attributes: str, parent: Node) -> bool | None:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    if tag == "article":
-        return bool(re.search(r"(?:^|[\s_-])(?:comments?|related|promo|ads?)(?:$|[\s_-])", names, re.I))
-    if tag in ("html", "body", "main") or not PRUNED_NAMES.search(names):
+    if tag in ("html", "body", "main") or tag in HEADINGS:
         return False
-    if inside is None:
+    found = [_named(x) for x in a.get("class", "").split()]
+    if tag != "p":
+        found += [_named(x) for x in a.get("id", "").split()]
+    if any(found):
         return True
-    if tag == "p" or tag in HEADINGS:
-        return False
-    return True if WHOLE_NAMES.search(names) else None
+    return None if None in found and tag != "p" else False
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The tree of a page and its nodes in page order. Never recursive: depth costs no stack."""
+    """The tree of a page and its nodes in page order, in time linear in the page, however deep it is: open elements are kept
+    by tag, and nodes know what else would be looked for among their ancestors."""
     root = Node("#root", None)
     at, pos, nodes = root, 0, [root]
+    opened: dict[str, list[Node]] = {}
+
+    def leave(node: Node, up: Node) -> Node:
+        """Closes everything from ``node`` to ``up``."""
+        while True:
+            opened[node.tag].pop()
+            if node is up:
+                return up.parent
+            node = node.parent
+
     while True:
         m = TOKEN.search(page, pos)
         if m is None:
@@ -110,17 +141,15 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if not tag:
             continue
         if m[1]:
-            up = at
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root and not (tag not in BLOCK and _crosses_block(at, up)):
-                at = up.parent
+            up = opened.get(tag)
+            if up and (tag in BLOCK or at.block <= up[-1].depth):       # an inline end tag ends no block
+                at = leave(at, up[-1])
             continue
-        if tag in BLOCK:                                    # a block ends an open paragraph
-            at = _close(at, {"p"}, SCOPE)
-        if tag in CLOSES:
-            at = _close(at, CLOSES[tag], SCOPE - {"td", "th"} if tag in ("tr", "td", "th", "tbody") else SCOPE)
-        node = Node(tag, at, _furniture(tag, m[3] or "", at))
+        if tag in BLOCK and (up := at.near.get("p")):       # a block ends an open paragraph
+            at = leave(at, up)
+        if tag in CLOSES and (up := at.near.get(tag)):
+            at = leave(at, up)
+        node = Node(tag, at, _furniture(tag, m[3] or "", at.inside))
         at.children.append(node)
         nodes.append(node)
         if tag in VOID or (m[3] or "").rstrip().endswith("/"):
@@ -134,32 +163,13 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             else:
                 pos = end.end()
                 continue
+        opened.setdefault(tag, []).append(node)
         at = node
     if pos < len(page):
         at.children.append(page[pos:])
     return root, nodes
 
 
-def _crosses_block(at: Node, up: Node) -> bool:
-    while at is not up:
-        if at.tag in BLOCK:
-            return True
-        at = at.parent
-    return False
-
-
-def _close(at: Node, tags: set[str], scope: frozenset) -> Node:
-    """The parent of the nearest open element of ``tags``, if none of ``scope`` is before it."""
-    up = at
-    while up is not None:
-        if up.tag in tags:
-            return up.parent
-        if up.tag in scope:
-            return at
-        up = up.parent
-    return at
-
-
 def _measure(nodes: list[Node]) -> None:
     """Characters, linked characters and points of every node, children before parents."""
     for node in reversed(nodes):
@@ -173,8 +183,12 @@ def _measure(nodes: list[Node]) -> None:
         node.chars += own
         if node.tag == "a":
             node.linked = node.chars
-        if node.doubtful and node.linked >= MOSTLY_LINKS * node.chars:
+        if node.tag in FIELDS:
+            node.fields += 1
+        if node.doubtful and (node.fields or node.linked >= MOSTLY_LINKS * node.chars):
             node.keep = False
+        if node.parent is not None:
+            node.parent.fields += node.fields
         if not node.keep:
             continue
         paragraph = node.tag in PARAGRAPHS or node.tag == "div" and own

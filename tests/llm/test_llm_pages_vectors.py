@@ -1,5 +1,6 @@
 """Small tests of the archive, page and vector operators."""
 
+import time
 import base64
 import hashlib
 import math
@@ -189,3 +190,28 @@ def test_components_of_chains_and_stars(spark):
     got = rows(components(spark.createDataFrame(edges, "u long, v long")), "node", "component")
     assert got == sorted([(i, 0) for i in range(51)] + [(100 + i, 100) for i in range(40)] + [(55, 55), (60, 55)], key=repr)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+GONE = [f'<div class="{n}"><p>Furniture, not text.</p></div>' for n in (
+    "comment-list", "comments-section", "user-comments", "newsletter-box", "ad-slot", "cookie-notice", "share-buttons", "sidebar-box", "commentList", "post comments")]
+GONE += ['<p class="advert">Buy, now.</p>', '<section id="comments"><p>First, I say.</p></section>', '<aside><p>Aside, note.</p></aside>',
+         '<div class="reply-to-comment-42"><p>Your answer, please.</p><textarea></textarea></div>', '<div class="related-stories-x"><a href=1>One</a> <a href=2>Two</a></div>']
+KEPT = ['<h2 id="notice-period">Notice period</h2>', '<p id="share-price">The price, per share.</p>', '<div id="side-effects"><p>Side effects, few.</p></div>',
+        '<h3 class="notice">Notice</h3>', '<section id="social-impact"><p>Impact, of work.</p></section>', '<div class="comment-culture"><p>On comments, in general.</p></div>']
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div class=story"])
+def test_furniture_goes_and_text_stays_inside_and_outside_an_article(around):
+    body = [f"<p>Paragraph {i}, with some text, and more, to be long enough.</p>" for i in range(len(GONE) + len(KEPT))]
+    page = "".join(x + y for x, y in zip(body, GONE + KEPT))
+    want = [f"Paragraph {i}, with some text, and more, to be long enough." for i in range(len(GONE))]
+    for i, x in enumerate(["Notice period", "The price, per share.", "Side effects, few.", "Notice", "Impact, of work.", "On comments, in general."]):
+        want += [f"Paragraph {len(GONE) + i}, with some text, and more, to be long enough.", x]
+    assert html_text.main_text(f"<body><{around}>{page}</{around.split()[0]}></body>").split("\n\n") == want
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<b><h1>", "<p><i>", "<li><b>"])
+def test_deep_pages_take_linear_time(tags):
+    start = time.perf_counter()
+    html_text.main_text(tags * 100_000 + "text, here" + "</b>" * 100_000)
+    assert time.perf_counter() - start < 30

@@ -1,10 +1,11 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
 Every line gets its place in a tree of fixed depth: number of tokens, then the leading tokens,
-where tokens with digits are variable fields (``<*>``). Lines of one leaf share a template: at
-each position the token most of its distinct lines have, and a variable field where the lines
-differ. A line that agrees with its leaf's template in at least ``similarity`` of the positions
-belongs to it; other lines are templates of their own. Templates that recur across documents
+where tokens with digits are variable fields (``<*>``). A leaf holds any number of templates. The
+first has at each position the token most of the leaf's distinct lines have, and the lines that
+agree with it in at least ``similarity`` of the positions belong to it. The others form families
+by the tokens that they share with enough of each other (``_families``); a line of no family is a
+template of its own. Templates that recur across documents
 are dropped everywhere but at their first place (smallest document id, then line), so the
 content itself stays in the corpus once.
 
@@ -27,8 +28,10 @@ def with_normal_form(df: DataFrame, line: str) -> DataFrame:
     """Replaces the column ``line`` by ``normal``: white space made single spaces and tokens with
     digits made variable fields, unless that leaves no more constant tokens than fields. Each
     step is a column of its own, so that no pattern is matched twice."""
-    plain = df.withColumn("plain", F.trim(F.regexp_replace(line, "[ \\t\\f\\r\\x0B]+", " "))).drop(line)
-    masked = plain.withColumn("masked", F.regexp_replace("plain", "[^ ]*[0-9][^ ]*", FIELD))
+    spaced = F.when(F.col(line).rlike("[\\t\\f\\r\\x0B]|  "), F.regexp_replace(line, "[ \\t\\f\\r\\x0B]+", " ")).otherwise(F.col(line))
+    plain = df.withColumn("plain", F.trim(spaced)).drop(line)
+    # Most lines hold no digit and are done; a field's pattern starts at a token's start, so each token is read once.
+    masked = plain.withColumn("masked", F.when(F.col("plain").rlike("[0-9]"), F.regexp_replace("plain", "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)))
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD), F.lit("")))) / len(FIELD)
     return masked.withColumn("normal", F.when(fields * 2 < token_count(F.col("masked")), F.col("masked")).otherwise(F.col("plain"))).drop("plain", "masked")
 
@@ -80,17 +83,36 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n")))
     leaf_template = (votes.groupBy("leaf", "pos").agg(F.min(F.struct(-F.col("n"), "token")).alias("m"))
                      .groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m.token"))), lambda x: x["token"]).alias("common")))
-    same = F.aggregate(F.zip_with("tokens", "common", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    member = (open_lines.join(leaf_template, "leaf").where(same >= similarity * F.size("tokens"))
-              .select("lh", F.col("leaf").alias("of_leaf")))
-    named = occ.join(materialize(member, "template-lines"), "lh", "left")
-    template = F.when(F.col("n_tokens") > 0, F.when(F.col("of_leaf").isNotNull(), F.struct(F.col("of_leaf").alias("a"), F.lit(None).cast("int").alias("b")))
-                      .otherwise(F.col("lh")))
+    agree = F.aggregate(F.zip_with("tokens", "common", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    judged = materialize(open_lines.join(leaf_template, "leaf").select("leaf", "lh", "tokens", (agree >= similarity * F.size("tokens")).alias("joins")), "judged-lines")
+    first = judged.where("joins").select("lh", F.struct(F.col("leaf").alias("a"), F.lit(None).cast("int").alias("b")).alias("family"))
+    member = materialize(first.unionByName(_families(judged.where("not joins"), similarity)), "template-lines")
+    named = occ.join(member, "lh", "left")
+    template = F.when(F.col("n_tokens") > 0, F.coalesce("family", "lh"))
     return named.select("id", "th", "line_no", "n_tokens", template.alias("template"))
 
 
+def _families(lines: DataFrame, similarity: float) -> DataFrame:
+    """Further templates of the leaves, for the lines outside their first one: any number of families at once.
+
+    Every token has a support, the number of these lines of its leaf with that token at that position. A line's own support is the
+    largest number that at least ``similarity`` of its tokens reach; these tokens stay, the others become variable fields.
+    Lines of a leaf with the same result are a family; one that no other line shares is none."""
+    tokens = lines.select("leaf", "lh", F.posexplode("tokens").alias("pos", "token"))
+    votes = tokens.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = tokens.join(votes, ["leaf", "pos", "token"]).groupBy("leaf", "lh").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "n"))).alias("held"))
+    held = held.join(lines.select("lh", F.size("tokens").alias("size")), "lh")
+    least = F.ceil(F.lit(similarity) * F.col("size")).cast("int")
+    own = F.reverse(F.sort_array(F.transform("held", lambda x: x["n"])))[least - 1]
+    kept = held.where(F.size("held") >= least).withColumn("own", own)
+    form = F.concat_ws(" ", F.transform(F.filter("held", lambda x: x["n"] >= F.col("own")), lambda x: F.concat(x["pos"].cast("string"), F.lit(" "), x["token"])))
+    formed = kept.select("lh", F.struct(F.xxhash64("leaf", F.lit(FIELD), form).alias("a"), F.hash(form, F.lit(29)).alias("b")).alias("family"))
+    shared = formed.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family")
+    return formed.join(shared, "family", "left_semi").select("lh", "family")
+
+
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.8,
-               min_docs: int = 2, short_tokens: int = 8, short_docs: int = 10) -> DataFrame:
+               min_docs: int = 2, short_tokens: int = 0, short_docs: int = 10) -> DataFrame:
     """One row per document: ``id``, ``th`` and ``lines``, an array of (line_no, dropped)."""
     lines = materialize(line_templates(docs, id_col, text_col, depth, similarity), "line-templates")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "line_no")
@@ -109,8 +131,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All columns of ``docs``, the text without its recurring lines, and ``n_lines`` and
     ``n_dropped`` under ``prefix`` (they replace columns of the same names); one row per row.
 
-    Lines of fewer than ``short_tokens`` tokens are dropped only if at least ``short_docs``
-    documents have them, others from ``min_docs`` documents on. Blank lines stay. A null text stays
+    Lines are dropped from ``min_docs`` documents on. With ``short_tokens`` (off by default) lines of fewer tokens are dropped
+    only if at least ``short_docs`` documents have them. Blank lines stay. A null text stays
     null with 0 lines, an empty text has one blank line. Rows with the same id and text are one
     document, and each of them gets the same result; a null id comes after all ids. Texts that
     lose all their lines become empty. An empty table gives no rows.

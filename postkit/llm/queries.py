@@ -139,12 +139,19 @@ vote as (select n_tokens, lead, pos, token, count(*) as n from token group by al
 common as (select n_tokens, lead, pos, first(token order by n desc, token) as token from vote group by n_tokens, lead, pos),
 agree as (select t.n_tokens, t.lead, t.s from token t join common c on t.n_tokens = c.n_tokens and t.lead = c.lead and t.pos = c.pos
           group by all having sum(case when t.token = c.token then 1 else 0 end) >= 0.8 * t.n_tokens),
-named as (select l.*, case when l.n_tokens = 0 then null when a.s is not null then 'T' || l.n_tokens || '|' || l.lead else 'L' || l.s end as template
-          from leafed l left join agree a on a.s = l.s),
-recurring as (select template, min(n_tokens) as n, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from named where template is not null group by 1),
+rest as (select t.* from token t left join agree a on a.s = t.s where a.s is null),
+support as (select n_tokens, lead, pos, token, count(*) as n from rest group by all),
+held as (select r.n_tokens, r.lead, r.s, list({'pos': r.pos, 'token': r.token, 'n': u.n} order by r.pos) as h, list(u.n order by u.n desc) as ns
+         from rest r join support u on u.n_tokens = r.n_tokens and u.lead = r.lead and u.pos = r.pos and u.token = r.token group by r.n_tokens, r.lead, r.s),
+formed as (select n_tokens, lead, s, array_to_string(list_transform(list_filter(h, lambda x: x.n >= ns[cast(ceil(0.8 * n_tokens) as int)]), lambda x: x.pos || ' ' || x.token), ' ') as form
+           from held where ns[cast(ceil(0.8 * n_tokens) as int)] > 1),
+family as (select s, 'F' || n_tokens || '|' || lead || '|' || form as f from formed qualify count(*) over (partition by n_tokens, lead, form) > 1),
+named as (select l.*, case when l.n_tokens = 0 then null when a.s is not null then 'T' || l.n_tokens || '|' || l.lead else coalesce(m.f, 'L' || l.s) end as template
+          from leafed l left join agree a on a.s = l.s left join family m on m.s = l.s),
+recurring as (select template, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from named where template is not null group by 1),
 first_line as (select n.template, r.first_doc, min(n.line_no) as first_line
                from named n join recurring r on r.template = n.template and r.first_doc = n.doc_id
-               where r.n_docs >= case when r.n < 8 then 10 else 2 end group by 1, 2),
+               where r.n_docs >= 2 group by 1, 2),
 mark as (select n.doc_id, n.text, n.line_no, f.template is not null and not (n.doc_id = f.first_doc and n.line_no = f.first_line) as dropped
          from named n left join first_line f on f.template = n.template),
 raw as (select m.*, l.line from mark m join line l on l.doc_id = m.doc_id and l.line_no = m.line_no)

@@ -1,5 +1,6 @@
 """Plain single-process versions that the tests compare with."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -70,18 +71,26 @@ def plain_lines(docs, similarity=0.8, depth=3):
         for s in lines:
             same = sum(a == b for a, b in zip(s.split(" "), common))
             template[s] = ("leaf", leaf) if len(lines) > 1 and same >= similarity * leaf[0] else ("line", s)
-    first, holders, size = {}, defaultdict(set), {}
+        rest = [s.split(" ") for s in lines if template[s][0] == "line"]
+        support = Counter((k, t) for w in rest for k, t in enumerate(w))
+        forms_of = {}
+        for w in rest:
+            own = sorted((support[k, t] for k, t in enumerate(w)), reverse=True)[math.ceil(similarity * len(w)) - 1]
+            if own > 1:
+                forms_of[" ".join(w)] = tuple(t if support[k, t] >= own else None for k, t in enumerate(w))
+        shared = Counter(forms_of.values())
+        template.update({s: ("family", leaf, f) for s, f in forms_of.items() if shared[f] > 1})
+    first, holders = {}, defaultdict(set)
     for i in sorted(forms):
         for k, s in enumerate(forms[i]):
             if s:
                 t = template[s]
                 first.setdefault(t, (i, k))
                 holders[t].add(i)
-                size[t] = len(s.split(" "))
     out = {}
     for i, text in docs:
         keep = [x for k, (x, s) in enumerate(zip(text.split("\n"), forms[i]))
-                if not s or len(holders[template[s]]) < (10 if size[template[s]] < 8 else 2) or first[template[s]] == (i, k)]
+                if not s or len(holders[template[s]]) < 2 or first[template[s]] == (i, k)]
         out[i] = ("\n".join(keep), len(keep) < len(forms[i]))
     return out
 

@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postkit.llm.common import broadcast_bytes
+from postkit.llm.common import BATCH_ROWS, broadcast_bytes
 from postkit.llm.shingles import mix
 from postkit.session import materialize
 
 #: A-Z to lower case, piece ends to a line feed, tab to a space.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Bytes of text handled at a time; longer texts are cut between words.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Bits of one piece of the filter as it is collected.
 _SLICE_BITS = 17
 _GAP = re.compile(rb"[ \n]")
@@ -104,10 +104,6 @@ class _Windows:
         return np.unique(code, return_index=True, return_counts=True)[1:]
 
 
-def _rows(batch):
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-
 def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.col(text_col).cast("string").cast("binary").alias("text")).where(F.length("text") > 0)
@@ -115,7 +111,8 @@ def _source(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def _all_rows(batches):
     for b in batches:
-        yield from _rows(b)
+        for i in range(0, b.num_rows, BATCH_ROWS):
+            yield from zip(*[c.to_pylist() for c in b.slice(i, BATCH_ROWS).columns], strict=True)
 
 
 def pair_filter(source: DataFrame, min_count: int, filter_bits: int, chunk: int = CHUNK_BYTES) -> bytes:

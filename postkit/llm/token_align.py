@@ -106,19 +106,22 @@ class Encoders:
 
 def common_ends(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
     """Places of the common values in two strictly increasing lists, by galloping through ``long``."""
-    in_short, in_long, j, n = [], [], 0, len(long)
+    in_short, in_long, j, n = [], [], 0, len(long)              # ``long`` holds a value
     for i, x in enumerate(short):
-        step = 1
-        if j < n and long[j] < x:
+        if long[j] < x:
+            step = 1
             while j + step < n and long[j + step] < x:
                 j += step
                 step *= 2
             j = bisect_left(long, x, j + 1, min(j + step + 1, n))
-        if j == n:
-            break
+            if j == n:
+                break
         if long[j] == x:
             in_short.append(i)
             in_long.append(j)
+            j += 1
+            if j == n:
+                break
     return in_short, in_long
 
 

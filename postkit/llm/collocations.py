@@ -2,8 +2,9 @@
 
 Only the longest windows are counted. Every word starts one window of ``max_words`` lead columns
 (the word and those after it in its piece, padded with nulls where the piece ends), so every
-occurrence of a shorter phrase is the beginning of exactly one window, and one ``ROLLUP`` over the
-lead columns gives the counts of all lengths, of single words and of all words.
+occurrence of a shorter phrase is the beginning of exactly one window. The windows are counted, the
+last word of those that are not frequent goes, and one ``ROLLUP`` over the lead columns gives the
+counts of all lengths, of single words and of all words.
 
 A longest window is nearly always unique, so a first pass finds the word pairs that can be
 frequent: pairs are counted by 64-bit hashes, and those that reach ``min_count`` set a bit of a
@@ -179,6 +180,9 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, filt
             yield pa.RecordBatch.from_arrays([*out, pa.array(n)], names=["lang", *names, "n"])
 
     counted = source.mapInArrow(windows, "lang string, " + ", ".join(f"{x} string" for x in names) + ", n long")
+    # Counts of the longest windows are final here: one that is not frequent only adds to its beginnings.
+    counted = counted.groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    counted = counted.withColumn(names[-1], F.when(F.col("n") >= min_count, F.col(names[-1])))
     level = F.grouping_id().alias("level")                # a bit for each column that is rolled up, the last one lowest
     sums = counted.rollup("lang", *names).agg(F.sum("n").alias("n"), level).where(F.col("level") < (1 << (max_words + 1)) - 1)
     k = F.coalesce(*[F.when(F.col("level") == (1 << (max_words - i)) - 1, F.lit(i)) for i in range(max_words + 1)])

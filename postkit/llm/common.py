@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,15 @@ def broadcast_bytes(df: DataFrame, obj):
     return df.sparkSession.sparkContext.broadcast(obj)
 
 
+def set_apart(docs: DataFrame, own: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn(docs)``, where all columns of ``docs`` but ``own`` go by other names (``extra_0``, ...) meanwhile and get theirs
+    back in the result. So no column that an operator only passes on, however it is called, clashes with a working one."""
+    names = {f"extra_{i}": c for i, c in enumerate(docs.columns) if c not in own}
+    away = {c: x for x, c in names.items()}
+    out = fn(docs.toDF(*[away.get(c, c) for c in docs.columns]))
+    return out.toDF(*[names.get(c, c) for c in out.columns])
+
+
 def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     """The field ``name`` of ``df`` as a nullable output field."""
     return T.StructField(alias or name, df.schema[name].dataType, True)

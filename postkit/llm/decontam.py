@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postkit.llm.common import arrow_batches, broadcast_bytes, field
+from postkit.llm.common import arrow_batches, broadcast_bytes, field, set_apart
 from postkit.session import materialize
 
 #: Words of UTF-8 text whose A-Z are lower-cased: digits, a-z and every non-ASCII byte.
@@ -166,6 +166,10 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all its columns, that are not contaminated. Each row is judged by
-    itself where it is read, so there is no join and repeated or null ids change nothing."""
-    found = find_overlaps(docs, benchmark, keep=docs.columns, prefix="__dc_")
-    return found.where(~contaminated(hit_words("__dc_spans"), F.col("__dc_n_words"))).select(*docs.columns)
+    itself where it is read, so there is no join and repeated or null ids change nothing. Null and empty texts stay; an empty
+    table gives no rows, an empty benchmark keeps all; other columns may have any name."""
+    def clean(df: DataFrame) -> DataFrame:
+        found = find_overlaps(df, benchmark, keep=df.columns, prefix="__dc_")
+        return found.where(~contaminated(hit_words("__dc_spans"), F.col("__dc_n_words"))).select(*df.columns)
+
+    return set_apart(docs, ["text"], clean)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postkit.llm.common import arrow_batches, broadcast_bytes, field
+from postkit.llm.common import arrow_batches, broadcast_bytes, field, set_apart
 
 UNKNOWN = "und"
 #: Hashed n-gram features.
@@ -229,7 +229,11 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text_co
 
 def accept(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, with all its columns, whose language is recognised with a score of at
-    least ``least``; a null ``lang`` is filled with the prediction."""
-    df = predict(docs, model, keep=docs.columns, prefix="__")
-    df = df.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least))
-    return df.select(*[F.coalesce("lang", "__lang_pred").alias("lang") if c == "lang" else c for c in docs.columns])
+    least ``least``; a null ``lang`` is filled with the prediction. Null texts and texts without a letter go; repeated rows and
+    null ids are judged as any other; an empty table gives no rows; other columns may have any name."""
+    def known(df: DataFrame) -> DataFrame:
+        found = predict(df, model, keep=df.columns, prefix="__")
+        found = found.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least))
+        return found.select(*[F.coalesce("lang", "__lang_pred").alias("lang") if c == "lang" else c for c in df.columns])
+
+    return set_apart(docs, ["text", "lang"], known)

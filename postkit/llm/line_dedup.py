@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postkit.llm.common import set_apart
 from postkit.session import materialize
 
 FIELD = "<*>"
@@ -135,14 +136,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only if at least ``short_docs`` documents have them. Blank lines stay. A null text stays
     null with 0 lines, an empty text has one blank line. Rows with the same id and text are one
     document, and each of them gets the same result; a null id comes after all ids. Texts that
-    lose all their lines become empty. An empty table gives no rows.
+    lose all their lines become empty. An empty table gives no rows. Other columns may have any name.
     """
+    names = [f"{prefix}n_lines", f"{prefix}n_dropped"]
+    return set_apart(docs, [id_col, text_col, *names], lambda df: _dedup_lines(df, id_col, text_col, names, options))
+
+
+def _dedup_lines(docs: DataFrame, id_col: str, text_col: str, names: list[str], options: dict) -> DataFrame:
     marks = mark_lines(docs, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.col("__lines")[i]["dropped"]), "\n")
     n_dropped = F.size(F.filter("__lines", lambda x: x["dropped"])).cast("long")
     none = F.col("__lines").isNull()
     joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
-    names = [f"{prefix}n_lines", f"{prefix}n_dropped"]
     columns = [F.when(none | (n_dropped == 0), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)
                for c in docs.columns if c not in names]
     return joined.select(*columns, F.when(none, F.lit(0)).otherwise(F.size("__lines")).cast("long").alias(names[0]),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postkit.llm.common import arrow_batches, broadcast_bytes, field
+from postkit.llm.common import arrow_batches, broadcast_bytes, field, set_apart
 from postkit.llm.components import components
 from postkit.llm.shingles import mix, shingle_hashes, word_hashes
 from postkit.session import materialize
@@ -337,8 +337,13 @@ def _classed(docs: DataFrame, threshold: float = 0.8, size: int = 5, samples: in
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, with all its columns, one of each class (the one with the smallest id, null
-    last; of rows with that id, one). Texts without words all stay."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    last; of rows with that id, one). Texts without words (null and empty ones too) all stay. Repeated rows are copies. An empty
+    table gives no rows; other columns may have any name."""
+    own = [options.get("id_col", "doc_id"), options.get("text_col", "text")]
+    return set_apart(docs, own, lambda df: _drop_near_duplicates(df, *own, options))
+
+
+def _drop_near_duplicates(docs: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")
     keep = _classed(docs, **options).where("component is not null").groupBy("component").agg(first).select(

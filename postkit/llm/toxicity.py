@@ -149,6 +149,13 @@ class BlockMaxIndex:
         self.examples = [np.array([e for e, _ in p], np.int64) for p in postings]
         self.weights = [np.array([w for _, w in p]) for p in postings]
 
+    @classmethod
+    def of(cls, state: dict) -> BlockMaxIndex:
+        """The index with this state (its ``__dict__``: arrays and lists only, which workers read without this package)."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        return index
+
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples with the highest positive cosine (all that tie with the k-th) and
         their cosines. ``skip`` leaves one example out."""
@@ -255,12 +262,13 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_c
             votes.append(vote(index, found, cosines, prior))
             pos.append(r["pos"]), neg.append(r["n"] - r["pos"])
         curve = fit_curve(np.array(votes), np.array(pos, float), np.array(neg, float))
-    model = broadcast_bytes(docs, (index, idf, prior, empty, curve))
+    model = broadcast_bytes(docs, (index.__dict__, idf, prior, empty, curve))
     schema = T.StructType([field(vectors, id_col), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(field(docs, id_col).dataType)),
                            T.StructField("cosines", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        index, idf, prior, empty, (a, b) = model.value
+        state, idf, prior, empty, (a, b) = model.value
+        index = BlockMaxIndex.of(state)
         seen: dict = {}
         for batch in batches:
             scores, evidence, cosine = [], [], []

@@ -1,7 +1,13 @@
 """The pipeline and the registered queries, held against plain versions on the small tables."""
 
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
@@ -78,6 +84,38 @@ def test_pipeline_takes_empty_tables(spark, steps):
         assert docs.count() == 0
 
 
+def test_stages_pass_on_columns_of_any_name(spark, steps):
+    clashing = ["__id", "__ID_", "__th", "__h", "__lines", "__n_dropped", "__n_lines", "__data", "__words", "__dc_spans", "__text", "__score", "extra_0", "id", "th",
+                "node", "component", "a.b", "score"]
+    plain = steps[0].where("doc_id < 120")
+    docs = materialize(plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashing]), "clash")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs = (materialize(stage(spark, df, SF), "clash") for df in (plain, docs))
+        assert docs.columns == [*plain.columns, *clashing]
+        assert sorted(map(str, docs.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        for c in clashing:
+            assert docs.where(F.col(f"`{c}`") != F.concat(F.lit(c), F.col("doc_id").cast("string"))).count() == 0
+    assert corpus_pipeline.pack(spark, docs, SF).count() == corpus_pipeline.pack(spark, plain, SF).count() > 0
+
+
+def test_workers_need_no_package(tmp_path):
+    """A driver that alone has the package on its path; the workers are started in another folder."""
+    job = tmp_path / "job.py"
+    job.write_text(f"""import sys
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from postkit.session import build_session
+from postkit.llm.queries import QUERIES
+spark = build_session("local[2]", shuffle_partitions=2, app="away")
+small = {str(tmp_path / "tables")!r}
+for name, rows in (("documents", 150), ("labels", 400)):
+    spark.read.parquet(f"{SF}/{{name}}.parquet").orderBy("doc_id").limit(rows).write.parquet(f"{{small}}/{{name}}.parquet")
+print("ROWS", QUERIES["op1_toxicity"](spark, small).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(job)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 150" in done.stdout, done.stderr[-2000:]
+
+
 # ---- queries without SQL ------------------------------------------------------------------
 
 def test_language_query_on_held_out_rows(spark):

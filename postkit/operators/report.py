@@ -143,18 +143,29 @@ def top_k_all_sorts(df: DataFrame, k: int, options: Sequence[str] = K.SORT_OPTIO
         "sort_by", F.col("rank").cast("bigint").alias("rank"), key)
 
 
-def summary_metrics(view: DataFrame, spec: FilterSpec) -> DataFrame:
+def _rows(weight: str | None, cond: Column | None = None) -> Column:
+    """The number of rows (with ``cond``), each counted ``weight`` times if that is a column."""
+    if weight is None:
+        return F.count(F.lit(1)) if cond is None else F.count_if(cond)
+    return F.coalesce(F.sum(F.col(weight) if cond is None else F.when(cond, F.col(weight))), F.lit(0)).cast("bigint")
+
+
+def summary_metrics(view: DataFrame, spec: FilterSpec, weight: str | None = None) -> DataFrame:
     """A1-A5 in one pass over the view: total, shown, percent shown, mean shown score, shown
-    rows with a salary, applied and interview counts over all rows."""
+    rows with a salary, applied and interview counts over all rows. ``weight``, here and below, is
+    the column of counts of a view in cells (``rollup.py``)."""
     flagged = shown_flag(view, spec)
     shown = F.col("shown")
+    scored = shown & F.col("score").isNotNull()
+    mean = F.avg(F.when(shown, F.col("score"))) if weight is None else (
+        F.sum(F.when(scored, F.col("score") * F.col(weight))).cast("double") / F.sum(F.when(scored, F.col(weight))))
     return flagged.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(shown).alias("shown"),
-        F.avg(F.when(shown, F.col("score"))).alias("avg_score"),
-        F.count_if(shown & (F.coalesce(F.col("salary"), F.lit("")) != "")).alias("with_salary"),
-        F.count_if(F.col("status") == "applied").alias("applied"),
-        F.count_if(F.col("status") == "interview").alias("interviews"),
+        _rows(weight).alias("total"),
+        _rows(weight, shown).alias("shown"),
+        mean.alias("avg_score"),
+        _rows(weight, shown & (F.coalesce(F.col("salary"), F.lit("")) != "")).alias("with_salary"),
+        _rows(weight, F.col("status") == "applied").alias("applied"),
+        _rows(weight, F.col("status") == "interview").alias("interviews"),
     ).select(
         "total", "shown",
         (F.col("shown") * 100.0 / F.greatest(F.col("total"), F.lit(1))).alias("pct_shown"),
@@ -173,10 +184,10 @@ def whole_number_text(c) -> Column:
     return F.bround(x, 0).cast("bigint").cast("string")
 
 
-def count_by_status(view: DataFrame, dim: DataFrame) -> DataFrame:
+def count_by_status(view: DataFrame, dim: DataFrame, weight: str | None = None) -> DataFrame:
     """A6 + J6 + X32: rows per status over the whole view; null status is not a group; the
     label comes from the dimension, else the title-cased status."""
-    counts = view.where(F.col("status").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+    counts = view.where(F.col("status").isNotNull()).groupBy("status").agg(_rows(weight).alias("count"))
     return counts.join(F.broadcast(dim.select("status", "label", "emoji")), "status", "left").select(
         "status",
         F.concat_ws(" ", F.col("emoji"), F.coalesce(F.col("label"), F.initcap("status"))).alias("label"),
@@ -184,19 +195,19 @@ def count_by_status(view: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def count_by_source(shown: DataFrame) -> DataFrame:
+def count_by_source(shown: DataFrame, weight: str | None = None) -> DataFrame:
     """Rows per source among the shown rows; null source is not a group."""
-    return shown.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("count"))
+    return shown.where(F.col("source").isNotNull()).groupBy("source").agg(_rows(weight).alias("count"))
 
 
-def score_histogram(shown: DataFrame, width: int = 5, lo: int = 0, hi: int = 100) -> DataFrame:
+def score_histogram(shown: DataFrame, width: int = 5, lo: int = 0, hi: int = 100, weight: str | None = None) -> DataFrame:
     """Fixed-width bins ``[start, start+width)``; the top edge ``hi`` falls into the last
     bin below it. Scores outside [lo, hi] get their own bins of the same width."""
     s = F.col("score")
     start = F.when(s == hi, F.lit(hi - width)).otherwise(F.floor((s - lo) / width) * width + lo)
     return (shown.where(s.isNotNull())
             .groupBy(start.cast("bigint").alias("bin_start"))
-            .agg(F.count(F.lit(1)).alias("count"))
+            .agg(_rows(weight).alias("count"))
             .select("bin_start", (F.col("bin_start") + width).alias("bin_end"), "count"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from postkit import constants as K
 from postkit.functions.responses import split_parsed
 from postkit.functions.text import contains_any, date_prefix, is_relevant, remote_rule, truncate_chars
+from postkit.operators.answers import AnswerStore
 from postkit.operators.key_index import KeyIndex
 from postkit.operators.dedup import dedup_first, not_stored
 from postkit.session import literal_frame, materialize
@@ -198,15 +199,16 @@ def merge_scores(raw: DataFrame, scores: DataFrame, key: str = "job_id", status:
 
 def score_postings(raw: DataFrame, scored: DataFrame | KeyIndex, profile: DataFrame, scorer_factory, key: str = "job_id",
                    keywords: Sequence[str] = K.RELEVANT_TITLE_KEYWORDS, parallelism: int | None = None,
-                   strict_bool: bool = False) -> tuple[DataFrame, DataFrame]:
+                   strict_bool: bool = False, answers: AnswerStore | None = None) -> tuple[DataFrame, DataFrame]:
     """E2 as one job: F3 -> J8/X34 -> U1 -> X13-X17 -> P3. Returns (scored rows, quarantine).
 
     Repeated ids are one posting (the least row survives, and the title gate sees that one). Only postings without a score are
     reduced to one per id, so a run costs what is new and not what is stored. The postings and the scorer's answers are
     written once before anything reads them twice: each posting is one prompt, and neither a second reader nor a lost
-    executor calls the scorer again."""
+    executor calls the scorer again. With a store of ``answers``, equal prompts of this and earlier runs are scored once."""
     one = dedup_first(unscored(raw, scored, key), key, [])
     todo = materialize(one.where(is_relevant("title", keywords)), "to-score")
-    answers = materialize(score_with(build_prompts(todo, profile, key), scorer_factory, key, parallelism), "answers")
-    good, bad = type_responses(answers, key, strict_bool)
+    ask = answers.answer if answers is not None else score_with
+    given = materialize(ask(build_prompts(todo, profile, key), scorer_factory, key, parallelism), "answers")
+    good, bad = type_responses(given, key, strict_bool)
     return merge_scores(todo, good, key), bad

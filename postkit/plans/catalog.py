@@ -18,12 +18,17 @@ from postkit.functions.text import (absolutise, is_relevant, page_url, posting_i
                                    truncate_chars)
 from postkit.functions.tokens import with_token_fields
 from postkit.operators import report as R
+from postkit.operators.answers import AnswerStore
 from postkit.operators.current import apply_session_overrides, current_postings, latest_by_key
 from postkit.operators.dedup import dedup_first, ingest_counters, merged_store
 from postkit.operators.ingest import extract_all, ingest_ledger, merge_into_store, rejected, rejected_counts
 from postkit.operators.key_index import KeyIndex
+from postkit.operators.keyword_index import with_keyword_count
+from postkit.operators.rollup import WEIGHT, Rollup, touched_dates
 from postkit.operators.scoring import (build_prompts, keyword_scorer, lexical_score, load_profile, score_postings,
                                       scoring_counters, select_unscored)
+from postkit.operators.sorted_view import stored_orders
+from postkit.operators.staged import StagedTable
 from postkit.operators.warehouse import (append_overrides, load_new, normalise_rows, read_overrides,
                                         read_quarantine, read_table as read_warehouse)
 from postkit.plans import fixtures as X
@@ -533,6 +538,112 @@ def q_stateful_dedup(spark, sf):
     return run_stateful_dedup(spark, rows, [F.col("doc_id") % 3 == 1, F.col("doc_id") % 3 == 0, F.lit(True)])
 
 
+def q_keyword_index_gate(spark, sf):
+    """J9 with a large keyword table (every two neighbouring words of the benchmark, and the languages): how many of them each
+    title mentions, by the inverted index of trigrams."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", words[i], words[i + 1]))
+    phrases = read_table(spark, sf, "benchmark").where(F.size(words) > 1).select(F.explode(pairs).alias("keyword"))
+    keywords = phrases.unionByName(read_table(spark, sf, "documents").select(F.col("lang").alias("keyword")))
+    return with_keyword_count(X.raw_d(spark, sf), keywords, "title").select("doc_id", "title", "n_keywords")
+
+
+def _staged_loads(spark, sf):
+    """A first load killed before its commit, its replay, a replay of the committed epoch, and a second epoch."""
+    table, batch = StagedTable(spark, scratch_path(spark, "staged")), X.repeated_b(spark, sf)
+    table.stage(batch, 0, X.LOADED_AT)
+    counts = [table.load(batch, epoch, X.LOADED_AT) for epoch in (0, 0, 1)]
+    return table, counts
+
+
+def q_load_staged(spark, sf):
+    """K3 + Q2: table and quarantine after those loads; each epoch counts once."""
+    table, _ = _staged_loads(spark, sf)
+    kept = table.rows().select(F.lit("table").alias("part"), "job_id", "title", "score")
+    return kept.unionByName(table.rejects().select(F.col("error").alias("part"), "job_id", "title", "score"))
+
+
+def q_load_staged_counters(spark, sf):
+    """What each of those loads reports."""
+    _, counts = _staged_loads(spark, sf)
+    return literal_frame(spark, [(i + 1, *c) for i, c in enumerate(counts)], "run bigint, inserted bigint, skipped bigint, quarantined bigint")
+
+
+def _rollup_cells(spark, sf):
+    """Cells of the current view after two loads and two status batches, each refreshing only the dates it touched."""
+    b, log = X.postings_b(spark, sf).drop("loaded_at"), X.overrides_l(spark, sf)
+    path, overrides = scratch_path(spark, "warehouse"), scratch_path(spark, "overrides")
+    rollup = Rollup(spark, scratch_path(spark, "rollup"))
+    first, early = F.coalesce(F.col("score") < 40, F.lit(False)), F.col("updated_at") < F.lit("2024-01-15")
+    load_new(spark, b.where(first), path, X.LOADED_AT)
+    append_overrides(spark, log.where(early), overrides)
+    rollup.refresh(read_warehouse(spark, path), read_overrides(spark, overrides))
+    load_new(spark, b.where(~first), path, X.LOADED_AT)
+    rollup.refresh(read_warehouse(spark, path), read_overrides(spark, overrides), touched_dates(read_warehouse(spark, path), batch=b.where(~first)))
+    append_overrides(spark, log.where(~early), overrides)
+    rollup.refresh(read_warehouse(spark, path), read_overrides(spark, overrides), touched_dates(read_warehouse(spark, path), changes=log.where(~early)))
+    return rollup.cells()
+
+
+def q_summary_rollup(spark, sf):
+    """A1-A5 from the cells."""
+    return R.summary_metrics(_rollup_cells(spark, sf), DEFAULT_SPEC, WEIGHT)
+
+
+def q_status_rollup(spark, sf):
+    """A6 from the cells."""
+    return R.count_by_status(_rollup_cells(spark, sf), R.status_dim(spark), WEIGHT)
+
+
+def q_source_rollup(spark, sf):
+    """A7 from the cells."""
+    return R.count_by_source(R.apply_filters(_rollup_cells(spark, sf), DEFAULT_SPEC), WEIGHT)
+
+
+def q_histogram_rollup(spark, sf):
+    """A8 from the cells."""
+    return R.score_histogram(R.apply_filters(_rollup_cells(spark, sf), ALL_SPEC), weight=WEIGHT)
+
+
+def _answered(spark, sf):
+    """Two scoring runs over one store of answers: the early postings, then all of them."""
+    raw, done, profile = _scoring_inputs(spark, sf)
+    store, runs = AnswerStore(spark, scratch_path(spark, "answer-store")), []
+    for rows in (raw.where(EARLY), raw):
+        good, _ = score_postings(rows, done, profile, keyword_scorer(PROFILE_SKILLS), key="doc_id", keywords=GATE_KEYWORDS, answers=store)
+        runs.append((good, store.called))
+    return runs
+
+
+def q_score_answers(spark, sf):
+    """The scores of the second run, mostly from stored answers."""
+    return _answered(spark, sf)[1][0].select(*SCORE_COLUMNS)
+
+
+def q_answer_calls(spark, sf):
+    """Postings scored and prompts put to the scorer by each of those runs."""
+    return literal_frame(spark, [(i + 1, good.count(), called) for i, (good, called) in enumerate(_answered(spark, sf))], "run bigint, scored bigint, called bigint")
+
+
+SORTED_PARTS = 16
+SORTED_PAGE = (2, 10)
+
+
+def _stored_orders(spark, sf):
+    shown = materialize(R.apply_filters(_salaried_view(spark, sf), DEFAULT_SPEC).select("job_id", "score", "date_scraped", "company"), "shown")
+    return stored_orders(shown, K.SORT_OPTIONS, SORTED_PARTS)
+
+
+def q_sorted_pages(spark, sf):
+    """O1 + O2: every row's place in the four stored orders."""
+    return reduce(DataFrame.unionByName, [v.all().select(F.lit(name).alias("sort_by"), "rank", "job_id") for name, v in _stored_orders(spark, sf).items()])
+
+
+def q_sorted_page(spark, sf):
+    """O1 + O2: one page of each stored order, read from the parts that hold it."""
+    return reduce(DataFrame.unionByName, [v.page(*SORTED_PAGE).select(F.lit(name).alias("sort_by"), "rank", "job_id") for name, v in _stored_orders(spark, sf).items()])
+
+
 QUERIES = {
     "current_postings": q_current_postings,
     "session_overrides": q_session_overrides,
@@ -607,4 +718,15 @@ QUERIES = {
     "sort_all": q_sort_all,
     "score_retry": q_score_retry,
     "score_retry_store": q_score_retry_store,
+    "keyword_index_gate": q_keyword_index_gate,
+    "load_staged": q_load_staged,
+    "load_staged_counters": q_load_staged_counters,
+    "summary_rollup": q_summary_rollup,
+    "status_rollup": q_status_rollup,
+    "source_rollup": q_source_rollup,
+    "histogram_rollup": q_histogram_rollup,
+    "score_answers": q_score_answers,
+    "answer_calls": q_answer_calls,
+    "sorted_pages": q_sorted_pages,
+    "sorted_page": q_sorted_page,
 }

@@ -586,3 +586,22 @@ FROM R GROUP BY category"""
 SQL["load_indexed"], SQL["unscored_indexed"] = SQL["load_twice"], SQL["select_unscored"]
 SQL["override_compacted"] = SQL["latest_override"]
 SQL["stateful_dedup"] = SQL["incremental_dedup"].replace(f"CASE WHEN {C.EARLY} THEN 0 ELSE 1 END", "CASE doc_id % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END")
+
+# ---------------------------------------------------------------- stored and incremental forms
+SQL["keyword_index_gate"] = _with(D) + """, W AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark),
+KW AS (SELECT DISTINCT k FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS k FROM W WHERE len(w) > 1
+  UNION ALL SELECT lower(lang) FROM documents) WHERE k <> '')
+SELECT doc_id, title, (SELECT count(*) FROM KW WHERE contains(lower(D.title), KW.k)) AS n_keywords FROM D"""
+SQL["load_staged"] = SQL["load_duplicates"]                     # two epochs; what the killed run wrote and the replay count for nothing
+SQL["load_staged_counters"] = REPEATED + """, C AS (SELECT (SELECT count(*) FROM KEPT) AS k, (SELECT count(*) FROM R2) AS r, (SELECT count(*) FROM LOST) AS l)
+SELECT run, CASE WHEN run < 3 THEN k ELSE 0 END AS inserted, CASE WHEN run < 3 THEN r - k ELSE r END AS skipped, l AS quarantined FROM C, range(1, 4) AS t(run)"""
+SQL["summary_rollup"], SQL["status_rollup"], SQL["source_rollup"], SQL["histogram_rollup"] = (
+    SQL[x] for x in ("summary_metrics", "count_by_status", "count_by_source", "score_histogram"))
+SQL["score_answers"] = SQL["score_postings"]
+SQL["answer_calls"] = f"""WITH T AS (SELECT s.doc_id, {C.EARLY.replace('doc_id', 's.doc_id')} AS early,
+  md5(coalesce(d.source, '') || chr(1) || coalesce(d.lang, '') || chr(1) || split_part(d.text, chr(10), 1) || chr(1) || substring(d.text, 1, 3000)) AS prompt
+  FROM ({SCORED_D}) s JOIN documents d ON d.doc_id = s.doc_id)
+SELECT 1 AS run, count(*) AS scored, count(DISTINCT prompt) AS called FROM T WHERE early
+UNION ALL SELECT 2, count(*), (SELECT count(DISTINCT prompt) FROM T WHERE prompt NOT IN (SELECT prompt FROM T WHERE early)) FROM T"""
+SQL["sorted_pages"] = SQL["sort_all"]
+SQL["sorted_page"] = f"SELECT * FROM ({SQL['sort_all']}) WHERE rank BETWEEN {(C.SORTED_PAGE[0] - 1) * C.SORTED_PAGE[1] + 1} AND {C.SORTED_PAGE[0] * C.SORTED_PAGE[1]}"

@@ -84,6 +84,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def child_folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """What follows ``prefix`` in the names of the entries of ``path`` that begin with it, sorted; none if it does not exist."""
+    if not path_exists(spark, path):
+        return []
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hpath)
+    names = (s.getPath().getName() for s in found)
+    return sorted(x[len(prefix):] for x in names if x.startswith(prefix))
+
+
+def finished_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the finished folders ``path/name=n``."""
+    numbers = sorted(int(x) for x in child_folders(spark, path, f"{name}=") if re.fullmatch(r"[0-9]+", x))
+    return [n for n in numbers if path_exists(spark, f"{path}/{name}={n}/_SUCCESS")]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back: later
     plans that consume it several times (an aggregate and its join-back) read the written

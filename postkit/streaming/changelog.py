@@ -10,23 +10,11 @@ again repeats nothing, and a reader between two steps sees one of the two states
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postkit.schemas import STATUS_OVERRIDE
-from postkit.session import path_exists, scratch_path
-
-
-def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The numbers n of the finished folders ``path/name=n``."""
-    if not path_exists(spark, path):
-        return []
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hpath)
-    numbers = [int(m[1]) for s in found if (m := re.fullmatch(rf"{name}=(\d+)", s.getPath().getName()))]
-    return sorted(n for n in numbers if path_exists(spark, f"{path}/{name}={n}/_SUCCESS"))
+from postkit.session import finished_folders, scratch_path
 
 
 def _log(path: str) -> str:
@@ -59,7 +47,7 @@ def _folded(entries: DataFrame, key: str) -> DataFrame:
 
 def entries_since_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """The newest finished snapshot together with the epochs after it, and the last epoch there is (-1: none)."""
-    done, epochs = _numbered(spark, _snapshots(path), "through"), _numbered(spark, _log(path), "epoch")
+    done, epochs = finished_folders(spark, _snapshots(path), "through"), finished_folders(spark, _log(path), "epoch")
     through = done[-1] if done else -1
     tail = [e for e in epochs if e > through]
     folders = [f"{_snapshots(path)}/through={through}"] * bool(done) + [f"{_log(path)}/epoch={e}" for e in tail]
@@ -75,7 +63,7 @@ def read_latest(spark: SparkSession, path: str, key: str = "job_id") -> DataFram
 def compact(spark: SparkSession, path: str, key: str = "job_id", every: int = 1) -> int | None:
     """Writes a snapshot through the last epoch if at least ``every`` epochs came after the newest one; returns that epoch.
     Earlier snapshots and epochs stay until ``prune``."""
-    done = _numbered(spark, _snapshots(path), "through")
+    done = finished_folders(spark, _snapshots(path), "through")
     rows, last = entries_since_snapshot(spark, path)
     if last - (done[-1] if done else -1) < every:
         return None
@@ -86,10 +74,10 @@ def compact(spark: SparkSession, path: str, key: str = "job_id", every: int = 1)
 def prune(spark: SparkSession, path: str) -> int:
     """Deletes epochs and snapshots that the newest finished snapshot replaces, for a job that knows that no reader is still
     on them; returns how many folders went."""
-    done = _numbered(spark, _snapshots(path), "through")
+    done = finished_folders(spark, _snapshots(path), "through")
     if not done:
         return 0
-    old = [f"{_log(path)}/epoch={e}" for e in _numbered(spark, _log(path), "epoch") if e <= done[-1]]
+    old = [f"{_log(path)}/epoch={e}" for e in finished_folders(spark, _log(path), "epoch") if e <= done[-1]]
     old += [f"{_snapshots(path)}/through={n}" for n in done[:-1]]
     for folder in old:
         hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,26 +1,30 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and the leading characters of words. The labelled documents choose the terms
-that mark the class (likelihood ratio and odds); idf of these terms is counted over all
-documents. Every document becomes a sparse TF-IDF vector, and its nearest labelled examples by
-exact cosine are found with a block-max inverted index: examples are held in blocks, and per
-term the largest weight of each block. The sum of those bounds every cosine of a block, blocks
-are opened from the highest bound down, and the search stops when no bound can beat the k-th
-best cosine. Votes are weighted with the distance, and a logistic curve fitted on
-leave-one-out votes of the examples turns them into calibrated scores.
-
-The examples are a bounded sample of the labelled rows (``fit_rows``); equal example vectors are
-one entry with its counts, so ties never depend on an order. Texts are read once: what is kept
-of each is its vector, a few numbers.
+Terms are all words of the examples, and those leading characters of words that mark label 1 (likelihood ratio and odds).
+Every document becomes a sparse vector over all of them: TF-IDF, idf counted over all documents, times a factor that grows
+with the likelihood ratio of the term for label 1 and is ``plain`` for words that say nothing about it. Its nearest examples
+by exact cosine are found with a block-max inverted index: examples are held in blocks, similar ones together, and every
+term lists the blocks that hold it, each with its largest weight there and its postings. The sums of those weights bound the
+cosines of a block, blocks are opened from the highest bound down, and the search stops when no bound can beat the k-th best
+cosine. Votes are weighted with the distance, and a logistic curve fitted on leave-one-out votes of the examples turns them
+into calibrated scores.
+
+The rows that are learnt from are bounded: ``fit_rows`` labelled rows for the terms, ``examples`` of them, half of either
+label where there are enough, for the index; the curve weighs either label by the share of it that was taken. Equal example
+vectors are one entry with its counts, so ties never depend on an order. Texts are read once: what is kept of each is its
+vector, a few numbers.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +38,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A beginning that a text has this often is a further term.
 OFTEN = 3
 #: Examples in one block of the index.
-BLOCK = 32
+BLOCK = 64
+#: Gain (2 x log likelihood ratio) that unrelated words reach by chance.
+_NOISE = 8.0
 
 
 def terms_of(text: str | None) -> dict[str, int]:
@@ -52,71 +58,80 @@ def terms_of(text: str | None) -> dict[str, int]:
     return words | heads | {f"{p}*": n for p, n in heads.items() if n >= OFTEN}
 
 
-def choose_terms(labelled: DataFrame, max_terms: int, least_docs: int, least_gain: float, least_odds: float) -> tuple[list[str], int, int]:
-    """Terms that mark label 1, and the rows of either label. ``labelled``: text, label (0/1).
-    Kept are the ``max_terms`` best by likelihood ratio of those in ``least_docs`` positive rows
-    with a gain (2 x log likelihood ratio) and odds ratio of at least the given values."""
+def term_factors(labelled: DataFrame, least_docs: int, least_gain: float, least_odds: float, plain: float) -> tuple[dict[str, float], int, int]:
+    """The factor of every term, and the rows of either label. ``labelled``: text, label (0/1), shown (whether the row is an
+    example). Terms are all words of the examples; beginnings of words need ``least_docs`` positive rows, a gain (2 x log
+    likelihood ratio) and an odds ratio of at least the given values. The factor is ``plain``, and for terms commoner in
+    label 1 the square root of the gain above _NOISE more. The rows collected are bounded by the examples' terms."""
     def run(batches):
         counts: dict[str, list[int]] = {}
-        rows = [0, 0]
+        rows = [0, 0, 0]
 
         def flush():
-            names = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names + [""], pa.string()), pa.array([counts[x][1] for x in names] + [rows[1]], pa.int64()),
-                 pa.array([counts[x][0] for x in names] + [rows[0]], pa.int64())], names=["term", "pos", "neg"])
+            held = [*counts.values(), rows]
+            return pa.RecordBatch.from_arrays([pa.array([*counts, ""], pa.string()), *(pa.array([x[i] for x in held], pa.int64()) for i in (1, 0, 2))],
+                                              names=["term", "pos", "neg", "shown"])
 
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, label, shown in zip(*(c.to_pylist() for c in b.columns)):
                 rows[label] += 1
                 for t in terms_of(text):
-                    counts.setdefault(t, [0, 0])[label] += 1
+                    n = counts.setdefault(t, [0, 0, 0])
+                    n[label] += 1
+                    n[2] += shown
             if len(counts) > 300_000:                       # bounded memory in long partitions
                 yield flush()
                 counts.clear()
-                rows[:] = [0, 0]
+                rows[:] = [0, 0, 0]
         yield flush()
 
-    summed = materialize(arrow_batches(labelled.select("text", "label"), run, "term string, pos long, neg long").groupBy("term").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tox-terms")
+    summed = materialize(arrow_batches(labelled.select("text", "label", "shown"), run, "term string, pos long, neg long, shown long").groupBy("term").agg(
+        *(F.sum(c).alias(c) for c in ("pos", "neg", "shown"))), "tox-terms")
     total = summed.where("term = ''").first()
-    if total is None or not total["pos"] or not total["neg"]:
-        return [], total["pos"] if total else 0, total["neg"] if total else 0
-    p, n = float(total["pos"]), float(total["neg"])
+    p, n = (float(total["pos"]), float(total["neg"])) if total else (0.0, 0.0)
+    if not p or not n:
+        return {}, int(p), int(n)
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     share = (a + b) / (p + n)
     gain = 2 * (part(a, p * share) + part(b, n * share) + part(p - a, p * (1 - share)) + part(n - b, n * (1 - share)))
     odds = ((a + 0.5) / (p - a + 0.5)) / ((b + 0.5) / (n - b + 0.5))
-    best = (summed.where((F.col("term") != "") & (F.col("pos") >= least_docs)).withColumn("gain", gain).where((F.col("gain") >= least_gain) & (odds >= least_odds))
-            .orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect())
-    return sorted(r["term"] for r in best), int(p), int(n)
+    told = summed.where("term != '' and shown > 0").select("term", "pos", gain.alias("gain"), odds.alias("odds"))
+    marks = (F.col("pos") >= least_docs) & (F.col("gain") >= least_gain) & (F.col("odds") >= least_odds)
+    kept = told.where(~F.col("term").endswith("*") | marks).select(
+        "term", (F.lit(plain) + F.when(F.col("odds") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("gain") - _NOISE))).otherwise(0.0)).alias("factor"))
+    return {r["term"]: r["factor"] for r in kept.orderBy("term").collect()}, int(p), int(n)
 
 
 def project(docs: DataFrame, terms: list[str], text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and the counts of the chosen terms (``at`` ascending, ``tf``) of every text."""
-    words = {t: i for i, t in enumerate(terms)}
-    shared = broadcast_bytes(docs, words)
+    """Columns ``keep`` and the counts of the terms (``at`` ascending, ``tf``) of every text."""
+    shared = broadcast_bytes(docs, {t: i for i, t in enumerate(terms)})
     df = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([field(df, c) for c in keep] + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("at", "tf")])
 
     def run(batches):
         known = shared.value
         heads = {k: {t.rstrip("*") for t in known if t.endswith("*") and len(t.rstrip("*")) == k} for k in PREFIXES}
+        parts: dict[str, tuple] = {}                        # of the words met so far: number of the word, beginnings that are terms
+
+        def parts_of(w):
+            if len(parts) >= 200_000:
+                parts.clear()
+            found = parts[w] = known.get(w, -1), tuple(w[:k] for k, names in heads.items() if len(w) > k and w[:k] in names)
+            return found
+
         for b in batches:
             at, tf = [], []
             for text in b.column(len(keep)).to_pylist():
                 found: dict[int, int] = {}
                 if text and known:
-                    words, stems = {}, {}
-                    for w in WORD.findall(text.lower()):
-                        words[w] = words.get(w, 0) + 1
-                    for w, n in words.items():
-                        if w in known:
-                            found[known[w]] = n
-                        for k, names in heads.items():
-                            if len(w) > k and w[:k] in names:
-                                stems[w[:k]] = stems.get(w[:k], 0) + n
+                    stems: dict[str, int] = {}
+                    for w, n in Counter(WORD.findall(text.lower())).items():
+                        i, begin = parts.get(w) or parts_of(w)
+                        if i >= 0:
+                            found[i] = n
+                        for p in begin:
+                            stems[p] = stems.get(p, 0) + n
                     for p, n in stems.items():
                         for t in (f"{p}*", f"{p}**")[:1 + (n >= OFTEN)]:
                             if t in known:
@@ -129,25 +144,52 @@ def project(docs: DataFrame, terms: list[str], text_col: str, keep: list[str]) -
     return arrow_batches(df, run, schema)
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges ``starts`` to ``ends``, one range after the other, and the lengths of the ranges."""
+    n = ends - starts
+    before = np.cumsum(n) - n
+    return np.repeat(starts - before, n) + np.arange(n.sum()), n
+
+
+def _near_order(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> list[int]:
+    """An order with similar vectors in the same block, which makes its bounds tight: random projections are halved along
+    their principal direction until a part is one block."""
+    axes = np.random.default_rng(5).standard_normal((terms, 32), np.float32)
+    places = np.array([w @ axes[at] for at, w in vectors])
+    order, parts = [], [np.arange(len(vectors))]
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            order.extend(part.tolist())
+            continue
+        x = places[part] - places[part].mean(axis=0)
+        part = part[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+        half = BLOCK * max(1, len(part) // (2 * BLOCK))
+        parts += [part[half:], part[:half]]
+    return order
+
+
 class BlockMaxIndex:
     """Inverted index over unit vectors of examples, with the largest weight of each block.
 
-    ``pos`` and ``neg`` count the labelled rows that have an example's vector, ``who`` names one."""
+    ``pos`` and ``neg`` count the labelled rows that have an example's vector, ``who`` names one. ``first`` are the places of a
+    term's entries (the next term's first is its end); an entry is a ``block``, its largest weight ``bound`` and the place of
+    its first posting ``posting``; a posting is an ``example`` and its ``weight``."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], pos: list[int], neg: list[int], who: list, terms: int):
-        self.pos, self.neg, self.who = np.asarray(pos, float), np.asarray(neg, float), who
-        # similar examples next to each other make tight blocks
-        order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0][np.argsort(-vectors[i][1], kind="stable")]), i))
-        self.pos, self.neg, self.who = self.pos[order], self.neg[order], [who[i] for i in order]
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        self.bound = np.zeros((terms, blocks))
-        postings: list[list] = [[] for _ in range(terms)]
-        for e, i in enumerate(order):
-            for t, w in zip(*vectors[i]):
-                postings[t].append((e, w))
-                self.bound[t, e // BLOCK] = max(self.bound[t, e // BLOCK], w)
-        self.examples = [np.array([e for e, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
+        order = _near_order(vectors, terms)
+        self.pos, self.neg, self.who = np.asarray(pos, float)[order], np.asarray(neg, float)[order], [who[i] for i in order]
+        self.blocks = max(1, -(-len(vectors) // BLOCK))
+        term = np.concatenate([np.empty(0, np.int64), *(vectors[i][0] for i in order)]).astype(np.int64)
+        weight = np.concatenate([np.empty(0), *(vectors[i][1] for i in order)])
+        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by_term = np.lexsort([example, term])
+        term, self.weight, self.example = term[by_term], weight[by_term], example[by_term]
+        entry = term * self.blocks + self.example // BLOCK
+        new = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.block, self.bound = entry[new] % self.blocks, np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        self.posting = np.append(new, len(term))
+        self.first = np.searchsorted(entry[new] // self.blocks, np.arange(terms + 1))
 
     @classmethod
     def of(cls, state: dict) -> BlockMaxIndex:
@@ -159,30 +201,27 @@ class BlockMaxIndex:
     def nearest(self, at: np.ndarray, x: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples with the highest positive cosine (all that tie with the k-th) and
         their cosines. ``skip`` leaves one example out."""
-        bound = x @ self.bound[at]
+        entries, n = _spans(self.first[at], self.first[at + 1])
+        q, block = np.repeat(x, n), self.block[entries]
+        bound = np.bincount(block, q * self.bound[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        found, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        step = 8                                            # blocks opened together
-        for first in range(0, len(order), step):
-            opened = order[first:first + step]
-            if bound[opened[0]] <= 0 or bound[opened[0]] < least - 1e-12:
-                break
-            for block in opened:
-                if bound[block] <= 0 or bound[block] < least - 1e-12:
-                    continue
-                lo, acc = block * BLOCK, np.zeros(BLOCK)
-                for t, q in zip(at, x):
-                    s, e = np.searchsorted(self.examples[t], (lo, lo + BLOCK))
-                    acc[self.examples[t][s:e] - lo] += q * self.weights[t][s:e]
-                hit = np.flatnonzero(acc > 0)
-                hit = hit[hit + lo != skip]
-                found, cosines = np.concatenate([found, hit + lo]), np.concatenate([cosines, acc[hit]])
-            if len(cosines) >= k:
-                least = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
-                near = cosines >= least - 1e-12
-                found, cosines = found[near], cosines[near]
-        best = np.lexsort([found, -cosines])
-        return found[best], cosines[best]
+        order = order[bound[order] > 0]
+        cosine, least, first, step = np.zeros(self.blocks * BLOCK), 0.0, 0, 8
+        while first < len(order) and bound[order[first]] >= least - 1e-12:
+            now = order[first:first + step]                 # blocks opened together, ever more
+            opened = np.zeros(self.blocks, bool)
+            opened[now[bound[now] >= least - 1e-12]] = True
+            here = np.flatnonzero(opened[block])
+            postings, n = _spans(self.posting[entries[here]], self.posting[entries[here] + 1])
+            cosine += np.bincount(self.example[postings], np.repeat(q[here], n) * self.weight[postings], len(cosine))
+            if skip >= 0:
+                cosine[skip] = 0.0
+            if len(cosine) > k:
+                least = max(0.0, np.partition(cosine, len(cosine) - k)[len(cosine) - k])
+            first, step = first + step, step * 2
+        found = np.flatnonzero((cosine > 0) & (cosine >= least - 1e-12))
+        best = np.lexsort([found, -cosine[found]])
+        return found[best], cosine[found[best]]
 
 
 def vote(index: BlockMaxIndex, found: np.ndarray, cosines: np.ndarray, prior: float) -> float:
@@ -212,14 +251,16 @@ def fit_curve(votes: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[floa
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id",
-                  fit_rows: int = 20_000, max_terms: int = 512, neighbours: int = 16, least_docs: int = 4, least_gain: float = 18.0, least_odds: float = 6.0) -> DataFrame:
+                  fit_rows: int = 20_000, examples: int = 4_000, neighbours: int = 16, least_docs: int = 4, least_gain: float = 18.0,
+                  least_odds: float = 6.0, plain: float = 0.25) -> DataFrame:
     """One row per row of ``docs``: id, ``score`` (0 to 1), ``evidence`` (ids of the nearest
     examples, at most ``neighbours``) and ``cosines``.
 
     Labels are learnt from rows with ``learnable`` (an expression over ``docs``): about ``fit_rows``
     labelled documents chosen by a hash of the id, those with null labels or ids left out, an id
-    with several labels counting as 1 if any of them is. Texts without any chosen term (null and
-    empty ones too) get the calibrated share of label 1 among labelled texts like them. Without
+    with several labels counting as 1 if any of them is; about ``examples`` of them, half of either label if there are
+    enough, are compared with. Texts without any word of the examples (null and empty ones too) get the share of label 1
+    among labelled texts like them. Without
     labelled rows of both kinds every score is that share, 0 if there are none. Repeated rows get
     equal rows; other columns are ignored; an empty table gives no rows.
     """
@@ -229,29 +270,40 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_c
     rate = min(1.0, fit_rows / max(1, n_labels))
     picked = known.where(F.pmod(F.xxhash64("__label_id", F.lit(11)), F.lit(1_000_000)) < rate * 1_000_000)
     own = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = own.join(picked, F.col("id") == F.col("__label_id")).select("id", "text", "label")
-    sample = materialize(sample, "tox-sample")
-    terms, n_pos, n_neg = choose_terms(sample, max_terms, least_docs, least_gain, least_odds)
+    sample = materialize(own.join(picked, F.col("id") == F.col("__label_id")).select("id", "text", "label"), "tox-rows")
+    rows = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_pos, n_neg = rows.get(1, 0), rows.get(0, 0)
+    half = examples // 2
+    take_pos = min(1.0, max(half, examples - n_neg) / max(1, n_pos))
+    take_neg = min(1.0, max(half, examples - n_pos) / max(1, n_neg))
+    shown = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1_000_000)) < F.when(F.col("label") == 1, take_pos * 1_000_000).otherwise(take_neg * 1_000_000)
+    sample = sample.withColumn("shown", shown.cast("int"))
+    factors, n_pos, n_neg = term_factors(sample, least_docs, least_gain, least_odds, plain)
+    terms = list(factors)
 
     vectors = materialize(project(docs, terms, text_col, [id_col]), "tox-vectors")
-    freq = vectors.select(F.explode("at").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()   # at most max_terms rows
+    freq = vectors.select(F.explode("at").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()   # at most a row a term
     n_docs = vectors.count()
-    idf = np.full(len(terms), math.log(1 + n_docs) + 1)
+    scale = np.full(len(terms), math.log(1 + n_docs))
     for r in freq:
-        idf[r["t"]] = math.log((1 + n_docs) / (1 + r["df"])) + 1
+        scale[r["t"]] = math.log((1 + n_docs) / (1 + r["df"]))
+    scale = (scale + 0.1) * np.array([factors[t] for t in terms])
 
     def unit(at, tf):
-        x = (1 + np.log(np.asarray(tf, float))) * idf[at]
+        x = (1 + np.log(np.asarray(tf, float))) * scale[at]
         return x / np.linalg.norm(x)
 
-    examples = project(sample, terms, "text", ["id", "label"]).groupBy("at", "tf").agg(
-        F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("id").alias("who")).orderBy("at", "tf").collect()   # at most fit_rows rows
-    plain = [r for r in examples if not r["at"]]
-    rest = [r for r in examples if r["at"]]
-    prior = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
-    empty = (plain[0]["pos"] + 2 * prior) / (plain[0]["n"] + 2) if plain else prior
+    held = project(sample.where("shown = 1"), terms, "text", ["id", "label"]).groupBy("at", "tf").agg(
+        F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("id").alias("who")).orderBy("at", "tf").collect()   # about ``examples`` rows
+    plain_rows = [r for r in held if not r["at"]]
+    rest = [r for r in held if r["at"]]
+    share = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
+    odds_pos, odds_neg = 1 / max(take_pos, 1e-9), 1 / max(take_neg, 1e-9)      # rows that an example of either label stands for
+    empty_pos, empty_neg = (sum(r["pos"] for r in plain_rows) * odds_pos, sum(r["n"] - r["pos"] for r in plain_rows) * odds_neg)
+    empty = (empty_pos + 2 * share) / (empty_pos + empty_neg + 2)
     index = BlockMaxIndex([(np.array(r["at"]), unit(np.array(r["at"]), r["tf"])) for r in rest], [r["pos"] for r in rest],
                           [r["n"] - r["pos"] for r in rest], [r["who"] for r in rest], len(terms))
+    prior = (index.pos.sum() + 0.5) / (index.pos.sum() + index.neg.sum() + 1) if rest else share
     curve = (1.0, 0.0)
     if rest:
         votes, pos, neg = [], [], []
@@ -260,26 +312,28 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_c
             at = np.array(r["at"])
             found, cosines = index.nearest(at, unit(at, r["tf"]), neighbours, skip=places[r["who"]])
             votes.append(vote(index, found, cosines, prior))
-            pos.append(r["pos"]), neg.append(r["n"] - r["pos"])
-        curve = fit_curve(np.array(votes), np.array(pos, float), np.array(neg, float))
-    model = broadcast_bytes(docs, (index.__dict__, idf, prior, empty, curve))
+            pos.append(r["pos"] * odds_pos), neg.append((r["n"] - r["pos"]) * odds_neg)
+        curve = fit_curve(np.array(votes), np.array(pos), np.array(neg))
+    model = broadcast_bytes(docs, (index.__dict__, scale, prior, empty, curve))
     schema = T.StructType([field(vectors, id_col), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(field(docs, id_col).dataType)),
                            T.StructField("cosines", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        state, idf, prior, empty, (a, b) = model.value
+        state, scale, prior, empty, (a, b) = model.value
         index = BlockMaxIndex.of(state)
         seen: dict = {}
         for batch in batches:
             scores, evidence, cosine = [], [], []
-            for at, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (*at, -1, *tf)
+            (at_all, at_ends), (tf_all, _) = ((c.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(c).to_numpy()))) for c in batch.columns[1:3])
+            for lo, hi in pairwise(at_ends):
+                at, tf = at_all[lo:hi], tf_all[lo:hi]
+                key = at.tobytes() + tf.tobytes()
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) >= 5_000:
                         seen.clear()
-                    if at:
-                        x = (1 + np.log(np.asarray(tf, float))) * idf[at]
-                        found, c = index.nearest(np.array(at), x / np.linalg.norm(x), neighbours)
+                    if len(at):
+                        x = (1 + np.log(tf)) * scale[at]
+                        found, c = index.nearest(at, x / np.linalg.norm(x), neighbours)
                         v = vote(index, found, c, prior)
                         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log(v / (1 - v)) + b))))
                         seen[key] = p, [index.who[i] for i in found[:neighbours]], c[:neighbours].tolist()

@@ -412,6 +412,76 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.fit_and_score(d.limit(0), ones, F.lit(True)).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Marking words that few labelled rows hold are compared too, and a text with known words has a score of its own."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(1500)]
+    bad = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)]
+    data = []
+    for _ in range(3000):
+        w = [words[min(1499, int(r.expovariate(1 / 300)))] for _ in range(r.randint(20, 120))]
+        toxic = int(r.random() < 0.1)
+        for _ in range(r.randint(1, 3) if toxic else 0):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        data.append((" ".join(w), toxic))
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    got = {x.doc_id: x.score for x in toxicity.fit_and_score(documents(spark, [t for t, _ in data]), labels, fold != 0).collect()}
+    held = [i for i in range(len(data)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    marked, said = {i for i in held if data[i][1]}, {i for i in held if got[i] >= 0.5}
+    assert len(marked & said) >= 0.9 * len(marked) and len(marked & said) >= 0.9 * len(said)
+    scores = sorted(got.values())
+    same = int(0.01 * len(data))
+    assert all(low < high for low, high in zip(scores, scores[same:]))
+
+
+def test_toxicity_scores_equal_plain_version(spark):
+    """Whole scores against dense cosines over all examples, with factors and idf counted anew."""
+    import numpy as np
+    data = toxic_corpus(150, seed=4)
+    texts = [t for t, _ in data] + ["", None, "unseen unheard"]
+    learnt = [i for i in range(len(data)) if i % 3]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.fit_and_score(documents(spark, texts), labels, F.col("doc_id") % 3 != 0, neighbours=5).collect()}
+
+    bags = [toxicity.terms_of(t) for t in texts]
+    y = [data[i][1] for i in learnt]
+    p, n = sum(y), len(y) - sum(y)
+    factor = {}
+    for t in sorted({t for i in learnt for t in bags[i]}):
+        a = sum(t in bags[i] and data[i][1] for i in learnt)
+        b = sum(t in bags[i] and not data[i][1] for i in learnt)
+        cells = [(a, p, a + b), (b, n, a + b), (p - a, p, p + n - a - b), (n - b, n, p + n - a - b)]
+        gain = 2 * sum(x * np.log(x * (p + n) / (row * col)) for x, row, col in cells if x)
+        odds = (a + 0.5) / (p - a + 0.5) / ((b + 0.5) / (n - b + 0.5))
+        if not t.endswith("*") or (a >= 4 and gain >= 18 and odds >= 6):
+            factor[t] = 0.25 + (np.sqrt(max(0, gain - 8)) if odds > 1 else 0)
+    idf = {t: np.log((1 + len(texts)) / (1 + sum(t in g for g in bags))) + 0.1 for t in factor}
+
+    def unit(g):
+        x = np.array([(1 + np.log(g[t])) * idf[t] * f if t in g else 0.0 for t, f in factor.items()])
+        return x / np.linalg.norm(x)
+
+    vectors = np.array([unit(bags[i]) for i in learnt])
+    prior = (p + 0.5) / (p + n + 1)
+
+    def votes(x, skip=None):
+        cos = vectors @ x
+        if skip is not None:
+            cos[skip] = 0
+        near = [e for e in range(len(learnt)) if cos[e] > 0 and cos[e] >= np.sort(cos)[-5] - 1e-9]
+        w = [np.log(2) / (0.05 + max(0, 1 - cos[e])) for e in near]
+        return (sum(v for v, e in zip(w, near) if y[e]) + prior / 1.05) / (sum(w) + 1 / 1.05)
+
+    a, b = toxicity.fit_curve(np.array([votes(v, e) for e, v in enumerate(vectors)]), np.array(y, float), 1.0 - np.array(y))
+    for i, g in enumerate(bags):
+        if any(t in factor for t in g):
+            v = votes(unit(g))
+            assert abs(got[i] - 1 / (1 + np.exp(-(a * np.log(v / (1 - v)) + b)))) < 1e-6
+        else:
+            assert abs(got[i] - prior) < 1e-9
+
+
 def test_block_max_search_is_exact():
     import numpy as np
     rng = np.random.default_rng(3)

@@ -5,9 +5,9 @@ Every document becomes a sparse vector over all of them: TF-IDF, idf counted ove
 with the likelihood ratio of the term for label 1 and is ``plain`` for words that say nothing about it. Its nearest examples
 by exact cosine are found with a block-max inverted index: examples are held in blocks, similar ones together, and every
 term lists the blocks that hold it, each with its largest weight there and its postings. The sums of those weights bound the
-cosines of a block, blocks are opened from the highest bound down, and the search stops when no bound can beat the k-th best
-cosine. Votes are weighted with the distance, and a logistic curve fitted on leave-one-out votes of the examples turns them
-into calibrated scores.
+cosines of a block: those with the highest bounds are opened first, then all whose bound can beat the k-th best
+cosine so far. Votes are weighted with the distance, and a logistic curve fitted on leave-one-out votes of the examples
+turns them into calibrated scores.
 
 The rows that are learnt from are bounded: ``fit_rows`` labelled rows for the terms, ``examples`` of them, half of either
 label where there are enough, for the index; the curve weighs either label by the share of it that was taken. Equal example
@@ -39,6 +39,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 OFTEN = 3
 #: Examples in one block of the index.
 BLOCK = 64
+#: Blocks that are opened first.
+_LEAD = 8
 #: Gain (2 x log likelihood ratio) that unrelated words reach by chance.
 _NOISE = 8.0
 
@@ -100,7 +102,8 @@ def term_factors(labelled: DataFrame, least_docs: int, least_gain: float, least_
     marks = (F.col("pos") >= least_docs) & (F.col("gain") >= least_gain) & (F.col("odds") >= least_odds)
     kept = told.where(~F.col("term").endswith("*") | marks).select(
         "term", (F.lit(plain) + F.when(F.col("odds") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("gain") - _NOISE))).otherwise(0.0)).alias("factor"))
-    return {r["term"]: r["factor"] for r in kept.orderBy("term").collect()}, int(p), int(n)
+    found = kept.orderBy("term").toArrow()
+    return dict(zip(found["term"].to_pylist(), found["factor"].to_pylist())), int(p), int(n)
 
 
 def project(docs: DataFrame, terms: list[str], text_col: str, keep: list[str]) -> DataFrame:
@@ -152,9 +155,10 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _near_order(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> list[int]:
-    """An order with similar vectors in the same block, which makes its bounds tight: random projections are halved along
-    their principal direction until a part is one block."""
+    """An order with similar vectors in the same block, which makes its bounds tight: random projections, in which common
+    terms (those of a language or a topic) count more, are halved along their principal direction until a part is one block."""
     axes = np.random.default_rng(5).standard_normal((terms, 32), np.float32)
+    axes *= np.sqrt(np.bincount(np.concatenate([np.empty(0, np.int64), *(at for at, _ in vectors)]), minlength=terms))[:, None]
     places = np.array([w @ axes[at] for at, w in vectors])
     order, parts = [], [np.arange(len(vectors))]
     while parts:
@@ -204,21 +208,22 @@ class BlockMaxIndex:
         entries, n = _spans(self.first[at], self.first[at + 1])
         q, block = np.repeat(x, n), self.block[entries]
         bound = np.bincount(block, q * self.bound[entries], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cosine, least, first, step = np.zeros(self.blocks * BLOCK), 0.0, 0, 8
-        while first < len(order) and bound[order[first]] >= least - 1e-12:
-            now = order[first:first + step]                 # blocks opened together, ever more
-            opened = np.zeros(self.blocks, bool)
-            opened[now[bound[now] >= least - 1e-12]] = True
+        cosine, least = np.zeros((self.blocks, BLOCK)), 0.0
+        opened = np.zeros(self.blocks, bool)
+        opened[np.argsort(-bound, kind="stable")[:_LEAD]] = True
+        closed = ~opened
+        while opened.any():                                 # the blocks with the highest bounds, then all others that may matter
             here = np.flatnonzero(opened[block])
             postings, n = _spans(self.posting[entries[here]], self.posting[entries[here] + 1])
-            cosine += np.bincount(self.example[postings], np.repeat(q[here], n) * self.weight[postings], len(cosine))
+            cosine += np.bincount(self.example[postings], np.repeat(q[here], n) * self.weight[postings], cosine.size).reshape(cosine.shape)
             if skip >= 0:
-                cosine[skip] = 0.0
-            if len(cosine) > k:
-                least = max(0.0, np.partition(cosine, len(cosine) - k)[len(cosine) - k])
-            first, step = first + step, step * 2
+                cosine[divmod(skip, BLOCK)] = 0.0
+            known = cosine[~closed].ravel()
+            if len(known) > k:
+                least = max(0.0, np.partition(known, len(known) - k)[len(known) - k])
+            opened = closed & (bound > 0) & (bound >= least - 1e-12)
+            closed = np.zeros(self.blocks, bool) if opened.any() else closed
+        cosine = cosine.ravel()
         found = np.flatnonzero((cosine > 0) & (cosine >= least - 1e-12))
         best = np.lexsort([found, -cosine[found]])
         return found[best], cosine[found[best]]
@@ -282,11 +287,10 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, learnable: Column, label_c
     terms = list(factors)
 
     vectors = materialize(project(docs, terms, text_col, [id_col]), "tox-vectors")
-    freq = vectors.select(F.explode("at").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()   # at most a row a term
+    freq = vectors.select(F.explode("at").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()   # at most a row a term
     n_docs = vectors.count()
     scale = np.full(len(terms), math.log(1 + n_docs))
-    for r in freq:
-        scale[r["t"]] = math.log((1 + n_docs) / (1 + r["df"]))
+    scale[freq["t"].to_numpy()] = np.log((1 + n_docs) / (1 + freq["df"].to_numpy()))
     scale = (scale + 0.1) * np.array([factors[t] for t in terms])
 
     def unit(at, tf):

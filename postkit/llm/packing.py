@@ -6,9 +6,10 @@ its multiples first: fewer boundaries to choose from, up to ``step`` - 1 more pa
 a bucket, documents in order of length form batches of as many as the token budget allows at
 the bucket's padded length.
 
-A document's place in its bucket is an offset plus a rank: offsets are running sums over a
-histogram by (length, shard of the id), ranks are numbered inside one (length, shard). So the
-documents of one bucket, or of one length, are never gathered in one task.
+Documents are sorted by length and id once, in ranges, and written. A document's place is the number of documents in the
+ranges before, which are few, plus its position in its own; its bucket's first place follows from the histogram. Rows that
+agree in length and id are told apart by a number of their own, so even documents that are all of one length and without
+an id are dealt over many ranges, and no bucket, length or id is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS = 64
+from postkit.session import materialize
 
 
 def bucket_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -67,25 +68,26 @@ def pack(lengths: DataFrame, budget: int = 65_536, buckets: int = 16, step: int
     bucket is longer than the budget). Documents are never cut or dropped.
 
     Null lengths count as 0; documents without tokens need no place and have null bucket,
-    batch and slot. Rows with equal or null ids each get a place. Empty tables give no rows.
+    batch and slot. Rows with equal or null ids each get a place. Other columns are ignored, whatever their names. Empty
+    tables give no rows.
     """
     n = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    rows = lengths.select(F.col(id_col), n.alias("n_tokens")).withColumn(
-        "padded", (F.ceil(F.col("n_tokens") / step) * step).cast("long")).withColumn(
-        "shard", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SHARDS)).cast("int"))
-    hist = rows.where("padded > 0").groupBy("padded", "shard").agg(F.count(F.lit(1)).alias("n"))
-    total = hist.groupBy("padded").agg(F.sum("n").alias("n")).orderBy("padded").collect()   # one row per padded length
-    bounds = bucket_bounds([r["padded"] for r in total], [r["n"] for r in total], buckets)
-    bucket = F.coalesce(*[F.when(F.col("padded") <= b, F.lit(i)) for i, b in enumerate(bounds)], F.lit(None).cast("int")) if bounds else F.lit(None).cast("int")
-    bucket = F.when(F.col("padded") > 0, bucket)
-    place = hist.withColumn("bucket", bucket).select(
-        "padded", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("padded", "shard")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("padded", "shard").orderBy(id_col, "n_tokens")) - 1
-    bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("bucket") + 1) if bounds else F.lit(None).cast("long")
+    rows = lengths.select(F.col(id_col).alias("id"), n.alias("n_tokens")).withColumn("padded", (F.ceil(F.col("n_tokens") / step) * step).cast("long"))
+    total = rows.groupBy("padded").agg(F.count(F.lit(1)).alias("n")).orderBy("padded").collect()   # one row per padded length
+    held = [(r["padded"], r["n"]) for r in total if r["padded"] > 0]
+    bounds = bucket_bounds([x for x, _ in held], [c for _, c in held], buckets)
+    firsts = [sum(r["n"] for r in total if r["padded"] <= b) for b in [0, *bounds][:-1]]      # places before each bucket
+
+    done = materialize(rows.withColumn("own", F.monotonically_increasing_id()).orderBy("padded", "id", "n_tokens", "own")
+                       .select("id", "n_tokens", "padded", F.monotonically_increasing_id().alias("at")), "packing")
+    done = done.withColumn("part", F.shiftright("at", 33))
+    starts = done.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("part").alias("p"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))      # one row per range
+    bucket = F.when(F.col("padded") > 0, F.coalesce(*[F.when(F.col("padded") <= b, F.lit(i)) for i, b in enumerate(bounds)], F.lit(None).cast("int")))
+    of_bucket = lambda values: F.coalesce(*[F.when(F.col("bucket") == i, F.lit(v).cast("long")) for i, v in enumerate(values)], F.lit(None).cast("long"))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
-    return (rows.withColumn("rank", rank).join(place, ["padded", "shard"], "left")
-            .withColumn("bucket", bucket).withColumn("bucket_len", bound)
-            .withColumn("at", F.col("before") + F.col("rank"))
-            .select(F.col(id_col), "n_tokens", "bucket", "bucket_len",
-                    F.floor(F.col("at") / fits).cast("long").alias("batch"), F.pmod(F.col("at"), fits).cast("int").alias("slot"),
+    return (done.join(starts, F.col("part") == F.col("p")).withColumn("bucket", bucket).withColumn("bucket_len", of_bucket(bounds))
+            .withColumn("place", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1) - of_bucket(firsts))
+            .select(F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_len",
+                    F.floor(F.col("place") / fits).cast("long").alias("batch"), F.pmod(F.col("place"), fits).cast("int").alias("slot"),
                     F.coalesce(F.col("bucket_len") > budget, F.lit(False)).alias("over_budget")))

@@ -373,6 +373,27 @@ def test_packing_has_the_least_padding(spark):
     assert {x.bucket_len for x in got} <= set(lengths)
 
 
+def test_packing_deals_a_hot_length_without_ids(spark):
+    """Rows of one length and no id are many ranges of the written order, and every one has a place."""
+    data = [(None, 7)] * 4000 + [(i, 3 + i % 3) for i in range(40)] + [(None, 0), (None, None)]
+    wide = spark.createDataFrame(data, "doc_id long, n_tokens long").repartition(8).withColumns({c: F.lit("x") for c in ("id", "own", "padded", "at")})
+    plan = []
+    real = packing.materialize
+    packing.materialize = lambda df, name: plan.append(real(df, name)) or plan[-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")       # small ranges stay apart
+    try:
+        got = packing.pack(wide, budget=70, buckets=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        packing.materialize = real
+    assert len(got) == len(data) and len({(x.bucket, x.batch, x.slot) for x in got if x.bucket is not None}) == 4040
+    assert all(x.bucket is x.bucket_len is x.batch is x.slot is None and not x.over_budget for x in got if not x.n_tokens)
+    in_batch = [x.slot for x in got if x.n_tokens == 7]
+    assert max(in_batch) == 9 and in_batch.count(0) == 400
+    ranges = plan[0].where("padded = 7").groupBy(F.shiftright("at", 33)).count().collect()
+    assert len(ranges) >= 4 and max(r["count"] for r in ranges) <= 2000
+
+
 # ---- op1 ----------------------------------------------------------------------------------
 
 def toxic_corpus(n=400, seed=2):

@@ -24,8 +24,7 @@ def ingest_ledger(spark: SparkSession, landed: DataFrame, specs: DataFrame | Non
     order over all sources (``reason`` null), and what was rejected, with the ``reason`` and ``detail``: broken or unreadable
     payloads, cards without title or link, titles that are not relevant. Every payload is parsed once. Caps come from the
     row of the spec table of each search; a null cap is no cap."""
-    specs = specs if specs is not None else P.search_specs(spark)
-    on = P.with_enabled_specs(landed, specs)
+    specs = materialize(specs, "specs") if specs is not None else P.search_specs(spark)
     readers = {
         "remotive": lambda d: P.remotive_rows(d, keywords, scraped_at),
         "the_muse": lambda d: P.muse_rows(d, None, scraped_at),
@@ -33,7 +32,8 @@ def ingest_ledger(spark: SparkSession, landed: DataFrame, specs: DataFrame | Non
         "linkedin": lambda d: H.linkedin_rows(d, keywords=keywords, scraped_at=scraped_at, cap_col="cap"),
         "jobstack": lambda d: H.jobstack_rows(d, keywords=keywords, scraped_at=scraped_at, max_pages=max_pages),
     }
-    parts = [P.to_raw_posting(read(on.where(F.col("source") == src))) for src, read in readers.items()]
+    of = F.col("source")
+    parts = [P.to_raw_posting(read(P.with_enabled_specs(landed.where(of == src), specs.where(of == src)))) for src, read in readers.items()]
     return materialize(reduce(DataFrame.unionByName, parts), "ledger")
 
 

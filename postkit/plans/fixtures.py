@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postkit.functions.text import first_line, posting_id
 from postkit.session import read_table
+from postkit.sources.html import dealt
 from postkit.sources.payloads import search_specs
 
 LOADED_AT = "2024-02-01 00:00:00"
@@ -105,8 +106,9 @@ REMOTIVE_TITLES = {"view": "Data Analyst", "click": "Java Developer", "signup":
 
 def landed_remotive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P: one Remotive-shaped JSON response per event, two jobs each; 'view' events omit the
-    location key; the second job has a description longer than 3000 characters."""
-    e = read_table(spark, sf_dir, "events")
+    location key; the second job has a description longer than 3000 characters. The events are dealt over the cluster before
+    their long bodies are made: a file of them is a split or two whatever its number of rows."""
+    e = dealt(read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value", "props"))
     k = F.get_json_object("props", "$.k")
     title = None
     for et, t in REMOTIVE_TITLES.items():

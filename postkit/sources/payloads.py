@@ -27,11 +27,18 @@ def search_specs(spark: SparkSession, rows=None) -> DataFrame:
     return literal_frame(spark, out, SEARCH_SPEC)
 
 
+#: Searches that are broadcast to the pages; above that, pages and searches meet in a shuffle, a search's pages in so many tasks.
+BROADCAST_SPECS, SPEC_SALTS = 10_000, 16
+
+
 def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
-    """S15 + J10: keep payloads of enabled specs and attach their ranks, cap and search location
-    (Spark broadcasts the spec table where its size allows). A spec is (source, query, location);
-    landed rows without a ``location`` match the first enabled spec of their (source, query),
-    so the join never multiplies payloads."""
+    """S15 + J10: keep payloads of enabled specs and attach their ranks, cap and search location.
+    A spec is (source, query, location); landed rows without a ``location`` match the first
+    enabled spec of their (source, query), so the join never multiplies payloads.
+
+    Few searches have most pages, and Spark takes a page for a few bytes while its body is not made yet, so neither may the
+    pages be broadcast nor all pages of a search go to one task. Up to ``BROADCAST_SPECS`` searches are broadcast; more of them
+    are repeated for every salt, and a page has one by its body."""
     sp = specs.where("enabled").drop("enabled")
     if "location" in landed.columns:
         keys = ["source", "query", "location"]
@@ -41,7 +48,12 @@ def with_enabled_specs(landed: DataFrame, specs: DataFrame) -> DataFrame:
         first = F.min(F.struct("query_rank", "location", "cap", "source_rank")).alias("_s")
         sp = sp.groupBy(*keys).agg(first).select(
             *keys, "_s.query_rank", F.col("_s.location").alias("search_location"), "_s.cap", "_s.source_rank")
-    return landed.join(sp, keys, "inner")
+    if sp.limit(BROADCAST_SPECS + 1).count() <= BROADCAST_SPECS:
+        return landed.join(F.broadcast(sp), keys, "inner")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SPEC_SALTS - 1)).cast("array<bigint>"))
+    own = [c for c in ("page_no", "body") if c in landed.columns]
+    salted = landed.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(SPEC_SALTS)))
+    return salted.join(sp.withColumn("_salt", salts).hint("merge"), [*keys, "_salt"], "inner").drop("_salt")
 
 
 def _items(landed: DataFrame, payload: T.StructType, name: str) -> DataFrame:

@@ -219,3 +219,32 @@ def test_checkpoint_folder_is_required_off_local():
         conf = Conf()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_pages_are_neither_broadcast_nor_gathered_by_search(spark, monkeypatch):
+    from postkit.sources import payloads as P
+    pages = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(500))).alias("page_no"))
+    landed = pages.select(F.lit("remotive").alias("source"), F.when(F.col("page_no") % 100 == 0, "off").otherwise("q").alias("query"),
+                          "page_no", F.repeat(F.lit("x"), 4000).alias("body"))
+    specs = spark.createDataFrame([("remotive", "q", "", 7, True, 0, 0), ("remotive", "off", "", 7, False, 0, 1)], search_specs(spark).schema)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = P.with_enabled_specs(landed, specs)
+    assert "BuildRight" in plan(few) and "BuildLeft" not in plan(few)
+    monkeypatch.setattr(P, "BROADCAST_SPECS", 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = P.with_enabled_specs(landed, specs)
+        assert "BroadcastHashJoin" not in plan(many)
+        assert many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 495
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert many.columns == few.columns and many.count() == 495
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_events_are_dealt_before_bodies_are_made(spark, tmp_path):
+    from postkit.plans import fixtures as X
+    spark.range(400).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.col("id").alias("user_id"), F.lit(1.0).alias("value"),
+                            F.lit('{"k": 1}').alias("props")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    landed = X.landed_remotive(spark, str(tmp_path))
+    assert landed.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and landed.select("event_id").distinct().count() == 400

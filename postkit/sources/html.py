@@ -8,6 +8,8 @@ Everything after the parse (caps, gates, ids, defaults, dedup) is native DataFra
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 from typing import Iterator, NamedTuple, Sequence
 
@@ -27,6 +29,12 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _RAW_TEXT = {"script", "style"}
 
 
+_PLAIN = re.compile(r'([^<]*)<(?:/([a-z][a-z0-9]*)>|([a-z][a-z0-9]*)((?: [a-z][a-z0-9_-]*="[^"]*")*)>)')
+_PLAIN_ATTR = re.compile(r' ([a-z][a-z0-9_-]*)="([^"]*)"')
+#: Elements whose content some version of the library's parser does not read as markup.
+_OPAQUE = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "noscript", "plaintext", "xmp"}
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -63,6 +71,36 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.cur.children.append(data)
 
+    # Plain tags are most of a page: small letters, attributes in double quotes, a space between. What the library makes of them is
+    # made here in one match each; at anything else, and in elements whose content is no markup, the library's parser goes on.
+    def feed(self, data):
+        at, n = 0, len(data)
+        while at < n and isinstance(data, str):
+            m = _PLAIN.match(data, at)
+            if not m or m[3] in _OPAQUE:
+                break
+            if m[1]:
+                self.handle_data(unescape(m[1]))
+            self._plain(m[2], m[3], m[4])
+            at = m.end()
+        super().feed(data[at:])
+
+    def _plain(self, closed, tag, attrs):
+        if closed:
+            self.handle_endtag(closed)
+        else:
+            self.handle_starttag(tag, [(k, unescape(v)) for k, v in _PLAIN_ATTR.findall(attrs)] if attrs else ())
+
+    def parse_starttag(self, i):
+        m = _PLAIN.match(self.rawdata, i)
+        if not m or m[1] or m[3] in _OPAQUE:
+            return super().parse_starttag(i)
+        self._plain(None, m[3], m[4])
+        return m.end()
+
+    def updatepos(self, i, j):                       # line numbers are not asked for
+        return j
+
 
 def parse(html: str) -> Node:
     b = _Builder()
@@ -74,6 +112,7 @@ def parse(html: str) -> Node:
 _PART = re.compile(r"^(?P<tag>[a-zA-Z0-9]*)(?P<classes>(?:\.[\w-]+)*)(?:\[(?P<attr>[\w-]+)\*=['\"]?(?P<val>[^'\"\]]*)['\"]?\])?$")
 
 
+@lru_cache(maxsize=256)
 def _compile(selector: str):
     parts = []
     for p in selector.split():
@@ -90,31 +129,52 @@ def _matches(node: Node, part) -> bool:
     if tag and node.tag != tag:
         return False
     if classes:
-        have = node.attrs.get("class", "").split()
-        if any(c not in have for c in classes):
+        have = node.attrs.get("class")
+        if not have:
             return False
+        have = have.split()
+        for c in classes:
+            if c not in have:
+                return False
     if attr is not None and (attr not in node.attrs or val not in node.attrs[attr]):
         return False
     return True
 
 
 def select(root: Node, selector: str) -> list[Node]:
-    """Descendant-combinator selection in document order (like CSS ``a b c``). One walk: every node carries how many leading
-    parts its ancestors match, those above ``root`` included."""
-    parts = _compile(selector)
-    last, done, above, n = len(parts) - 1, 0, [], root
+    """Descendant-combinator selection in document order (like CSS ``a b c``)."""
+    return select_each(root, (selector,))[0]
+
+
+def select_each(root: Node, selectors: Sequence[str]) -> list[list[Node]]:
+    """What ``select`` gives for each selector, in one walk: every node carries how many leading parts of each its ancestors
+    match, those above ``root`` included."""
+    compiled = [_compile(x) for x in selectors]
+    done, above, n = [0] * len(compiled), [], root
     while n is not None:
         above.append(n)
         n = n.parent
     for n in reversed(above):
-        done += done < last and _matches(n, parts[done])
-    out, stack = [], [(c, done) for c in reversed(root.children) if isinstance(c, Node)]
+        for i, parts in enumerate(compiled):
+            done[i] += done[i] < len(parts) - 1 and _matches(n, parts[done[i]])
+    out = [[] for _ in compiled]
+    each = [(i, parts, len(parts) - 1) for i, parts in enumerate(compiled)]
+    stack = [(c, done) for c in reversed(root.children) if isinstance(c, Node)]
     while stack:
         n, done = stack.pop()
-        if done == last and _matches(n, parts[last]):
-            out.append(n)
-        done += done < last and _matches(n, parts[done])
-        stack.extend((c, done) for c in reversed(n.children) if isinstance(c, Node))
+        inner = done
+        for i, parts, last in each:
+            at = done[i]
+            if _matches(n, parts[at]):
+                if at == last:
+                    out[i].append(n)
+                else:
+                    if inner is done:
+                        inner = done.copy()
+                    inner[i] += 1
+        for c in reversed(n.children):
+            if isinstance(c, Node):
+                stack.append((c, inner))
     return out
 
 
@@ -191,12 +251,13 @@ CARD_KINDS = {
 
 def read_cards(root: Node, kind: CardKind) -> Iterator[dict]:
     """The cards of a page in page order, read by the kind's field table. ``None``: no element."""
+    selectors = list(dict.fromkeys(f.selector for f in kind.fields))
     for pos, card in enumerate(select(root, kind.card)):
-        row = {"pos": pos}
+        row, matches = {"pos": pos}, dict(zip(selectors, select_each(card, selectors)))
         for f in kind.fields:
             if row.get(f.name):
                 continue
-            found = select(card, f.selector)[f.nth:f.nth + 1]
+            found = matches[f.selector][f.nth:f.nth + 1]
             if found:
                 row[f.name] = get_text(found[0], strip=True) if f.attr is None else found[0].attrs.get(f.attr, "")
         row["has_title"], row["has_link"] = row.get("title") is not None, row.get("href") is not None
@@ -223,6 +284,19 @@ def _reader(kind: str, selector: str | None):
     return lambda root: read_cards(root, CARD_KINDS[kind])
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column of Python values. Lists of structs (cards) are laid out field by field; a null list stays null."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    rows, starts = [], []
+    for v in values:
+        starts.append(None if v is None else len(rows))
+        rows += v or ()
+    fields = list(kind.value_type)
+    structs = pa.StructArray.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in fields], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([*starts, len(rows)], pa.int32()), structs, type=kind)
+
+
 def _parsed(pages: DataFrame, keys: Sequence[str], html_col: str, fields: Sequence[T.StructField], read) -> DataFrame:
     """One row per page: its keys, what ``read(root, row)`` gives for ``fields`` and ``error``. A page that cannot be read has
     its ``error`` and nulls, and the others go on (Q1)."""
@@ -238,7 +312,7 @@ def _parsed(pages: DataFrame, keys: Sequence[str], html_col: str, fields: Sequen
                         rows.append((*read(parse(html), key), None))
                     except Exception as exc:
                         rows.append((*[None] * len(kinds), f"{type(exc).__name__}: {exc}"))
-                made = [pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.string()])]
+                made = [_column(c, k) for c, k in zip(zip(*rows), [*kinds, pa.string()])]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.fieldNames())
 
     return dealt(pages.select(*keys, F.col(html_col).alias("_html"))).mapInArrow(run, schema)

@@ -92,3 +92,37 @@ def test_chain_stops(spark, flags, want):
     assert (row.page_no, row.reason, row.inclusive) == want
     kept = sorted(x.page_no for x in H.cut_page_chain(df, "c", max_pages=2, error_col="error").collect())
     assert kept == [f[0] for f in flags if f[0] < want[0] or want[2] and f[0] == want[0]]
+
+
+def test_a_card_is_walked_once_for_all_its_fields(monkeypatch):
+    card = '<article class="SearchResultCard"><h2 class="SearchResultCard__title"><a href="u">data</a></h2><ul><li>a</li><li>b</li></ul></article>'
+    root = H.parse(card * 50)
+    selectors = ["article h2 a", "ul li", "li", "h2", ".SearchResultCard__title a"]
+    assert H.select_each(root, selectors) == [H.select(root, s) for s in selectors]
+    walks = []
+    each = H.select_each
+    monkeypatch.setattr(H, "select_each", lambda node, s: walks.append(1) or each(node, s))
+    assert [c["href"] for c in H.read_cards(root, H.CARD_KINDS["jobs_cz"])] == ["u"] * 50
+    assert len(walks) == 51
+
+
+@pytest.mark.parametrize("html", ['<ul class="a b"><li>x &amp; y<li>z</ul>', "<!DOCTYPE html><p>a<br>b<br/>c</p>", '<a href="x?a=1&amp;b" title="">t</a >', "<title>a <b> c</title><p>d",
+                                  '<script>if (a<b) "</p>"</script><p id=1 class=\'q\'>x</p>', '<p a="1"b="2">x<i c="', "a &am <b>c</b> &#10;", '<a b="1" b="2" c="x>y">z</a></p></a>', ""])
+def test_plain_tags_are_read_as_the_library_reads_them(html):
+    class Library(H._Builder):
+        feed, parse_starttag, updatepos = H.HTMLParser.feed, H.HTMLParser.parse_starttag, H.HTMLParser.updatepos
+
+    tree = lambda n: (n.tag, n.attrs, [tree(c) if isinstance(c, H.Node) else c for c in n.children])
+    b = Library()
+    b.feed(html)
+    b.close()
+    assert tree(H.parse(html)) == tree(b.root)
+
+
+def test_cards_are_laid_out_as_arrow_lays_them_out():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = to_arrow_type(T.ArrayType(H.CARD_SCHEMA))
+    for values in ([], [None], [[{"pos": 0, "title": "a", "has_link": True}], None, [], [{"pos": 1}, {"pos": 2, "href": ""}]]):
+        assert H._column(values, kind).equals(pa.array(values, kind))

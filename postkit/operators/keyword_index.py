@@ -17,17 +17,18 @@ GRAM = 3
 
 
 def _grams(text: Column, size: int) -> Column:
-    """The different substrings of ``size`` characters (none of a shorter text)."""
-    n = F.char_length(text)
-    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))))
+    """The different substrings of ``size`` characters (none of a shorter text), found in one pass: ``substring`` would count from the
+    start of the text for every one. A match begins at a character, not inside a surrogate pair."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{size - 1}}}))"), F.lit(1)))
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame, text_col: str = "text", keyword_col: str = "keyword") -> DataFrame:
     """``text`` (lower case) and ``n_keywords``: every different text that contains a keyword, whatever their case, and how many
     different keywords it contains. Null and empty keywords are ignored, null texts contain none.
 
-    Texts travel as 64-bit hashes until a candidate is confirmed with ``contains`` on the text itself, so a clash of
-    hashes costs a comparison and changes nothing. Equal texts and equal keywords are reduced on the map side."""
+    Texts travel as 64-bit hashes until their candidates are confirmed with ``contains`` on the text itself, so a clash of
+    hashes costs a comparison and changes nothing; a text meets all its candidates at once. Equal texts and equal keywords are
+    reduced on the map side."""
     known = materialize(texts.select(F.lower(text_col).alias("text")).where(F.length("text") > 0).distinct().withColumn("h", F.xxhash64("text")), "texts")
     words = materialize(keywords.select(F.lower(F.col(keyword_col).cast("string")).alias("keyword")).where(F.length("keyword") > 0).distinct(), "keywords")
     short = words.where(F.char_length("keyword") < GRAM).withColumn("gram", F.col("keyword"))
@@ -44,9 +45,9 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
               .groupBy("keyword").agg(F.min(F.struct("n", "gram")).alias("least")).where("least.n > 0").select("keyword", F.col("least.gram").alias("gram")))
     index = materialize(listed.unionByName(short.select("keyword", "gram")), "gram-index")
 
-    candidates = own.join(index, "gram").select("h", "keyword")
-    hits = candidates.join(known, "h").where(F.contains("text", "keyword"))
-    return hits.groupBy("text").agg(F.count(F.lit(1)).alias("n_keywords"))
+    candidates = own.join(index, "gram").groupBy("h").agg(F.collect_set("keyword").alias("keywords"))
+    found = F.filter("keywords", lambda k: F.contains(F.col("text"), k))
+    return known.join(candidates, "h").select("text", F.size(found).cast("bigint").alias("n_keywords")).where(F.col("n_keywords") > 0)
 
 
 def with_keyword_count(rows: DataFrame, keywords: DataFrame, text_col: str, keyword_col: str = "keyword", out: str = "n_keywords") -> DataFrame:

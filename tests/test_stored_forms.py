@@ -175,3 +175,26 @@ def test_a_page_reads_the_parts_that_hold_it(spark):
     plan = view.page(4, 77)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*_part", plan)
     assert SortedView.write(rows.limit(0), scratch_path(spark, "sorted"), "Score (high→low)", 4).all().count() == 0
+
+
+def test_grams_of_a_long_text_take_one_pass(spark):
+    import time
+    from postkit.operators import keyword_index as I
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("abcdefghij"), 60000), F.lit("x\U0001F600y\nz")).alias("text"))
+    at = time.time()
+    got = df.select(I._grams(F.col("text"), 3).alias("g"), I._grams(F.col("text"), 1).alias("one")).first()
+    assert time.time() - at < 20
+    long = "abcdefghij" * 60000 + "x\U0001F600y\nz"
+    assert sorted(got.g) == sorted({long[i:i + 3] for i in range(len(long) - 2)}) and sorted(got.one) == sorted(set(long))
+    assert spark.createDataFrame([("ab",), ("",)], "text string").select(F.size(I._grams(F.col("text"), 3)).alias("n")).where("n > 0").count() == 0
+
+
+def test_a_text_meets_its_candidates_at_once(spark, monkeypatch):
+    from postkit.operators import keyword_index as I
+    real = F.xxhash64
+    monkeypatch.setattr(I.F, "xxhash64", lambda *c: F.lit(7).cast("bigint"))                  # all texts clash
+    texts = spark.createDataFrame([("SQL and Python",), ("python only",), ("none",), (None,)], "text string")
+    words = spark.createDataFrame([("sql",), ("Python",), ("py",), ("only",)], "keyword string")
+    got = {r.text: r.n_keywords for r in I.keyword_hits(texts, words).collect()}
+    monkeypatch.setattr(I.F, "xxhash64", real)
+    assert got == {"sql and python": 3, "python only": 3}

@@ -1,8 +1,8 @@
 """ST1 / J5 by keyed streaming state: first arrival per key, remembered in the state store.
 
 ``incremental.first_wins_sink`` finds out by a join with the whole store what was seen before; here
-every key that has arrived is an entry of a RocksDB state store, partitioned by key, and a run
-reads and writes the entries of its own rows only. An entry lives for ``ttl``: a repeat that comes
+every key that has arrived is an entry of a RocksDB state store, partitioned by buckets of keys, and
+a run reads and writes the entries of its own rows only. An entry lives for ``ttl``: a repeat that comes
 later is a new arrival. The sink is Spark's file sink, whose log and the state are committed with
 the same epoch, so a run that is killed and started again adds no row twice and loses none.
 """
@@ -31,24 +31,33 @@ def _least(pdf: pd.DataFrame, key: Sequence[str], order: Sequence[str]) -> pd.Da
     return pdf.sort_values(list(order), kind="stable", na_position="last").drop_duplicates(list(key), keep="first")
 
 
+#: Groups that keys are dealt to. Handing a group to Python costs far more than asking for an entry, so keys share groups; the
+#: number belongs to the state of a checkpoint and must not change under it.
+BUCKETS = 2048
+
+
 class FirstArrival(StatefulProcessor):
-    """Gives the first row of a key that has no entry yet, and makes the entry."""
+    """Gives the first row of every key of a bucket that has no entry yet, and makes the entries."""
 
-    def __init__(self, order: Sequence[str], ttl_ms: int | None):
-        self.order, self.ttl_ms = list(order), ttl_ms
+    def __init__(self, key: T.StructField, order: Sequence[str], ttl_ms: int | None):
+        self.key, self.order, self.ttl_ms = key, list(order), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]), self.ttl_ms)
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("key", self.key.dataType)]),
+                                       T.StructType([T.StructField("seen", T.BooleanType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
         best = None
-        for pdf in rows:                                   # a hot key's rows come in batches; one row of them is held
-            pdf = pdf if best is None else pd.concat([best, pdf])
-            best = pdf.sort_values(self.order, kind="stable", na_position="last").head(1)
-        self.seen.update((True,))
-        yield best
+        for pdf in rows:                                   # a hot key's rows come in batches; one row of each key is held
+            best = _least(pdf if best is None else pd.concat([best, pdf]), [self.key.name], self.order)
+        new = []
+        for value in best[self.key.name].astype(object):
+            entry = (None if pd.isna(value) else value,)
+            new.append(not self.seen.containsKey(entry))
+            if new[-1]:
+                self.seen.updateValue(entry, (True,))
+        if any(new):
+            yield best[new].drop(columns="_bucket", errors="ignore")
 
     def close(self) -> None:
         pass
@@ -76,8 +85,9 @@ def first_arrivals(stream: DataFrame, key: str, order: Sequence[str], ttl_ms: in
         for pdf in batches:
             yield _least(pdf, [key], order)
 
-    return stream.mapInPandas(reduced, schema).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstArrival(order, ttl_ms), outputStructType=schema, outputMode="append",
+    dealt = stream.mapInPandas(reduced, schema).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=FirstArrival(schema[key], order, ttl_ms), outputStructType=schema, outputMode="append",
         timeMode="None" if ttl_ms is None else "processingTime")
 
 

@@ -74,3 +74,28 @@ def test_null_keys_are_a_key(spark, null):
     path = scratch_path(spark, "log")
     C.append_epoch(spark.createDataFrame([entry(None, "new", 1), entry(None, "seen", 2)], LOG), path, 0)
     assert [(r.job_id, r.status) for r in C.read_latest(spark, path).collect()] == [(None, "seen")]
+
+
+def test_keys_of_a_bucket_share_one_call(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    class Entries(dict):
+        def containsKey(self, key):
+            return key in self
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Handle:
+        def getMapState(self, name, key, value, ttl_ms):
+            return Entries()
+    first = S.FirstArrival(T.StructField("job_id", T.StringType()), ["at"], None)
+    first.init(Handle())
+    frame = lambda rows: pd.DataFrame(rows, columns=["job_id", "at", "_bucket"])
+    batches = [[("a", 3, 1), ("b", 2, 1), (None, 9, 1)], [("a", 1, 1), (None, 4, 1)]]
+    (got,) = first.handleInputRows((1,), map(frame, batches), None)
+    assert sorted((k or "", at) for k, at in got.itertuples(index=False)) == [("", 4), ("a", 1), ("b", 2)]
+    (got,) = first.handleInputRows((1,), iter([frame([("a", 0, 1), ("c", 7, 1), (None, 1, 1)])]), None)
+    assert list(got.itertuples(index=False, name=None)) == [("c", 7)]
+    assert list(first.handleInputRows((1,), iter([frame([("c", 0, 1)])]), None)) == []

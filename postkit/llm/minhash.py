@@ -39,7 +39,7 @@ from postkit.session import materialize
 #: Share of the documents up to which a shingle counts as rare (idf 2).
 RARE = 0.01
 #: Shingles sampled at a time.
-STRETCH = 512
+STRETCH = 256
 #: Least share of equal samples of a pair that is verified.
 AGREE = 0.5
 #: Texts of a block, and their total weight (at most two per shingle), when buckets are compared in full.
@@ -97,22 +97,32 @@ def consistent_samples(found: np.ndarray, weights: np.ndarray, count: int) -> np
     all three: 20 bits choose c, 16 r, 16 beta."""
     seeds = (mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1))[None, :]
     best, drawn, cols = np.full(count, np.inf, np.float32), np.zeros(count, np.uint64), np.arange(count)
+    held = (min(STRETCH, len(found)), count)                # the arrays of a stretch are used again by the next
+    xs, bits = np.empty(held, np.uint64), np.empty(held, np.uint64)
+    rs, betas, ts = np.empty(held, np.float32), np.empty(held, np.float32), np.empty(held, np.float32)
     for at in range(0, len(found), STRETCH):
         f, log_s = found[at:at + STRETCH, None], np.log(weights[at:at + STRETCH]).astype(np.float32)[:, None]
-        x = f * seeds                                       # the hashes f are mixed: the upper bits of the products are, too
-        r = _R[(x >> np.uint64(28)).astype(np.uint16)]
-        beta = (x >> np.uint64(12)).astype(np.uint16).astype(np.float32)
+        x, b, r, beta, t = (a[:len(f)] for a in (xs, bits, rs, betas, ts))
+        np.multiply(f, seeds, out=x)                        # the hashes f are mixed: the upper bits of the products are, too
+        np.right_shift(x, np.uint64(28), out=b)
+        np.bitwise_and(b, np.uint64(0xFFFF), out=b)
+        np.take(_R, b.view(np.int64), out=r, mode="clip")
+        np.right_shift(x, np.uint64(12), out=b)
+        np.copyto(beta, b.astype(np.uint16))
         beta *= np.float32(2.0**-16)
-        t = log_s / r
+        np.divide(log_s, r, out=t)
         t += beta
         np.floor(t, out=t)
-        log_a = t - beta
-        log_a += np.float32(1)
-        log_a *= r
-        np.subtract(_LOG_C[x >> np.uint64(44)], log_a, out=log_a)
-        i = np.argmin(log_a, axis=0)
-        better = log_a[i, cols] < best
-        best = np.where(better, log_a[i, cols], best)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r                                           # ln c - ln a, negated
+        np.right_shift(x, np.uint64(44), out=b)
+        np.take(_LOG_C, b.view(np.int64), out=r, mode="clip")
+        r += beta                                           # ln a
+        i = np.argmin(r, axis=0)
+        low = r[i, cols]
+        better = low < best
+        best = np.where(better, low, best)
         drawn = np.where(better, mix(found[at:at + STRETCH][i] + t[i, cols].astype(np.int64).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), drawn)
     return drawn
 

@@ -524,3 +524,15 @@ def test_block_max_search_is_exact():
         found, got = index.nearest(at, x, 10)
         want = sorted(i for i in range(500) if cos[i] >= k_best - 1e-12 and cos[i] > 0)
         assert sorted(index.who[i] for i in found) == want and np.allclose(sorted(got), sorted(cos[want]))
+
+
+def test_samples_of_a_set_do_not_depend_on_the_stretch(monkeypatch):
+    import numpy as np
+    from postkit.llm import minhash as M
+    r = np.random.default_rng(3)
+    found, weights = np.unique(r.integers(0, 2**63, 1001, dtype=np.uint64) * np.uint64(3)), None
+    weights = r.integers(1, 9, len(found)) * r.choice([1.0, 1.37, 2.0], len(found))
+    want = M.consistent_samples(found, weights, 60)
+    for stretch in (1, 7, 256, 5000):
+        monkeypatch.setattr(M, "STRETCH", stretch)
+        assert (M.consistent_samples(found, weights, 60) == want).all()

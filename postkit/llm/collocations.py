@@ -2,21 +2,21 @@
 
 Only the longest windows are counted. Every word starts one window of ``max_words`` lead columns
 (the word and those after it in its piece, padded with nulls where the piece ends), so every
-occurrence of a shorter phrase is the beginning of exactly one window, and one ``ROLLUP`` over the
-lead columns gives the counts of all lengths, of single words and of all words.
-
-A longest window is nearly always unique, so a first pass finds the word pairs that can be
-frequent: pairs are counted by 64-bit hashes, and those that reach ``min_count`` set a bit of a
-filter of 2**``filter_bits`` bits. The second pass pads a window from its first pair outside the
-filter on: no phrase that holds this pair can reach ``min_count``. A clash of hashes or bits only
-lets more windows through, and their counts are of the words themselves, so the results are exact
-whatever the size of the corpus; a fuller filter pads less.
+occurrence of a shorter phrase is the beginning of exactly one window, and the sums over all
+beginnings give the counts of all lengths, of single words and of all words.
+
+A longest window is nearly always unique, so a first pass finds the beginnings that can be frequent:
+they are counted by hashes of 44 bits, of which a task sends only 32 and a count cut at
+``min_count``, packed by the other 12; those that reach ``min_count`` set a bit of a filter of
+2**``filter_bits`` bits. The second pass pads a window from its first beginning outside the filter
+on, so that little but frequent phrases is sent as words. A clash of hashes or
+bits only lets more windows through, and their counts are of the words themselves, so the results
+are exact whatever the size of the corpus; a fuller filter pads less.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ from postkit.session import materialize
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 #: Bytes of text handled at a time; longer texts are cut between words.
 CHUNK_BYTES = 2 << 20
-#: Bits of one piece of the filter as it is collected.
-_SLICE_BITS = 17
+#: Bits of a hash by which hashes are dealt out (each value has its own piece of the filter), and those sent beside them.
+_DEAL_BITS, _SENT_BITS = 12, 32
+#: Hashes that a task holds before it counts and sends them.
+_HELD = 1 << 21
 _GAP = re.compile(rb"[ \n]")
 #: Buckets in which a language's best phrases are found before they meet.
 _RANK_BUCKETS = 64
@@ -93,8 +95,12 @@ class _Windows:
         self._hash = np.array([0, *map(xxhash.xxh3_64_intdigest, self.words)], np.uint64)
         self._lang_hash = np.array([xxhash.xxh3_64_intdigest(x) for x in langs], np.uint64)
 
-    def pair_hash(self, first, second):
-        return mix(mix(self._hash[first] * np.uint64(0x9E3779B97F4A7C15) + self._hash[second]) + self._lang_hash[self.lang])
+    def beginnings(self):
+        """For each column: the hashes of the windows' words up to it, in their language."""
+        h = self._lang_hash[self.lang]
+        for c in self.columns:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self._hash[c])
+            yield h
 
     def counted(self, columns):
         """The different rows of (lang, *columns): their first places and numbers."""
@@ -115,60 +121,74 @@ def _all_rows(batches):
             yield from zip(*[c.to_pylist() for c in b.slice(i, BATCH_ROWS).columns], strict=True)
 
 
-def pair_filter(source: DataFrame, min_count: int, filter_bits: int, chunk: int = CHUNK_BYTES) -> bytes:
-    """The filter: a bit for the hash of every pair of neighbouring words that occurs ``min_count``
-    times or more in its language. It is 2**``filter_bits`` / 8 bytes, whatever the corpus."""
-    def pairs(batches):
-        for unit in _units(_all_rows(batches), chunk, 1):
-            w = _Windows(*unit, 2)
-            first, n = w.counted(w.columns)
-            h = w.pair_hash(*w.columns)[first].view(np.int64)
-            keep = w.columns[1][first] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(n[keep])], names=["h", "n"])
-
-    slice_bits = min(_SLICE_BITS, filter_bits)
-    bit = F.col("h").bitwiseAND((1 << filter_bits) - 1)
-    slices = (source.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-              .groupBy(F.shiftright(bit, slice_bits).cast("int").alias("slice"))
-              .agg(F.collect_set(bit.bitwiseAND((1 << slice_bits) - 1).cast("int")).alias("bits")))
-
-    def packed(batches):
-        for b in batches:
-            out = []
-            for bits in b.column(1):
-                x = np.zeros(1 << slice_bits, np.uint8)
-                x[bits.values.to_numpy()] = 1
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["slice", "packed"])
-
-    step = max(1, (1 << slice_bits) // 8)
+def _dealt(hashes: np.ndarray, deal_bits: int, most: int, kind) -> pa.RecordBatch:
+    """The different ones of ``hashes``, a row for each value of their first ``deal_bits`` bits: ``h`` holds the next 32 bits of
+    them and ``n`` how often each is there, ``most`` at most."""
+    hashes = hashes >> np.uint64(64 - deal_bits - _SENT_BITS)
+    hashes.sort()
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    n = np.minimum(np.diff(np.append(first, len(hashes))), most).astype(kind)
+    hashes = hashes[first]
+    piece = (hashes >> np.uint64(_SENT_BITS)).astype(np.int32)
+    starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    ends, sent = np.append(starts[1:], len(piece)), hashes.astype(np.uint32)
+    packed = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(piece[starts]), packed(sent), packed(n)], names=["piece", "h", "n"])
+
+
+def phrase_filter(source: DataFrame, max_words: int, min_count: int, filter_bits: int, chunk: int = CHUNK_BYTES) -> bytes:
+    """The filter: a bit for the hash of every phrase of up to ``max_words`` words that occurs ``min_count`` times or more in its
+    language. It is 2**``filter_bits`` / 8 bytes, whatever the corpus."""
+    deal_bits = max(0, min(_DEAL_BITS, filter_bits - 3))
+    piece_bits, kind = filter_bits - deal_bits, np.min_scalar_type(min_count)
+
+    def counts(batches):
+        held, size = [], 0
+        for unit in _units(_all_rows(batches), chunk, max_words - 1):
+            w = _Windows(*unit, max_words)
+            for h, c in zip(w.beginnings(), w.columns, strict=True):
+                held.append(h[c > 0])
+                size += len(held[-1])
+            if size >= _HELD:
+                yield _dealt(np.concatenate(held), deal_bits, min_count, kind)
+                held, size = [], 0
+        if size:
+            yield _dealt(np.concatenate(held), deal_bits, min_count, kind)
+
+    def packed(key, table):
+        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint32)
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), kind)
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        often = h[first[np.add.reduceat(n[order], first, dtype=np.int64) >= min_count]]
+        bits = np.zeros(1 << piece_bits, np.uint8)
+        bits[often >> np.uint32(_SENT_BITS - piece_bits)] = 1
+        return pa.table({"piece": [key[0]] if len(often) else pa.array([], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()][:len(often)], pa.binary())})
+
+    step = max(1, (1 << piece_bits) // 8)
     found = bytearray(max(1, (1 << filter_bits) // 8))
-    for r in slices.mapInArrow(packed, "slice int, packed binary").toLocalIterator():
-        found[r.slice * step:r.slice * step + len(r.packed)] = r.packed
+    pieces = source.mapInArrow(counts, "piece int, h binary, n binary").groupBy("piece").applyInArrow(packed, "piece int, bits binary")
+    for r in pieces.toLocalIterator():
+        found[r.piece * step:r.piece * step + len(r.bits)] = r.bits
     return bytes(found)
 
 
-def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, filter_bits: int = 27, lang_col: str = "lang",
-                  text_col: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
-    """``lang``, ``k``, ``phrase``, ``n``: every phrase of ``k`` words (up to ``max_words``) that occurs ``min_count`` times or
-    more in its language, and per language a row with k = 0, no phrase, and the number of all words.
-
-    A-Z count as a-z; pieces end at ``. , ; : ! ?`` and line ends; words are parted by spaces and tabs. A null language is
-    ``und``; null and empty texts and texts without words add nothing; each of several equal rows counts; an empty table
-    gives no rows. Other columns are ignored, whatever their names."""
-    source = _source(docs, lang_col, text_col)
-    bits = broadcast_bytes(docs, pair_filter(source, min_count, filter_bits, chunk))
-    mask, names = np.uint64((1 << filter_bits) - 1), [f"w{i}" for i in range(max_words)]
+def padded_windows(source: DataFrame, max_words: int, filter_bits: int, bits, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``lang``, ``w0``, ``w1``, ... and ``n``: the windows of all words, padded from their first beginning outside the filter
+    on (``bits``, a broadcast value), and how often each is there; a window may come in several rows."""
+    shift, names = np.uint64(64 - filter_bits), [f"w{i}" for i in range(max_words)]
 
     def windows(batches):
         table = np.frombuffer(bits.value, np.uint8)
         for unit in _units(_all_rows(batches), chunk, max_words - 1):
             w = _Windows(*unit, max_words)
-            columns = w.columns[:1]
-            for a, b in pairwise(w.columns):
-                at = w.pair_hash(a, b) & mask
+            columns, whole = [], True
+            for h, c in zip(w.beginnings(), w.columns, strict=True):
+                at = h >> shift
                 hit = (table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
-                columns.append(np.where((columns[-1] > 0) & (hit > 0), b, 0))
+                columns.append(np.where(whole & (hit > 0), c, 0))
+                whole = columns[-1] > 0
             first, n = w.counted(columns)
             words, langs = pa.array(w.words, pa.binary()), pa.array(w.langs, pa.string())
             out = [langs.take(pa.array(w.lang[first]))]
@@ -178,12 +198,24 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, filt
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*out, pa.array(n)], names=["lang", *names, "n"])
 
-    counted = source.mapInArrow(windows, "lang string, " + ", ".join(f"{x} string" for x in names) + ", n long")
-    level = F.grouping_id().alias("level")                # a bit for each column that is rolled up, the last one lowest
-    sums = counted.rollup("lang", *names).agg(F.sum("n").alias("n"), level).where(F.col("level") < (1 << (max_words + 1)) - 1)
-    k = F.coalesce(*[F.when(F.col("level") == (1 << (max_words - i)) - 1, F.lit(i)) for i in range(max_words + 1)])
-    last = F.coalesce(*[F.when(k == i, F.col(names[i - 1]).isNotNull()) for i in range(1, max_words + 1)], F.lit(True))
-    return sums.where(last & ((k == 0) | (F.col("n") >= min_count))).select("lang", k.alias("k"), F.concat_ws(" ", *names).alias("phrase"), "n")
+    return source.mapInArrow(windows, "lang string, " + ", ".join(f"{x} string" for x in names) + ", n long")
+
+
+def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, filter_bits: int = 27, lang_col: str = "lang",
+                  text_col: str = "text", chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``lang``, ``k``, ``phrase``, ``n``: every phrase of ``k`` words (up to ``max_words``) that occurs ``min_count`` times or
+    more in its language, and per language a row with k = 0, no phrase, and the number of all words.
+
+    A-Z count as a-z; pieces end at ``. , ; : ! ?`` and line ends; words are parted by spaces and tabs. A null language is
+    ``und``; null and empty texts and texts without words add nothing; each of several equal rows counts; an empty table
+    gives no rows. Other columns are ignored, whatever their names."""
+    source, names = _source(docs, lang_col, text_col), [f"w{i}" for i in range(max_words)]
+    bits = broadcast_bytes(docs, phrase_filter(source, max_words, min_count, filter_bits, chunk))
+    counted = padded_windows(source, max_words, filter_bits, bits, chunk)
+    begun = [F.when(F.col(names[i]).isNotNull(), F.concat_ws(" ", *names[:i + 1])) for i in range(max_words)]
+    sums = counted.select("lang", F.posexplode(F.array_compact(F.array(F.lit(""), *begun))).alias("k", "phrase"), "n")
+    sums = sums.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    return sums.where((F.col("k") == 0) | (F.col("n") >= min_count))
 
 
 def _part(words: Column, start, length) -> Column:

@@ -67,3 +67,17 @@ def test_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", 0, "", 10**15), ("en", 1, "x", 3 * a), ("en", 1, "y", 7 * a + 1), ("en", 2, "x y", a)], "lang string, k int, phrase string, n long")
     (row,) = collocations.collocations(counts).collect()
     assert row.score == 10**6 * a * a // (3 * a * (7 * a + 1))
+
+
+def test_only_what_can_be_frequent_is_sent_as_words(spark):
+    import numpy as np
+    words = [f"w{i}" for i in range(24)]
+    texts = [f"{a} {b} {c}." for a in words for b in words for c in words]       # every pair 1,152 times, every triple once
+    texts += [f"rare{i}" for i in range(2000)] + ["w1 w2 w3"] * 9
+    source = collocations._source(table(spark, [("en", t) for t in texts]), "lang", "text")
+    bits = collocations.phrase_filter(source, 3, 10, 24)
+    assert len(bits) == 2**21 and np.unpackbits(np.frombuffer(bits, np.uint8)).sum() == 24 + 24**2 + 1
+    sent = collocations.padded_windows(source, 3, 24, spark.sparkContext.broadcast(bits)).collect()
+    assert sum(x.n for x in sent) == 3 * (24**3 + 9) + 2000
+    assert sum(x.n for x in sent if x.w0 is None) == 2000                        # they count among all words only
+    assert {(x.w0, x.w1, x.w2) for x in sent if x.w2 is not None} == {("w1", "w2", "w3")}

@@ -22,6 +22,7 @@ about one comparison per member, and neither pairs nor groups are ever listed or
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -88,6 +89,8 @@ def _gamma_quantiles(bits: int) -> np.ndarray:
 
 _R = _gamma_quantiles(16).astype(np.float32)
 _LOG_C = np.log(_gamma_quantiles(20)).astype(np.float32)
+#: The least ln c for each value of the first 12 of its 20 bits.
+_LOG_C_LOW = _LOG_C.reshape(1 << 12, -1).min(axis=1)
 
 
 def consistent_samples(found: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
@@ -95,14 +98,15 @@ def consistent_samples(found: np.ndarray, weights: np.ndarray, count: int) -> np
     Gamma(2, 1), beta uniform; t = floor(ln S / r + beta), ln a = ln c - r (t - beta) - r; the
     shingle with the least a is drawn, together with t. One hash of shingle and sample gives
     all three: 20 bits choose c, 16 r, 16 beta."""
-    seeds = (mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1))[None, :]
-    best, drawn, cols = np.full(count, np.inf, np.float32), np.zeros(count, np.uint64), np.arange(count)
-    held = (min(STRETCH, len(found)), count)                # the arrays of a stretch are used again by the next
+    seeds = _seeds(count)[:, None]
+    best, of, level = np.full(count, np.inf, np.float32), np.zeros(count, np.uint64), np.zeros(count, np.float32)
+    logs = np.log(weights).astype(np.float32)
+    held = count * min(STRETCH, len(found))                 # the arrays of a stretch are used again by the next
     xs, bits = np.empty(held, np.uint64), np.empty(held, np.uint64)
     rs, betas, ts = np.empty(held, np.float32), np.empty(held, np.float32), np.empty(held, np.float32)
     for at in range(0, len(found), STRETCH):
-        f, log_s = found[at:at + STRETCH, None], np.log(weights[at:at + STRETCH]).astype(np.float32)[:, None]
-        x, b, r, beta, t = (a[:len(f)] for a in (xs, bits, rs, betas, ts))
+        f, log_s = found[at:at + STRETCH], logs[at:at + STRETCH]
+        x, b, r, beta, t = (a[:count * len(f)].reshape(count, len(f)) for a in (xs, bits, rs, betas, ts))
         np.multiply(f, seeds, out=x)                        # the hashes f are mixed: the upper bits of the products are, too
         np.right_shift(x, np.uint64(28), out=b)
         np.bitwise_and(b, np.uint64(0xFFFF), out=b)
@@ -116,15 +120,35 @@ def consistent_samples(found: np.ndarray, weights: np.ndarray, count: int) -> np
         beta -= t
         beta -= np.float32(1)
         beta *= r                                           # ln c - ln a, negated
-        np.right_shift(x, np.uint64(44), out=b)
-        np.take(_LOG_C, b.view(np.int64), out=r, mode="clip")
-        r += beta                                           # ln a
-        i = np.argmin(r, axis=0)
-        low = r[i, cols]
+        i, low = _least(x, beta, b, r)
         better = low < best
         best = np.where(better, low, best)
-        drawn = np.where(better, mix(found[at:at + STRETCH][i] + t[i, cols].astype(np.int64).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), drawn)
-    return drawn
+        of, level = np.where(better, f[i], of), np.where(better, t[np.arange(count), i], level)
+    return np.where(best < np.inf, mix(of + level.astype(np.int64).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), np.uint64(0))
+
+
+@functools.cache
+def _seeds(count: int) -> np.ndarray:
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
+
+def _least(x: np.ndarray, rest: np.ndarray, b: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place and value of the least ln c + ``rest`` of every row, the first of equal ones; ``b`` and ``low`` are written over.
+    ln c is looked up in the large table only where the first 12 bits of c leave the least open: sums in float32 keep order."""
+    np.right_shift(x, np.uint64(52), out=b)
+    np.take(_LOG_C_LOW, b.view(np.int64), out=low, mode="clip")
+    low += rest
+    at = np.arange(len(x))
+    i = np.argmin(low, axis=1)
+    most = _LOG_C[(x[at, i] >> np.uint64(44)).view(np.int64)] + rest[at, i]
+    spot = np.flatnonzero(low <= most[:, None])             # row by row, at least one in each
+    if len(spot) == len(x):
+        return i, most
+    row = spot // x.shape[1]
+    value = _LOG_C[(x.ravel()[spot] >> np.uint64(44)).view(np.int64)] + rest.ravel()[spot]
+    least = np.minimum.reduceat(value, np.searchsorted(row, at))
+    spot, row = (a[value == least[row]] for a in (spot, row))
+    return spot[np.searchsorted(row, at)] % x.shape[1], least
 
 
 def band_slots(samples: int, bands: int, rows: int) -> np.ndarray:

@@ -278,6 +278,18 @@ def test_consistent_sampling_estimates_weighted_jaccard():
     assert abs(same - minhash.weighted_jaccard(a, b)) < 0.03
 
 
+def test_least_of_bounds_is_the_least_of_all():
+    import numpy as np
+    rng = np.random.default_rng(8)
+    for rows, n, kinds in ((1, 1, 9), (7, 300, 2**63), (60, 256, 2**63), (40, 200, 5), (3, 50, 1)):
+        x = rng.choice(rng.integers(0, 2**64, min(kinds, 20_000), dtype=np.uint64), (rows, n))        # few kinds: equal values
+        for rest in (rng.normal(0, 2, (rows, n)), rng.integers(-1, 1, (rows, n)), np.zeros((rows, n))):
+            rest = rest.astype(np.float32)
+            value = minhash._LOG_C[(x >> np.uint64(44)).astype(np.int64)] + rest
+            i, least = minhash._least(x, rest, np.empty_like(x), np.empty_like(rest))
+            assert (i == value.argmin(axis=1)).all() and (least == value.min(axis=1)).all()
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.81])
 def test_bands_miss_no_more_than_independent_ones(similarity):
     import inspect
